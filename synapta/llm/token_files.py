@@ -30,6 +30,16 @@ PACK = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6)
 ESCAPE = 15
 
 
+def _widths(v: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    if int(v.max()) < 1 << 16:
+        return _WIDTH_16[v]
+    return np.searchsorted(np.uint64(1) << np.arange(60, dtype=np.uint64), v, side="right").astype(np.uint8)
+
+
+_WIDTH_16 = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def simple8b_encode(values: np.ndarray) -> np.ndarray:
     """Packs non-negative integers below 2**60 into 64-bit words.
 
@@ -42,14 +52,22 @@ def simple8b_encode(values: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(v.max()) >> 60:
         raise ValueError("Simple-8b holds values below 2**60")
-    choice = np.full(n, ESCAPE, np.uint8)
-    for s in range(ESCAPE - 1, -1, -1):
+    widths = np.zeros(n, np.uint8) if not v.any() else _widths(v)
+    choice, most, span = np.full(n, ESCAPE, np.uint8), widths, 1
+    for s in range(ESCAPE - 1, 1, -1):  # widest values first; most[i] is the largest width of the next ``span`` values
         count, bits = PACK[s]
         if count > n:
-            continue
-        wide = np.concatenate([[0], np.cumsum(v >= (np.uint64(1) << np.uint64(bits)), dtype=np.int64)])
-        fits = wide[count:] == wide[:-count]
-        choice[: n - count + 1][fits] = s
+            break
+        while span < count:
+            step = min(span, count - span)
+            most, span = np.maximum(most[: len(most) - step], most[step:]), span + step
+        np.copyto(choice[: len(most)], np.uint8(s), where=most <= bits)
+    zero = np.flatnonzero(widths == 0) if n >= 120 else ()
+    if len(zero) >= 120:  # runs of zeros
+        upto = np.concatenate([[0], np.cumsum(widths != 0)])
+        for s in (1, 0):
+            if (count := PACK[s][0]) <= n:
+                np.copyto(choice[: n - count + 1], np.uint8(s), where=upto[count:] == upto[:-count])
     counts = np.array([c for c, _ in PACK], np.int64)
     step = counts[choice].tolist()
     starts, at = [], 0
@@ -63,8 +81,10 @@ def simple8b_encode(values: np.ndarray) -> np.ndarray:
         count, bits = PACK[s]
         rows = np.flatnonzero(sel == s)
         if len(rows):
-            part = v[starts[rows, None] + np.arange(count)]
-            words[rows] |= np.bitwise_or.reduce(part << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+            at, packed = starts[rows], np.zeros(len(rows), np.uint64)
+            for k in range(count):
+                packed |= v[at + k] << np.uint64(k * bits)
+            words[rows] |= packed
     return words
 
 

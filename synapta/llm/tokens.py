@@ -33,6 +33,18 @@ def vocabulary(name: str, root: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+class Numbered(dict):
+    """Numbers its keys in order of their first look-up; ``new`` lists those not seen to yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class WordEncoder:
     """ids of texts under a ``tokenizers`` vocabulary that cuts texts into pre-tokens before it merges.
 
@@ -49,16 +61,17 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.size = array("I"), array("i")
+        self.known = Numbered()
+        self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
     def _learn(self, parts: list[str]) -> None:
-        known, flat, size, n = self.known, self.flat, self.size, len(self.known)
+        flat = self.flat
         for e in self.lib.encode_batch_fast(parts, add_special_tokens=False):
             ids = e.ids
+            self.start.append(len(flat))
+            self.size.append(len(ids))
             flat.extend(ids)
-            size.append(len(ids))
-        known.update(zip(parts, range(n, n + len(parts))))
+        parts.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids of each text."""
@@ -73,17 +86,10 @@ class WordEncoder:
                 parts.append(find(text.lower()))
             else:
                 parts.append([text])
-        new = set()
-        for p in parts:
-            new.update(p)
-        new = [p for p in new if p not in known]
-        if new:
-            self._learn(new)
         n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(n_parts.sum()))
-        size = np.frombuffer(self.size, np.int32) if self.size else np.zeros(0, np.int32)
-        start = np.cumsum(size, dtype=np.int64) - size
-        size, start = size[at].astype(np.int64), start[at]
+        self._learn(known.new)
+        size, start = (np.frombuffer(x, np.int64)[at] if len(at) else at for x in (self.size, self.start))
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         ids = flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
