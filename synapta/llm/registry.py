@@ -1,18 +1,22 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from synapta.llm import chat_format, packing, quality_classifier, quality_rules, token_counts, token_files, toxicity
+from synapta.llm import chat_format, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
