@@ -44,16 +44,23 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(key, doc_id, text) with one unique non-null bigint key per input row.
+    """(key, doc_id, text, document) with one unique non-null bigint key per input row; document holds all its columns.
 
     The id serves as the key if it is unique and never null (one cheap pass over the id column). Otherwise rows are
-    written once with a generated key, so that repeated rows and null ids stay separate documents.
+    written once with a generated key, so that repeated rows and null ids stay separate documents. Keys follow the ids'
+    order in the first case only.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("document"))
     bad = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null").limit(1).count()
     if not bad:
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "keyed").select("key", "doc_id", "text")
+        return rows.withColumn("key", F.col("doc_id"))
+    return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def without_keys(rows: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``rows`` whose key is not in ``gone`` (key). The keys are broadcast up to ``limit`` of them, and shuffled beyond."""
+    gone = materialise(gone.select("key").distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, "key", "left_anti")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -61,15 +61,21 @@ def fit_in_task(sample: DataFrame, fit) -> bytes | None:
     return ordered.select("text", "y").mapInArrow(run, "model binary").first()["model"]
 
 
-def scores(docs: DataFrame, score_texts, threshold: float) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; ``score_texts`` maps a list of texts (null: '') to scores."""
+def scores(docs: DataFrame, score_texts, threshold: float, carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; ``score_texts`` maps a list of texts (null: '') to scores.
+
+    With ``carry`` a struct ``document`` of all columns of ``docs`` comes along.
+    """
+    out = ["doc_id", "held_out", "score", "predicted"] + ["document"] * carry
 
     def run(batches):
         for b in batches:
             got = []
             for lo in range(0, b.num_rows, 256):
                 got += score_texts([t or "" for t in b.column("text").slice(lo, 256).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            cols = [b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols + ([b.column("document")] if carry else []), names=out)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct("*").alias("document")] * carry)
+    schema = "doc_id bigint, held_out boolean, score double, predicted int" + f", document {docs.schema.simpleString()}" * carry
+    return rows.mapInArrow(run, schema)

@@ -221,16 +221,16 @@ def _join_group(k: int, percent: int, shared):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """(key, doc_id, n_shingles, root) of every row of ``docs`` (doc_id, text); ``root`` is the least key of its component.
+def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> DataFrame:
+    """(key, doc_id, n_shingles, root) of every row of ``rows`` (with_row_key of documents); ``root`` is the least key of its
+    component.
 
     Rows are linked where 100 * shared >= percent * united shingles. A null or empty text, or one without words, has no shingles
     and is linked with nothing. Rows of one id or of null ids are documents of their own (see with_row_key); other columns
     are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = with_row_key(docs)
-    survey = materialise(rows.mapInArrow(_survey(k), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
+    spark = rows.sparkSession
+    survey = materialise(rows.select("key", "doc_id", "text").mapInArrow(_survey(k), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
     counts = survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
     parts = {r["part"]: bytes(r["counts"]) for r in counts.collect()}  # 2**SKETCH_BITS numbers, whatever the input
     width = 8 * (1 << SKETCH_BITS) // 64
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(with_row_key(table(spark, sf_dir, "documents")))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "root").select("doc_id", "n_shingles", "component_id")
 

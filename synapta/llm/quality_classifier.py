@@ -82,9 +82,11 @@ def score_rows(weights: np.ndarray, texts: list[str], bits: int = BITS) -> list[
     return out
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, threshold: float = THRESHOLD, bits: int = BITS, carry: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; a higher score means good quality is likelier.
 
+    With ``carry`` a struct ``document`` of all input columns comes along.
+
     Learns from at most ``bound`` labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2). A null text
     is ''; it gets the score of a row without features. Repeated rows and null ids are scored each. Without any example every
     score is 0.5. Scoring is narrow: the model (4 * 2**bits bytes) goes to the tasks, no text is shuffled.
@@ -95,7 +97,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROW
     def score(texts):
         return score_rows(np.frombuffer(shared.value, "<f4"), texts, bits)
 
-    return scores(docs, score, threshold)
+    return scores(docs, score, threshold, carry)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

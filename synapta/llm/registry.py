@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from synapta.llm import chat_format, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from synapta.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -246,7 +246,7 @@ def removed_words(n: int, spans: list[dict], window: int = WINDOW) -> np.ndarray
     return np.cumsum(edge[:-1]) > 0
 
 
-def _strip(window: int):
+def _strip(window: int, carry: bool):
     def run(batches):
         for b in batches:
             n_words, n_removed, kept = [], [], []
@@ -256,25 +256,27 @@ def _strip(window: int):
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone) if not g) if spans else b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["key", "doc_id", "n_words", "n_removed", "kept_text"])
+            cols = [b.column("key"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + ([b.column("document")] if carry else []), names=["key", "doc_id", "n_words", "n_removed", "kept_text"] + ["document"] * carry)
 
     return run
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
-    """(key, doc_id, n_words, n_removed, kept_text) of every row of ``docs`` (doc_id, text); kept words joined by one space.
+def deduplicate_substrings(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, carry: bool = False) -> DataFrame:
+    """(key, doc_id, n_words, n_removed, kept_text) of every row of ``rows`` (with_row_key of documents); kept words joined by
+    one space. With ``carry`` a struct ``document`` of all input columns comes along.
 
     Windows are judged on the input. A null or empty text has no words; texts shorter than a window keep all. Repeated rows
     are copies of each other and lose their windows; rows of null ids are documents of their own; other columns are
     ignored.
     """
-    rows = with_row_key(docs)
-    joined = rows.join(repeated_spans(rows, window, k), "key", "left")
-    return joined.select("key", "doc_id", "text", "spans").mapInArrow(_strip(window), "key bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    joined = rows.join(repeated_spans(rows, window, k), "key", "left").select("key", "doc_id", "text", "spans", *["document"] * carry)
+    schema = "key bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + (f", document {rows.schema['document'].dataType.simpleString()}" if carry else "")
+    return joined.mapInArrow(_strip(window, carry), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicate_substrings(table(spark, sf_dir, "documents"))
+    out = deduplicate_substrings(with_row_key(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
