@@ -1,4 +1,4 @@
 """Registered queries over the provided tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from synapta.plans import connectivity, screening  # noqa: F401  they register themselves
+from synapta.plans.base import ORACLES, QUERIES  # noqa: F401
