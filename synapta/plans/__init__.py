@@ -1,4 +1,4 @@
 """Registered queries over the provided tables."""
 
-from synapta.plans import connectivity, inference, models, screening  # noqa: F401  they register themselves
+from synapta.plans import connectivity, inference, models, screening, tables  # noqa: F401  they register themselves
 from synapta.plans.base import ORACLES, QUERIES  # noqa: F401
