@@ -113,18 +113,19 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     found = found.selectExpr("key", "doc_id", "words", "w.n_words as n_words", "explode(array_distinct(transform(w.starts, s -> greatest(0, least(s, size(words) - w.n_words))))) as start")
     found = found.selectExpr("key", "doc_id", "n_words", "start", "slice(words, start + 1, n_words) as words").distinct()
     found = found.selectExpr("*", f"{_shingle_texts('words', f'least({shingle}, n_words)')} as shingles").drop("words")
-    found = found.selectExpr("*", f"{_simhash('shingles')} as fingerprint")
+    found = materialise(found.selectExpr("*", f"{_simhash('shingles')} as fingerprint"), "window-fingerprints")
 
-    left = found.selectExpr("*", f"explode({_blocks('fingerprint', radius)}) as b").selectExpr("*", "b.block as block", "b.value as value").drop("b")
-    right = items.selectExpr("item_id", "n_words", "m", "shingles as item_shingles", "fingerprint as item_fingerprint", f"explode({_blocks('fingerprint', radius)}) as b")
-    right = right.selectExpr("*", "b.block as block", "b.value as value").drop("b")
+    # the blocks are met by narrow rows; shingles join again for the pairs within the radius
+    left = found.selectExpr("key", "start", "n_words", "fingerprint", f"inline({_blocks('fingerprint', radius)})")
+    right = items.selectExpr("item", "n_words", "fingerprint as item_fingerprint", f"inline({_blocks('fingerprint', radius)})")
     pairs = left.join(right, ["n_words", "block", "value"]).withColumn("distance", F.expr("bit_count(fingerprint ^ item_fingerprint)"))
-    pairs = pairs.where(f"distance <= {radius}")
-    # a pair agrees in several blocks: the first block in which it does stands for it
-    first = f"aggregate(zip_with({_blocks('fingerprint', radius)}, {_blocks('item_fingerprint', radius)}, (x, y) -> case when x.value = y.value then x.block else 999 end), 999, (a, x) -> least(a, x))"
-    pairs = pairs.where(f"block = {first}")
-    checked = pairs.withColumn("both", F.expr(_shared("shingles", "item_shingles"))).withColumn("united", F.expr("size(shingles) + m - both"))
-    checked = checked.where(f"100 * both >= {percent} * united").withColumn("similarity", F.expr("both / united"))
+    pairs = pairs.where(f"distance <= {radius}").select("key", "start", "n_words", "item", "distance").distinct()
+    both = pairs.join(found.select("key", "doc_id", "start", "n_words", "shingles"), ["key", "start", "n_words"])
+    both = both.join(items.selectExpr("item", "item_id", "m", "shingles as item_shingles"), "item")
+    # a generator, so that the count is made once for each pair
+    counted = f"inline(array(struct({_shared('shingles', 'item_shingles')} as both)))"
+    checked = both.selectExpr("key", "doc_id", "item_id", "start", "n_words", "distance", "size(shingles) + m as of_both", counted)
+    checked = checked.withColumn("united", F.expr("of_both - both")).where(f"100 * both >= {percent} * united").withColumn("similarity", F.expr("both / united"))
     best = checked.groupBy("key", "doc_id", "item_id").agg(F.max_by(F.struct("start", "n_words", "similarity", "distance"), F.struct("similarity", F.expr("-start"), F.expr("-n_words"))).alias("w"))
     return best.select("key", "doc_id", "item_id", "w.start", "w.n_words", "w.similarity", "w.distance")
 
