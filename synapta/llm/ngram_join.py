@@ -6,8 +6,9 @@ each document: where a first estimate of its candidates is high, its prefix grow
 
 1. One pass takes each text's shingles: a hash of its set, and how often shingles fall into each of 2**SKETCH_BITS buckets.
 2. Documents of equal sets form a class; its least key stands for it. Classes of copies of any size end here.
-3. A second pass gives each class its prefix. Classes are tied together where they share a prefix shingle; the connected
-   families hold all candidate pairs. Nothing is paired in this step, it only counts and takes minima for each shingle.
+3. A second pass gives each class its prefix. Shingles of at most PAIR_DF prefixes give pairs, which stay if they share as many as
+   they have to; classes that share a more frequent one are tied to the least of them without being paired. Any candidate
+   pair is then inside one connected family.
 4. Families are joined where they lie, many small ones in a task; one too large for a task is cut into blocks of which each
    pair is a task. There shared prefix shingles are counted, candidates are checked exactly, and a candidate that is already
    known to be in the same component is not checked again. Only links that join components leave the task.
@@ -30,8 +31,10 @@ SHINGLE = 5
 SKETCH_BITS = 18
 #: Shingles that one task of the last step holds.
 TASK_SHINGLES = 1_500_000
-#: A document of more than this many expected candidates asks for one more shared shingle, and again at each tenfold.
-CHEAP_CANDIDATES, MAX_MATCHES = 64, 4
+#: A document of more than this many expected candidates asks for one more shared shingle, and again at each eightfold.
+CHEAP_CANDIDATES, MAX_MATCHES = 8, 4
+#: Prefixes that may hold a shingle that is paired; beyond them it only ties.
+PAIR_DF = 16
 CACHE_WORDS = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,9 +100,10 @@ def prefix(s: np.ndarray, sketch: Sketch, percent: int) -> tuple[np.ndarray, int
     seen = sketch.counts[s >> np.uint64(64 - SKETCH_BITS)]
     order = np.lexsort((s, seen))
     free = n - -(-percent * n // 100)  # shingles that a partner may lack
-    expected = float(np.maximum(seen[order[: free + 1]] - sketch.usual, 0).sum())
+    # one accidental partner for each shingle of the prefix, and those that the sketch shows
+    expected = free + 1 + float(np.maximum(seen[order[: free + 1]] - sketch.usual, 0).sum())
     matches = 1
-    while matches < MAX_MATCHES and matches < n - free and expected > CHEAP_CANDIDATES * 10 ** (matches - 1):
+    while matches < MAX_MATCHES and matches < n - free and expected > CHEAP_CANDIDATES * 8 ** (matches - 1):
         matches += 1
     return s[order[: free + matches]], matches
 
@@ -135,13 +139,16 @@ def _prefixes(k: int, percent: int, shared):
     def run(batches):
         sketch = _sketch(shared.value)
         for b in batches:
-            prefixes = []
+            prefixes, sizes, wanted = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, k)
-                prefixes.append(prefix(s, sketch, percent)[0].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                p, m = prefix(s, sketch, percent) if len(s) else (s, 0)
+                prefixes.append(p.view(np.int64))
+                sizes.append(len(s))
+                wanted.append(m)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
             at = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(at, flat)], names=["key", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int32()), pa.array(wanted, pa.int32()), pa.ListArray.from_arrays(at, flat)], names=["key", "n", "wanted", "prefix"])
 
     return run
 
@@ -241,11 +248,16 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     member = materialise(sized.join(classes, "digest", "left").selectExpr("key", "doc_id", "n", "case when n > 0 then cls else key end as cls"), "member")
 
     copies = member.where("key <> cls or n = 0").select("key")
-    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, prefix array<bigint>").join(copies, "key", "left_anti")
+    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, wanted int, prefix array<bigint>").join(copies, "key", "left_anti")
     prefixes = materialise(prefixes, "prefixes")
-    tokens = prefixes.select("key", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("hub")).where("df > 1").select("token", "hub")
-    ties = tokens.join(hubs, "token").where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    tokens = prefixes.select("key", "n", "wanted", F.explode("prefix").alias("token"))
+    hubs = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("hub")).where("df > 1")
+    met = materialise(tokens.join(hubs, "token"), "shared-shingles")
+    tied = met.where(f"df > {PAIR_DF} and key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    few = met.where(f"df <= {PAIR_DF}").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("key", "n", "wanted"))).alias("m"))
+    couples = few.selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.key as u, y.key as v, least(x.wanted, y.wanted) as wanted, least(x.n, y.n) as lo, greatest(x.n, y.n) as hi)))))")
+    couples = couples.where(f"100L * lo >= {percent} * hi").groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted")).where("shared >= wanted")
+    ties = tied.union(couples.select("u", "v"))
     families = materialise(components(ties, "families").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
 
     weighed = families.join(member.select("key", "n"), "key")

@@ -1,0 +1,223 @@
+"""Each method against brute force, an exact round trip or held-out accuracy."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from synapta.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, tokens, toxicity
+from synapta.llm.common import with_row_key
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    t = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    return {r["doc_id"]: r["text"] for r in t}
+
+
+NASTY = ["", " ", "  ", "a ", " a", "a  b   ", "\t\n", "<|endoftext|>x <|startoftext|>", "İstanbul ΣΑΣ ſ ﬁ ①²³", "é café ́x", "it's 'S don't 'RE !!'s", "a\xa0b　c\x85d", "</s> <s> <0x0A>", "▁a▁ b", "日本語 🙂🙂", "a\rb\r\n c", "x" * 5000, " " * 3000, "ß ẞ ŉ ǅ Œ", "\x1c\x1d a"]
+
+
+def test_word_tokens_equal_library(texts):
+    e = tokens.word_encoder(tokens.vocabulary("word_bpe_49k.json"))
+    every = [*texts.values(), *NASTY]
+    ids, n = e.encode(every)
+    want = [e.lib.encode(t or "", add_special_tokens=False).ids for t in every]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.parametrize("chunk,overlap", [(50, 4), (400, 16), (5000, 64)])
+def test_spliced_counts_equal_library(texts, chunk, overlap):
+    c = tokens.piece_counter(tokens.vocabulary("piece_bpe_32k.model"))
+    assert c.words_apart
+    for t in [*list(texts.values())[:150], *NASTY]:
+        want = len(c.lib.encode(t or ""))
+        assert c.count(t or "") == want and token_counts.spliced_count(c, t or "", chunk, overlap) == want
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 7, 119, 120, 121, 240, 241, 3000):
+        for high in (1, 2, 9, 300, 49408, 2**20, 2**31, 2**60 - 1):
+            v = rng.integers(0, high, n, dtype=np.uint64)
+            v[rng.random(n) < 0.3] = 0
+            w = token_files.simple8b_encode(v)
+            assert (token_files.simple8b_decode(w, n) == v).all()
+    assert len(token_files.simple8b_encode(np.zeros(480, np.uint64))) == 2
+    with pytest.raises(ValueError):
+        token_files.simple8b_encode(np.array([1 << 60], np.uint64))
+
+
+def test_token_files_follow_ids(spark, texts):
+    from synapta.llm.registry import QUERIES
+
+    lib = tokens.word_encoder(tokens.vocabulary("word_bpe_49k.json")).lib
+    at = 0
+    got = {r.doc_id: r for r in QUERIES["op3_token_files"](spark, SF).collect()}
+    for doc in sorted(texts):
+        a = np.array(lib.encode(texts[doc] or "", add_special_tokens=False).ids + [1], "<u4")
+        r = got[doc]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(a), zlib.crc32(a.tobytes()))
+        at += len(a)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 5, 900, 4095, 4096, 4097, 20000, rng.randrange(1, 3000)]) for _ in range(rng.randrange(1, 400))]
+    pieces = packing.pack(sizes)
+    by_doc, by_seq = {}, {}
+    for d, start, n, s, offset in pieces:
+        by_doc.setdefault(d, []).append((start, n))
+        by_seq.setdefault(s, []).append((offset, n))
+    for d, size in enumerate(sizes):
+        at = 0
+        for start, n in sorted(by_doc[d]):
+            assert start == at
+            at += n
+        assert at == size
+    for parts in by_seq.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def brute_windows(words_of, width=35):
+    seen = Counter(tuple(w[i : i + width]) for w in words_of.values() for i in range(len(w) - width + 1))
+    out = {}
+    for d, w in words_of.items():
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone.update(range(i, i + width))
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+def passages(seed):
+    rng = random.Random(seed)
+    word = lambda k=400: f"w{rng.randrange(k)}"
+    shared = [[word() for _ in range(rng.choice([34, 35, 36, 60, 150]))] for _ in range(6)]
+    docs = {}
+    for d in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 6)):
+            w += rng.choice([lambda: [word() for _ in range(rng.randrange(80))], lambda: list(rng.choice(shared)), lambda: ["a"] * rng.choice([10, 36, 80]), lambda: ["p", "q"] * rng.choice([10, 18, 40])])()
+        docs[d] = w
+    docs[60] = list(docs[3])
+    return docs
+
+
+@pytest.mark.parametrize("heavy", [8192, 1])
+def test_substrings_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", heavy)  # 1: every open anchor is settled by digests
+    docs = passages(1)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string").repartition(4)
+    want = brute_windows(docs)
+    got = {r.doc_id: r.kept_text for r in substring_dedup.deduplicate_substrings(with_row_key(df)).collect()}
+    assert got == {d: " ".join(w) for d, w in want.items()}
+
+
+def brute_components(texts):
+    sets = {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("task", [1_500_000, 300])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, task):
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", task)  # 300: families are cut into blocks
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 40, 90]))] for _ in range(6)]
+    common = [f"c{i}" for i in range(60)]
+    texts = {}
+    for d in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(300)}"
+        texts[d] = " ".join(w + (common if rng.random() < 0.3 else []))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.root) for r in ngram_join.near_duplicates(with_row_key(df)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_adaptive_prefix_grows():
+    sketch = ngram_join.Sketch(np.zeros(1 << ngram_join.SKETCH_BITS, "<i8").tobytes())
+    s = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 100).astype(np.uint64))
+    assert len(ngram_join.prefix(s, sketch, 80)[0]) == 22 and ngram_join.prefix(s, sketch, 80)[1] == 2
+    sketch.counts = sketch.counts.copy()
+    sketch.counts[s >> np.uint64(64 - ngram_join.SKETCH_BITS)] = 1000
+    p, m = ngram_join.prefix(s, sketch, 80)
+    assert m == 4 and len(p) == 24
+
+
+def test_simhash_radius_keeps_threshold_pairs(spark):
+    """Windows of a similarity of 0.8 or more are within the radius: measured recall over edited copies."""
+    rng = random.Random(3)
+    items = {i: [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(14, 60))] for i in range(120)}
+    docs = {}
+    for i, w in items.items():
+        v = list(w)
+        if len(v) > 44:
+            v[rng.choice([0, 1, len(v) - 1])] = "edited"  # at the edge: similarity stays at 0.8 or more
+        docs[i] = [f"x{rng.randrange(5000)}" for _ in range(20)] + v + [f"y{rng.randrange(5000)}" for _ in range(20)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(with_row_key(d), b).collect()}
+    assert all((i, i) in got for i in items) and all(r.similarity >= 0.8 for r in got.values())
+    assert got[(0, 0)].start == 20
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    d = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    d = d.merge(pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas(), on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in d.doc_id])
+    return d[~held], d[held]
+
+
+def test_quality_held_out(labelled):
+    train, test = labelled
+    w = np.frombuffer(quality_classifier.fit(zip(train.text, train.quality)), "<f4")
+    p = np.array(quality_classifier.score_rows(w, test.text.tolist())) >= quality_classifier.THRESHOLD
+    y = test.quality.to_numpy() == 1
+    assert (p == y).mean() > 0.98 and p[y].mean() > 0.995
+
+
+def test_toxicity_held_out(labelled):
+    train, test = labelled
+    model = toxicity.fit(zip(train.text, train.toxic))
+    p = np.array(toxicity.score_rows(model, test.text.tolist())) >= toxicity.THRESHOLD
+    y = test.toxic.to_numpy() == 1
+    assert (p == y).mean() > 0.96 and p[y].mean() > 0.78 and p[~y].mean() < 0.02
+
+
+def test_line_rules():
+    assert quality_rules.bad_line("a*** b&&& c###")[1] and quality_rules.bad_line("HOME | NEWS | ABOUT | HELP")[1]
+    assert quality_rules.bad_line("All rights reserved.")[1] and quality_rules.bad_line("der der der der der der der.")[1]
+    assert quality_rules.bad_line("A!! B!! C!! D!!")[1] and quality_rules.bad_line(" ".join("abcdefghijkl"))[1]
+    assert not quality_rules.bad_line("A plain sentence, with words.")[1] and quality_rules.bad_line(" \t")[0] == 0
