@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from synapta.llm.common import held_out
 
@@ -58,7 +59,8 @@ def fit_in_task(sample: DataFrame, fit) -> bytes | None:
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows())], pa.binary())], names=["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text")
-    return ordered.select("text", "y").mapInArrow(run, "model binary").first()["model"]
+    row = ordered.select("text", "y").mapInArrow(run, "model binary").first()  # no row from a plan that is known to be empty
+    return row["model"] if row else None
 
 
 def scores(docs: DataFrame, score_texts, threshold: float, carry: bool = False) -> DataFrame:
@@ -76,6 +78,8 @@ def scores(docs: DataFrame, score_texts, threshold: float, carry: bool = False)
             cols = [b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols + ([b.column("document")] if carry else []), names=out)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct("*").alias("document")] * carry)
-    schema = "doc_id bigint, held_out boolean, score double, predicted int" + f", document {docs.schema.simpleString()}" * carry
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *[F.struct("*").alias("document")] * carry)
+    schema = StructType().add("doc_id", LongType()).add("held_out", "boolean").add("score", "double").add("predicted", "integer")
+    if carry:
+        schema = schema.add("document", docs.schema)
     return rows.mapInArrow(run, schema)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from synapta.llm.common import materialise, table, with_row_key
 from synapta.llm.ngram_join import hasher, windows
@@ -271,7 +272,9 @@ def deduplicate_substrings(rows: DataFrame, window: int = WINDOW, k: int = ANCHO
     ignored.
     """
     joined = rows.join(repeated_spans(rows, window, k), "key", "left").select("key", "doc_id", "text", "spans", *["document"] * carry)
-    schema = "key bigint, doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + (f", document {rows.schema['document'].dataType.simpleString()}" if carry else "")
+    schema = StructType().add("key", LongType()).add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", "string")
+    if carry:
+        schema = schema.add("document", rows.schema["document"].dataType)
     return joined.mapInArrow(_strip(window, carry), schema)
 
 
