@@ -88,7 +88,8 @@ def align(listed: DataFrame, df: DataFrame, key: str, strict: bool = False) -> D
     if not strict:
         return listed.join(df, key)
     out = listed.join(df.withColumn("_there", F.lit(True)), key, "left")
-    return out.withColumn("_there", F.when(F.col("_there").isNull(), F.raise_error(F.lit("listed key without a row"))).otherwise(True)).drop("_there")
+    # a filter, as a column that is dropped again would not be computed
+    return out.where(F.when(F.col("_there").isNull(), F.raise_error(F.lit("listed key without a row"))).otherwise(True)).drop("_there")
 
 
 def missing_keys(listed: DataFrame, df: DataFrame, key: str) -> DataFrame:
