@@ -63,6 +63,18 @@ def without_keys(rows: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> Da
     return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, "key", "left_anti")
 
 
+_kept: dict = {}
+
+
+def worker_cache(kind: tuple, make):
+    """The large cache that a Python worker holds. Workers outlive stages, so a cache of another kind replaces the last one:
+    a pipeline of several operators needs the memory of one."""
+    if kind not in _kept:
+        _kept.clear()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
 def held_out(id_col: str = "doc_id"):
     """The evaluation rows: crc32 of the id's decimal text is 2 modulo 4 (a null id counts as the text '')."""
     return F.expr(f"crc32(cast(coalesce(cast({id_col} as string), '') as binary)) % 4 = 2")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import materialise, table, with_row_key
+from synapta.llm.common import materialise, table, with_row_key, worker_cache
 from synapta.llm.components import components
 
 SHINGLE = 5
@@ -68,9 +68,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=1)
 def hasher() -> Hasher:
-    return Hasher()
+    return worker_cache(("hashes",), Hasher)
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:

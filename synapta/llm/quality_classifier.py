@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import table
+from synapta.llm.common import table, worker_cache
 from synapta.llm.linear import Ftrl, fit_in_task, labelled_sample, scores
 
 BITS = 18
@@ -68,9 +68,8 @@ def fit(rows, bits: int = BITS, epochs: int = EPOCHS) -> bytes:
     return model.weights().astype("<f4").tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def _features(bits: int) -> WordFeatures:
-    return WordFeatures(bits)
+    return worker_cache(("word features", bits), lambda: WordFeatures(bits))
 
 
 def score_rows(weights: np.ndarray, texts: list[str], bits: int = BITS) -> list[float]:

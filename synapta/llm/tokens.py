@@ -7,7 +7,6 @@ word (checked when it is loaded), so a text's ids are the ids of its parts in or
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import re
@@ -15,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from synapta.llm.common import worker_cache
+
 CACHE_WORDS = 1_000_000
 
 #: Letters that lower-case to one character and need no Unicode normalisation: ASCII, Latin-1 and Latin Extended-A.
@@ -149,12 +150,10 @@ class PieceCounter:
         return n + (1 if tail == 1 else self.whole(" " * (tail - 1)) if tail else 0)
 
 
-@functools.lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder a Python worker, kept between batches and tasks."""
-    return WordEncoder(path)
+    return worker_cache(("words", path), lambda: WordEncoder(path))
 
 
-@functools.lru_cache(maxsize=4)
 def piece_counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return worker_cache(("pieces", path), lambda: PieceCounter(path))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import table
+from synapta.llm.common import table, worker_cache
 from synapta.llm.linear import Ftrl, fit_in_task, labelled_sample, scores
 
 BITS = 21
@@ -99,10 +99,9 @@ def fit(rows, bits: int = BITS, epochs: int = EPOCHS) -> bytes:
     return w.astype("<f4").tobytes()
 
 
-@functools.lru_cache(maxsize=1)
 def _scorer(model: bytes, bits: int) -> tuple[np.ndarray, CharFeatures]:
     weights = np.frombuffer(model, "<f4")
-    return weights, CharFeatures(bits, useful=weights[:-1] != 0)
+    return worker_cache(("n-grams", model, bits), lambda: (weights, CharFeatures(bits, useful=weights[:-1] != 0)))
 
 
 def score_rows(model: bytes, texts: list[str], bits: int = BITS) -> list[float]:
