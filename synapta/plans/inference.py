@@ -269,7 +269,7 @@ def _t_map(spark, d):
     return inf.regression_t(li, ["loc"], "y", "l_quantity")
 
 
-@query("regression_t_map", f"SELECT loc, dof, round(slope, 6) + 0.0 AS slope, round(slope / sqrt(sse / dof / sxx), 4) + 0.0 AS t FROM {_T}")
+@query("regression_t_map", f"SELECT loc, CAST(dof AS BIGINT) AS dof, round(slope, 6) + 0.0 AS slope, round(slope / sqrt(sse / dof / sxx), 4) + 0.0 AS t FROM {_T}")
 def regression_t_map(spark, d):
     """K12"""
     return _t_map(spark, d).select("loc", "dof", fn.r6(F.col("slope")).alias("slope"), F.round("t", 4).alias("t"))
