@@ -1,13 +1,15 @@
 """n-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-Exact for its threshold. A document's shingles are put in one order for all documents, rare ones first. Two documents that
-reach the threshold share at least m of the first ``n - ceil(t * n) + m`` shingles of either, for every m. m is chosen for
-each document: where a first estimate of its candidates is high, its prefix grows and a partner has to share more of it.
+Exact for its threshold. A document's shingles are put in one order for all documents, rare ones first. A prefix of
+``n - ceil(t * n) + m`` shingles holds at least m of those shared with any partner. m is chosen for each document: where a first
+estimate of its candidates is high, its prefix grows. Two documents of prefixes p and q that reach the threshold share o =
+ceil(t * (n + l) / (1 + t)) shingles or more, so that at most n - o and l - o come between the shared ones, and at least
+min(p - (n - o), q - (l - o)) of the shared ones stand in both prefixes: so many have to match before a pair is checked.
 
 1. One pass takes each text's shingles: a hash of its set, and how often shingles fall into each of 2**SKETCH_BITS buckets.
 2. Documents of equal sets form a class; its least key stands for it. Classes of copies of any size end here.
-3. A second pass gives each class its prefix. Shingles of at most PAIR_DF prefixes give pairs, which stay if they share as many as
-   they have to; classes that share a more frequent one are tied to the least of them without being paired. Any candidate
+3. A second pass gives each class its prefix. Shingles of at most PAIR_DF prefixes give pairs of fitting sizes, which stay if they share as
+   many as they have to; classes that share a more frequent one are tied to the least of them without being paired. Any candidate
    pair is then inside one connected family.
 4. Families are joined where they lie, many small ones in a task; one too large for a task is cut into blocks of which each
    pair is a task. There shared prefix shingles are counted, candidates are checked exactly, and a candidate that is already
@@ -34,7 +36,7 @@ TASK_SHINGLES = 1_500_000
 #: A document of more than this many expected candidates asks for one more shared shingle, and again at each eightfold.
 CHEAP_CANDIDATES, MAX_MATCHES = 8, 4
 #: Prefixes that may hold a shingle that is paired; beyond them it only ties.
-PAIR_DF = 16
+PAIR_DF = 256
 CACHE_WORDS = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,16 +140,14 @@ def _prefixes(k: int, percent: int, shared):
     def run(batches):
         sketch = _sketch(shared.value)
         for b in batches:
-            prefixes, sizes, wanted = [], [], []
+            prefixes, sizes = [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, k)
-                p, m = prefix(s, sketch, percent) if len(s) else (s, 0)
-                prefixes.append(p.view(np.int64))
+                prefixes.append((prefix(s, sketch, percent)[0] if len(s) else s).view(np.int64))
                 sizes.append(len(s))
-                wanted.append(m)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
             at = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int32()), pa.array(wanted, pa.int32()), pa.ListArray.from_arrays(at, flat)], names=["key", "n", "wanted", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(at, flat)], names=["key", "n", "prefix"])
 
     return run
 
@@ -167,7 +167,7 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
     root = np.arange(len(sets))
     posting: dict[int, list[int]] = {}
     shared = np.zeros(len(sets), np.int32)
-    wanted = np.array([m for _, m in chosen], np.int32)
+    spare = np.array([len(p) for p, _ in chosen], np.int64) - size  # plus the overlap: matches to be found in this prefix
     links = []
 
     def overlaps(x: int, cand: np.ndarray) -> np.ndarray:
@@ -191,7 +191,8 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
             cand = np.flatnonzero(shared)
             count = shared[cand]
             shared[cand] = 0
-            keep = (count >= np.minimum(wanted[cand], wanted[x])) & (100 * size[cand] >= percent * size[x])
+            overlap = -(-percent * (size[cand] + size[x]) // (100 + percent))
+            keep = (count >= overlap + np.minimum(spare[cand], spare[x])) & (100 * size[cand] >= percent * size[x])
             if halves is not None:
                 keep &= halves[cand] != halves[x]
             cand, count = cand[keep], count[keep]
@@ -247,15 +248,17 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     member = materialise(sized.join(classes, "digest", "left").selectExpr("key", "doc_id", "n", "case when n > 0 then cls else key end as cls"), "member")
 
     copies = member.where("key <> cls or n = 0").select("key")
-    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, wanted int, prefix array<bigint>").join(copies, "key", "left_anti")
+    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, prefix array<bigint>").join(copies, "key", "left_anti")
     prefixes = materialise(prefixes, "prefixes")
-    tokens = prefixes.select("key", "n", "wanted", F.explode("prefix").alias("token"))
+    tokens = prefixes.select("key", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
     hubs = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("hub")).where("df > 1")
     met = materialise(tokens.join(hubs, "token"), "shared-shingles")
     tied = met.where(f"df > {PAIR_DF} and key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
-    few = met.where(f"df <= {PAIR_DF}").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("key", "n", "wanted"))).alias("m"))
-    couples = few.selectExpr("inline(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.key as u, y.key as v, least(x.wanted, y.wanted) as wanted, least(x.n, y.n) as lo, greatest(x.n, y.n) as hi)))))")
-    couples = couples.where(f"100L * lo >= {percent} * hi").groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted")).where("shared >= wanted")
+    few = met.where(f"df <= {PAIR_DF}").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "key", "p"))).alias("m"))
+    fitting = f"filter(slice(m, i + 2, size(m)), y -> 100L * x.n >= {percent}L * y.n)"  # y is not smaller than x
+    couples = few.selectExpr(f"inline(flatten(transform(m, (x, i) -> transform({fitting}, y -> struct(x.key as u, x.n as n, x.p as p, y.key as v, y.n as l, y.p as q)))))")
+    couples = couples.groupBy("u", "v", "n", "p", "l", "q").agg(F.count("*").alias("shared"))
+    couples = couples.withColumn("o", F.expr(f"cast(ceil({percent}L * (n + l) / {100 + percent}) as bigint)")).where("shared >= least(p + o - n, q + o - l)")
     ties = tied.union(couples.select("u", "v"))
     families = materialise(components(ties, "families").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
 
