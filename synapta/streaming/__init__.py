@@ -1,0 +1 @@
+"""The domain has no streaming operator; resumable work is done by tables in the shared folder."""
