@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from synapta.llm.common import materialise, table, with_row_key
+from synapta.llm.common import materialise, table, with_row_key, worker_cache
 from synapta.llm.ngram_join import hasher, windows
 
 WINDOW, ANCHOR_WORDS = 35, 8
-#: Different segments of one anchor that one automaton takes; about so many are put in a shard.
-SHARD_SEGMENTS = 8_192
+#: Different segments of one anchor that one automaton takes; about so many are put in a shard. An automaton takes some 15 kB a segment.
+SHARD_SEGMENTS = 2_048
 #: A list of ids is broadcast up to this many, and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -182,6 +182,7 @@ def repeated_windows(texts: list[tuple[list[bytes], int]], window: int = WINDOW)
 
 def _automata(window: int):
     def run(t: pa.Table) -> pa.Table:
+        worker_cache(("automata",), dict)  # the words' hashes are not needed any more
         texts = [(w.split(b" "), n) for w, n in zip(t.column("words").to_pylist(), t.column("times").to_pylist())]
         masks = repeated_windows(texts, window)
         return pa.table({"anchor": t.column("anchor"), "content": t.column("content"), "mask": pa.array(masks, pa.int64())})

@@ -16,7 +16,7 @@ import numpy as np
 
 from synapta.llm.common import worker_cache
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 #: Letters that lower-case to one character and need no Unicode normalisation: ASCII, Latin-1 and Latin Extended-A.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-žƀ"

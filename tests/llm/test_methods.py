@@ -115,7 +115,7 @@ def passages(seed):
     return docs
 
 
-@pytest.mark.parametrize("heavy", [8192, 1])
+@pytest.mark.parametrize("heavy", [2048, 1])
 def test_substrings_equal_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", heavy)  # 1: every open anchor is settled by digests
     docs = passages(1)
