@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import materialise, table, with_row_key, worker_cache
+from synapta.llm.common import materialise, table, with_row_key, without_keys, worker_cache
 from synapta.llm.components import components
 
 SHINGLE = 5
@@ -38,6 +39,7 @@ CHEAP_CANDIDATES, MAX_MATCHES = 8, 4
 #: Prefixes that may hold a shingle that is paired; beyond them it only ties.
 PAIR_DF = 256
 CACHE_WORDS = 500_000
+BROADCAST_IDS = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,8 +167,7 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
     start = np.cumsum(size) - size
     mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
     root = np.arange(len(sets))
-    posting: dict[int, list[int]] = {}
-    shared = np.zeros(len(sets), np.int32)
+    posting: dict[int, array] = {}
     spare = np.array([len(p) for p, _ in chosen], np.int64) - size  # plus the overlap: matches to be found in this prefix
     links = []
 
@@ -187,10 +188,13 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
         tokens = chosen[x][0].tolist()
         met = [posting[t] for t in tokens if t in posting]
         if met:
-            np.add.at(shared, np.concatenate([np.asarray(m) for m in met]), 1)
-            cand = np.flatnonzero(shared)
-            count = shared[cand]
-            shared[cand] = 0
+            every = np.concatenate([np.frombuffer(m, np.int32) for m in met])
+            if len(every) * 8 < len(sets):
+                cand, count = np.unique(every, return_counts=True)
+            else:
+                count = np.bincount(every, minlength=len(sets))
+                cand = np.flatnonzero(count)
+                count = count[cand]
             overlap = -(-percent * (size[cand] + size[x]) // (100 + percent))
             keep = (count >= overlap + np.minimum(spare[cand], spare[x])) & (100 * size[cand] >= percent * size[x])
             if halves is not None:
@@ -212,7 +216,7 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
                 cand, by = cand[left], by[left]
                 first = np.arange(len(cand))
         for t in tokens:
-            posting.setdefault(t, []).append(x)
+            posting.setdefault(t, array("i")).append(x)
     return links
 
 
@@ -248,7 +252,8 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     member = materialise(sized.join(classes, "digest", "left").selectExpr("key", "doc_id", "n", "case when n > 0 then cls else key end as cls"), "member")
 
     copies = member.where("key <> cls or n = 0").select("key")
-    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, prefix array<bigint>").join(copies, "key", "left_anti")
+    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, prefix array<bigint>")
+    prefixes = without_keys(prefixes, copies)
     prefixes = materialise(prefixes, "prefixes")
     tokens = prefixes.select("key", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
     hubs = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("hub")).where("df > 1")
@@ -276,7 +281,8 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
         "case when blocks is null then -1 else least(block, other) end as lo",
         "case when blocks is null then -1 else greatest(block, other) end as hi",
     )
-    texts = rows.select("key", "text").join(families.select("key"), "key", "left_semi")
+    ids = families.select("key")  # broadcast up to a checked number, so that other texts are not shuffled
+    texts = rows.select("key", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "key", "left_semi")
     links = groups.join(texts, "key").groupBy("g", "lo", "hi").applyInArrow(_join_group(k, percent, shared), "u bigint, v bigint")
     roots = components(links, "links")
     out = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
