@@ -31,8 +31,9 @@ def pack(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATI
     """Pieces (document, start, length, sequence, offset) for documents of ``sizes`` tokens (each at least 1).
 
     Whole sequences are cut off documents longer than one. The rest goes, largest first, to the sequence of the lowest cost
-    among those with room. A piece that fits into none is cut to fill the roomiest ones. The last, not full sequence is cut
-    into powers of two.
+    among all with room: pieces descend, so a sequence without room waits until one is as small as its room. A piece that fits
+    into none is cut to fill the roomiest ones (the fewest cuts; all get full, so there is no cost to balance by tokens). The
+    last, not full sequence is cut into powers of two.
     """
     pieces: list[list[int]] = []  # document, start, length
     out, sequence = [], 0
@@ -47,27 +48,26 @@ def pack(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATI
     total = sum(p[2] for p in pieces)
     n_open = total // capacity
     room = [capacity] * n_open
-    heap = [(0.0, s) for s in range(n_open)]
+    ready = [(0.0, s) for s in range(n_open)]  # by cost: room for the piece at hand, so for all later ones
+    short: list[tuple[int, float, int]] = []  # the others, the largest room first
     content: list[list[tuple[int, int, int]]] = [[] for _ in range(n_open)]
     cut: list[list[int]] = []
 
-    def put(s: int, p: list[int], cost: float) -> None:
-        content[s].append((p[0], p[1], p[2]))
-        room[s] -= p[2]
-        if room[s]:
-            heapq.heappush(heap, (cost + p[2] + quadratic * p[2] * p[2], s))
-
     for p in pieces:
-        aside = []
-        while heap and room[heap[0][1]] < p[2] and len(aside) < 64:  # beyond that the piece is cut: room is short
-            aside.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= p[2]:
-            cost, s = heapq.heappop(heap)
-            put(s, p, cost)
-        else:
+        while short and -short[0][0] >= p[2]:
+            _, cost, s = heapq.heappop(short)
+            heapq.heappush(ready, (cost, s))
+        if not ready:
             cut.append(p)
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        cost, s = heapq.heappop(ready)
+        content[s].append((p[0], p[1], p[2]))
+        room[s] -= p[2]
+        cost += p[2] + quadratic * p[2] * p[2]
+        if room[s] >= p[2]:
+            heapq.heappush(ready, (cost, s))
+        elif room[s]:
+            heapq.heappush(short, (-room[s], cost, s))
     gaps = sorted((s for s in range(n_open) if room[s]), key=lambda s: (-room[s], s))
     g = 0
     rest: list[tuple[int, int, int]] = []

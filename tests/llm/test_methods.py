@@ -89,6 +89,26 @@ def test_packing(seed):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_packing_takes_the_cheapest_of_all_with_room():
+    rng = random.Random(1)  # one window: short and long documents mixed, hundreds of sequences open at once
+    sizes = [rng.randrange(1, 400) if rng.random() < 0.8 else rng.randrange(1500, 4000) for _ in range(2500)]
+    room, cost, whole, cut = [4096] * (sum(sizes) // 4096), [0.0] * (sum(sizes) // 4096), {}, set()
+    for d in sorted(range(len(sizes)), key=lambda d: (-sizes[d], d)):  # plain scan
+        fits = [s for s in range(len(room)) if room[s] >= sizes[d]]
+        if fits:
+            s = min(fits, key=lambda s: (cost[s], s))
+            room[s] -= sizes[d]
+            cost[s] += sizes[d] + packing.QUADRATIC * sizes[d] ** 2
+            whole[d] = s
+        else:
+            cut.add(d)
+    assert len(room) > 300
+    pieces = packing.pack(sizes)
+    assert {d: s for d, _, _, s, _ in pieces if d in whole} == whole
+    assert sum(d in whole for d, *_ in pieces) == len(whole)
+    assert {d for d, *_ in pieces} - set(whole) == cut
+
+
 def brute_windows(words_of, width=35):
     seen = Counter(tuple(w[i : i + width]) for w in words_of.values() for i in range(len(w) - width + 1))
     out = {}
