@@ -198,30 +198,39 @@ def average_directions(df: DataFrame, keys: list[str], b: str, v: str) -> DataFr
     return t.withColumn("_e", eigen("d00", "d01", "d02", "d11", "d12", "d22")).select(*keys, "_e.bval", "_e.bvec")
 
 
-def spectrum(df: DataFrame, keys: list[str], t: str, x: str, length: int, segment: int | None = None, tail: int = 10) -> DataFrame:
-    """L14 (amplitude of the whole demeaned series, zero-padded or cut to ``length``) and L15 (with ``segment``: Welch averages of
-    half-overlapping Hann segments, divided by the mean of the last ``tail`` bins). (keys, freq, amplitude).
+def spectrum(df: DataFrame, keys: list[str], t: str, x: str, length: int = 0, segment: int | None = None, tail: int = 10) -> DataFrame:
+    """L14 (amplitude of the whole demeaned series, zero-padded to the longest of all series, ``length`` at least) and L15 (with
+    ``segment``: Welch averages of half-overlapping Hann segments over the whole series, divided by the mean of the last ``tail``
+    bins; the last segment ends with the series, and only a series shorter than a segment is padded). (keys, freq, amplitude).
 
-    A series is one array of bounded length; the transform is a vectorised function over arrays."""
+    No series is cut. A series is one array; the transform is a vectorised function over arrays."""
     s = df.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({t}, {x}))), s -> s.{x})").alias("_s"))
+    if segment is None:
+        longest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))  # one row
+        s = s.crossJoin(F.broadcast(longest)).withColumn("_n", F.greatest("_n", F.lit(length)))
+    else:
+        s = s.withColumn("_n", F.greatest(F.size("_s"), F.lit(max(length, segment))))
 
     @F.pandas_udf("array<double>")
-    def amplitude(series: pd.Series) -> pd.Series:
+    def amplitude(series: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
-        for v in series:
-            v = np.nan_to_num(np.asarray(v, float))[:length]
-            v = np.concatenate([v - v.mean(), np.zeros(length - len(v))]) if len(v) else np.zeros(length)
+        for v, n in zip(series, lengths):
+            v = np.nan_to_num(np.asarray(v, float))
+            v = np.concatenate([v - v.mean(), np.zeros(n - len(v))])
             if segment is None:
-                out.append(np.abs(np.fft.rfft(v)) / length)
+                out.append(np.abs(np.fft.rfft(v)) / n)
                 continue
             win = np.hanning(segment)
-            parts = [np.abs(np.fft.rfft((v[a : a + segment] - v[a : a + segment].mean()) * win)) ** 2 for a in range(0, max(length - segment, 0) + 1, max(segment // 2, 1))]
+            starts = list(range(0, n - segment + 1, max(segment // 2, 1)))
+            if starts[-1] + segment < n:
+                starts.append(n - segment)
+            parts = [np.abs(np.fft.rfft((v[a : a + segment] - v[a : a + segment].mean()) * win)) ** 2 for a in starts]
             p = np.mean(parts, axis=0)
             base = p[-tail:].mean()
             out.append(p / base if base > 0 else p)
         return pd.Series(out)
 
-    return s.select(*keys, F.posexplode(amplitude("_s")).alias("freq", "amplitude"))
+    return s.select(*keys, F.posexplode(amplitude("_s", "_n")).alias("freq", "amplitude"))
 
 
 def bias_correct(df: DataFrame, run: list[str], x: str, factor: str, slope: Column, intercept: Column) -> DataFrame:

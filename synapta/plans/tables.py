@@ -239,14 +239,14 @@ def average_directions(spark, d):
 @query("amplitude_spectrum")
 def amplitude_spectrum(spark, d):
     """Averaged over subjects"""
-    s = cl.spectrum(motion.frame_index(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]), ["user_id", "event_type"], "t", "value", 16)
+    s = cl.spectrum(motion.frame_index(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]), ["user_id", "event_type"], "t", "value")
     return s.groupBy("event_type", "freq").agg(F.round(F.avg("amplitude"), 6).alias("amplitude"))
 
 
 @query("welch_spectrum")
 def welch_spectrum(spark, d):
     """L15"""
-    return r(cl.spectrum(brand_month(spark, d), ["roi"], "t", "x", 64, segment=32), ["roi", "freq"], ["amplitude"], 6)
+    return r(cl.spectrum(brand_month(spark, d), ["roi"], "t", "x", segment=32), ["roi", "freq"], ["amplitude"], 6)
 
 
 @query("map_bias_correct", f"""WITH c AS (SELECT *, x / (factor * 0.8 + 0.2) AS c FROM (SELECT l_linenumber AS run, l_orderkey, l_partkey, l_quantity AS x, 1 + (l_discount - 0.05) * 4 AS factor FROM lineitem)),

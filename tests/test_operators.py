@@ -172,6 +172,20 @@ def test_principal_direction_and_spectrum(spark):
     assert max(s, key=s.get) == 4
 
 
+def test_spectrum_uses_whole_series(spark):
+    x = np.random.default_rng(5).normal(size=83)
+    rows = [(1, t, float(v)) for t, v in enumerate(x)] + [(2, t, float(v)) for t, v in enumerate(x[:20])]
+    df = spark.createDataFrame(rows, "k int, t int, x double")
+    got = {(r.k, r.freq): r.amplitude for r in cleaning.spectrum(df, ["k"], "t", "x", 16).collect()}
+    for k, v in ((1, x), (2, x[:20])):  # both on the grid of the longest
+        want = np.abs(np.fft.rfft(v - v.mean(), 83)) / 83
+        assert np.allclose([got[k, f] for f in range(42)], want) and (k, 42) not in got
+    got = {r.freq: r.amplitude for r in cleaning.spectrum(df.where("k = 1"), ["k"], "t", "x", 64, segment=32).collect()}
+    power = lambda a: np.abs(np.fft.rfft((x[a : a + 32] - x[a : a + 32].mean()) * np.hanning(32))) ** 2
+    want = np.mean([power(a) for a in (0, 16, 32, 48, 51)], axis=0)
+    assert np.allclose([got[f] for f in range(17)], want / want[-10:].mean())
+
+
 def test_echo_fit(spark):
     rows = [(1, e, 10.0 * e, 100 * math.exp(-10 * e / 50)) for e in (1, 2, 3)] + [(2, 1, 10.0, 5.0), (2, 2, 20.0, 9.0)]
     out = {r.v: r for r in cleaning.combine_echoes(spark.createDataFrame(rows, "v int, e int, te double, y double"), "v", "e", "te", "y").collect()}
