@@ -214,45 +214,233 @@ def inner_choice(x: np.ndarray, y: np.ndarray, folds: np.ndarray, k: int) -> tup
     return int(np.argmax(z)) + 1, z
 
 
-RESULT = "time_id int, feature_set string, fold int, n_comp int, corr double, mae double, pred array<struct<idx: bigint, y: double, yhat: double>>, w array<double>, w_haufe array<double>"
+RESULT = "time_id int, feature_set string, fold int, n_comp int, corr double, mae double, n_test bigint, w array<double>, w_haufe array<double>, coef array<double>"
+
+
+def pls1_from_sums(gram: np.ndarray, k: int, columns: np.ndarray) -> np.ndarray:
+    """Coefficients on (1, c, x) of PLS1 with 1 to k components, for a stack of sums over the rows to learn from, ``gram``: Z'Z of
+    Z = (1, c, x, y) with x freed from c (see `freed`); ``columns``: those of x that take part.
+    Scaling to a range needs no pass of its own here: columns are standardised, so any such scale cancels."""
+    n = gram[:, 0, 0]
+    at = np.r_[columns, gram.shape[1] - 1]
+    m = gram[:, 0, at] / n[:, None]
+    cov = gram[:, at[:, None], at[None, :]] - n[:, None, None] * m[:, :, None] * m[:, None, :]
+    var = np.diagonal(cov, axis1=1, axis2=2)
+    raw = np.diagonal(gram, axis1=1, axis2=2)[:, at]
+    flat = (var <= 1e-12 * np.maximum(raw, 1e-300)) | (n[:, None] < 2)
+    sd = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, var) / np.maximum(n - 1, 1)[:, None]))
+    cov = np.where(flat[:, :, None] | flat[:, None, :], 0.0, cov / (sd[:, :, None] * sd[:, None, :]))
+    g, v = cov[:, :-1, :-1].copy(), cov[:, :-1, -1].copy()
+    first = np.linalg.norm(v, axis=1)
+    coef, loads, turns = np.zeros(v.shape), [], []
+    out = np.zeros((len(gram), k, gram.shape[1] - 1))
+    for a in range(k):
+        norm = np.linalg.norm(v, axis=1)
+        go = norm > np.maximum(1e-10 * first, 1e-12)
+        w = v / np.where(go, norm, 1)[:, None]
+        gw = np.einsum("bij,bj->bi", g, w)
+        tt = np.einsum("bi,bi->b", w, gw)
+        go &= tt > 0
+        tt = np.where(go, tt, 1.0)
+        load, q = gw / tt[:, None], np.where(go, np.einsum("bi,bi->b", v, w) / tt, 0.0)
+        turn = w.copy()
+        for pj, rj in zip(loads, turns):
+            turn -= np.einsum("bi,bi->b", pj, w)[:, None] * rj
+        loads.append(np.where(go[:, None], load, 0.0)), turns.append(np.where(go[:, None], turn, 0.0))
+        coef = coef + q[:, None] * turns[-1]
+        v = v - (q * tt)[:, None] * loads[-1]
+        g = g - tt[:, None, None] * loads[-1][:, :, None] * loads[-1][:, None, :]
+        out[:, a, columns] = coef * sd[:, -1:] / sd[:, :-1]
+        out[:, a, 0] = m[:, -1] - np.einsum("bi,bi->b", out[:, a, columns], m[:, :-1])
+    return out
+
+
+def freed(gram: np.ndarray, nc: int) -> np.ndarray:
+    """The map T from (1, c, x, y) to (1, c, x freed from c, y), by the sums of the training rows (c holds its intercept)."""
+    t, c, x = np.eye(len(gram)), slice(1, 1 + nc), slice(1 + nc, len(gram) - 1)
+    # the same cut of singular values as a pseudo-inverse of c itself at 1e-6
+    t[c, x] = -np.linalg.pinv(gram[c, c], rcond=1e-12, hermitian=True) @ gram[c, x]
+    return t
+
+
+def _sums_corr(gram: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """Correlation of predictions and y from the sums over the rows they are made for; ``coef``: models by columns. 0 without variance."""
+    n = max(gram[0, 0], 1)
+    cov = gram / n - np.outer(gram[0], gram[0]) / n**2
+    vy, vp = cov[-1, -1], np.einsum("mi,ij,mj->m", coef, cov[:-1, :-1], coef)
+    ok = (vy > 1e-12 * max(gram[-1, -1] / n, 1e-300)) & (vp > 1e-12)
+    return np.where(ok, (coef @ cov[:-1, -1]) / np.sqrt(np.where(ok, vp * vy, 1.0)), 0.0)
+
+
+def numbered(df: DataFrame, y: str, key: str, checkpoint) -> DataFrame:
+    """``pos`` from 0 by descending y: sorted ranges, numbered each, plus the counts of those before. ``checkpoint`` fixes the ranges."""
+    r = checkpoint(df.repartitionByRange(F.desc(y), F.col(key)).withColumn("_p", F.spark_partition_id()))
+    starts = r.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count"))  # one row a range
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(y), key))
+    return r.withColumn("pos", at - 1).join(F.broadcast(starts.drop("count")), "_p").withColumn("pos", F.col("pos") + F.col("_before")).drop("_p", "_before")
+
 
+#: Subjects of a chunk, the unit of work; whole blocks of outer and inner folds.
+CHUNK = 60_000
+#: Tasks that share the repeats over one chunk.
+GROUPS = 34
 
-def nested_cv(tasks: DataFrame, k: int = 10, inner_repeats: int = 3, inner_folds: int = 5, seed: int = 0) -> DataFrame:
+
+def outer_folds(subid: np.ndarray, time_id: int, folds: int, seed: str) -> np.ndarray:
+    """`block_folds` with ``by`` time_id, of subjects in their order by descending y from a block's start."""
+    import hashlib
+
+    n = len(subid)
+    h = [hashlib.md5(f"{seed}|{time_id}|{i}".encode()).hexdigest() for i in subid.tolist()] + ["g"] * (-n % folds)
+    return np.array(h, "S32").reshape(-1, folds).argsort(axis=1, kind="stable").argsort(axis=1).ravel()[:n]
+
+
+def inner_split(n: int, folds: int, key: list[int]) -> np.ndarray:
+    """Inner folds of n training rows in their order by descending y: each block dealt in seeded order."""
+    return np.random.default_rng(key).random((-(-n // folds), folds)).argsort(axis=1).ravel()[:n]
+
+
+def nested_cv(
+    subjects: DataFrame, sets: dict[str, tuple[int, int]], checkpoint, times: int = 101, k: int = 10, folds: int = 5, inner_repeats: int = 20, inner_folds: int = 5,
+    fold_seed: str = "split", seed: int = 0, chunk: int = CHUNK, groups: int = GROUPS,
+) -> DataFrame:
     """One result record for each (time_id, feature_set, fold).
 
-    ``tasks``: time_id, feature_set, fold, subid, is_train, y, x (array), covariates c (array with intercept). A task is one
-    model of a bounded cohort (thousands of subjects), which is the unit that the method cannot split; tasks are spread
-    over the cluster by their key. In each: covariates are regressed out by the training rows, features scaled by them, the
-    number of components chosen inside, weights and activation patterns (covariance of each feature with the score) given
-    unit length.
-    """
+    ``subjects``: subid, y, covariates c (array with intercept), x (array); ``sets``: name to first column of x and their number.
+    In each model covariates are regressed out by the training rows, the number of components is chosen inside, weights and
+    activation patterns (on features scaled to the training rows' range) have unit length; ``coef`` on (1, c, x) predicts a row.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("subid", kind="stable")
-        x, c = np.array(pdf["x"].tolist(), float), np.array(pdf["c"].tolist(), float)
-        y, train = pdf["y"].to_numpy(float), pdf["is_train"].to_numpy(bool)
-        x = x - c @ (np.linalg.pinv(c[train], rcond=1e-6) @ x[train])
-        x = _scaled(x, train)
-        n = int(train.sum())
+    No task holds the cohort. Chunks of it give sums of products by (time_id, fold, inner repeat, inner fold); training sums are
+    differences of these, and models are solved from them; errors and ranges come from a second pass of the models over the
+    chunks. Both passes are spread over chunks and groups of repeats.
+    """
+    size = chunk // (folds * inner_folds) * folds * inner_folds
+
+    def matrix(row) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["z"], float).reshape(int(row["n"]), -1)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        z = np.column_stack([np.ones(len(pdf)), np.array(pdf["c"].tolist(), float), np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy(float)])
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [len(pdf)], "nc": [len(pdf["c"].iloc[0])], "ids": [pdf["subid"].to_numpy(np.int64).tobytes()], "z": [z.tobytes()]})
+
+    placed = numbered(subjects.select("subid", "y", "c", "x"), "y", "subid", checkpoint).withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
+    packed = checkpoint(placed.groupBy("chunk").applyInPandas(pack, "chunk int, n int, nc int, ids binary, z binary"))
+    spread = packed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(min(groups, times) - 1))))
+    times_of = lambda g: range(g, times, min(groups, times))
+
+    def splits(row, time_id: int):
+        """(fold, repeat, rows of each part); repeat -1: (test, training)."""
+        ids, z = matrix(row)
+        outer = outer_folds(ids, time_id, folds, fold_seed)
+        for f in range(folds):
+            train = np.flatnonzero(outer != f)
+            yield f, -1, z, [np.flatnonzero(outer == f), train]
+            for r in range(inner_repeats):
+                part = inner_split(len(train), inner_folds, [seed, time_id, f, r, int(row["chunk"])])
+                yield f, r, z, [train[part == j] for j in range(inner_folds)]
+
+    def sums(batches):
+        for row in (row for pdf in batches for _, row in pdf.iterrows()):
+            for t in times_of(int(row["grp"])):
+                out = []
+                for f, r, z, parts in splits(row, t):
+                    grams = np.array([z[i].T @ z[i] for i in parts])
+                    up = np.triu_indices(z.shape[1])
+                    out.append((t, f, r, int(row["nc"]), z.shape[1], grams[:, up[0], up[1]].tobytes()))
+                yield pd.DataFrame(out, columns=["time_id", "fold", "rep", "nc", "width", "sums"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        width, nc, rep = int(row["width"]), int(row["nc"]), int(row["rep"])
+        up = np.triu_indices(width)
+        flat = sum(np.frombuffer(x, float) for x in pdf["sums"]).reshape(-1, len(up[0]))
+        parts = np.zeros((len(flat), width, width))
+        parts[:, up[0], up[1]] = flat
+        parts[:, up[1], up[0]] = flat
+        total = parts[1] if rep < 0 else parts.sum(0)
+        t = freed(total, nc)
+        fr = t.T @ parts @ t
+        test = fr[:1] if rep < 0 else fr
+        train = fr[1:] if rep < 0 else fr.sum(0) - fr
+        coefs, corrs, patterns = [], [], []
+        for first, count in sets.values():
+            columns = 1 + nc + first + np.arange(count)
+            co = pls1_from_sums(train, k, columns)
+            corrs.append([_sums_corr(test[j], co[j]) for j in range(len(test))])
+            if rep < 0:
+                m = train[0][0] / train[0][0, 0]
+                cov = (train[0] - train[0][0, 0] * np.outer(m, m)) / max(train[0][0, 0] - 1, 1)
+                patterns.append(co[0] @ cov[:-1, :-1])
+            coefs.append(co @ t[:-1, :-1].T)
+        coef = np.array(coefs).transpose(1, 0, 2, 3)  # part, set, components, column
+        corr = np.array(corrs).transpose(1, 0, 2)
+        count = test[:, 0, 0]
+        return pd.DataFrame([{"time_id": row["time_id"], "fold": row["fold"], "rep": rep, "counts": count.tobytes(), "corr": corr.tobytes(), "coef": coef.tobytes(), "pattern": np.array(patterns).tobytes(), "free": t.tobytes() if rep < 0 else b""}])
+
+    grams = spread.repartition("chunk", "grp").mapInPandas(sums, "time_id int, fold int, rep int, nc int, width int, sums binary")
+    models = checkpoint(grams.groupBy("time_id", "fold", "rep").applyInPandas(solve, "time_id int, fold int, rep int, counts binary, corr binary, coef binary, pattern binary, free binary"))
+
+    def score(rows: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        row, out = rows.iloc[0], []
+        model = {(a, b, c): (x, y) for a, b, c, x, y in zip(m["time_id"], m["fold"], m["rep"], m["coef"], m["free"])}
+        for t in times_of(int(row["grp"])):
+            for f, r, z, parts in splits(row, t):
+                coef, free = model[t, f, r]
+                held = parts[:1] if r < 0 else parts
+                co = np.frombuffer(coef, float).reshape(len(held), -1, z.shape[1] - 1)
+                error = np.array([np.abs(z[i, :-1] @ c.T - z[i, -1:]).sum(0) for i, c in zip(held, co)])
+                lo = hi = b""
+                if r < 0:
+                    x = z[parts[1]] @ np.frombuffer(free, float).reshape(z.shape[1], -1)
+                    if len(x):
+                        lo, hi = x.min(0).tobytes(), x.max(0).tobytes()
+                out.append((t, f, r, error.tobytes(), lo, hi))
+        return pd.DataFrame(out, columns=["time_id", "fold", "rep", "error", "lo", "hi"])
+
+    known = models.select("time_id", "fold", "rep", "coef", "free", (F.col("time_id") % min(groups, times)).alias("grp")).crossJoin(packed.select(F.col("chunk").alias("part")))
+    scored = spread.groupBy("chunk", "grp").cogroup(known.groupBy("part", "grp")).applyInPandas(score, "time_id int, fold int, rep int, error binary, lo binary, hi binary")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over chunks; a few numbers each."""
         first = pdf.iloc[0]
-        rng = np.random.default_rng([seed, int(first["time_id"]), int(first["fold"])])
-        order = np.argsort(-y[train], kind="stable")
-        folds = np.zeros((inner_repeats, n), int)
-        for r in range(inner_repeats):
-            for lo in range(0, n, inner_folds):
-                part = order[lo : lo + inner_folds]
-                folds[r, part] = rng.permutation(inner_folds)[: len(part)]
-        comp, _ = inner_choice(x[train], y[train], folds, k)
-        coef, icpt = pls1_fit(x[train], y[train], comp)
-        w = coef[-1]
-        pred = x[~train] @ w + icpt[-1]
-        score = x[train] @ w
-        haufe = ((x[train] - x[train].mean(0)) * (score - score.mean())[:, None]).sum(0) / max(n - 1, 1)
+        read = lambda c: [np.frombuffer(x, float) for x in pdf[c] if len(x)]
+        lo, hi = read("lo"), read("hi")
+        return pd.DataFrame([{"time_id": first["time_id"], "fold": first["fold"], "rep": first["rep"], "error": sum(read("error")).tobytes(), "lo": np.min(lo, axis=0).tobytes() if lo else b"", "hi": np.max(hi, axis=0).tobytes() if hi else b""}])
+
+    errors = scored.groupBy("time_id", "fold", "rep").applyInPandas(merge, "time_id int, fold int, rep int, error binary, lo binary, hi binary")
+    outer = F.when(F.col("rep") < 0, F.col("coef")).alias("coef")
+    kept = models.select("time_id", "fold", "rep", "counts", "corr", outer, "pattern").join(errors, ["time_id", "fold", "rep"])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_sets, inverse, corr, held = len(sets), [], [], None
+        for _, row in pdf.iterrows():
+            n, shape = np.frombuffer(row["counts"], float), (-1, n_sets, k)
+            mae = np.frombuffer(row["error"], float).reshape(shape) / np.maximum(n, 1)[:, None, None]
+            c = np.frombuffer(row["corr"], float).reshape(shape)
+            if row["rep"] < 0:
+                held = row, n[0], mae[0], c[0]
+            else:
+                corr.append(c)
+                inverse.append(np.where(mae > 0, 1 / np.where(mae > 0, mae, 1), 0))
+        row, n, mae, c = held
+        coef = np.frombuffer(row["coef"], float).reshape(n_sets, k, -1)
+        pattern = np.frombuffer(row["pattern"], float).reshape(n_sets, k, -1)
+        width = (np.frombuffer(row["hi"], float) - np.frombuffer(row["lo"], float))[:-1]
         unit = lambda v: (v / np.linalg.norm(v)).tolist() if np.linalg.norm(v) > 0 else v.tolist()
-        rows = [{"idx": int(i), "y": float(a), "yhat": float(b)} for i, a, b in zip(pdf["subid"].to_numpy()[~train], y[~train], pred)]
-        return pd.DataFrame([{"time_id": first["time_id"], "feature_set": first["feature_set"], "fold": first["fold"], "n_comp": comp, "corr": _corr(pred, y[~train]), "mae": float(np.abs(pred - y[~train]).mean()), "pred": rows, "w": unit(w), "w_haufe": unit(haufe)}])
-
-    return tasks.groupBy("time_id", "feature_set", "fold").applyInPandas(run, RESULT)
+        out = []
+        for s, (name, (first, count)) in enumerate(sets.items()):
+            z = np.zeros(k)
+            for v in (np.mean(corr, axis=0).mean(0)[s], np.mean(inverse, axis=0).mean(0)[s]):
+                z += (v - v.mean()) / v.std() if v.std() > 0 else 0
+            a = int(np.argmax(z))
+            x = slice(len(width) - x_width + first, len(width) - x_width + first + count)
+            w, h = coef[s, a, x] * width[x], np.where(width[x] > 0, pattern[s, a, x] / np.where(width[x] > 0, width[x], 1), 0)
+            out.append({"time_id": row["time_id"], "feature_set": name, "fold": row["fold"], "n_comp": a + 1, "corr": c[s, a], "mae": mae[s, a], "n_test": int(n), "w": unit(w), "w_haufe": unit(h), "coef": coef[s, a].tolist()})
+        return pd.DataFrame(out)
+
+    x_width = max(first + count for first, count in sets.values())
+    return kept.groupBy("time_id", "fold").applyInPandas(choose, RESULT)
 
 
 def pls1_long(long: DataFrame, subject: str, f: str, x: str, y: str, k: int, checkpoint=None) -> tuple[DataFrame, list[DataFrame]]:

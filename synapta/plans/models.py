@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from synapta import functions as fn
 from synapta.operators import models as md
 from synapta.plans.base import LONG, long_vectors, query, read, vectors
+from synapta.sources import io
 
 K, SEED = 5, "split"
 _ORD = "row_number() OVER (ORDER BY label DESC, vec_id)"
@@ -153,29 +154,28 @@ def haufe_weights(spark, d):
     return md.haufe(long_vectors(spark, d), _scores(spark, d, 1), "subid", "f", "x", "t1").select("f", F.round("w_haufe", 5).alias("w_haufe"))
 
 
-def tasks(spark, d, n_times):
-    """The task table: repeats, folds and feature sets, with the design of the covariates."""
+SETS = {"GG": (0, 32), "GW": (32, 16), "WW": (48, 16), "GG_GW_WW": (0, 64)}
+
+
+def subjects(spark, d):
+    """Vectors and targets with the design of the covariates."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("subid"), "lang", (F.char_length(F.coalesce("text", F.lit(""))) / 1000).alias("motion"))
     v, names = md.design(vectors(spark, d).join(docs, "subid", "left").na.fill({"motion": 0.0, "lang": "en"}), ["lang"], ["motion"])
-    sets = F.array(*(F.struct(F.lit(s).alias("feature_set"), F.slice("x", a, n).alias("x")) for s, a, n in (("GG", 1, 32), ("GW", 33, 16), ("WW", 49, 16), ("GG_GW_WW", 1, 64))))
-    v = v.select("subid", F.col("label").cast("double").alias("y"), F.array(*names).alias("c"), F.explode(sets).alias("s")).select("subid", "y", "c", "s.feature_set", "s.x")
-    f = md.block_folds(md.repeats(vectors(spark, d).select("subid", "label"), n_times), "label", "subid", K, SEED, by=["time_id"]).drop("label")
-    out = v.join(f.withColumnRenamed("fold", "_in"), "subid").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(K - 1))))
-    return out.withColumn("is_train", F.col("_in") != F.col("fold")).drop("_in")
+    return v.select("subid", F.col("label").cast("double").alias("y"), F.array(*names).alias("c"), "x")
 
 
 @query("nested_cv_score")
 def nested_cv_score(spark, d):
     """Mean over folds of each repeat and feature set"""
-    r = md.nested_cv(tasks(spark, d, 2), k=5, inner_repeats=2)
+    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=2, k=5, inner_repeats=2, folds=K, fold_seed=SEED)
     return r.groupBy("time_id", "feature_set").agg(fn.r6(F.avg("corr")).alias("mean_corr"), fn.r6(F.avg("mae")).alias("mean_mae"), F.count("*").alias("n_folds"))
 
 
 @query("pls1_grid")
 def pls1_grid(spark, d):
-    """Single holdout fits with weights and activation patterns"""
-    r = md.nested_cv(tasks(spark, d, 1).where("fold = 0"), k=10, inner_repeats=1)
-    return r.select("time_id", "feature_set", "fold", "n_comp", fn.r6(F.col("corr")).alias("corr"), fn.r6(F.col("mae")).alias("mae"), F.size("pred").alias("n_test"), F.size("w").alias("n_weights"))
+    """The fits of one repeat with weights and activation patterns"""
+    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=1, inner_repeats=1, folds=K, fold_seed=SEED).where("fold = 0")
+    return r.select("time_id", "feature_set", "fold", "n_comp", fn.r6(F.col("corr")).alias("corr"), fn.r6(F.col("mae")).alias("mae"), F.col("n_test").cast("int").alias("n_test"), F.size("w").alias("n_weights"))
 
 
 _FM = "(SELECT time_id, fold, avg(abs(l_discount * 100 - l_tax * 100)) AS mae, corr(l_tax, l_discount) AS corr FROM (SELECT CAST(l_suppkey % 10 AS INT) AS time_id, CAST(l_partkey % 5 AS INT) AS fold, l_discount, l_tax FROM lineitem) GROUP BY 1, 2)"

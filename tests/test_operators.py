@@ -163,6 +163,38 @@ def test_paired_t_without_variance(spark):
     assert t["z"] == 0 and t["c"] == math.inf
 
 
+def test_nested_cv_by_sums_equals_whole_tables(spark):
+    rng = np.random.default_rng(4)
+    n, sets = 143, {"a": (0, 5), "all": (0, 8)}
+    x, c = rng.normal(size=(n, 8)), np.column_stack([np.ones(n), rng.normal(size=n)])
+    x += c[:, 1:] * rng.normal(size=8)
+    y = x @ rng.normal(size=8) + rng.normal(size=n)
+    df = spark.createDataFrame([(i, float(y[i]), c[i].tolist(), x[i].tolist()) for i in range(n)], "subid long, y double, c array<double>, x array<double>")
+    got = {(r.time_id, r.feature_set, r.fold): r for r in models.nested_cv(df, sets, io.checkpointed, times=2, k=4, inner_repeats=3, chunk=50, groups=2).collect()}
+    assert len(got) == 20
+    folds = models.block_folds(models.repeats(df.select("subid", "y"), 2), "y", "subid", 5, "split", by=["time_id"]).collect()
+    fold = {(r.time_id, r.subid): r.fold for r in folds}
+    order = np.argsort(-y, kind="stable")
+    for t in range(2):
+        outer = np.array([fold[t, int(i)] for i in order])
+        for f in range(5):
+            train, tr = order[outer != f], outer != f
+            inner = np.array([np.concatenate([models.inner_split(int(tr[lo : lo + 50].sum()), 5, [0, t, f, r, lo // 50]) for lo in range(0, n, 50)]) for r in range(3)])
+            free = x - c @ (np.linalg.pinv(c[train]) @ x[train])
+            for name, (first, count) in sets.items():
+                v = free[:, first : first + count]
+                v = (v - v[train].min(0)) / np.ptp(v[train], axis=0)
+                comp, _ = models.inner_choice(v[train], y[train], inner, 4)
+                coef, icpt = models.pls1_fit(v[train], y[train], comp)
+                test = order[outer == f]
+                pred = v[test] @ coef[-1] + icpt[-1]
+                cov = np.cov(v[train].T) @ coef[-1]
+                r = got[t, name, f]
+                assert r.n_comp == comp and r.n_test == len(test)
+                assert r.corr == pytest.approx(np.corrcoef(pred, y[test])[0, 1]) and r.mae == pytest.approx(np.abs(pred - y[test]).mean())
+                assert np.allclose(r.w, coef[-1] / np.linalg.norm(coef[-1])) and np.allclose(r.w_haufe, cov / np.linalg.norm(cov))
+
+
 def test_principal_direction_and_spectrum(spark):
     df = spark.createDataFrame([(1, 1000.0, [0.6, 0.8, 0.0]), (1, 1000.0, [-0.6, -0.8, 0.0])], "k int, b double, v array<double>")
     r = one(cleaning.average_directions(df, ["k"], "b", "v"))
