@@ -167,14 +167,14 @@ def subjects(spark, d):
 @query("nested_cv_score")
 def nested_cv_score(spark, d):
     """Mean over folds of each repeat and feature set"""
-    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=2, k=5, inner_repeats=2, folds=K, fold_seed=SEED)
+    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, folds=K, fold_seed=SEED)
     return r.groupBy("time_id", "feature_set").agg(fn.r6(F.avg("corr")).alias("mean_corr"), fn.r6(F.avg("mae")).alias("mean_mae"), F.count("*").alias("n_folds"))
 
 
 @query("pls1_grid")
 def pls1_grid(spark, d):
     """The fits of one repeat with weights and activation patterns"""
-    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=1, inner_repeats=1, folds=K, fold_seed=SEED).where("fold = 0")
+    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=1, folds=K, fold_seed=SEED)
     return r.select("time_id", "feature_set", "fold", "n_comp", fn.r6(F.col("corr")).alias("corr"), fn.r6(F.col("mae")).alias("mae"), F.col("n_test").cast("int").alias("n_test"), F.size("w").alias("n_weights"))
 
 

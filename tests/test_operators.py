@@ -195,6 +195,27 @@ def test_nested_cv_by_sums_equals_whole_tables(spark):
                 assert np.allclose(r.w, coef[-1] / np.linalg.norm(coef[-1])) and np.allclose(r.w_haufe, cov / np.linalg.norm(cov))
 
 
+def test_registered_grids_are_those_of_the_reference(spark, monkeypatch):
+    import inspect
+
+    from synapta.plans import QUERIES
+    from synapta.plans import models as plans
+
+    signature, seen, whole = inspect.signature(models.nested_cv), [], models.nested_cv
+
+    def record(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        return whole(*args, **{**named, "times": 1, "inner_repeats": 1, "k": 2})
+
+    monkeypatch.setattr(plans.md, "nested_cv", record)
+    rows = QUERIES["pls1_grid"](spark, "/root/testdata/sf0.001").collect()
+    QUERIES["nested_cv_score"](spark, "/root/testdata/sf0.001")
+    assert {r.fold for r in rows} == set(range(5))
+    assert [(a["times"], a["k"], a["inner_repeats"], a["inner_folds"]) for a in seen] == [(1, 10, 20, 5), (101, 10, 20, 5)]
+
+
 def test_principal_direction_and_spectrum(spark):
     df = spark.createDataFrame([(1, 1000.0, [0.6, 0.8, 0.0]), (1, 1000.0, [-0.6, -0.8, 0.0])], "k int, b double, v array<double>")
     r = one(cleaning.average_directions(df, ["k"], "b", "v"))
