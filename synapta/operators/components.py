@@ -259,8 +259,15 @@ def reclassified(lists: DataFrame, comp: list[str]) -> DataFrame:
     return g.select(*comp, F.when(bad, F.raise_error(F.lit("inconsistent component lists"))).otherwise((F.col("s") & ~F.col("tn")) | F.col("ts")).alias("is_signal"))
 
 
-def balanced_ensemble(df: DataFrame, key: str, features: str, label: str, bags: int, seed: str, depth: int = 2, iterations: int = 3) -> DataFrame:
-    """Mean probability of gradient-boosted trees, each learnt on a sample with the classes balanced by a hash of the id."""
+def balanced_ensemble(
+    df: DataFrame, key: str, features: str, label: str, seed: str, bags: int = 100, depth: int = 4, iterations: int = 200, step: float = 0.3, subsample: float = 0.5, ratio: float = 0.7,
+    parallel: int = 4,
+) -> DataFrame:
+    """Mean probability of gradient-boosted trees, each learnt on a sample, balanced by a hash of the id, that takes ``ratio`` of
+    the smaller class from either class. All models are fitted first (``parallel`` at a time) and score the rows in one pass."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -269,16 +276,17 @@ def balanced_ensemble(df: DataFrame, key: str, features: str, label: str, bags:
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # two classes
     least = min(n.values())
     data = df.withColumn("features", array_to_vector(features))
-    out = None
-    for b in range(bags):
+
+    def fit(b: int):
         part = F.conv(F.substring(seeded(f"{seed}{b}", F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
         share = F.lit(1.0)
         for c, m in n.items():
-            share = F.when(F.col(label) == c, F.lit(least / m)).otherwise(share)
-        model = GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=iterations, seed=b).fit(data.where(part < share))
-        p = model.transform(data).select(key, vector_to_array("probability")[1].alias(f"p{b}"))
-        out = p if out is None else out.join(p, key)
-    mean = F.lit(0.0)
-    for b in range(bags):
-        mean = mean + F.col(f"p{b}")
-    return out.select(key, (mean / bags).alias("probability"))
+            share = F.when(F.col(label) == c, F.lit(ratio * least / m)).otherwise(share)
+        return GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=iterations, stepSize=step, subsamplingRate=subsample, seed=b).fit(data.where(part < share))
+
+    with ThreadPool(parallel) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(bags), chunksize=1)
+    out = data.select(key, "features", F.lit(0.0).alias("_sum"))
+    for model in models:
+        out = model.transform(out).select(key, "features", (F.col("_sum") + vector_to_array("probability")[1]).alias("_sum"))
+    return out.select(key, (F.col("_sum") / bags).alias("probability"))

@@ -507,7 +507,7 @@ def reclass_sets(spark, d):
 def ensemble_score(spark, d):
     """N14"""
     x = vectors(spark, d).join(read(spark, d, "labels").select(F.col("doc_id").alias("subid"), "quality"), "subid")
-    return r(cp.balanced_ensemble(x.select("subid", "x", "quality"), "subid", "x", "quality", 2, "bag"), ["subid"], ["probability"], 6)
+    return r(cp.balanced_ensemble(x.select("subid", "x", "quality"), "subid", "x", "quality", "bag"), ["subid"], ["probability"], 6)
 
 
 # --- scans and sinks: a slice written as text, read back and compared with its source -------------------------------

@@ -239,6 +239,25 @@ def test_spectrum_uses_whole_series(spark):
     assert np.allclose([got[f] for f in range(17)], want / want[-10:].mean())
 
 
+def test_registered_ensemble_is_that_of_the_reference(spark, monkeypatch):
+    import inspect
+
+    from synapta.plans import QUERIES, tables
+
+    signature, seen, whole = inspect.signature(cp.balanced_ensemble), [], cp.balanced_ensemble
+
+    def record(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        return whole(*args, **{**named, "bags": 2, "iterations": 2})
+
+    monkeypatch.setattr(tables.cp, "balanced_ensemble", record)
+    rows = QUERIES["ensemble_score"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r.subid for r in rows}) > 0 and all(0 <= r.probability <= 1 for r in rows)
+    assert [seen[0][k] for k in ("bags", "depth", "iterations", "step", "subsample", "ratio")] == [100, 4, 200, 0.3, 0.5, 0.7]
+
+
 def test_echo_fit(spark):
     rows = [(1, e, 10.0 * e, 100 * math.exp(-10 * e / 50)) for e in (1, 2, 3)] + [(2, 1, 10.0, 5.0), (2, 2, 20.0, 9.0)]
     out = {r.v: r for r in cleaning.combine_echoes(spark.createDataFrame(rows, "v int, e int, te double, y double"), "v", "e", "te", "y").collect()}
