@@ -3,7 +3,7 @@
 
 import pytest
 from compare import differences, duck
-from test_methods import brute_components, brute_windows
+from test_llm_methods import brute_components, brute_windows
 
 import corpus_pipeline
 from synapta.llm.registry import ORACLES, QUERIES
