@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import table
+from synapta.llm.common import map_batches, table
 
 LEARNT = "assistant"
 #: Tokens that a placeholder stands for, if the part does not say so itself.
@@ -108,7 +108,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     parts = "parts" if "parts" in turns.columns else "cast(null as array<struct<type: string, text: string, ref: string, n_tokens: bigint>>) as parts"
     rows = turns.selectExpr("cast(conv_id as bigint) as conv_id", "cast(turn as bigint) as turn", "cast(role as string) as role", "cast(text as string) as text", parts)
     dealt = rows.repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")))
-    return dealt.drop("turn").mapInArrow(_format, TURNS)
+    return map_batches(dealt.drop("turn"), _format, TURNS)
 
 
 DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -149,7 +149,7 @@ def _read_back(batches):
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digest of each conversation, from the formatted text alone. The rows must come as format_conversations leaves them."""
     kinds = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return formatted.select("conv_id", "formatted", "loss_start", "loss_length").mapInArrow(_read_back, kinds)
+    return map_batches(formatted.select("conv_id", "formatted", "loss_start", "loss_length"), _read_back, kinds)
 
 
 #: A conversation that holds the template's own control strings.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default only where none is configured (tests)."""
+    """This application's folder in the shared folder of the cluster (spark.checkpoint.dir); deleted when the driver's JVM ends.
+
+    Without that setting a local folder serves a local master; on a cluster it is an error, as executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/synapta" if root else "file:///tmp/checkpoints/synapta"
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
+    path = f"{root}/synapta/{spark.sparkContext.applicationId}"
+    _delete_at_end(spark, path)
+    return path
+
+
+@functools.lru_cache(maxsize=64)
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)  # only what exists can be marked
+    fs.deleteOnExit(where)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once to the shared scratch folder and reads it back.
 
     Cuts lineage: a lost executor costs a re-read of Parquet, not a recomputation, and row order keys such as
-    monotonically_increasing_id become stable. The table stays until ``drop_scratch``.
+    monotonically_increasing_id become stable. The table stays until the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -36,13 +56,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this package; call it once results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, doc_id, text, document) with one unique non-null bigint key per input row; document holds all its columns.
 
@@ -63,6 +76,53 @@ def without_keys(rows: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> Da
     return rows.join(F.broadcast(gone) if gone.count() <= limit else gone, "key", "left_anti")
 
 
+#: Bytes of rows that a Python task gets at once, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the machine; workers are kept between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Long texts make batches of Spark's usual 10,000 rows large; the session's own limit of bytes goes first."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of bounded size, after which the worker gives its memory back."""
+    _bounded(df.sparkSession)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def map_groups(grouped, spark: SparkSession, run, schema) -> DataFrame:
+    """applyInArrow; the worker gives its memory back after each group."""
+    _bounded(spark)
+
+    def task(t: pa.Table) -> pa.Table:
+        out = run(t)
+        give_back()
+        return out
+
+    return grouped.applyInArrow(task, schema)
+
+
+#: A worker's cache of words is emptied when it is estimated to hold more bytes than this.
+CACHE_BYTES = 48 << 20
+#: Bytes of a cached word besides its characters: the string, its number and its place in the dictionary.
+ENTRY_BYTES = 150
+
 _kept: dict = {}
 
 
@@ -71,6 +131,7 @@ def worker_cache(kind: tuple, make):
     a pipeline of several operators needs the memory of one."""
     if kind not in _kept:
         _kept.clear()
+        give_back()
         _kept[kind] = make()
     return _kept[kind]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from synapta.llm.common import held_out
+from synapta.llm.common import held_out, map_batches
 
 
 class Ftrl:
@@ -59,7 +59,7 @@ def fit_in_task(sample: DataFrame, fit) -> bytes | None:
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows())], pa.binary())], names=["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text")
-    row = ordered.select("text", "y").mapInArrow(run, "model binary").first()  # no row from a plan that is known to be empty
+    row = map_batches(ordered.select("text", "y"), run, "model binary").first()  # no row from a plan that is known to be empty
     return row["model"] if row else None
 
 
@@ -82,4 +82,4 @@ def scores(docs: DataFrame, score_texts, threshold: float, carry: bool = False)
     schema = StructType().add("doc_id", LongType()).add("held_out", "boolean").add("score", "double").add("predicted", "integer")
     if carry:
         schema = schema.add("document", docs.schema)
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

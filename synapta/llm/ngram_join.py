@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import materialise, table, with_row_key, without_keys, worker_cache
+from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, map_batches, map_groups, materialise, table, with_row_key, without_keys, worker_cache
 from synapta.llm.components import components
 
 SHINGLE = 5
@@ -38,7 +38,6 @@ TASK_SHINGLES = 1_500_000
 CHEAP_CANDIDATES, MAX_MATCHES = 8, 4
 #: Prefixes that may hold a shingle that is paired; beyond them it only ties.
 PAIR_DF = 256
-CACHE_WORDS = 500_000
 BROADCAST_IDS = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,16 +48,19 @@ class Hasher:
     def __init__(self):
         import xxhash
 
-        self.digest, self.known = xxhash.xxh3_64_intdigest, {}
+        self.digest, self.known, self.chars = xxhash.xxh3_64_intdigest, {}, 0
 
     def words(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.chars + ENTRY_BYTES * len(known) > CACHE_BYTES:
             known.clear()
+            self.chars = 0
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            known.update((w, self.digest(w)) for w in words if w not in known)
+            new = {w for w in words if w not in known}
+            known.update((w, self.digest(w)) for w in new)
+            self.chars += sum(map(len, new))
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -241,8 +243,8 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     are ignored. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    survey = materialise(rows.select("key", "doc_id", "text").mapInArrow(_survey(k), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
-    counts = survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
+    survey = materialise(map_batches(rows.select("key", "doc_id", "text"), _survey(k), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
+    counts = map_groups(survey.where("part is not null").select("part", "counts").groupBy("part"), spark, _add_counts, "part int, counts binary")
     parts = {r["part"]: bytes(r["counts"]) for r in counts.collect()}  # 2**SKETCH_BITS numbers, whatever the input
     width = 8 * (1 << SKETCH_BITS) // 64
     shared = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(width)) for i in range(64)))
@@ -252,7 +254,7 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     member = materialise(sized.join(classes, "digest", "left").selectExpr("key", "doc_id", "n", "case when n > 0 then cls else key end as cls"), "member")
 
     copies = member.where("key <> cls or n = 0").select("key")
-    prefixes = rows.select("key", "text").mapInArrow(_prefixes(k, percent, shared), "key bigint, n int, prefix array<bigint>")
+    prefixes = map_batches(rows.select("key", "text"), _prefixes(k, percent, shared), "key bigint, n int, prefix array<bigint>")
     prefixes = without_keys(prefixes, copies)
     prefixes = materialise(prefixes, "prefixes")
     tokens = prefixes.select("key", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
@@ -283,7 +285,7 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     )
     ids = families.select("key")  # broadcast up to a checked number, so that other texts are not shuffled
     texts = rows.select("key", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "key", "left_semi")
-    links = groups.join(texts, "key").groupBy("g", "lo", "hi").applyInArrow(_join_group(k, percent, shared), "u bigint, v bigint")
+    links = map_groups(groups.join(texts, "key").groupBy("g", "lo", "hi"), spark, _join_group(k, percent, shared), "u bigint, v bigint")
     roots = components(links, "links")
     out = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     return out.selectExpr("key", "doc_id", "n as n_shingles", "coalesce(root, cls) as root")

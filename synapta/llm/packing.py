@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import table
+from synapta.llm.common import map_batches, table
 from synapta.llm.tokens import vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -152,7 +152,7 @@ def pack_documents(
     sequence spans two tasks; the sequence id holds the partition in its high bits. An empty table gives no rows.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    out = rows.mapInArrow(_pack_batches(vocabulary_path, end_id, capacity, window, quadratic, with_ids), PIECES)
+    out = map_batches(rows, _pack_batches(vocabulary_path, end_id, capacity, window, quadratic, with_ids), PIECES)
     out = out.withColumn("sequence_id", F.expr("shiftleft(cast(spark_partition_id() as bigint), 33) + sequence")).drop("sequence")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
 

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import table, worker_cache
+from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, table, worker_cache
 from synapta.llm.linear import Ftrl, fit_in_task, labelled_sample, scores
 
 BITS = 18
@@ -18,28 +18,29 @@ SAMPLE_ROWS = 6_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1e-4
 THRESHOLD = 0.7
-CACHE_TOKENS = 400_000
 
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-#: Marks that stand beside words: a word in capitals, a token that repeats the one before it, the start of a line.
-CAPITALS, SAME, LINE = (np.uint32(zlib.crc32(x)) for x in (b"<capitals>", b"<same>", b"<line>"))
+#: Marks that stand beside words: a word in capitals, a token that repeats the one before it.
+CAPITALS, SAME = (np.uint32(zlib.crc32(x)) for x in (b"<capitals>", b"<same>"))
 
 
 class WordFeatures:
     """Sparse rows of hashed word 1-grams and 2-grams, scaled to length 1. Words and punctuation runs are tokens."""
 
     def __init__(self, bits: int = BITS):
-        self.mask, self.known = np.uint32((1 << bits) - 1), {}
+        self.mask, self.known, self.chars = np.uint32((1 << bits) - 1), {}, 0
 
     def hashes(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > CACHE_TOKENS:
+        if self.chars + ENTRY_BYTES * len(known) > CACHE_BYTES:
             known.clear()
+            self.chars = 0
         got = list(map(known.get, tokens))
         if None in got:
             for i, h in enumerate(got):
                 if h is None:
                     t = tokens[i]
+                    self.chars += len(t)
                     # bit 32: in capitals
                     got[i] = known[t] = zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) | (len(t) > 1 and t.isupper()) << 32
         return np.array(got, np.uint64)

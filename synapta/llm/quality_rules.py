@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import NOT_SPACE, SPACES, table
+from synapta.llm.common import NOT_SPACE, SPACES, map_batches, table
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of licence, cookie and sharing lines. Such lines go; they rarely make up a document.
@@ -118,7 +118,7 @@ def clean_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.string(): "string"}
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[t]}" for k, t in fields))
+    return map_batches(rows, run, ", ".join(f"{k} {kinds[t]}" for k, t in fields))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from synapta.llm.common import materialise, table, with_row_key, worker_cache
+from synapta.llm.common import map_batches, map_groups, materialise, table, with_row_key, worker_cache
 from synapta.llm.ngram_join import hasher, windows
 
 WINDOW, ANCHOR_WORDS = 35, 8
@@ -206,7 +206,7 @@ def _digests(window: int):
 def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
     """(key, spans) of the documents with windows that occur elsewhere; spans: array of (first, mask), bit i of mask standing
     for the window at word first + i. ``rows``: unique key and text."""
-    cut = materialise(rows.select("key", "text").mapInArrow(_cut(window, k), "key bigint, anchor bigint, content bigint, first int, n int, occ int"), "segments")
+    cut = materialise(map_batches(rows.select("key", "text"), _cut(window, k), "key bigint, anchor bigint, content bigint, first int, n int, occ int"), "segments")
     met = cut.groupBy("anchor").agg(F.sum("occ").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("occ").alias("most")).where("c > 1")
     met = met.select("anchor", F.expr("lo = hi and most = 1").alias("settled"))
     found = materialise(cut.join(met, "anchor").drop("occ"), "repeated-anchors")
@@ -218,15 +218,15 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS)
     ids = materialise(open_.select("key").distinct(), "open-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = texts.join(F.broadcast(ids) if few else ids, "key", "left_semi")
-    fetched = texts.join(wanted, "key").mapInArrow(_fetch(window), "anchor bigint, content bigint, n int, words binary")
+    fetched = map_batches(texts.join(wanted, "key"), _fetch(window), "anchor bigint, content bigint, n int, words binary")
     different = fetched.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("words").alias("words"))
     different = materialise(different, "reference-segments")
     load = different.groupBy("anchor").count()
     heavy = load.where(F.col("count") > SHARD_SEGMENTS).select("anchor")
     shards = max(1, -(-different.count() // SHARD_SEGMENTS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     light = different.join(heavy, "anchor", "left_anti")
-    masks = light.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_automata(window), "anchor bigint, content bigint, mask bigint")
-    each = different.join(heavy, "anchor", "left_semi").mapInArrow(_digests(window), "anchor bigint, content bigint, i int, digest binary, times bigint")
+    masks = map_groups(light.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")), rows.sparkSession, _automata(window), "anchor bigint, content bigint, mask bigint")
+    each = map_batches(different.join(heavy, "anchor", "left_semi"), _digests(window), "anchor bigint, content bigint, i int, digest binary, times bigint")
     twice = each.groupBy("digest").agg(F.sum("times").alias("c")).where("c > 1").select("digest")
     by_digest = each.join(twice, "digest").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = masks.union(by_digest).where("mask <> 0")
@@ -276,7 +276,7 @@ def deduplicate_substrings(rows: DataFrame, window: int = WINDOW, k: int = ANCHO
     schema = StructType().add("key", LongType()).add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", "string")
     if carry:
         schema = schema.add("document", rows.schema["document"].dataType)
-    return joined.mapInArrow(_strip(window, carry), schema)
+    return map_batches(joined, _strip(window, carry), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

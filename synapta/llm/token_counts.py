@@ -7,7 +7,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import table
+from synapta.llm.common import map_batches, table
 from synapta.llm.tokens import PieceCounter, piece_counter, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -99,7 +99,7 @@ def count_tokens(
             )
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint")
+    return map_batches(rows, run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chunks bigint")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

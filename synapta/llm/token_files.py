@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import scratch_root, table
+from synapta.llm.common import map_batches, scratch_root, table
 from synapta.llm.tokens import vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    blocks = ordered.mapInArrow(_blocks(vocabulary_path, end_id, block_ids), BLOCK_SCHEMA)
+    blocks = map_batches(ordered, _blocks(vocabulary_path, end_id, block_ids), BLOCK_SCHEMA)
     blocks.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
 
 
@@ -180,7 +180,7 @@ def _read_documents(batches):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
-    return read_token_files(spark, path).mapInArrow(_read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(read_token_files(spark, path), _read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

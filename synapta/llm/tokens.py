@@ -2,7 +2,7 @@
 
 Both vocabularies are loaded with their own library. The caches only skip repeated work: the pre-tokeniser of the word
 vocabulary never lets a token cross white space, and no piece of the sentence-piece vocabulary continues past the end of a
-word (checked when it is loaded), so a text's ids are the ids of its parts in order. Caches are cleared at a fixed size.
+word (checked when it is loaded), so a text's ids are the ids of its parts in order. Caches are emptied at a fixed number of bytes.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from array import array
 
 import numpy as np
 
-from synapta.llm.common import worker_cache
-
-CACHE_WORDS = 600_000
+from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, worker_cache
 
 #: Letters that lower-case to one character and need no Unicode normalisation: ASCII, Latin-1 and Latin Extended-A.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-žƀ"
@@ -63,7 +61,7 @@ class WordEncoder:
 
     def reset(self) -> None:
         self.known = Numbered()
-        self.flat, self.start, self.size = array("I"), array("q"), array("q")
+        self.flat, self.start, self.size, self.chars = array("I"), array("q"), array("q"), 0
 
     def _learn(self, parts: list[str]) -> None:
         flat = self.flat
@@ -72,11 +70,12 @@ class WordEncoder:
             self.start.append(len(flat))
             self.size.append(len(ids))
             flat.extend(ids)
+        self.chars += sum(map(len, parts))
         parts.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if self.chars + ENTRY_BYTES * len(self.known) > CACHE_BYTES:
             self.reset()
         known, find = self.known, self.pretoken.findall
         parts = []
@@ -108,6 +107,7 @@ class PieceCounter:
         #: True if no token can hold a space mark after another character: then a word's end is always a token's end.
         self.words_apart = not any("▁" in p.lstrip("▁") for p in pieces)
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def whole(self, text: str) -> int:
         return len(self.lib.encode(text))
@@ -130,12 +130,14 @@ class PieceCounter:
     def sizes(self, segments: list[str]) -> list[int]:
         """Tokens of each segment. A last segment of spaces only stands for itself, see ``count``."""
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.chars + ENTRY_BYTES * len(known) > CACHE_BYTES:
             known.clear()
+            self.chars = 0
         got = list(map(known.get, segments))
         if None in got:
             todo = list({s for s, n in zip(segments, got) if n is None})
             known.update(zip(todo, map(len, self.lib.encode(todo, num_threads=1))))
+            self.chars += sum(map(len, todo))
             got = list(map(known.get, segments))
         return got
 

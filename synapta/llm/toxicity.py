@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm.common import table, worker_cache
+from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, table, worker_cache
 from synapta.llm.linear import Ftrl, fit_in_task, labelled_sample, scores
 
 BITS = 21
@@ -20,7 +20,6 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 60.0, 1e-3
 SMOOTHING = 1.0
 THRESHOLD = 0.3
-CACHE_WORDS = 1_000_000
 
 _word = re.compile(r"\w+")
 
@@ -34,6 +33,7 @@ class CharFeatures:
     def __init__(self, bits: int = BITS, sizes: tuple[int, ...] = SIZES, useful: np.ndarray | None = None):
         self.width, self.sizes, self.useful = 1 << bits, sizes, useful
         self.known: dict[str, np.ndarray | None] = {}
+        self.held = 0  # estimated bytes
 
     def _learn(self, words: list[str]) -> None:
         """The n-grams of many words at once: hashes of all windows of their joined characters that stay in one word."""
@@ -59,12 +59,14 @@ class CharFeatures:
         grams = grams[np.argsort(owner, kind="stable")]
         count = np.bincount(owner, minlength=len(words))
         ends = np.cumsum(count)
-        self.known.update((w, grams[e - c : e] if c else None) for w, c, e in zip(words, count.tolist(), ends.tolist()))
+        self.known.update((w, grams[e - c : e].copy() if c else None) for w, c, e in zip(words, count.tolist(), ends.tolist()))
+        self.held += sum(size.tolist()) + ENTRY_BYTES * len(words) + 120 * int((count > 0).sum()) + 4 * len(grams)
 
     def rows(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         words = [set(_word.findall(t.lower())) for t in texts]
         new = {w for ws in words for w in ws if w not in known}
         if new:
