@@ -6,8 +6,9 @@ the weights.
 
 1. A window of similarity s shares at least s * m of the item's m shingles. So shingle hashes of the texts meet the benchmark's
    (a broadcast table, size checked), and only windows that hold enough of them are looked at. This loses no window.
-2. Windows and items get 64-bit SimHash fingerprints. These are cut into RADIUS + 1 blocks: two within the radius agree in at
-   least one block, so joining on (words, block, value) finds all of them.
+2. Windows and items get SimHash fingerprints of 27 blocks of 18 bits. Two within RADIUS differ in at most FREE = 3 bits of some block,
+   hence in at most one bit of a half of it. Items probe all values within one bit of their halves; the join on (words, half,
+   value) tests the block's FREE bits, so that it finds all pairs within the radius and about a tenth of unrelated ones.
 3. Pairs within the radius are checked by the exact similarity of their shingle strings.
 """
 
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from synapta.llm.common import materialise, table, with_row_key
 
 SHINGLE, PERCENT = 5, 80
-#: Bits that may differ. At a similarity of 0.8 about 10 of 64 differ (deviation 3); 23 is past four deviations.
-RADIUS = 23
-#: Benchmark shingles and candidate documents up to which a side is broadcast; beyond them it is shuffled.
+#: A fingerprint is LONGS numbers of LANES lanes of WIDTH bits; a lane is a block. Counters of a lane hold up to 2**WIDTH - 1 shingles.
+LONGS, LANES, WIDTH = 9, 3, 18
+#: Bits of 486 that may differ. At a similarity of 0.8 about 74 do (deviation 8): 107 is past four deviations.
+RADIUS = 107
+#: Benchmark shingles, probes and candidate documents up to which a side is broadcast; beyond them it is shuffled.
 BROADCAST_ROWS = 500_000
+_ONES = sum(1 << WIDTH * lane for lane in range(LANES))
 
 
 def _words(text: str) -> str:
@@ -42,19 +46,41 @@ def _shingle_texts(words: str, k: str) -> str:
 
 
 def _simhash(shingles: str) -> str:
-    """64-bit SimHash of an array of shingles, each occurrence counting once."""
-    bit = "case when aggregate(hs, 0, (a, h) -> a + cast(shiftright(h, b) & 1 as int) * 2 - 1) > 0 then shiftleft(1L, b) else 0L end"
-    inner = f"aggregate(transform(sequence(0, 63), b -> {bit}), 0L, (a, x) -> a | x)"
-    # the hashes are bound once by way of a one-element array
-    return f"transform(array(transform({shingles}, s -> xxhash64(s))), hs -> {inner})[0]"
-
-
-def _blocks(fingerprint: str, radius: int) -> str:
-    """(block, value) for radius + 1 blocks that cover the 64 bits."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    cuts = (f"struct({i} as block, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L as value)" for i, (a, b) in enumerate(zip(edges, edges[1:])))
-    return f"array({', '.join(cuts)})"
+    """SimHash of an array of shingles, each occurrence counting once: LONGS numbers, whose bits say which hash bits at most half of
+    the shingles have. The bits of all lanes are counted by one addition for each shingle."""
+    count = f"aggregate(hj, 0L, (a, h) -> a + (shiftrightunsigned(h, b) & {_ONES}L))"
+    few = f"(shiftrightunsigned(({1 << (WIDTH - 1)}L + size(hj) div 2) * {_ONES}L - {count}, {WIDTH - 1}) & {_ONES}L)"
+    long = f"aggregate(sequence(0, {WIDTH - 1}), 0L, (a, b) -> a | shiftleft({few}, b))"
+    # arrays of one element bind the hashes once
+    longs = f"transform(sequence(1, {LONGS}), j -> transform(array(transform(hs, h -> xxhash64(h, j))), hj -> {long})[0])"
+    return f"transform(array(transform({shingles}, s -> xxhash64(s))), hs -> {longs})[0]"
+
+
+def _distance(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+
+
+def _halves(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., part, half, block): the two halves of each block of a fingerprint, numbered by ``part``, and the block."""
+    longs = rows.selectExpr(*keep, "posexplode(fingerprint) as (j, f)")
+    lanes = longs.selectExpr(*keep, "j", "f", f"explode(sequence(0, {2 * LANES - 1})) as h")
+    blocks = lanes.selectExpr(*keep, f"j * {2 * LANES} + h as part", "h", f"shiftrightunsigned(f, {WIDTH} * (h div 2)) & {(1 << WIDTH) - 1}L as block")
+    return blocks.selectExpr(*keep, "part", f"shiftrightunsigned(block, {WIDTH // 2} * (h % 2)) & {(1 << WIDTH // 2) - 1}L as half", "block")
+
+
+def block_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(key, start, n_words, item): windows and items of equal length that differ in few enough bits of some block, so all within
+    the radius. The probes are some 540 for an item, and broadcast up to BROADCAST_ROWS."""
+    free = radius // (LONGS * LANES)
+    if free > 3:
+        raise ValueError(f"a radius of {radius} leaves {free} free bits a block; the probes cover 3")
+    probes = _halves(items, "item", "n_words").selectExpr("item", "n_words", "part", "half", "block as item_block", f"explode(sequence(-1, {WIDTH // 2 - 1})) as bit")
+    probes = probes.selectExpr("item", "n_words", "part", "item_block", "case when bit < 0 then half else half ^ shiftleft(1L, bit) end as half")
+    if items.count() * 2 * LONGS * LANES * (WIDTH // 2 + 1) <= BROADCAST_ROWS:
+        probes = F.broadcast(probes)
+    left = _halves(windows, "key", "start", "n_words").alias("w")
+    near = F.expr(f"w.n_words = i.n_words and w.part = i.part and w.half = i.half and bit_count(w.block ^ i.item_block) <= {free}")
+    return left.join(probes.alias("i"), near).select("key", "start", "w.n_words", "item").distinct()
 
 
 def _shared(a: str, b: str) -> str:
@@ -79,24 +105,21 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     nothing. A document shorter than an item is one window. Repeated rows are documents of their own.
     """
     items = materialise(benchmark_items(benchmark, shingle), "items")
-    ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` values
-    per_k = [items.where(f"k = {k}").selectExpr("item", "item_id", "n_words", "k", "m", f"explode({_shingle_hashes('words', k)}) as hash") for k in ks]
-    if not per_k:
+    sizes = items.groupBy("k").agg(F.max("m").alias("m")).collect()  # at most ``shingle`` rows
+    if not sizes:
         empty = "key bigint, doc_id bigint, item_id bigint, start int, n_words int, similarity double, distance int"
         return rows.sparkSession.createDataFrame([], empty)
-    wanted = per_k[0]
-    for x in per_k[1:]:
-        wanted = wanted.union(x)
+    if max(r["m"] for r in sizes) >= 1 << WIDTH:
+        raise ValueError(f"an item of more than {(1 << WIDTH) - 1} shingles does not fit the counters of a fingerprint")
+    ks = sorted(r["k"] for r in sizes)
+    hashes = ", ".join(f"transform({_shingle_hashes('words', k)}, (h, i) -> struct({k} as k, i as at, h as hash))" for k in ks)  # of all lengths in one pass
+    wanted = items.selectExpr("item", "n_words", "k", "m", f"inline(concat({hashes})) as (of_k, at, hash)").where("k = of_k")
     wanted = materialise(wanted.select("item", "n_words", "k", "m", "hash").distinct(), "item-shingles")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
     worded = rows.selectExpr("key", f"{_words('text')} as words")
-    hashed = [worded.selectExpr("key", f"posexplode({_shingle_hashes('words', k)}) as (at, hash)").withColumn("k", F.lit(k)) for k in ks]
-    met = hashed[0]
-    for x in hashed[1:]:
-        met = met.union(x)
-    met = met.join(wanted, ["k", "hash"])
+    met = worded.selectExpr("key", f"inline(concat({hashes})) as (k, at, hash)").join(wanted, ["k", "hash"])
     # windows: the first of their hits at p, enough hits before p + m, and at most m - enough other shingles before p
     enough = f"cast(ceil({percent} * m / 100) as int)"
     hits = met.groupBy("key", "item", "n_words", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
@@ -115,13 +138,10 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     found = found.selectExpr("*", f"{_shingle_texts('words', f'least({shingle}, n_words)')} as shingles").drop("words")
     found = materialise(found.selectExpr("*", f"{_simhash('shingles')} as fingerprint"), "window-fingerprints")
 
-    # the blocks are met by narrow rows; shingles join again for the pairs within the radius
-    left = found.selectExpr("key", "start", "n_words", "fingerprint", f"inline({_blocks('fingerprint', radius)})")
-    right = items.selectExpr("item", "n_words", "fingerprint as item_fingerprint", f"inline({_blocks('fingerprint', radius)})")
-    pairs = left.join(right, ["n_words", "block", "value"]).withColumn("distance", F.expr("bit_count(fingerprint ^ item_fingerprint)"))
-    pairs = pairs.where(f"distance <= {radius}").select("key", "start", "n_words", "item", "distance").distinct()
-    both = pairs.join(found.select("key", "doc_id", "start", "n_words", "shingles"), ["key", "start", "n_words"])
-    both = both.join(items.selectExpr("item", "item_id", "m", "shingles as item_shingles"), "item")
+    # the blocks are met by narrow rows; fingerprints and shingles join again for the pairs found
+    both = block_pairs(found, items, radius).join(found, ["key", "start", "n_words"])
+    both = both.join(items.selectExpr("item", "item_id", "m", "fingerprint as item_fingerprint", "shingles as item_shingles"), "item")
+    both = both.withColumn("distance", F.expr(_distance("fingerprint", "item_fingerprint"))).where(f"distance <= {radius}")
     # a generator, so that the count is made once for each pair
     counted = f"inline(array(struct({_shared('shingles', 'item_shingles')} as both)))"
     checked = both.selectExpr("key", "doc_id", "item_id", "start", "n_words", "distance", "size(shingles) + m as of_both", counted)
