@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,62 +15,34 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 
 
-def chunk_boundaries(counter: PieceCounter, text: str, lo: int, hi: int) -> tuple[list[int], list[int], int]:
-    """Encodes text[lo:hi]; (offsets, tokens before each, tokens in all) of the boundaries that no token can cross.
-
-    Offsets are positions of the whole text at which a run of spaces follows another character.
-    """
-    piece = text[lo:hi]
-    segments = counter.segments(piece.rstrip(" "))
-    offsets, before, at, n = [], [], lo, 0
-    for k, (s, size) in enumerate(zip(segments, counter.sizes(segments))):
-        if k:
-            offsets.append(at)
-            before.append(n)
-        at += len(s) + (k > 0)
-        n += size
-    tail = hi - at
-    if tail:
-        offsets.append(at)
-        before.append(n)
-        n += 1 if tail == 1 else counter.whole(" " * (tail - 1))
-    return offsets, before, n
-
-
 def spliced_count(counter: PieceCounter, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of a long text by overlap resynchronisation.
 
-    Chunk k+1 starts ``overlap`` characters before the end of chunk k. The two are joined at the first boundary that both
-    list inside the overlap: the vocabulary proves that no token crosses it, so what follows is the same in either
-    encoding. Without such a boundary the overlap is doubled, at worst until both chunks are one.
+    Each chunk starts ``overlap`` characters before the end of the one before it, or earlier, so that the overlap holds a
+    position which no token can span: two neighbouring characters that stand side by side in no piece of the vocabulary. What
+    stands on either side of such a position is encoded alike with or without the other side, so both chunks have a token
+    start there, and the counts are joined at it. A chunk without such a position grows to the next one.
     """
-    if not counter.words_apart or not text.strip(" "):
+    n = len(text)
+    if n <= chunk or counter.apart is None:
         return counter.whole(text)
-    total, lo, skip, hi = 0, 0, 0, min(chunk, len(text))
-    offsets, before, n = chunk_boundaries(counter, text, lo, hi)
-    while hi < len(text):
-        width = overlap
-        while True:
-            nlo = max(lo, hi - width)
-            nhi = min(len(text), nlo + chunk + width)
-            if nlo == lo:  # the overlap covers the whole chunk: encode both as one
-                joined = chunk_boundaries(counter, text, lo, nhi)
-                break
-            noffsets, nbefore, nn = chunk_boundaries(counter, text, nlo, nhi)
-            common = set(offsets).intersection(noffsets[: bisect_left(noffsets, hi)])
-            if common:
-                joined = None
-                break
-            width *= 2
-        if joined:
-            offsets, before, n = joined
-        else:
-            at = min(common)
-            total += before[bisect_left(offsets, at)] - skip
-            skip = nbefore[bisect_left(noffsets, at)]
-            lo, offsets, before, n = nlo, noffsets, nbefore, nn
-        hi = nhi
-    return total + n - skip
+    stable, total, lo, joint = counter.stable(text), 0, 0, 0
+    while True:
+        hi = min(n, max(joint + 1, lo) + chunk)
+        k = int(np.searchsorted(stable, hi))  # the position of the next joint: the last one below hi
+        if hi < n and (not k or stable[k - 1] <= joint):
+            hi = min(n, int(stable[k]) + overlap) if k < len(stable) else n
+            k += k < len(stable)
+        starts = counter.starts(text, lo, hi)
+        if joint and joint not in starts:
+            raise RuntimeError(f"no token starts at {joint}")
+        if hi == n:
+            return total + int((starts >= joint).sum())
+        cut = int(stable[k - 1])
+        if cut not in starts:
+            raise RuntimeError(f"no token starts at {cut}")
+        total += int(((starts >= joint) & (starts < cut)).sum())
+        joint, lo = cut, max(1, min(hi - overlap, cut - 1))
 
 
 def count_tokens(
@@ -80,7 +51,8 @@ def count_tokens(
     """(doc_id, n_bytes, n_tokens, over_limit, n_chunks) per row of ``docs`` (doc_id, text).
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows are independent: repeated rows and null ids give a row each,
-    other columns are ignored. Narrow: no shuffle, memory bounded by a batch of texts.
+    other columns are ignored. A very long text is encoded chunk by chunk; one in which every pair of neighbours stands in some
+    piece is encoded whole. An empty table gives no rows. Narrow: no shuffle, memory bounded by a batch of texts.
     """
 
     def run(batches):

@@ -104,14 +104,34 @@ class PieceCounter:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
+        pieces = [p for p in pieces if len(p) > 1]
         #: True if no token can hold a space mark after another character: then a word's end is always a token's end.
         self.words_apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        #: Pairs of neighbouring characters inside the pieces. Where a text has another pair, no token and no merge spans it.
+        self.pairs = np.unique(np.array([ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:])] + [0], np.uint64))
+        #: A character that no piece joins to another: in front of a chunk it keeps the library's own first space away.
+        self.apart = next((c for c in "\n\t\r\x1f" if not any(c in p for p in pieces)), None)
+        self.lead = len(self.lib.encode(self.apart)) if self.apart else 0
         self.known: dict[str, int] = {}
         self.chars = 0
 
     def whole(self, text: str) -> int:
         return len(self.lib.encode(text))
 
+    def stable(self, text: str) -> np.ndarray:
+        """Positions inside the text that no token can span, ascending."""
+        codes = np.frombuffer(text.replace(" ", "▁").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pair = codes[:-1] << np.uint64(21) | codes[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.flatnonzero(self.pairs[at] != pair) + 1
+
+    def starts(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """Where each token of text[lo:hi] starts, as positions of the whole text. The first tokens may be wrong if lo is inside one."""
+        lead = self.lead if lo else 0
+        piece = self.apart + text[lo:hi] if lo else text[:hi]
+        offsets = self.lib.encode(piece, return_type="offset_mapping")["offsets"]
+        return np.array([x for x, _ in offsets[lead:]], np.int64) + (lo - 1 if lo else 0)
+
     def segments(self, text: str) -> list[str]:
         """The text cut before each run of spaces that follows another character; one space of a run is left out, as the
         library puts one in front of whatever it encodes."""
