@@ -1,9 +1,11 @@
 """Token-id files in Simple-8b coding: 64-bit words that each pack as many ids as fit their selector.
 
-File format (Parquet rows, so that any store Spark can reach will do; one row a block, blocks in ascending id order):
-``first_id``, ``n_ids`` and ``n_words`` of the block, ``payload`` (little-endian 64-bit words), ``doc_ids`` and
-``doc_sizes`` (the documents of the block and their numbers of ids), ``part`` and ``block`` (order within the corpus).
-A block holds whole documents, about BLOCK_IDS ids, so it can be decoded alone and in one vectorised pass.
+File format (Parquet rows, so that any store Spark can reach will do). ``blocks`` has one row a block, in ascending id order: ``part``
+and ``block`` (order within the corpus), ``first_id`` (ids of the part before it), ``n_ids``, ``payload`` (little-endian 64-bit
+words), ``doc_ids``, ``doc_sizes`` and ``doc_words`` (the documents of the block, their numbers of ids and the word at which each
+starts). ``parts`` has one row a part: ``part``, ``n_ids`` and ``first_id`` (ids of the corpus before it). A document starts at a
+word of its own, and a block holds whole documents, about BLOCK_IDS ids, so a block or a document of it can be decoded alone and
+in one vectorised pass.
 
 Word: the top 4 bits are the selector, the low 60 bits the values, first value lowest. Selector 15 is the escape: the word
 is followed by nothing else and holds one value of up to 60 bits.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import map_batches, scratch_root, table
+from synapta.llm.common import map_batches, materialise, scratch_root, table
 from synapta.llm.tokens import vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,8 +42,9 @@ def _widths(v: np.ndarray) -> np.ndarray:
 _WIDTH_16 = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 
 
-def simple8b_encode(values: np.ndarray) -> np.ndarray:
-    """Packs non-negative integers below 2**60 into 64-bit words.
+def simple8b_encode(values: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Packs non-negative integers below 2**60 into 64-bit words. With ``ends`` (ascending, the last is the number of values) no word
+    spans an end, and the first word of each piece comes along.
 
     Each word takes the longest run that its selector can hold. The run that could start at every position is found for
     all positions at once, one selector after another; then the chain of starts is followed.
@@ -49,9 +52,12 @@ def simple8b_encode(values: np.ndarray) -> np.ndarray:
     v = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(v)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64) if ends is None else (np.zeros(0, np.uint64), np.zeros(len(ends), np.int64))
     if int(v.max()) >> 60:
         raise ValueError("Simple-8b holds values below 2**60")
+    bounds = np.array([n]) if ends is None else np.asarray(ends, np.int64)
+    sizes = np.diff(np.concatenate([[0], bounds]))
+    left = np.repeat(bounds, sizes) - np.arange(n)  # values up to the end of the piece
     widths = np.zeros(n, np.uint8) if not v.any() else _widths(v)
     choice, most, span = np.full(n, ESCAPE, np.uint8), widths, 1
     for s in range(ESCAPE - 1, 1, -1):  # widest values first; most[i] is the largest width of the next ``span`` values
@@ -61,13 +67,13 @@ def simple8b_encode(values: np.ndarray) -> np.ndarray:
         while span < count:
             step = min(span, count - span)
             most, span = np.maximum(most[: len(most) - step], most[step:]), span + step
-        np.copyto(choice[: len(most)], np.uint8(s), where=most <= bits)
+        np.copyto(choice[: len(most)], np.uint8(s), where=(most <= bits) & (left[: len(most)] >= count))
     zero = np.flatnonzero(widths == 0) if n >= 120 else ()
     if len(zero) >= 120:  # runs of zeros
         upto = np.concatenate([[0], np.cumsum(widths != 0)])
         for s in (1, 0):
             if (count := PACK[s][0]) <= n:
-                np.copyto(choice[: n - count + 1], np.uint8(s), where=upto[count:] == upto[:-count])
+                np.copyto(choice[: n - count + 1], np.uint8(s), where=(upto[count:] == upto[:-count]) & (left[: n - count + 1] >= count))
     counts = np.array([c for c, _ in PACK], np.int64)
     step = counts[choice].tolist()
     starts, at = [], 0
@@ -85,7 +91,7 @@ def simple8b_encode(values: np.ndarray) -> np.ndarray:
             for k in range(count):
                 packed |= v[at + k] << np.uint64(k * bits)
             words[rows] |= packed
-    return words
+    return words if ends is None else (words, np.searchsorted(starts, bounds - sizes))
 
 
 def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
@@ -104,32 +110,50 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-BLOCK_SCHEMA = "block int, n_ids bigint, n_words bigint, payload binary, doc_ids array<bigint>, doc_sizes array<bigint>"
+DOCUMENT_SCHEMA = "doc_id bigint, n_ids bigint, n_words bigint, tie bigint, payload binary"
+BLOCK_SCHEMA = "block int, first_id bigint, n_ids bigint, payload binary, doc_ids array<bigint>, doc_sizes array<bigint>, doc_words array<bigint>"
+_BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+#: Bytes of packed ids that a part takes, and parts up to which their table is broadcast.
+PART_BYTES, BROADCAST_PARTS = 64 << 20, 1_000_000
 
 
-def _blocks(vocabulary_path: str, end_id: int, block_ids: int):
+def _documents(vocabulary_path: str, end_id: int):
     def run(batches):
-        encoder, block, held, docs, sizes, n = word_encoder(vocabulary_path), 0, [], [], [], 0
-
-        def flush():
-            words = simple8b_encode(np.concatenate(held))
-            row = [[block], [n], [len(words)], [words.astype("<u8").tobytes()], [list(docs)], [list(sizes)]]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], names=["block", "n_ids", "n_words", "payload", "doc_ids", "doc_sizes"])
-
+        encoder = word_encoder(vocabulary_path)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 ids, got = encoder.encode(part.column("text").to_pylist())
-                ends = np.cumsum(got)
-                for doc, e, k in zip(part.column("doc_id").to_pylist(), ends, got):
-                    held += [ids[e - k : e], np.array([end_id], ids.dtype)]
-                    docs.append(doc)
-                    sizes.append(int(k) + 1)
-                    n += int(k) + 1
-                    if n >= block_ids:
-                        yield flush()
-                        block, held, docs, sizes, n = block + 1, [], [], [], 0
+                sizes = got + 1
+                words, first = simple8b_encode(np.insert(ids, np.cumsum(got), end_id), np.cumsum(sizes))
+                raw, at = words.astype("<u8").tobytes(), np.append(first, len(words)).tolist()
+                payload = [raw[8 * x : 8 * y] for x, y in zip(at, at[1:])]
+                cols = [pa.array(sizes, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(map(zlib.crc32, payload), pa.int64()), pa.array(payload, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_ids", "n_words", "tie", "payload"])
+
+    return run
+
+
+def _blocks(block_ids: int):
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+    def run(batches):
+        block, first, held, docs, sizes, words, n = 0, 0, [], [], [], [0], 0
+
+        def flush():
+            row = [block, first, n, b"".join(held), docs, sizes, words[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES)], names=names)
+
+        for b in batches:
+            for doc, k, w, payload in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "n_words", "payload"))):
+                held.append(payload)
+                docs.append(doc)
+                sizes.append(k)
+                words.append(words[-1] + w)
+                n += k
+                if n >= block_ids:
+                    yield flush()
+                    block, first, held, docs, sizes, words, n = block + 1, first + n, [], [], [], [0], 0
         if docs:
             yield flush()
 
@@ -139,28 +163,37 @@ def _blocks(vocabulary_path: str, end_id: int, block_ids: int):
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all rows of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order, null ids first.
 
-    Rows are dealt by ranges of doc_id, sorted within them (ties by text), encoded and packed where they lie; one range is one file.
-    A null or empty text gives the end id only. Repeated rows are written as often as they occur. Other columns are ignored.
+    Texts are encoded and packed where they lie; only packed ids are shuffled, by ranges of doc_id, as many as their size asks
+    for; one range is one part. Ties of doc_id are ordered by the packed ids, so a doc_id of very many rows is split over ranges. A null
+    or empty text gives the end id only. Repeated rows are written as often as they occur. Other columns are ignored. A very
+    long text is one block; its packed ids have to fit a cell of Spark (2 GB). An empty table gives no blocks.
     """
+    spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    blocks = map_batches(ordered, _blocks(vocabulary_path, end_id, block_ids), BLOCK_SCHEMA)
-    blocks.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
+    packed = materialise(map_batches(rows, _documents(vocabulary_path, end_id), DOCUMENT_SCHEMA), "packed-ids")
+    size = 8 * (packed.agg(F.sum("n_words")).first()[0] or 0)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), "tie"]
+    dealt = packed.repartitionByRange(n, *order).sortWithinPartitions(*order, "payload")
+    blocks = map_batches(dealt, _blocks(block_ids), BLOCK_SCHEMA).withColumn("part", F.spark_partition_id())
+    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    parts = spark.read.schema(f"{BLOCK_SCHEMA}, part int").parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    parts.selectExpr("part", "n_ids", "sum(n_ids) over (order by part) - n_ids as first_id").write.parquet(f"{path}/parts")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row a block: part, block, start (ids of all blocks before it), n_ids, payload, doc_ids, doc_sizes.
-
-    Starts come from the parts' totals, a few numbers for each file; only their running sum is made in one place.
-    """
-    blocks = spark.read.schema(f"{BLOCK_SCHEMA}, part int").parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.selectExpr("part", "sum(n) over (order by part) - n as part_start")
-    within = blocks.selectExpr("part", "block", "sum(n_ids) over (partition by part order by block) - n_ids as block_start")
-    starts = within.join(before, "part").selectExpr("part", "block", "part_start + block_start as start")
-    return blocks.join(F.broadcast(starts), ["part", "block"])
+    """The blocks, each with ``start``, the ids of the corpus before it."""
+    blocks = spark.read.schema(f"{BLOCK_SCHEMA}, part int").parquet(f"{path}/blocks")
+    parts = spark.read.schema("part int, n_ids bigint, first_id bigint").parquet(f"{path}/parts").select("part", F.col("first_id").alias("part_first"))
+    if parts.count() <= BROADCAST_PARTS:  # a row a file
+        parts = F.broadcast(parts)
+    return blocks.join(parts, "part").withColumn("start", F.col("part_first") + F.col("first_id")).drop("part_first")
+
+
+def document_ids(block, i: int) -> np.ndarray:
+    """The ids of the i-th document of a block, from its own words only."""
+    ends = [*block["doc_words"], len(block["payload"]) // 8]
+    return simple8b_decode(np.frombuffer(block["payload"], "<u8")[ends[i] : ends[i + 1]], block["doc_sizes"][i])
 
 
 def _read_documents(batches):
