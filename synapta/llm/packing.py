@@ -1,8 +1,9 @@
 """Cost-balanced packing of documents into training sequences.
 
 The cost of a piece is linear in its tokens plus quadratic for attention. Each task packs what it holds, window by window:
-descending pieces go to the cheapest open sequence that has room; a piece that fits nowhere whole is cut, so that nothing but
-the end of a window can stay open, and that end is closed at powers of two, which need no padding.
+descending pieces go to the cheapest open sequence that has room; a piece that fits nowhere whole is cut, so that less than a
+sequence is left at the end of a window. That goes into the next window; at a task's end it is closed at powers of two, which
+need no padding. A window bounds a task's memory; descending order and lowest cost hold within it.
 """
 
 from __future__ import annotations
@@ -28,12 +29,17 @@ QUADRATIC = 1 / 2048
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) for documents of ``sizes`` tokens (each at least 1).
+    """Pieces (document, start, length, sequence, offset) for documents of ``sizes`` tokens (each at least 1)."""
+    return place(sizes, capacity, quadratic)[0]
+
+
+def place(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATIC, close: bool = True) -> tuple[list, list, int]:
+    """The pieces of ``pack``, the rest (document, start, length) of less than a sequence, and the number of sequences.
 
     Whole sequences are cut off documents longer than one. The rest goes, largest first, to the sequence of the lowest cost
     among all with room: pieces descend, so a sequence without room waits until one is as small as its room. A piece that fits
-    into none is cut to fill the roomiest ones (the fewest cuts; all get full, so there is no cost to balance by tokens). The
-    last, not full sequence is cut into powers of two.
+    into none is cut to fill the roomiest ones (the fewest cuts; all get full, so there is no cost to balance by tokens). What is
+    left is cut into sequences of powers of two if ``close``.
     """
     pieces: list[list[int]] = []  # document, start, length
     out, sequence = [], 0
@@ -81,7 +87,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATI
             g += not room[s]
         if n:
             rest.append((d, start, n))
-    left = sum(n for _, _, n in rest)
+    left = sum(n for _, _, n in rest) if close else 0
     while left:  # powers of two, largest first
         width = 1 << (left.bit_length() - 1)
         content.append([])
@@ -99,7 +105,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATI
             out.append((d, start, n, sequence, offset))
             offset += n
         sequence += 1
-    return out
+    return out, rest, sequence
 
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence bigint, offset bigint, ids binary"
@@ -108,18 +114,22 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 def _pack_batches(vocabulary_path: str, end_id: int, capacity: int, window: int, quadratic: float, with_ids: bool):
     def run(batches):
         encoder, sequence = word_encoder(vocabulary_path), 0
-        docs, held, n = [], [], 0
-
-        def flush():
-            nonlocal sequence
-            pieces = pack([len(x) for x in held], capacity, quadratic)
-            raw = [held[d][s : s + k].astype("<u4").tobytes() for d, s, k, _, _ in pieces]
+        held: list[tuple] = []  # doc_id, ids, ids of the document before them, ids of the document
+        n = 0
+
+        def flush(close: bool):
+            nonlocal held, n, sequence
+            pieces, rest, used = place([len(h[1]) for h in held], capacity, quadratic, close)
+            of = [held[p[0]] for p in pieces]
+            raw = [h[1][s : s + k].astype("<u4").tobytes() for h, (_, s, k, _, _) in zip(of, pieces)]
             cols = [
-                pa.array([docs[p[0]] for p in pieces], pa.int64()), pa.array([p[1] for p in pieces], pa.int64()), pa.array([p[2] for p in pieces], pa.int64()),
-                pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([len(held[p[0]]) for p in pieces], pa.int64()),
+                pa.array([h[0] for h in of], pa.int64()), pa.array([h[2] + p[1] for h, p in zip(of, pieces)], pa.int64()), pa.array([p[2] for p in pieces], pa.int64()),
+                pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([h[3] for h in of], pa.int64()),
                 pa.array([sequence + p[3] for p in pieces], pa.int64()), pa.array([p[4] for p in pieces], pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary()),
             ]
-            sequence += 1 + max(p[3] for p in pieces)
+            sequence += used
+            held = [(held[d][0], held[d][1][s : s + k].copy(), held[d][2] + s, held[d][3]) for d, s, k in rest]
+            n = sum(k for _, _, k in rest)
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "ids"])
 
         end = np.array([end_id], np.uint32)
@@ -129,14 +139,12 @@ def _pack_batches(vocabulary_path: str, end_id: int, capacity: int, window: int,
                 ids, got = encoder.encode(part.column("text").to_pylist())
                 ends = np.cumsum(got)
                 for doc, e, k in zip(part.column("doc_id").to_pylist(), ends, got):
-                    docs.append(doc)
-                    held.append(np.concatenate([ids[e - k : e], end]))
+                    held.append((doc, np.concatenate([ids[e - k : e], end]), 0, int(k) + 1))
                     n += int(k) + 1
                     if n >= window:
-                        yield flush()
-                        docs, held, n = [], [], 0
-        if docs:
-            yield flush()
+                        yield flush(False)
+        if held:
+            yield flush(True)
 
     return run
 
@@ -148,8 +156,9 @@ def pack_documents(
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (uint32, binary).
 
     Every row of ``docs`` (doc_id, text) gives its ids and the end id; a null or empty text gives the end id alone. Repeated
-    rows are packed each; a null doc_id stays null. Narrow: partitions pack by themselves, so nothing is shuffled and no
-    sequence spans two tasks; the sequence id holds the partition in its high bits. An empty table gives no rows.
+    rows are packed each; a null doc_id stays null; other columns are ignored. Ties of size go by the order of the rows. A very long text
+    is held whole by its task. Narrow: partitions pack by themselves, so nothing is shuffled and no sequence spans two tasks;
+    the sequence id holds the partition in its high bits. An empty table gives no rows.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     out = map_batches(rows, _pack_batches(vocabulary_path, end_id, capacity, window, quadratic, with_ids), PIECES)
