@@ -56,6 +56,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """with_row_key, and whether the ids are the keys."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("document"))
+    bad = docs.groupBy(F.col(id_col).cast("bigint").alias("id")).count().where("count > 1 or id is null").limit(1).count()
+    if not bad:
+        return rows.withColumn("key", F.col("doc_id")), True
+    return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "keyed"), False
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, doc_id, text, document) with one unique non-null bigint key per input row; document holds all its columns.
 
@@ -63,11 +72,7 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     written once with a generated key, so that repeated rows and null ids stay separate documents. Keys follow the ids'
     order in the first case only.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("document"))
-    bad = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null").limit(1).count()
-    if not bad:
-        return rows.withColumn("key", F.col("doc_id"))
-    return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    return keyed(docs, id_col)[0]
 
 
 def without_keys(rows: DataFrame, gone: DataFrame, limit: int = 1_000_000) -> DataFrame:

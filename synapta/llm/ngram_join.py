@@ -6,7 +6,7 @@ estimate of its candidates is high, its prefix grows. Two documents of prefixes
 ceil(t * (n + l) / (1 + t)) shingles or more, so that at most n - o and l - o come between the shared ones, and at least
 min(p - (n - o), q - (l - o)) of the shared ones stand in both prefixes: so many have to match before a pair is checked.
 
-1. One pass takes each text's shingles: a hash of its set, and how often shingles fall into each of 2**SKETCH_BITS buckets.
+1. One pass takes each text's shingles: a hash of its set, and how often shingles fall into each of a fixed number of buckets.
 2. Documents of equal sets form a class; its least key stands for it. Classes of copies of any size end here.
 3. A second pass gives each class its prefix. Shingles of at most PAIR_DF prefixes give pairs of fitting sizes, which stay if they share as
    many as they have to; classes that share a more frequent one are tied to the least of them without being paired. Any candidate
@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, map_batches, map_groups, materialise, table, with_row_key, without_keys, worker_cache
+from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, map_batches, map_groups, keyed, materialise, table, without_keys, worker_cache
 from synapta.llm.components import components
 
 SHINGLE = 5
-SKETCH_BITS = 18
+#: Buckets of the sketch are two to the power of SKETCH_BITS, or of more for a larger input: about a bucket for each 64 shingles, at most 2**22.
+SKETCH_BITS, MOST_SKETCH_BITS = 18, 22
 #: Shingles that one task of the last step holds.
 TASK_SHINGLES = 1_500_000
 #: A document of more than this many expected candidates asks for one more shared shingle, and again at each eightfold.
-CHEAP_CANDIDATES, MAX_MATCHES = 8, 4
+CHEAP_CANDIDATES = 8
 #: Prefixes that may hold a shingle that is paired; beyond them it only ties.
 PAIR_DF = 256
 BROADCAST_IDS = 1_000_000
@@ -87,11 +88,17 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 
 class Sketch:
-    """Shingles by bucket over all documents, and what a bucket holds without a frequent shingle in it."""
+    """By bucket, the shingles of all documents beyond what a bucket holds without a frequent shingle in it (four deviations):
+    however full the buckets are, what is not frequent counts nothing."""
 
     def __init__(self, raw: bytes):
-        self.counts = np.frombuffer(raw, "<i8")
-        self.usual = float(np.median(self.counts))
+        counts = np.frombuffer(raw, "<i8")
+        usual = float(np.median(counts))
+        self.excess = np.maximum(counts - int(usual + 4 * usual**0.5), 0).astype(np.int32 if len(raw) and counts.max() < 1 << 31 else np.int64)
+        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.excess[s >> self.shift]
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,25 +109,30 @@ def _sketch(raw: bytes) -> Sketch:
 def prefix(s: np.ndarray, sketch: Sketch, percent: int) -> tuple[np.ndarray, int]:
     """The prefix of a set, rare shingles first, and the number of shared ones it asks for."""
     n = len(s)
-    seen = sketch.counts[s >> np.uint64(64 - SKETCH_BITS)]
+    seen = sketch.of(s)
     order = np.lexsort((s, seen))
     free = n - -(-percent * n // 100)  # shingles that a partner may lack
     # one accidental partner for each shingle of the prefix, and those that the sketch shows
-    expected = free + 1 + float(np.maximum(seen[order[: free + 1]] - sketch.usual, 0).sum())
+    expected = free + 1 + float(seen[order[: free + 1]].sum())
     matches = 1
-    while matches < MAX_MATCHES and matches < n - free and expected > CHEAP_CANDIDATES * 8 ** (matches - 1):
+    while matches < n - free and expected > CHEAP_CANDIDATES * 8 ** (matches - 1):
         matches += 1
     return s[order[: free + matches]], matches
 
 
-def _survey(k: int):
+def sketch_bits(n_rows: int) -> int:
+    """Bits of the sketch for a table of so many documents, of some 256 shingles each."""
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (4 * n_rows).bit_length()))
+
+
+def _survey(k: int, bits: int):
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << bits, np.int64)
         for b in batches:
             sizes, digests = [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, k)
-                np.add.at(sketch, s >> np.uint64(64 - SKETCH_BITS), 1)
+                np.add.at(sketch, s >> np.uint64(64 - bits), 1)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=_SURVEY)
@@ -168,11 +180,16 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
     size = np.array([len(s) for s in sets], np.int64)
     start = np.cumsum(size) - size
     mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
-    root = np.arange(len(sets))
+    parent = list(range(len(sets)))
     posting: dict[int, array] = {}
     spare = np.array([len(p) for p, _ in chosen], np.int64) - size  # plus the overlap: matches to be found in this prefix
     links = []
 
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
     def overlaps(x: int, cand: np.ndarray) -> np.ndarray:
         mine = ids[start[x] : start[x] + size[x]]
         mark[mine] = True
@@ -202,7 +219,7 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
             if halves is not None:
                 keep &= halves[cand] != halves[x]
             cand, count = cand[keep], count[keep]
-            by = root[cand]
+            by = np.array([root(y) for y in cand.tolist()], np.int64)
             # the most promising document of each component first; the others only if it does not link
             best = np.lexsort((-count, by))
             first = best[np.concatenate([[True], by[best][1:] != by[best][:-1]])] if len(best) else best
@@ -211,7 +228,7 @@ def join_locally(keys: np.ndarray, sets: list[np.ndarray], sketch: Sketch, perce
                 linked = set(by[first][ok].tolist())
                 for y in cand[first][ok]:
                     links.append((int(x), int(y)))
-                    root[root == root[y]] = root[x]
+                    parent[root(int(y))] = root(int(x))
                 left = np.ones(len(cand), bool)
                 left[first] = False
                 left &= ~np.isin(by, list(linked))
@@ -243,10 +260,11 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
     are ignored. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    survey = materialise(map_batches(rows.select("key", "doc_id", "text"), _survey(k), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
+    bits = sketch_bits(rows.count())
+    survey = materialise(map_batches(rows.select("key", "doc_id", "text"), _survey(k, bits), "key bigint, doc_id bigint, n bigint, digest binary, part int, counts binary"), "survey")
     counts = map_groups(survey.where("part is not null").select("part", "counts").groupBy("part"), spark, _add_counts, "part int, counts binary")
-    parts = {r["part"]: bytes(r["counts"]) for r in counts.collect()}  # 2**SKETCH_BITS numbers, whatever the input
-    width = 8 * (1 << SKETCH_BITS) // 64
+    parts = {r["part"]: bytes(r["counts"]) for r in counts.collect()}  # at most 2**MOST_SKETCH_BITS numbers, whatever the input
+    width = 8 * (1 << bits) // 64
     shared = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(width)) for i in range(64)))
 
     sized = survey.where("part is null").select("key", "doc_id", "n", "digest")
@@ -292,9 +310,17 @@ def near_duplicates(rows: DataFrame, k: int = SHINGLE, percent: int = 80) -> Dat
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(with_row_key(table(spark, sf_dir, "documents")))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    rows, ids_are_keys = keyed(table(spark, sf_dir, "documents"))
+    found = near_duplicates(rows)
+    if ids_are_keys:
+        return found.select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    # made-up keys do not follow the ids: the least id of each component that has more than its root, broadcast up to a checked number
+    found = materialise(found, "components")
+    least = materialise(found.where("key <> root").groupBy("root").agg(F.min("doc_id").alias("other")), "least-ids")
+    if least.count() <= BROADCAST_IDS:
+        least = F.broadcast(least)
+    ids = found.where("key = root").join(least, "root", "left").selectExpr("root", "least(doc_id, other) as component_id")  # nulls are skipped
+    return found.join(ids, "root").select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""
