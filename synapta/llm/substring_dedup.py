@@ -29,6 +29,8 @@ from synapta.llm.ngram_join import hasher, windows
 WINDOW, ANCHOR_WORDS = 35, 8
 #: Different segments of one anchor that one automaton takes; about so many are put in a shard. An automaton takes some 15 kB a segment.
 SHARD_SEGMENTS = 2_048
+#: An anchor of more segments is hot; the BROADCAST_IDS hottest at most are broadcast.
+HOT_SEGMENTS = 512
 #: A list of ids is broadcast up to this many, and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -206,10 +208,18 @@ def _digests(window: int):
 def repeated_spans(rows: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
     """(key, spans) of the documents with windows that occur elsewhere; spans: array of (first, mask), bit i of mask standing
     for the window at word first + i. ``rows``: unique key and text."""
+    if not 0 < k <= window or window - k + 1 > 63:
+        raise ValueError(f"a segment has at most 63 windows, one for each bit of its mask: window {window} and anchors of {k} words give {window - k + 1}")
     cut = materialise(map_batches(rows.select("key", "text"), _cut(window, k), "key bigint, anchor bigint, content bigint, first int, n int, occ int"), "segments")
     met = cut.groupBy("anchor").agg(F.sum("occ").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("occ").alias("most")).where("c > 1")
-    met = met.select("anchor", F.expr("lo = hi and most = 1").alias("settled"))
-    found = materialise(cut.join(met, "anchor").drop("occ"), "repeated-anchors")
+    met = met.select("anchor", "c", F.expr("lo = hi and most = 1").alias("settled"))
+    # the anchors of most segments are broadcast, so that what is shuffled for the others has no hot key
+    met = materialise(met, "met-anchors")
+    hot = met.where(f"c > {HOT_SEGMENTS}").orderBy(F.desc("c"), "anchor").limit(BROADCAST_IDS)
+    hot = materialise(hot.select("anchor", "settled"), "hot-anchors")
+    others = cut.join(F.broadcast(hot.select("anchor")), "anchor", "left_anti")
+    found = cut.join(F.broadcast(hot), "anchor").unionByName(others.join(met.drop("c"), "anchor"))
+    found = materialise(found.drop("occ"), "repeated-anchors")
     settled = found.where("settled").select("key", "first", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     open_ = found.where("not settled")
 
