@@ -37,12 +37,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     """(text, y) of at most ``bound`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
     Conflicting labels of one id count as the larger; null labels and ids give no example. The chosen ids are
-    at most ``bound`` rows, so they are broadcast to the scan of the texts.
+    at most ``bound`` rows, so they are broadcast to the scan of the texts. Of repeated rows of one id the least text is taken.
     """
     y = labels.where(f"doc_id is not null and {label} in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = y.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(bound)
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(cast(text as string), '') as text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
 
 
 def fit_in_task(sample: DataFrame, fit) -> bytes | None:

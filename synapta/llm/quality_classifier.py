@@ -88,8 +88,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROW
     With ``carry`` a struct ``document`` of all input columns comes along.
 
     Learns from at most ``bound`` labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2). A null text
-    is ''; it gets the score of a row without features. Repeated rows and null ids are scored each. Without any example every
-    score is 0.5. Scoring is narrow: the model (4 * 2**bits bytes) goes to the tasks, no text is shuffled.
+    is ''; it gets the score of a row without features. Repeated rows and null ids are scored each; very long texts are scored whole; other columns of clashing names do no harm. An
+    empty table gives no rows. Without any example every score is 0.5. Scoring is narrow: the model (4 * 2**bits bytes) goes to the tasks, no text is shuffled.
     """
     model = fit_in_task(labelled_sample(docs, labels, "quality", bound), functools.partial(fit, bits=bits)) or bytes(4 * (1 << bits) + 4)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -115,7 +115,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_RO
     """(doc_id, held_out, score, predicted) of every row of ``docs``; a higher score means toxic is likelier.
 
     Learns from at most ``bound`` labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2). A null text
-    is ''. Repeated rows and null ids are scored each. Without any example every score is 0.5. Scoring is narrow.
+    is ''. Repeated rows and null ids are scored each; very long texts are scored whole; other columns are
+    ignored. An empty table gives no rows. Without any example every score is 0.5. Scoring is narrow.
     """
     model = fit_in_task(labelled_sample(docs, labels, "toxic", bound), functools.partial(fit, bits=bits)) or bytes(4 * (1 << bits) + 4)
     shared = docs.sparkSession.sparkContext.broadcast(model)
