@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from synapta.llm.common import NOT_SPACE, SPACES, map_batches, table
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of licence, cookie and sharing lines. Such lines go; they rarely make up a document.
+#: Phrases of licence, cookie and sharing lines in English, German, French and Spanish. Such lines go; they rarely make up a document.
 BOILERPLATE = (
     "all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|"
-    "accept (all )?cookies|click here|subscribe (now|to our)|sign up for our|share (this|on) |enable javascript|lorem ipsum"
+    "accept (all )?cookies|click here|subscribe (now|to our)|sign up for our|share (this|on) |enable javascript|lorem ipsum|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|hier klicken|newsletter abonnieren|"
+    "tous droits réservés|politique de confidentialité|accepter les cookies|cliquez ici|abonnez-vous|"
+    "todos los derechos reservados|política de privacidad|aceptar (las )?cookies|haga clic aquí|suscríbete"
 )
 #: Words that separate menu entries.
 SEPARATORS = "|»·•>/"
@@ -106,7 +109,8 @@ def clean_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): base statistics, verdict and, if asked for, the text without failed lines.
 
     A null or empty text has no words: all counts 0, base_failed true, kept false, clean_text ''. Repeated rows and null
-    ids are judged each; other columns are ignored. Narrow: no shuffle, memory bounded by a batch of texts.
+    ids are judged each; other columns are ignored. A very long text is judged whole; an empty table gives no rows. Narrow: no shuffle,
+    memory bounded by a batch of texts.
     """
     fields = OUT if with_text else OUT[:-1]
 

@@ -40,6 +40,26 @@ def test_spliced_counts_equal_library(texts, chunk, overlap):
         assert c.count(t or "") == want and token_counts.spliced_count(c, t or "", chunk, overlap) == want
 
 
+def test_splices_in_texts_without_spaces():
+    c = tokens.piece_counter(tokens.vocabulary("piece_bpe_32k.model"))
+    rng, encoded, starts = random.Random(2), [0], c.starts
+
+    def counted(text, lo, hi):
+        encoded[0] += hi - lo
+        return starts(text, lo, hi)
+
+    c.starts = counted
+    try:
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "日本語文章的一是不了人我在有他这🙂é"):
+            text = "".join(rng.choice(letters) for _ in range(1_000_000))
+            encoded[0] = 0
+            assert token_counts.spliced_count(c, text) == len(c.lib.encode(text)) and encoded[0] < 1.5 * len(text)
+        for text in ["x" * 3000, "ab\n" * 900, "  a " * 800, " " * 2000 + "a", "".join(rng.choice("ab日é🙂\t ") for _ in range(3000))]:
+            assert token_counts.spliced_count(c, text, 100, 8) == len(c.lib.encode(text))
+    finally:
+        del c.starts
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 7, 119, 120, 121, 240, 241, 3000):
@@ -53,6 +73,31 @@ def test_simple8b_round_trip():
         token_files.simple8b_encode(np.array([1 << 60], np.uint64))
 
 
+def test_simple8b_words_end_with_documents():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 400, 60)
+    v = rng.integers(0, 50_000, sizes.sum(), dtype=np.uint64)
+    v[: sizes[:9].sum()] = 0
+    ends = np.cumsum(sizes)
+    words, first = token_files.simple8b_encode(v, ends)
+    at = [*first.tolist(), len(words)]
+    assert (token_files.simple8b_decode(words, len(v)) == v).all()
+    assert all((token_files.simple8b_decode(words[x:y], k) == v[e - k : e]).all() for x, y, k, e in zip(at, at[1:], sizes, ends))
+
+
+def test_token_files_layout(spark, texts, tmp_path):
+    docs = spark.createDataFrame([(d % 50, t) for d, t in texts.items()], "doc_id bigint, text string")  # repeated ids
+    token_files.write_token_files(docs, str(tmp_path), tokens.vocabulary("word_bpe_49k.json"), block_ids=3000)
+    lib, at, seen = tokens.word_encoder(tokens.vocabulary("word_bpe_49k.json")).lib, 0, []
+    blocks = token_files.read_token_files(spark, str(tmp_path)).orderBy("part", "block").collect()
+    for b in blocks:
+        assert b.start == at
+        at += b.n_ids
+        seen += [(d, tuple(token_files.document_ids(b, i).tolist())) for i, d in enumerate(b.doc_ids)]
+    assert len(blocks) > 20 and [d for d, _ in seen] == sorted(d for d, _ in seen)
+    assert Counter(seen) == Counter((d % 50, (*lib.encode(t or "", add_special_tokens=False).ids, 1)) for d, t in texts.items())
+
+
 def test_token_files_follow_ids(spark, texts):
     from synapta.llm.registry import QUERIES
 
@@ -89,6 +134,25 @@ def test_packing(seed):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_packed_pieces_are_the_librarys_ids(spark, texts):
+    """Over small windows, so that open sequences go from one to the next."""
+    path = tokens.vocabulary("word_bpe_49k.json")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(2)
+    pieces = packing.pack_documents(docs, path, window=20_000).collect()
+    lib, by_doc, by_seq = tokens.word_encoder(path).lib, {}, {}
+    for p in pieces:
+        assert zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length
+        by_doc.setdefault(p.doc_id, []).append((p.start, bytes(p.ids)))
+        by_seq.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for d, t in texts.items():
+        assert b"".join(x for _, x in sorted(by_doc[d])) == np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+    sizes = []
+    for parts in by_seq.values():
+        assert all(o == sum(n for _, n in sorted(parts)[:i]) for i, (o, _) in enumerate(sorted(parts)))
+        sizes.append(sum(n for _, n in parts))
+    assert sum(s != 4096 for s in sizes) <= 2 * 12 and all(s & (s - 1) == 0 for s in sizes)  # the tails of two tasks
+
+
 def test_packing_takes_the_cheapest_of_all_with_room():
     rng = random.Random(1)  # one window: short and long documents mixed, hundreds of sequences open at once
     sizes = [rng.randrange(1, 400) if rng.random() < 0.8 else rng.randrange(1500, 4000) for _ in range(2500)]
@@ -185,31 +249,66 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, task):
     assert got == brute_components(texts)
 
 
+def test_components_of_repeated_ids(spark, tmp_path):
+    rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "x y z"), (None, "x y z"), (None, None), (2, "q")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.op10_ngram_join(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(5, 3, 3), (3, 3, 3), (3, 1, 3), (None, 1, 3), (None, 0, None), (2, 1, 2)], key=repr)
+
+
 def test_adaptive_prefix_grows():
-    sketch = ngram_join.Sketch(np.zeros(1 << ngram_join.SKETCH_BITS, "<i8").tobytes())
+    counts = np.full(1 << ngram_join.SKETCH_BITS, 900, "<i8")  # full buckets, none of a frequent shingle
+    sketch = ngram_join.Sketch(counts.tobytes())
     s = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 100).astype(np.uint64))
     assert len(ngram_join.prefix(s, sketch, 80)[0]) == 22 and ngram_join.prefix(s, sketch, 80)[1] == 2
-    sketch.counts = sketch.counts.copy()
-    sketch.counts[s >> np.uint64(64 - ngram_join.SKETCH_BITS)] = 1000
-    p, m = ngram_join.prefix(s, sketch, 80)
-    assert m == 4 and len(p) == 24
-
-
-def test_simhash_radius_keeps_threshold_pairs(spark):
-    """Windows of a similarity of 0.8 or more are within the radius: measured recall over edited copies."""
-    rng = random.Random(3)
-    items = {i: [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(14, 60))] for i in range(120)}
-    docs = {}
-    for i, w in items.items():
-        v = list(w)
-        if len(v) > 44:
-            v[rng.choice([0, 1, len(v) - 1])] = "edited"  # at the edge: similarity stays at 0.8 or more
-        docs[i] = [f"x{rng.randrange(5000)}" for _ in range(20)] + v + [f"y{rng.randrange(5000)}" for _ in range(20)]
+    counts[s[:90] >> sketch.shift] += 1000
+    p, m = ngram_join.prefix(s, ngram_join.Sketch(counts.tobytes()), 80)
+    assert m == 5 and len(p) == 25 and set(s[90:]) <= set(p)  # more candidates, more matches; frequent shingles last
+
+
+def at_threshold(n, rng, i):
+    """A text of n words and a copy of it with a similarity between 0.8 and 0.86: as many edits from the ends as that takes."""
+    item = [f"w{i}x{rng.randrange(10**6)}" for _ in range(n)]
+    m, copy = n - 4, list(item)
+    lost = m // 9  # shingles that may go
+    if lost > 5:
+        copy[-1 - (lost - 6)] = f"e{i}"
+        lost = 5
+    if lost:
+        copy[lost - 1] = f"f{i}"
+    return item, copy
+
+
+def test_simhash_finds_pairs_at_the_threshold(spark):
+    """Recall by item length, over pairs of a similarity just at the threshold: all have to be found."""
+    rng, items, docs = random.Random(3), {}, {}
+    for n in (14, 16, 24, 32, 40, 50, 59):
+        for j in range(40):
+            i = n * 100 + j
+            items[i], copy = at_threshold(n, rng, i)
+            docs[i] = [f"x{i}y{k}" for k in range(20)] + copy + [f"y{i}z{k}" for k in range(20)]
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(with_row_key(d), b).collect()}
-    assert all((i, i) in got for i in items) and all(r.similarity >= 0.8 for r in got.values())
-    assert got[(0, 0)].start == 20
+    found = {n: sum((n * 100 + j, n * 100 + j) in got for j in range(40)) / 40 for n in (14, 16, 24, 32, 40, 50, 59)}
+    assert found == dict.fromkeys(found, 1.0)
+    assert all(0.8 <= r.similarity < 0.87 and r.start in (19, 20) for r in got.values())  # 19: an edited last word is as good outside
+
+
+def test_blocks_leave_out_unrelated_pairs(spark):
+    """Of pairs of equal length beyond the radius, at most a fifth is joined; all within it are."""
+    rng = random.Random(4)
+    item = lambda i: (i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)))
+    items = decontaminate.benchmark_items(spark.createDataFrame([item(i) for i in range(60)], "item_id bigint, text string"))
+    windows = decontaminate.benchmark_items(spark.createDataFrame([item(i) for i in range(60)], "item_id bigint, text string"))
+    windows = windows.selectExpr("item_id as key", "0 as start", "n_words", "fingerprint")
+    joined = decontaminate.block_pairs(windows, items).count()
+    assert joined <= 60 * 60 / 5
+    four = 15 * decontaminate._ONES  # four bits of each block, but three of one: as many as the radius allows
+    flipped = items.selectExpr("item as key", "0 as start", "n_words", f"transform(fingerprint, (f, j) -> f ^ if(j = 4, {four - (8 << 18)}L, {four}L)) as fingerprint")
+    far = flipped.join(items.selectExpr("item as key", "fingerprint as g"), "key").selectExpr(f"{decontaminate._distance('fingerprint', 'g')} as d").distinct().collect()
+    assert [r.d for r in far] == [decontaminate.RADIUS]
+    assert decontaminate.block_pairs(flipped, items).where("key = item").count() == 60
 
 
 @pytest.fixture(scope="module")
@@ -240,4 +339,5 @@ def test_line_rules():
     assert quality_rules.bad_line("a*** b&&& c###")[1] and quality_rules.bad_line("HOME | NEWS | ABOUT | HELP")[1]
     assert quality_rules.bad_line("All rights reserved.")[1] and quality_rules.bad_line("der der der der der der der.")[1]
     assert quality_rules.bad_line("A!! B!! C!! D!!")[1] and quality_rules.bad_line(" ".join("abcdefghijkl"))[1]
+    assert quality_rules.bad_line("Tous droits réservés.")[1] and quality_rules.bad_line("Bitte HIER KLICKEN.")[1]
     assert not quality_rules.bad_line("A plain sentence, with words.")[1] and quality_rules.bad_line(" \t")[0] == 0
