@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synapta.llm.common import map_batches, materialise, scratch_root, table
+from synapta.llm.common import map_batches, scratch_root, table
 from synapta.llm.tokens import vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -110,31 +110,25 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-DOCUMENT_SCHEMA = "doc_id bigint, n_ids bigint, n_words bigint, tie bigint, payload binary"
 BLOCK_SCHEMA = "block int, first_id bigint, n_ids bigint, payload binary, doc_ids array<bigint>, doc_sizes array<bigint>, doc_words array<bigint>"
 _BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-#: Bytes of packed ids that a part takes, and parts up to which their table is broadcast.
-PART_BYTES, BROADCAST_PARTS = 64 << 20, 1_000_000
+#: Parts up to which their table is broadcast.
+BROADCAST_PARTS = 1_000_000
 
 
-def _documents(vocabulary_path: str, end_id: int):
-    def run(batches):
-        encoder = word_encoder(vocabulary_path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids, got = encoder.encode(part.column("text").to_pylist())
-                sizes = got + 1
-                words, first = simple8b_encode(np.insert(ids, np.cumsum(got), end_id), np.cumsum(sizes))
-                raw, at = words.astype("<u8").tobytes(), np.append(first, len(words)).tolist()
-                payload = [raw[8 * x : 8 * y] for x, y in zip(at, at[1:])]
-                cols = [pa.array(sizes, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(map(zlib.crc32, payload), pa.int64()), pa.array(payload, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_ids", "n_words", "tie", "payload"])
-
-    return run
+def _packed(batches, vocabulary_path: str, end_id: int):
+    """(doc_id, number of ids, packed ids) of each document."""
+    encoder = word_encoder(vocabulary_path)
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            ids, got = encoder.encode(part.column("text").to_pylist())
+            words, first = simple8b_encode(np.insert(ids, np.cumsum(got), end_id), np.cumsum(got + 1))
+            raw, at = words.astype("<u8").tobytes(), np.append(8 * first, 8 * len(words)).tolist()
+            yield from zip(part.column("doc_id").to_pylist(), (got + 1).tolist(), (raw[x:y] for x, y in zip(at, at[1:])))
 
 
-def _blocks(block_ids: int):
+def _blocks(vocabulary_path: str, end_id: int, block_ids: int):
     names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
     def run(batches):
@@ -144,16 +138,15 @@ def _blocks(block_ids: int):
             row = [block, first, n, b"".join(held), docs, sizes, words[:-1]]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK_TYPES)], names=names)
 
-        for b in batches:
-            for doc, k, w, payload in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_ids", "n_words", "payload"))):
-                held.append(payload)
-                docs.append(doc)
-                sizes.append(k)
-                words.append(words[-1] + w)
-                n += k
-                if n >= block_ids:
-                    yield flush()
-                    block, first, held, docs, sizes, words, n = block + 1, first + n, [], [], [], [0], 0
+        for doc, k, payload in _packed(batches, vocabulary_path, end_id):
+            held.append(payload)
+            docs.append(doc)
+            sizes.append(k)
+            words.append(words[-1] + len(payload) // 8)
+            n += k
+            if n >= block_ids:
+                yield flush()
+                block, first, held, docs, sizes, words, n = block + 1, first + n, [], [], [], [0], 0
         if docs:
             yield flush()
 
@@ -163,19 +156,17 @@ def _blocks(block_ids: int):
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all rows of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order, null ids first.
 
-    Texts are encoded and packed where they lie; only packed ids are shuffled, by ranges of doc_id, as many as their size asks
-    for; one range is one part. Ties of doc_id are ordered by the packed ids, so a doc_id of very many rows is split over ranges. A null
+    Rows are dealt by ranges of doc_id, as many as the input has splits, sorted within them, encoded and packed where they lie;
+    one range is one part. Ties of doc_id are ordered by the text, so a doc_id of very many rows is split over ranges. A null
     or empty text gives the end id only. Repeated rows are written as often as they occur. Other columns are ignored. A very
     long text is one block; its packed ids have to fit a cell of Spark (2 GB). An empty table gives no blocks.
     """
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    packed = materialise(map_batches(rows, _documents(vocabulary_path, end_id), DOCUMENT_SCHEMA), "packed-ids")
-    size = 8 * (packed.agg(F.sum("n_words")).first()[0] or 0)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    dealt = packed.repartitionByRange(n, *order).sortWithinPartitions(*order, "payload")
-    blocks = map_batches(dealt, _blocks(block_ids), BLOCK_SCHEMA).withColumn("part", F.spark_partition_id())
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    blocks = map_batches(ordered, _blocks(vocabulary_path, end_id, block_ids), BLOCK_SCHEMA).withColumn("part", F.spark_partition_id())
     blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
     parts = spark.read.schema(f"{BLOCK_SCHEMA}, part int").parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     parts.selectExpr("part", "n_ids", "sum(n_ids) over (order by part) - n_ids as first_id").write.parquet(f"{path}/parts")
