@@ -14,7 +14,10 @@ from array import array
 
 import numpy as np
 
-from synapta.llm.common import CACHE_BYTES, ENTRY_BYTES, worker_cache
+from synapta.llm.common import ENTRY_BYTES, worker_cache
+
+#: Tokenising a word costs far more than keeping it, so this cache may be larger than others.
+CACHE_BYTES = 96 << 20
 
 #: Letters that lower-case to one character and need no Unicode normalisation: ASCII, Latin-1 and Latin Extended-A.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-žƀ"
