@@ -17,7 +17,7 @@ def full_cleanup(df: DataFrame, loc: list[str], confounds: list[str], x: str, ou
 
 
 def partial_cleanup(df: DataFrame, loc: list[str], components: list[str], noise: list[str], x: str, out: str) -> DataFrame:
-    """All components are fitted, only the noise part is taken out."""
+    """L3: all components are fitted, only the noise part is taken out."""
     return residuals(df, loc, components, x, out, only=noise)
 
 
@@ -67,38 +67,98 @@ def component_maps(df: DataFrame, loc: list[str], components: list[str], x: str)
     return b.select(*loc, *(F.col("beta")[i + 1].alias(c) for i, c in enumerate(components)))
 
 
-def dual_regression(df: DataFrame, maps: DataFrame, subject: list[str], loc: str, t: str, x: str, components: list[str], weight: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Time courses of the maps (a fit over locations for each time point, rows weighted by the square root of
-    ``weight``), then the subject's maps (a fit over time for each location)."""
-    d = df.join(maps, loc)
+def dual_regression(df: DataFrame, maps: DataFrame, subject: list[str], loc: str, t: str, x: str, components: list[str], weight: str | None = None, checkpoint=lambda d: d) -> tuple[DataFrame, DataFrame]:
+    """Time courses of the maps (a fit over locations for each time point, maps and data weighted by the square root of
+    ``weight`` and demeaned over locations), demeaned over time; then the subject's maps: the demeaned data of each location fitted
+    over time on the courses scaled to a deviation of 1. ``maps``: by location, or by subject and location. ``checkpoint`` keeps the
+    courses, which are used three times."""
+    d = df.join(maps, [*(c for c in subject if c in maps.columns), loc])
     s = F.sqrt(weight) if weight else F.lit(1.0)
-    spatial = d.select(*subject, loc, t, (F.col(x) * s).alias("_x"), *((F.col(c) * s).alias(c) for c in components))
-    tc = least_squares(spatial, [*subject, t], components, "_x").select(*subject, t, *(F.col("beta")[i].alias(c) for i, c in enumerate(components)))
-    back = df.join(tc, [*subject, t]).withColumn("_one", F.lit(1.0))
-    out = least_squares(back, [*subject, loc], ["_one", *components], x)
-    return tc, out.select(*subject, loc, *(F.col("beta")[i + 1].alias(c) for i, c in enumerate(components)))
-
-
-def alignment_weights(a: DataFrame, b: DataFrame, loc: str, comp: str, x: str) -> DataFrame:
-    """Cubed Fisher z of the correlation of two sets of maps at each location, negatives as 0."""
+    spatial = d.select(*subject, loc, t, F.lit(1.0).alias("_one"), (F.col(x) * s).alias("_x"), *((F.col(c) * s).alias(c) for c in components))
+    b = least_squares(spatial, [*subject, t], ["_one", *components], "_x")  # the intercept demeans both sides
+    tc = checkpoint(b.select(*subject, t, *(F.col("beta")[i + 1].alias(c) for i, c in enumerate(components))))
+    moments = tc.groupBy(*subject).agg(*(f(c).alias(f"{n}{c}") for c in components for n, f in (("_m", F.avg), ("_s", F.stddev_samp))))
+    tc = tc.join(moments, subject)
+    scaled = tc.select(*subject, t, F.lit(1.0).alias("_one"), *(F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{c}"), F.nullif(f"_s{c}", F.lit(0.0))), F.lit(0.0)).alias(c) for c in components))
+    out = least_squares(df.join(scaled, [*subject, t]), [*subject, loc], ["_one", *components], x)
+    maps_out = out.select(*subject, loc, *(F.col("beta")[i + 1].alias(c) for i, c in enumerate(components)))
+    return tc.select(*subject, t, *((F.col(c) - F.col(f"_m{c}")).alias(c) for c in components)), maps_out
+
+
+def normalised_maps(maps: DataFrame, keys: list[str], components: list[str]) -> DataFrame:
+    """Maps demeaned over locations and scaled to a deviation of 1, for each key."""
+    m = maps.groupBy(*keys).agg(*(f(c).alias(f"{n}{c}") for c in components for n, f in (("_m", F.avg), ("_s", F.stddev_samp))))
+    scaled = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{c}"), F.nullif(f"_s{c}", F.lit(0.0))), F.lit(0.0)) for c in components}
+    return maps.join(m, keys).withColumns(scaled).select(*maps.columns)
+
+
+def alignment_quality(df: DataFrame, low: list[tuple[DataFrame, list[str]]], neighbours: DataFrame, subject: list[str], loc: str, t: str, x: str, area: str | None = None, checkpoint=lambda d: d) -> DataFrame:
+    """(subject, loc, quality). For each low-dimensional set of maps, dual regression is run twice, the second time on the maps
+    of the first; Fisher's z of the correlation over components with the set's maps is averaged over the sets. What stands out
+    from the smoothed values (``neighbours``: loc, other, w) around their mean, negatives as 0, is cubed."""
     from synapta.functions import fisher_z, pearson
 
-    both = a.select(loc, comp, F.col(x).alias("_a")).join(b.select(loc, comp, F.col(x).alias("_b")), [loc, comp])
-    r = both.groupBy(loc).agg(pearson(F.col("_a"), F.col("_b")).alias("r"))
-    return r.select(loc, F.pow(F.greatest(fisher_z(F.col("r")), F.lit(0.0)), F.lit(3)).alias("weight"))
-
-
-def unmix(df: DataFrame, mixing: list[list[float]], inputs: list[str]) -> DataFrame:
-    """Component series by the pseudo-inverse of a small mixing matrix, each rescaled to the mean amplitude of its column."""
+    zs = None
+    for maps, components in low:
+        with_area = [area] if area else []
+        once = checkpoint(dual_regression(df, maps, subject, loc, t, x, components, area, checkpoint)[1])
+        again = once.join(maps.select(loc, *with_area), loc) if area else once
+        twice = dual_regression(df, again, subject, loc, t, x, components, area, checkpoint)[1]
+        pairs = F.explode(F.array(*(F.struct(F.col(f"l.{c}").alias("a"), F.col(f"m.{c}").alias("b")) for c in components)))
+        z = twice.alias("m").join(maps.alias("l"), loc).select(*(F.col(f"m.{c}").alias(c) for c in subject), loc, pairs.alias("p"))
+        z = z.groupBy(*subject, loc).agg(fisher_z(pearson(F.col("p.a"), F.col("p.b"))).alias("z"))
+        zs = z if zs is None else zs.unionByName(z)
+    q = checkpoint(zs.groupBy(*subject, loc).agg(F.avg("z").alias("q")))
+    smooth = q.withColumnRenamed(loc, "other").join(neighbours, "other").groupBy(*subject, loc).agg((F.sum(F.col("q") * F.col("w")) / F.sum("w")).alias("_smooth"))
+    mean = q.groupBy(*subject).agg(F.avg("q").alias("_mean"))
+    out = q.join(smooth, [*subject, loc]).join(mean, subject)
+    return out.select(*subject, loc, F.pow(F.greatest(F.col("_mean") + F.col("q") - F.col("_smooth"), F.lit(0.0)), F.lit(3)).alias("quality"))
+
+
+def weighted_dual_regression(df: DataFrame, maps: DataFrame, quality: DataFrame, subject: list[str], loc: str, t: str, x: str, components: list[str], area: str | None = None, checkpoint=lambda d: d) -> tuple[DataFrame, DataFrame]:
+    """Dual regression weighted by area and alignment quality, then once more on its normalised maps, weighted by area only."""
+    a = F.col(area) if area else F.lit(1.0)
+    weighted = quality.join(maps, loc).withColumn("_w", a * F.col("quality"))
+    once = checkpoint(dual_regression(df, weighted, subject, loc, t, x, components, "_w", checkpoint)[1])
+    again = normalised_maps(once, subject, components)
+    if area:
+        again = again.join(maps.select(loc, area), loc)
+    return dual_regression(df, again, subject, loc, t, x, components, area, checkpoint)
+
+
+def unmix(df: DataFrame, mixing: list[list[float]], inputs: list[str], subject: list[str], run: str) -> DataFrame:
+    """Every run's input series are scaled to the deviation over all runs (not finite: 0) and unmixed by the pseudo-inverse of
+    the mixing matrix; a component is rescaled by the deviation, over inputs, of its column of the matrix divided by the inputs'
+    deviations."""
     a = np.asarray(mixing, float)
-    inv, scale = np.linalg.pinv(a), np.abs(a).mean(0)
+    inv, n = np.linalg.pinv(a), len(inputs)
+    s = df.groupBy(*subject).agg(*(F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(inputs)))
+    of_run = df.groupBy(*subject, run).agg(*(F.stddev_samp(c).alias(f"_r{i}") for i, c in enumerate(inputs)))
+    d = df.join(of_run, [*subject, run]).join(s, subject)
+    even = [F.coalesce(F.try_divide(F.col(c), F.nullif(f"_r{i}", F.lit(0.0))) * F.col(f"_s{i}"), F.lit(0.0)) for i, c in enumerate(inputs)]
     out = {}
     for k in range(a.shape[1]):
-        s = F.lit(0.0)
-        for i, c in enumerate(inputs):
-            s = s + float(inv[k, i] * scale[k]) * F.col(c)
-        out[f"component{k + 1}"] = s
-    return df.withColumns(out)
+        column = [F.try_divide(F.lit(float(a[i, k])), F.nullif(f"_s{i}", F.lit(0.0))) for i in range(n)]
+        mean = sum(column[1:], column[0]) / n
+        scale = F.sqrt(sum(((x - mean) * (x - mean) for x in column), F.lit(0.0)) / (n - 1))
+        out[f"component{k + 1}"] = sum((float(inv[k, i]) * even[i] for i in range(n)), F.lit(0.0)) * scale
+    return d.withColumns(out).drop(*(f"_{p}{i}" for p in "sr" for i in range(n)))
+
+
+def temporal_cleanup(df: DataFrame, loc: list[str], run: str, t: str, x: str, vn: str, components: list[str], noise: list[str], out: str) -> DataFrame:
+    """Each run is demeaned and divided by its variance normalisation ``vn`` (over its mean over locations, at least 0.001), all
+    are put back to the mean normalisation over runs, and the noise part of a fit on the normalised courses of all runs is taken out.
+    The result stays by run. (loc, run, t, out, and vn as used.)"""
+    mean_vn = df.groupBy(*loc, run).agg(F.first(vn).alias("_vn"), F.avg(x).alias("_m"))
+    level = mean_vn.groupBy(run).agg(F.avg("_vn").alias("_level"))
+    used = mean_vn.join(F.broadcast(level), run).withColumn("_vn", F.greatest(F.col("_vn") / F.col("_level"), F.lit(0.001))).drop("_level")
+    back = used.groupBy(*loc).agg(F.avg("_vn").alias("_back"))
+    d = df.join(used, [*loc, run]).join(back, loc).withColumn("_x", (F.col(x) - F.col("_m")) / F.col("_vn") * F.col("_back"))
+    courses = df.select(run, t, *components).distinct()
+    m = courses.agg(*(f(c).alias(f"{n}{c}") for c in components for n, f in (("_m_", F.avg), ("_s_", F.stddev_samp))))
+    courses = courses.crossJoin(F.broadcast(m)).select(run, t, *(F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(f"_s_{c}", F.lit(0.0))), F.lit(0.0)).alias(c) for c in components))
+    d = d.drop(*components).join(courses, [run, t]).withColumn("_one", F.lit(1.0))
+    return residuals(d, loc, ["_one", *components], "_x", out, only=noise).select(*loc, run, t, out, F.col("_vn").alias("vn"))
 
 
 def grand_mean_scale(df: DataFrame, keys: list[str], x: str, mask: Column, target: float = 10_000.0) -> DataFrame:
@@ -151,23 +211,35 @@ def shell(df: DataFrame, b: str, wanted: list[float], delta: float) -> DataFrame
     return df.where(near)
 
 
-def mad_filter(df: DataFrame, keys: list[str], score: str, passes: int = 3) -> DataFrame:
-    """Scores below median + 2 * MAD, judged again on what is left."""
+def mad_filter(df: DataFrame, series: list[str], volume: str, loc: str, x: str, passes: int = 3) -> DataFrame:
+    """(series, volume, score) of the volumes that stay. A score is the mean squared difference of a volume from the average of
+    those that stay; in every pass all volumes are judged again, against the new average: below median + 2 * MAD they stay. Medians
+    run over one score a volume."""
+    kept = df.select(*series, volume).distinct()
     for _ in range(passes):
-        m = df.groupBy(*keys).agg(F.percentile(score, F.lit(0.5)).alias("_med"))
-        d = df.join(m, keys)
-        a = d.groupBy(*keys).agg(F.percentile(F.abs(F.col(score) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-        df = d.join(a, keys).where(F.col(score) < F.col("_med") + 2 * F.col("_mad")).drop("_med", "_mad")
-    return df
-
-
-def combine_echoes(df: DataFrame, voxel: str, echo: str, te: str, y: str, cap: float = 2240.0) -> DataFrame:
-    """Echoes are used up to the first rise of the signal; T2* from a log-linear fit over them, capped; the weighted sum of all echoes
+        average = df.join(kept.select(*series, volume), [*series, volume]).groupBy(*series, loc).agg(F.avg(x).alias("_a"))
+        d = df.join(average, [*series, loc])
+        score = d.groupBy(*series, volume).agg(F.avg((F.col(x) - F.col("_a")) * (F.col(x) - F.col("_a"))).alias("score"))
+        m = score.groupBy(*series).agg(F.percentile("score", F.lit(0.5)).alias("_med"))
+        score = score.join(m, series)
+        a = score.groupBy(*series).agg(F.percentile(F.abs(F.col("score") - F.col("_med")), F.lit(0.5)).alias("_mad"))
+        kept = score.join(a, series).where(F.col("score") < F.col("_med") + 2 * F.col("_mad")).drop("_med", "_mad")
+    return kept
+
+
+def combine_echoes(df: DataFrame, voxel: str, echo: str, te: str, y: str, cap: float = 2240.0, weighted: bool = False) -> DataFrame:
+    """Echoes are used up to the first rise of the signal; T2* from a log-linear fit over them (``weighted``: each echo
+    by 1 / y), capped; the weighted sum of all echoes
     with weights te * exp(-te / T2*). Fewer than two usable echoes, or no decay: the cap."""
     w = Window.partitionBy(voxel).orderBy(echo)
     d = df.withColumn("_up", F.coalesce((F.col(y) > F.lag(y).over(w)).cast("int"), F.lit(0)))
     d = d.withColumn("_use", (F.sum("_up").over(w) == 0) & (F.col(y) > 0))
-    slope = F.regr_slope(F.when(F.col("_use"), F.log(F.when(F.col(y) > 0, F.col(y)))), F.when(F.col("_use"), F.col(te)))
+    if weighted:
+        w1, log = F.when(F.col("_use"), 1 / F.col(y)), F.log(F.when(F.col(y) > 0, F.col(y)))
+        sw, sx, sy, sxx, sxy = (F.sum(w1 * v) for v in (F.lit(1.0), F.col(te), log, F.col(te) * F.col(te), F.col(te) * log))
+        slope = F.when(F.count_if("_use") > 1, F.try_divide(sw * sxy - sx * sy, sw * sxx - sx * sx))
+    else:
+        slope = F.regr_slope(F.when(F.col("_use"), F.log(F.when(F.col(y) > 0, F.col(y)))), F.when(F.col("_use"), F.col(te)))
     fit = d.groupBy(voxel).agg(slope.alias("_b"), F.count_if("_use").alias("n_used"))
     t2 = F.when(F.col("_b") < 0, F.least(-1 / F.nullif("_b", F.lit(0.0)), F.lit(cap))).otherwise(F.lit(cap))
     j = d.join(fit.select(voxel, "n_used", t2.alias("t2star")), voxel)
@@ -198,52 +270,54 @@ def average_directions(df: DataFrame, keys: list[str], b: str, v: str) -> DataFr
     return t.withColumn("_e", eigen("d00", "d01", "d02", "d11", "d12", "d22")).select(*keys, "_e.bval", "_e.bvec")
 
 
-def spectrum(df: DataFrame, keys: list[str], t: str, x: str, length: int = 0, segment: int | None = None, tail: int = 10) -> DataFrame:
-    """L14 (amplitude of the whole demeaned series, zero-padded to the longest of all series, ``length`` at least) and L15 (with
-    ``segment``: Welch averages of half-overlapping Hann segments over the whole series, divided by the mean of the last ``tail``
-    bins; the last segment ends with the series, and only a series shorter than a segment is padded). (keys, freq, amplitude).
+def welch(v: np.ndarray) -> np.ndarray:
+    """One-sided power of a series by eight half-overlapping Hamming segments, each padded to the whole series' length; without its last bin."""
+    n = len(v)
+    size = max(int(n / 4.5), 1)
+    step = size - size // 2
+    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / max(size - 1, 1))
+    power = np.mean([np.abs(np.fft.rfft(v[a : a + size] * window, n)) ** 2 for a in range(0, n - size + 1, step)], axis=0)
+    power[1:] *= 2
+    return power[:-1]
+
+
+def spectrum(df: DataFrame, keys: list[str], t: str, x: str, tail: int = 0) -> DataFrame:
+    """(keys, freq, amplitude) of the whole demeaned series, padded with zeros to the longest of all; the first round(n / 2)
+    bins. With ``tail`` the power of ``welch`` instead, divided by the mean of its last ``tail`` bins.
 
     No series is cut. A series is one array; the transform is a vectorised function over arrays."""
     s = df.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({t}, {x}))), s -> s.{x})").alias("_s"))
-    if segment is None:
-        longest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))  # one row
-        s = s.crossJoin(F.broadcast(longest)).withColumn("_n", F.greatest("_n", F.lit(length)))
-    else:
-        s = s.withColumn("_n", F.greatest(F.size("_s"), F.lit(max(length, segment))))
+    longest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))  # one row
+    s = s.crossJoin(F.broadcast(longest)) if not tail else s.withColumn("_n", F.size("_s").cast("bigint"))
 
     @F.pandas_udf("array<double>")
     def amplitude(series: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
         for v, n in zip(series, lengths):
             v = np.nan_to_num(np.asarray(v, float))
-            v = np.concatenate([v - v.mean(), np.zeros(n - len(v))])
-            if segment is None:
-                out.append(np.abs(np.fft.rfft(v)) / n)
-                continue
-            win = np.hanning(segment)
-            starts = list(range(0, n - segment + 1, max(segment // 2, 1)))
-            if starts[-1] + segment < n:
-                starts.append(n - segment)
-            parts = [np.abs(np.fft.rfft((v[a : a + segment] - v[a : a + segment].mean()) * win)) ** 2 for a in starts]
-            p = np.mean(parts, axis=0)
-            base = p[-tail:].mean()
-            out.append(p / base if base > 0 else p)
-        return pd.Series(out)
+            if tail:
+                p = welch(v)
+                base = p[-tail:].mean() if len(p) else 0.0
+                out.append(p / base if base > 0 else p)
+            else:
+                out.append(np.abs(np.fft.rfft(v - v.mean(), int(n)))[: (int(n) + 1) // 2])
+        return pd.Series(out, dtype=object)
 
     return s.select(*keys, F.posexplode(amplitude("_s", "_n")).alias("freq", "amplitude"))
 
 
-def bias_correct(df: DataFrame, run: list[str], x: str, factor: str, slope: Column, intercept: Column) -> DataFrame:
-    """X / (factor * slope + intercept), scaled so that the median where the factor rounds to 1.0 keeps its value."""
+def bias_correct(df: DataFrame, run: list[str], x: str, factor: str, slope: Column, intercept: Column, template: str) -> DataFrame:
+    """X / (factor * slope + intercept), scaled so that its median where the factor rounds to 1.0 is the template's there."""
     d = df.withColumn("_c", F.try_divide(F.col(x), F.nullif(F.col(factor) * slope + intercept, F.lit(0.0))))
     at = F.round(factor, 1) == 1.0
-    m = d.groupBy(*run).agg(F.percentile(F.when(at, F.col(x)), F.lit(0.5)).alias("_mx"), F.percentile(F.when(at, F.col("_c")), F.lit(0.5)).alias("_mc"))
-    return d.join(m, run).withColumn("corrected", F.col("_c") * F.try_divide("_mx", F.nullif("_mc", F.lit(0.0)))).drop("_c", "_mx", "_mc")
+    m = d.groupBy(*run).agg(F.percentile(F.when(at, F.col(template)), F.lit(0.5)).alias("_mt"), F.percentile(F.when(at, F.col("_c")), F.lit(0.5)).alias("_mc"))
+    return d.join(m, run).withColumn("corrected", F.col("_c") * F.try_divide("_mt", F.nullif("_mc", F.lit(0.0)))).drop("_c", "_mt", "_mc")
 
 
-def template_cost(df: DataFrame, run: list[str], x: str, template: str) -> DataFrame:
-    """Summed relative deviation from a template."""
-    return df.groupBy(*run).agg(F.sum(F.abs(F.try_divide(F.col(x) - F.col(template), F.nullif(template, F.lit(0.0))))).alias("cost"))
+def template_cost(df: DataFrame, run: list[str], loc: list[str], x: str, template: str) -> DataFrame:
+    """Summed relative deviation from a template of the mean, over maps, of the corrected values of a location."""
+    m = df.groupBy(*run, *loc).agg(F.avg(x).alias("_x"), F.first(template).alias("_t"))
+    return m.groupBy(*run).agg(F.sum(F.abs(F.try_divide(F.col("_x") - F.col("_t"), F.nullif("_t", F.lit(0.0))))).alias("cost"))
 
 
 def fixed_effects(df: DataFrame, keys: list[str], cope: str, var: str) -> DataFrame:

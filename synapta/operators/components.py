@@ -119,11 +119,11 @@ def band_power(df: DataFrame, comp: list[str], freq: str, power: str, low: tuple
 
 
 def noisy_points_ratio(df: DataFrame, comp: list[str], t: str, x: str, noise: str, share: float = 0.125) -> DataFrame:
-    """Mean absolute value at the noisiest share of time points over the rest."""
+    """Summed absolute value at the noisiest share of time points over that at all."""
     cut = df.groupBy(*comp).agg(F.percentile(noise, F.lit(1 - share)).alias("_cut"))
     d = df.join(cut, comp)
     noisy = F.col(noise) > F.col("_cut")
-    return d.groupBy(*comp).agg(safe_ratio(F.avg(F.when(noisy, F.abs(x))), F.avg(F.when(~noisy, F.abs(x)))).alias("noisy_ratio"))
+    return d.groupBy(*comp).agg(safe_ratio(F.coalesce(F.sum(F.when(noisy, F.abs(x))), F.lit(0.0)), F.sum(F.abs(x))).alias("noisy_ratio"))
 
 
 def mark_outliers(df: DataFrame, keys: list[str], x: str, tie: str, out: str = "outlier") -> DataFrame:
@@ -175,22 +175,30 @@ def series_statistics(df: DataFrame, keys: list[str], t: str, x: str, order: int
 
 
 def lag_correlations(df: DataFrame, keys: list[str], t: str, x: str, y: str, lags: int) -> DataFrame:
-    """sum of x(t) * y(t + lag) / n for each lag of -lags to lags, zero beyond the ends. Lags are exploded on one side of an equi-join."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    a = df.select(*keys, F.col(x).alias("_x"), F.explode(F.transform(F.sequence(F.lit(-lags), F.lit(lags)), lambda k: F.struct(k.alias("lag"), (F.col(t) + k).alias("_t")))).alias("_s"))
+    """correlation of x(t + lag) and y(t) for each lag of -lags to lags, both demeaned, zero beyond the ends, over the root of
+    the product of both sums of squares. Lags are exploded on one side of an equi-join."""
+    m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.sqrt(F.var_pop(x) * F.var_pop(y)).alias("_d"), F.count("*").alias("_n"))
+    d = df.join(m, keys).select(*keys, t, (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"), (F.col("_d") * F.col("_n")).alias("_d"))
+    a = d.select(*keys, "_x", F.explode(F.transform(F.sequence(F.lit(-lags), F.lit(lags)), lambda k: F.struct(k.alias("lag"), (F.col(t) - k).alias("_t")))).alias("_s"))
     a = a.select(*keys, "_x", "_s.lag", F.col("_s._t").alias(t))
-    s = a.join(df.select(*keys, t, F.col(y).alias("_y")), [*keys, t]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
-    return s.join(n, keys).select(*keys, "lag", (F.col("_s") / F.col("_n")).alias("xcorr"))
-
-
-def lag_symmetry(xc: DataFrame, keys: list[str]) -> DataFrame:
-    """Similarity (eta squared) of the positive and mirrored negative lags in growing windows, its last value and slope."""
-    p = xc.where("lag > 0").select(*keys, "lag", F.col("xcorr").alias("_p")).join(xc.where("lag < 0").select(*keys, (-F.col("lag")).alias("lag"), F.col("xcorr").alias("_m")), [*keys, "lag"])
-    w = Window.partitionBy(*keys).orderBy("lag")
-    d = F.sum(F.pow(F.col("_p") - F.col("_m"), F.lit(2))).over(w) / 2
-    total = F.sum(F.col("_p") * F.col("_p") + F.col("_m") * F.col("_m")).over(w) - F.pow(F.sum(F.col("_p") + F.col("_m")).over(w), F.lit(2)) / (2 * F.count("*").over(w))
-    e = p.withColumn("eta2", 1 - F.try_divide(d, F.nullif(total, F.lit(0.0))))
-    return e.groupBy(*keys).agg(F.max_by("eta2", "lag").alias("symmetry"), F.regr_slope(F.col("eta2"), F.col("lag")).alias("slope"))
+    s = a.join(d.select(*keys, t, "_y", "_d"), [*keys, t]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"), F.first("_d").alias("_d"))
+    return s.select(*keys, "lag", F.coalesce(F.try_divide("_s", F.nullif("_d", F.lit(0.0))), F.lit(0.0)).alias("xcorr"))
+
+
+def lag_symmetry(xc: DataFrame, keys: list[str], parcel: str, windows: tuple[int, ...] = (5, 50, 100, 200, 400)) -> DataFrame:
+    """For each window of lags abs(2 * eta squared - 1) of the lag correlations of all parcels and their mirror image, and the line
+    over the windows. ``xc``: lag_correlations up to the largest window; lags without a row count as 0."""
+    d = xc.join(xc.select(*keys, parcel, (-F.col("lag")).alias("lag"), F.col("xcorr").alias("_m")), [*keys, parcel, "lag"], "full")
+    d = d.select(*keys, parcel, "lag", F.coalesce("xcorr", F.lit(0.0)).alias("_p"), F.coalesce("_m", F.lit(0.0)).alias("_m"))
+    d = d.withColumn("window", F.explode(F.array(*map(F.lit, windows)))).where("abs(lag) <= window")
+    n = (2 * F.col("window") + 1) * F.col("_parcels")
+    parcels = xc.groupBy(*keys).agg(F.count_distinct(parcel).alias("_parcels"))
+    sums = d.groupBy(*keys, "window").agg(F.sum(F.pow(F.col("_p") - F.col("_m"), F.lit(2))).alias("_d"), F.sum(F.col("_p") * F.col("_p") + F.col("_m") * F.col("_m")).alias("_q"), F.sum(F.col("_p") + F.col("_m")).alias("_l"))
+    eta = 1 - F.try_divide(F.col("_d") / 2, F.nullif(F.col("_q") - F.col("_l") * F.col("_l") / (2 * n), F.lit(0.0)))
+    e = (sums.join(parcels, keys) if keys else sums.crossJoin(parcels)).withColumn("symmetry", F.abs(2 * eta - 1))
+    line = e.groupBy(*keys).agg(F.regr_slope(F.col("symmetry"), F.col("window")).alias("slope"), F.regr_intercept(F.col("symmetry"), F.col("window")).alias("intercept"))
+    e = e.select(*keys, "window", "symmetry")
+    return e.join(line, keys) if keys else e.crossJoin(line)
 
 
 def complexity(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
@@ -199,16 +207,53 @@ def complexity(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.sqrt(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0))).alias("complexity"))
 
 
-def peaks(df: DataFrame, keys: list[str], t: str, x: str, height: float, distance: int) -> DataFrame:
-    """local maxima of at least ``height``; of two closer than ``distance`` the higher stays (greedy from the highest). A key is
-    one series of bounded length."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    c = df.withColumn("_b", F.lag(x).over(w)).withColumn("_a", F.lead(x).over(w)).where((F.col(x) > F.col("_b")) & (F.col(x) >= F.col("_a")) & (F.col(x) >= height))
-    rows = F.expr(f"array_sort(collect_list(struct(-{x} as h, {t} as t)))")
-    greedy = F.aggregate("_c", F.expr("cast(array() as array<struct<h: double, t: int>>)"), lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q["t"] - p["t"]) < distance), acc).otherwise(F.concat(acc, F.array(p))))
-    g = c.groupBy(*keys).agg(rows.alias("_c")).withColumn("_c", F.expr("transform(_c, p -> struct(cast(p.h as double) as h, cast(p.t as int) as t))"))
-    g = g.withColumn("_k", greedy)
-    return g.select(*keys, F.size("_k").alias("n_peaks"), F.transform("_k", lambda p: -p["h"])[0].alias("highest"), (F.aggregate("_k", F.lit(0.0), lambda s, p: s - p["h"]) / F.size("_k")).alias("mean_height"))
+def peak_table(v: np.ndarray, height: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heights and widths of the local maxima of at least ``height``, more than ``distance`` apart (the highest first). A width is taken
+    at half the prominence, between linear crossings."""
+    n = len(v)
+    change = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if n else np.zeros(0, int)  # the first point of each plateau
+    u = v[change]
+    top = change[1:-1][(u[1:-1] > u[:-2]) & (u[1:-1] > u[2:])] if len(u) > 2 else np.zeros(0, int)
+    top = top[v[top] >= height]
+    kept: list[int] = []
+    for i in top[np.lexsort((top, -v[top]))]:
+        if all(abs(i - j) > distance for j in kept):
+            kept.append(int(i))
+    kept.sort()
+    widths = []
+    for i in kept:
+        left = np.flatnonzero(v[:i] > v[i])
+        right = np.flatnonzero(v[i + 1 :] > v[i])
+        lo, hi = (left[-1] if len(left) else 0), (i + 1 + right[0] if len(right) else n - 1)
+        level = v[i] - (v[i] - max(v[lo : i + 1].min(), v[i : hi + 1].min())) / 2
+        a = i - 1
+        while v[a] > level:
+            a -= 1
+        b = i + 1
+        while v[b] > level:
+            b += 1
+        widths.append(b - (level - v[b]) / (v[b - 1] - v[b]) - (a + (level - v[a]) / (v[a + 1] - v[a])))
+    return v[kept], np.array(widths)
+
+
+def peaks(df: DataFrame, keys: list[str], t: str, x: str, factor: float = 1.0, distance: int = 100, heights: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3)) -> DataFrame:
+    """(keys, height, n_peaks, mean_height, sum_area, mean_area) for each least height times ``factor``: the mean height of the
+    peaks, and the sum and mean of height times width; zeros without a peak. A key is one series of bounded length."""
+    s = df.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({t}, {x}))), s -> cast(s.{x} as double))").alias("_s"))
+
+    @F.pandas_udf("array<struct<height: double, n_peaks: int, mean_height: double, sum_area: double, mean_area: double>>")
+    def found(series: pd.Series) -> pd.Series:
+        out = []
+        for v in series:
+            v, rows = np.nan_to_num(np.asarray(v, float)), []
+            for h in heights:
+                p, w = peak_table(v, h * factor, distance)
+                area = p * w
+                rows.append((h, len(p), float(p.mean()), float(area.sum()), float(area.mean())) if len(p) else (h, 0, 0.0, 0.0, 0.0))
+            out.append([dict(zip(("height", "n_peaks", "mean_height", "sum_area", "mean_area"), row)) for row in rows])
+        return pd.Series(out, dtype=object)
+
+    return s.select(*keys, F.inline(found("_s")))
 
 
 def signal_covariance(df: DataFrame, keys: list[str], x: str, g: str) -> DataFrame:

@@ -199,6 +199,11 @@ def weight_median(df: DataFrame, keys: list[str], w: str, source: str | None = N
     return long.groupBy(*keys, "f").agg(*aggs, *([F.count_distinct(source).alias("n_sources")] if source else []))
 
 
+def dataset_counts(df: DataFrame, keys: list[str], w: str, source: str) -> DataFrame:
+    """Records of each dataset for each place of a weight array."""
+    return df.select(*keys, source, F.posexplode(w).alias("f", "_w")).groupBy(*keys, source, "f").agg(F.count("_w").alias("n"))
+
+
 def first_valid(df: DataFrame, keys: list[str], order: str, x: str) -> DataFrame:
     """The first value that is there."""
     return df.groupBy(*keys).agg(F.min_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias("first_valid"))

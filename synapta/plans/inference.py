@@ -217,6 +217,13 @@ def best_baseline_delta(spark, d):
     return m.select("feature_set", "best", *(fn.r6(F.col(c)).alias(c) for c in ("median", "best_median", "delta")))
 
 
+@query("weight_counts", "SELECT label, CAST(f AS INT) AS f, count(w) AS n FROM (SELECT label, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY 1, 2")
+def weight_counts(spark, d):
+    """A dataset is a label"""
+    e = read(spark, d, "embeddings").select("label", F.col("embedding").alias("w"))
+    return inf.dataset_counts(e, [], "w", "label")
+
+
 @query("weight_median", "SELECT CAST(f AS INT) AS f, round(quantile_cont(w, 0.5), 6) + 0.0 AS median, count(w) AS n, count(DISTINCT label) AS n_sources FROM (SELECT label, unnest(range(64)) AS f, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY 1")
 def weight_median(spark, d):
     """E21 E22"""

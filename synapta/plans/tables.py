@@ -40,12 +40,24 @@ def ols_clean_full(spark, d):
     return r(cl.full_cleanup(brands(spark, d), ["loc"], ["one", "a", "b"], "y", "resid"), _K, ["resid"], 4)
 
 
-for _name in ("ols_clean_partial", "temporal_cleanup"):
-
-    @query(_name, f"SELECT {_KEY}, round(y - bb_ * b, 6) + 0.0 AS resid FROM {_BR} JOIN {_BETA} USING (loc)")
-    def _partial(spark, d):
-        """L3 L10"""
-        return r(cl.partial_cleanup(brands(spark, d), ["loc"], ["one", "a", "b"], ["b"], "y", "resid"), _K, ["resid"], 6)
+@query("ols_clean_partial", f"SELECT {_KEY}, round(y - bb_ * b, 6) + 0.0 AS resid FROM {_BR} JOIN {_BETA} USING (loc)")
+def ols_clean_partial(spark, d):
+    """L3"""
+    return r(cl.partial_cleanup(brands(spark, d), ["loc"], ["one", "a", "b"], ["b"], "y", "resid"), _K, ["resid"], 6)
+
+
+@query("temporal_cleanup", f"""WITH b AS (SELECT roi, t, x, CASE WHEN t < 40 THEN 0 ELSE 1 END AS run, avg(x) OVER (PARTITION BY t) AS g, (t % 12)::DOUBLE AS c FROM {_BM}),
+v AS (SELECT roi, run, stddev_samp(x) AS vn, avg(x) AS m FROM b GROUP BY 1, 2), u AS (SELECT roi, run, m, greatest(vn / avg(vn) OVER (PARTITION BY run), 0.001) AS vn FROM v),
+k AS (SELECT roi, avg(vn) AS back FROM u GROUP BY 1), s AS (SELECT avg(g) AS mg, stddev_samp(g) AS sg, avg(c) AS mc, stddev_samp(c) AS sc FROM (SELECT DISTINCT run, t, g, c FROM b)),
+d AS (SELECT b.roi, b.run, b.t, (x - m) / u.vn * back AS y, (g - mg) / sg AS ga, (c - mc) / sc AS ca, u.vn FROM b JOIN u USING (roi, run) JOIN k USING (roi), s),
+f AS (SELECT roi, covar_samp(ga, y) AS ay, covar_samp(ca, y) AS by_, covar_samp(ga, ca) AS ab, var_samp(ga) AS aa, var_samp(ca) AS bb FROM d GROUP BY 1)
+SELECT d.roi, CAST(run AS INT) AS run, CAST(t AS INT) AS t, round(y - (by_ * aa - ay * ab) / (aa * bb - ab * ab) * ca, 5) + 0.0 AS clean, round(vn, 6) AS vn FROM d JOIN f USING (roi)""")
+def temporal_cleanup(spark, d):
+    """Two runs; a global course that stays and a seasonal one that goes"""
+    b = brand_month(spark, d).withColumn("run", F.when(F.col("t") < 40, 0).otherwise(1))
+    b = b.withColumns({"g": F.avg("x").over(Window.partitionBy("t")), "c": (F.col("t") % 12).cast("double"), "vn": F.stddev_samp("x").over(Window.partitionBy("roi", "run"))})
+    out = cl.temporal_cleanup(b, ["roi"], "run", "t", "x", "vn", ["g", "c"], ["c"], "clean")
+    return out.select("roi", "run", F.col("t").cast("int").alias("t"), F.round("clean", 5).alias("clean"), F.round("vn", 6).alias("vn"))
 
 
 @query("nuisance_pair", f"SELECT {_KEY}, round(y - my - ay / aa * (a - ma), 4) + 0.0 AS one_out, round(y - my - ba * (a - ma) - bb_ * (b - mb), 4) + 0.0 AS both_out FROM {_BR} JOIN {_BETA} USING (loc)")
@@ -105,7 +117,8 @@ def _maps(spark, d):
 
 
 _MX = f"(SELECT v.*, CASE WHEN f < 32 THEN 1.0 ELSE 0.0 END AS m1, f / 64.0 AS m2 FROM {LONG} v)"
-_TC = f"(SELECT subid, any_value(label) AS label, (sum(m1 * x) * sum(m2 * m2) - sum(m2 * x) * sum(m1 * m2)) / (sum(m1 * m1) * sum(m2 * m2) - power(sum(m1 * m2), 2)) AS t1, (sum(m2 * x) * sum(m1 * m1) - sum(m1 * x) * sum(m1 * m2)) / (sum(m1 * m1) * sum(m2 * m2) - power(sum(m1 * m2), 2)) AS t2 FROM {_MX} GROUP BY subid)"
+_FIT = f"(SELECT subid, any_value(label) AS label, (covar_pop(m1, x) * var_pop(m2) - covar_pop(m2, x) * covar_pop(m1, m2)) / (var_pop(m1) * var_pop(m2) - power(covar_pop(m1, m2), 2)) AS t1, (covar_pop(m2, x) * var_pop(m1) - covar_pop(m1, x) * covar_pop(m1, m2)) / (var_pop(m1) * var_pop(m2) - power(covar_pop(m1, m2), 2)) AS t2 FROM {_MX} GROUP BY subid)"
+_TC = f"(SELECT subid, label, " + ", ".join(f"t{i} - avg(t{i}) OVER (PARTITION BY label) AS t{i}, stddev_samp(t{i}) OVER (PARTITION BY label) AS s{i}" for i in (1, 2)) + f" FROM {_FIT})"
 
 
 @query("dual_regression_courses", f"SELECT label, subid AS t, round(t1, 5) + 0.0 AS m1, round(t2, 5) + 0.0 AS m2 FROM {_TC}")
@@ -115,8 +128,8 @@ def dual_regression_courses(spark, d):
     return r(cl.dual_regression(x, _maps(spark, d), ["label"], "f", "t", "x", ["m1", "m2"])[0], ["label", "t"], ["m1", "m2"])
 
 
-@query("dual_regression", f"""WITH j AS (SELECT v.label, v.f, v.x, t1, t2 FROM {LONG} v JOIN {_TC} c ON c.subid = v.subid), s AS (SELECT label, f, covar_samp(t1, x) AS ax, covar_samp(t2, x) AS bx, covar_samp(t1, t2) AS ab, var_samp(t1) AS aa, var_samp(t2) AS bb FROM j GROUP BY 1, 2)
-SELECT label, CAST(f AS INT) AS f, round((ax * bb - bx * ab) / (aa * bb - ab * ab), 4) + 0.0 AS m1, round((bx * aa - ax * ab) / (aa * bb - ab * ab), 4) + 0.0 AS m2 FROM s""")
+@query("dual_regression", f"""WITH j AS (SELECT v.label, v.f, v.x, t1, t2, s1, s2 FROM {LONG} v JOIN {_TC} c ON c.subid = v.subid), s AS (SELECT label, f, any_value(s1) AS s1, any_value(s2) AS s2, covar_samp(t1, x) AS ax, covar_samp(t2, x) AS bx, covar_samp(t1, t2) AS ab, var_samp(t1) AS aa, var_samp(t2) AS bb FROM j GROUP BY 1, 2)
+SELECT label, CAST(f AS INT) AS f, round(s1 * (ax * bb - bx * ab) / (aa * bb - ab * ab), 4) + 0.0 AS m1, round(s2 * (bx * aa - ax * ab) / (aa * bb - ab * ab), 4) + 0.0 AS m2 FROM s""")
 def dual_regression(spark, d):
     """L11"""
     x = long_vectors(spark, d).withColumnRenamed("subid", "t")
@@ -125,19 +138,23 @@ def dual_regression(spark, d):
 
 @query("weighted_dual_regression")
 def weighted_dual_regression(spark, d):
-    """Weights from the agreement of the maps of even and odd vectors"""
+    """Alignment quality from three low-dimensional maps, smoothed over neighbouring positions"""
     x = long_vectors(spark, d).withColumnRenamed("subid", "t")
+    f = F.col("f")
     maps = _maps(spark, d)
-    both = [cl.dual_regression(x.where(f"t % 2 = {k}"), maps, ["label"], "f", "t", "x", ["m1", "m2"])[1].select("f", F.concat(F.col("label").cast("string"), F.lit("a")).alias("c"), F.col("m1").alias("v")) for k in (0, 1)]
-    w = cl.alignment_weights(both[0], both[1], "f", "c", "v")
-    return r(cl.dual_regression(x, maps.join(w, "f"), ["label"], "f", "t", "x", ["m1", "m2"], weight="weight")[1], ["label", "f"], ["m1", "m2"], 4)
+    low = maps.select("f", F.when(f < 16, 1.0).otherwise(0.0).alias("a"), (f / 64.0).alias("b"), ((f % 8) / 8.0).alias("c"))
+    near = maps.select("f", F.explode(F.sequence(f - 2, f + 2)).alias("other")).withColumn("w", F.exp(-F.pow(f - F.col("other"), F.lit(2)) / 2))
+    q = cl.alignment_quality(x, [(low, ["a", "b", "c"])], F.broadcast(near), ["label"], "f", "t", "x", checkpoint=io.checkpointed)
+    return r(cl.weighted_dual_regression(x, maps, q, ["label"], "f", "t", "x", ["m1", "m2"], checkpoint=io.checkpointed)[1], ["label", "f"], ["m1", "m2"], 4)
 
 
-@query("unmix", "SELECT vec_id, round(embedding[1]::DOUBLE * 1.0, 6) + 0.0 AS component1, round((embedding[2]::DOUBLE - embedding[1]::DOUBLE * 0.0) * 1.0, 6) + 0.0 AS component2 FROM embeddings")
+@query("unmix", """WITH e AS (SELECT vec_id, label, vec_id % 2 AS run, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+s AS (SELECT vec_id, a / stddev_samp(a) OVER (PARTITION BY label, run) * stddev_samp(a) OVER l AS a, b / stddev_samp(b) OVER (PARTITION BY label, run) * stddev_samp(b) OVER l AS b, stddev_samp(a) OVER l AS sa, stddev_samp(b) OVER l AS sb FROM e WINDOW l AS (PARTITION BY label))
+SELECT vec_id, round((0.6 * a - 0.2 * b) * abs(2 / sa - 1 / sb) / sqrt(2), 5) + 0.0 AS component1, round((0.4 * b - 0.2 * a) * abs(1 / sa - 3 / sb) / sqrt(2), 5) + 0.0 AS component2 FROM s""")
 def unmix(spark, d):
-    """Amplitudes of a diagonal mixing matrix come back to one"""
-    x = read(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("ab")))
-    return r(cl.unmix(x, [[2.0, 0.0], [0.0, 4.0]], ["a", "b"]).withColumns({"component1": F.col("component1") * 2, "component2": F.col("component2") * 2}), ["vec_id"], ["component1", "component2"], 6)
+    """A full mixing matrix, two runs a subject"""
+    x = read(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 2).alias("run"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("ab")))
+    return r(cl.unmix(x, [[2.0, 1.0], [1.0, 3.0]], ["a", "b"], ["label"], "run"), ["vec_id"], ["component1", "component2"])
 
 
 # --- maps and means ---------------------------------------------------------------------------------------------------
@@ -191,16 +208,22 @@ def shell_select(spark, d):
     return cl.shell(read(spark, d, "part"), "p_size", [10, 30], 2).select("p_partkey", "p_size")
 
 
-def _mad_sql(src, n):
-    for i in range(n):
-        src = f"(SELECT * EXCLUDE (med, mad) FROM (SELECT *, quantile_cont(abs(v - med), 0.5) OVER (PARTITION BY g) AS mad FROM (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY g) AS med FROM {src})) WHERE v < med + 2 * mad)"
-    return src
+def _mad_sql(passes):
+    ctes = [f"x AS (SELECT label, subid, f, x FROM {LONG})", "k0 AS (SELECT DISTINCT label, subid FROM x)"]
+    for i in range(1, passes + 1):
+        ctes += [
+            f"a{i} AS (SELECT label, f, avg(x) AS a FROM x JOIN k{i - 1} USING (label, subid) GROUP BY 1, 2)",
+            f"s{i} AS (SELECT label, subid, avg(power(x - a, 2)) AS score FROM x JOIN a{i} USING (label, f) GROUP BY 1, 2)",
+            f"m{i} AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY label) AS med FROM s{i})",
+            f"k{i} AS (SELECT label, subid, score FROM (SELECT *, quantile_cont(abs(score - med), 0.5) OVER (PARTITION BY label) AS mad FROM m{i}) WHERE score < med + 2 * mad)",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT label, subid, round(score, 6) AS score FROM k{passes}"
 
 
-@query("mad_filter", f"SELECT event_id, g FROM {_mad_sql('(SELECT event_id, event_type AS g, value AS v FROM events)', 3)}")
+@query("mad_filter", _mad_sql(3))
 def mad_filter(spark, d):
-    """C15"""
-    return cl.mad_filter(read(spark, d, "events").select("event_id", F.col("event_type").alias("g"), F.col("value").alias("v")), ["g"], "v").select("event_id", "g")
+    """A series is a label, a volume a vector"""
+    return r(cl.mad_filter(long_vectors(spark, d), ["label"], "subid", "f", "x"), ["label", "subid"], ["score"], 6)
 
 
 _ECHO = "(SELECT l_orderkey AS voxel, l_linenumber AS echo, l_linenumber * 12.0 AS te, any_value(y) AS y FROM (SELECT l_orderkey, l_linenumber, avg(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS y FROM lineitem) GROUP BY 1, 2, 3)"
@@ -217,6 +240,19 @@ def echo_combine(spark, d):
     return r(cl.combine_echoes(li, "voxel", "echo", "te", "y"), ["voxel", "n_used"], ["t2star", "combined"], 4)
 
 
+@query("echo_combine_weighted", f"""WITH e AS (SELECT *, coalesce(y > lag(y) OVER (PARTITION BY voxel ORDER BY echo), false) AS up FROM {_ECHO}),
+u AS (SELECT *, count(*) FILTER (WHERE up) OVER (PARTITION BY voxel ORDER BY echo) = 0 AND y > 0 AS use FROM e),
+s AS (SELECT voxel, count(*) AS n, sum(1 / y) AS sw, sum(te / y) AS sx, sum(ln(y) / y) AS sy, sum(te * te / y) AS sxx, sum(te * ln(y) / y) AS sxy FROM u WHERE use GROUP BY 1),
+f AS (SELECT voxel, n, CASE WHEN n > 1 THEN (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) END AS b FROM s),
+t AS (SELECT voxel, n, CASE WHEN b < 0 THEN least(-1 / b, 2240.0) ELSE 2240.0 END AS t2 FROM f)
+SELECT voxel, round(any_value(t2), 3) AS t2star, any_value(n) AS n_used, round(sum(te * exp(-te / t2) * y) / sum(te * exp(-te / t2)), 4) AS combined FROM u JOIN t USING (voxel) GROUP BY 1""")
+def echo_combine_weighted(spark, d):
+    """L16, each echo weighted by 1 / y"""
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("voxel"), F.col("l_linenumber").alias("echo")).agg(F.avg("l_quantity").alias("y")).withColumn("te", F.col("echo") * 12.0)
+    out = cl.combine_echoes(li, "voxel", "echo", "te", "y", weighted=True)
+    return out.select("voxel", "n_used", F.round("t2star", 3).alias("t2star"), F.round("combined", 4).alias("combined"))
+
+
 def _directions(spark, d):
     x = vectors(spark, d).select("label", (F.col("subid") % 20).alias("volume"), F.slice("x", 1, 3).alias("v"))
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
@@ -236,33 +272,43 @@ def average_directions(spark, d):
     return cl.average_directions(_directions(spark, d), ["label", "volume"], "b", "v")
 
 
-@query("amplitude_spectrum")
+@query("amplitude_spectrum", """WITH v AS (SELECT user_id, event_type, row_number() OVER w - 1 AS t, value - avg(value) OVER (PARTITION BY user_id, event_type) AS v FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+n AS (SELECT max(t) + 1 AS n FROM v), k AS (SELECT n, unnest(range((n + 1) // 2)) AS k FROM n),
+a AS (SELECT user_id, event_type, k, sqrt(power(sum(v * cos(2 * pi() * k * t / n)), 2) + power(sum(v * sin(2 * pi() * k * t / n)), 2)) AS a FROM v, k GROUP BY 1, 2, 3)
+SELECT event_type, CAST(k AS INT) AS freq, round(avg(a), 5) AS amplitude FROM a GROUP BY 1, 2""")
 def amplitude_spectrum(spark, d):
     """Averaged over subjects"""
     s = cl.spectrum(motion.frame_index(read(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]), ["user_id", "event_type"], "t", "value")
-    return s.groupBy("event_type", "freq").agg(F.round(F.avg("amplitude"), 6).alias("amplitude"))
+    return s.groupBy("event_type", "freq").agg(F.round(F.avg("amplitude"), 5).alias("amplitude"))
 
 
 @query("welch_spectrum")
 def welch_spectrum(spark, d):
     """L15"""
-    return r(cl.spectrum(brand_month(spark, d), ["roi"], "t", "x", segment=32), ["roi", "freq"], ["amplitude"], 6)
+    return r(cl.spectrum(brand_month(spark, d), ["roi"], "t", "x", tail=10), ["roi", "freq"], ["amplitude"], 6)
 
 
-@query("map_bias_correct", f"""WITH c AS (SELECT *, x / (factor * 0.8 + 0.2) AS c FROM (SELECT l_linenumber AS run, l_orderkey, l_partkey, l_quantity AS x, 1 + (l_discount - 0.05) * 4 AS factor FROM lineitem)),
-m AS (SELECT run, quantile_cont(x, 0.5) FILTER (WHERE round(factor, 1) = 1.0) AS mx, quantile_cont(c, 0.5) FILTER (WHERE round(factor, 1) = 1.0) AS mc FROM c GROUP BY 1)
-SELECT run, l_orderkey, l_partkey, round(c * mx / mc, 4) AS corrected FROM c JOIN m USING (run)""")
+_BIAS = "(SELECT run, l_orderkey, l_partkey, template, c * mt / mc AS corrected FROM c JOIN m USING (run))"
+_BIAS_CTES = """c AS (SELECT *, x / (factor * 0.8 + 0.2) AS c FROM (SELECT l_linenumber AS run, l_orderkey, l_partkey, l_quantity AS x, 1 + (l_discount - 0.05) * 4 AS factor, 25.0 + l_partkey % 7 AS template FROM lineitem)),
+m AS (SELECT run, quantile_cont(template, 0.5) FILTER (WHERE round(factor, 1) = 1.0) AS mt, quantile_cont(c, 0.5) FILTER (WHERE round(factor, 1) = 1.0) AS mc FROM c GROUP BY 1)"""
+
+
+def _bias_corrected(spark, d):
+    """Maps are lines of an order, locations parts; the template is known for each part."""
+    li = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("run"), "l_orderkey", "l_partkey", F.col("l_quantity").alias("x"), (1 + (F.col("l_discount") - 0.05) * 4).alias("factor"), (25.0 + F.col("l_partkey") % 7).alias("template"))
+    return cl.bias_correct(li, ["run"], "x", "factor", F.lit(0.8), F.lit(0.2), "template")
+
+
+@query("map_bias_correct", f"WITH {_BIAS_CTES} SELECT run, l_orderkey, l_partkey, round(corrected, 4) AS corrected FROM {_BIAS}")
 def map_bias_correct(spark, d):
     """L20"""
-    li = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("run"), "l_orderkey", "l_partkey", F.col("l_quantity").alias("x"), (1 + (F.col("l_discount") - 0.05) * 4).alias("factor"))
-    return r(cl.bias_correct(li, ["run"], "x", "factor", F.lit(0.8), F.lit(0.2)), ["run", "l_orderkey", "l_partkey"], ["corrected"], 4)
+    return r(_bias_corrected(spark, d), ["run", "l_orderkey", "l_partkey"], ["corrected"], 4)
 
 
-@query("template_cost", "SELECT l_linenumber AS run, round(sum(abs(l_quantity - 25.0) / 25.0), 3) AS cost FROM lineitem GROUP BY 1")
+@query("template_cost", f"WITH {_BIAS_CTES}, l AS (SELECT run, l_partkey, avg(corrected) AS x, any_value(template) AS t FROM {_BIAS} GROUP BY 1, 2) SELECT run, round(sum(abs(x - t) / t), 3) AS cost FROM l GROUP BY 1")
 def template_cost(spark, d):
-    """L20"""
-    li = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("run"), F.col("l_quantity").alias("x"), F.lit(25.0).alias("tpl"))
-    return r(cl.template_cost(li, ["run"], "x", "tpl"), ["run"], ["cost"], 3)
+    """Of the corrected maps"""
+    return r(cl.template_cost(_bias_corrected(spark, d), ["run"], ["l_partkey"], "corrected", "template"), ["run"], ["cost"], 3)
 
 
 @query("safe_ratio", "SELECT l_linenumber, l_orderkey, l_partkey, CASE WHEN l_tax = 0 AND l_discount = 0 THEN 0.0 WHEN l_tax = 0 THEN NULL ELSE round(l_discount / l_tax, 6) END AS ratio FROM lineitem")
@@ -381,7 +427,7 @@ def band_power_ratio(spark, d):
     return r(cp.band_power(long_vectors(spark, d).withColumn("p", F.col("x") * F.col("x")), ["subid"], "f", "p", (0, 8), (8, 40)), ["subid"], ["band_ratio"], 6)
 
 
-@query("noisy_points", "WITH c AS (SELECT user_id, quantile_cont(abs(value - 50), 0.875) AS cut FROM events GROUP BY 1) SELECT user_id, round(avg(abs(value)) FILTER (WHERE abs(value - 50) > cut) / avg(abs(value)) FILTER (WHERE abs(value - 50) <= cut), 6) AS noisy_ratio FROM events JOIN c USING (user_id) GROUP BY 1")
+@query("noisy_points", "WITH c AS (SELECT user_id, quantile_cont(abs(value - 50), 0.875) AS cut FROM events GROUP BY 1) SELECT user_id, round(coalesce(sum(abs(value)) FILTER (WHERE abs(value - 50) > cut), 0) / sum(abs(value)), 6) AS noisy_ratio FROM events JOIN c USING (user_id) GROUP BY 1")
 def noisy_points(spark, d):
     """N3"""
     return r(cp.noisy_points_ratio(read(spark, d, "events").withColumn("n", F.abs(F.col("value") - 50)), ["user_id"], "ts", "value", "n"), ["user_id"], ["noisy_ratio"], 6)
@@ -411,25 +457,31 @@ def series_stats(spark, d):
     return s.select("roi", "kurtosis", "yw1", *(F.round(c, 5).alias(c) for c in ("max_abs", "mean", "std", "ar1", "ar2")))
 
 
-_XC = f"(SELECT a.roi, b.t - a.t AS lag, sum(a.x * b.y) / any_value(n) AS xcorr FROM (SELECT *, count(*) OVER (PARTITION BY roi) AS n FROM {_BM}) a JOIN (SELECT roi, t, x * x / 50 AS y FROM {_BM}) b ON a.roi = b.roi AND b.t - a.t BETWEEN -5 AND 5 GROUP BY 1, 2)"
+_CENTRED = f"(SELECT roi, t, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, sqrt(var_pop(x) OVER w * var_pop(y) OVER w) * count(*) OVER w AS d FROM (SELECT roi, t, x, x * x / 50 AS y FROM {_BM}) WINDOW w AS (PARTITION BY roi))"
+_XC = f"(SELECT a.roi, a.t - b.t AS lag, sum(a.x * b.y) / any_value(a.d) AS xcorr FROM {_CENTRED} a JOIN {_CENTRED} b ON a.roi = b.roi AND a.t - b.t BETWEEN -5 AND 5 GROUP BY 1, 2)"
 
 
-def _xc(spark, d):
-    return cp.lag_correlations(brand_month(spark, d).withColumn("y", F.col("x") * F.col("x") / 50), ["roi"], "t", "x", "y", 5)
+def _xc(spark, d, lags):
+    return cp.lag_correlations(brand_month(spark, d).withColumn("y", F.col("x") * F.col("x") / 50), ["roi"], "t", "x", "y", lags)
 
 
-@query("xcorr_lags", f"SELECT roi, CAST(lag AS INT) AS lag, round(xcorr, 3) AS xcorr FROM {_XC}")
+@query("xcorr_lags", f"SELECT roi, CAST(lag AS INT) AS lag, round(xcorr, 5) + 0.0 AS xcorr FROM {_XC}")
 def xcorr_lags(spark, d):
     """F15"""
-    return r(_xc(spark, d), ["roi", "lag"], ["xcorr"], 3)
+    return r(_xc(spark, d, 5), ["roi", "lag"], ["xcorr"])
 
 
-@query("lag_symmetry", f"""WITH x AS (SELECT * FROM {_XC}), p AS (SELECT a.roi, a.lag, a.xcorr AS p, b.xcorr AS m FROM x a JOIN x b ON a.roi = b.roi AND b.lag = -a.lag WHERE a.lag > 0),
-e AS (SELECT roi, lag, 1 - (sum(power(p - m, 2)) OVER w / 2) / nullif(sum(p * p + m * m) OVER w - power(sum(p + m) OVER w, 2) / (2 * count(*) OVER w), 0) AS eta2 FROM p WINDOW w AS (PARTITION BY roi ORDER BY lag))
-SELECT roi, round(arg_max(eta2, lag), 4) + 0.0 AS symmetry, round(regr_slope(eta2, lag), 4) + 0.0 AS slope FROM e GROUP BY 1""")
+@query("lag_symmetry", f"""WITH x AS (SELECT substr(roi, 7, 1) AS comp, * FROM {_XC.replace("BETWEEN -5 AND 5", "BETWEEN -400 AND 400")}), n AS (SELECT comp, count(DISTINCT roi) AS parcels FROM x GROUP BY 1),
+m AS (SELECT a.comp, a.lag, a.xcorr AS p, coalesce(b.xcorr, 0) AS m FROM x a LEFT JOIN x b ON a.roi = b.roi AND b.lag = -a.lag),
+s AS (SELECT comp, w, sum(power(p - m, 2)) AS d, sum(p * p + m * m) AS q, sum(p + m) AS l FROM m, (SELECT unnest([5, 50, 100, 200, 400]) AS w) WHERE abs(lag) <= w GROUP BY 1, 2),
+e AS (SELECT comp, w, abs(2 * (1 - d / 2 / (q - l * l / (2 * (2 * w + 1) * parcels))) - 1) AS symmetry FROM s JOIN n USING (comp)),
+f AS (SELECT comp, regr_slope(symmetry, w) AS slope, regr_intercept(symmetry, w) AS intercept FROM e GROUP BY 1)
+SELECT comp, CAST(w AS INT) AS "window", round(symmetry, 5) + 0.0 AS symmetry, round(slope, 7) + 0.0 AS slope, round(intercept, 5) + 0.0 AS intercept FROM e JOIN f USING (comp)""")
 def lag_symmetry(spark, d):
-    """N12"""
-    return r(cp.lag_symmetry(_xc(spark, d), ["roi"]), ["roi"], ["symmetry", "slope"], 4)
+    """A component is the brands of a maker, its parcels are the brands"""
+    x = _xc(spark, d, 400).withColumn("comp", F.substring("roi", 7, 1))
+    out = cp.lag_symmetry(x, ["comp"], "roi")
+    return out.select("comp", "window", F.round("symmetry", 5).alias("symmetry"), F.round("slope", 7).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 @query("complexity", f"SELECT roi, round(sqrt(sum(power(d, 2))), 5) AS complexity FROM (SELECT roi, x - lag(x) OVER (PARTITION BY roi ORDER BY t) AS d FROM {_BM}) GROUP BY 1")
@@ -441,7 +493,8 @@ def complexity(spark, d):
 @query("peak_stats")
 def peak_stats(spark, d):
     """F17"""
-    return r(cp.peaks(brand_month(spark, d), ["roi"], "t", "x", 25.0, 3), ["roi", "n_peaks"], ["highest", "mean_height"], 6)
+    b = brand_month(spark, d).withColumn("x", F.col("x") - 25.5)
+    return r(cp.peaks(b, ["roi"], "t", "x", 10.0, 10), ["roi", "height", "n_peaks"], ["mean_height", "sum_area", "mean_area"], 6)
 
 
 @query("gs_covariance", f"WITH b AS (SELECT *, avg(x) OVER (PARTITION BY t) AS g FROM {_BM}) SELECT roi, round(abs(covar_samp(x, g)), 5) AS gs_cov, round(var_samp(x), 5) AS var FROM b GROUP BY 1")

@@ -221,7 +221,7 @@ def test_principal_direction_and_spectrum(spark):
     r = one(cleaning.average_directions(df, ["k"], "b", "v"))
     assert r.bval == pytest.approx(1000) and np.allclose(r.bvec, [0.6, 0.8, 0])
     wave = spark.createDataFrame([(1, t, math.sin(2 * math.pi * 4 * t / 32)) for t in range(32)], "k int, t int, x double")
-    s = {r.freq: r.amplitude for r in cleaning.spectrum(wave, ["k"], "t", "x", 32).collect()}
+    s = {r.freq: r.amplitude for r in cleaning.spectrum(wave, ["k"], "t", "x").collect()}
     assert max(s, key=s.get) == 4
 
 
@@ -229,14 +229,100 @@ def test_spectrum_uses_whole_series(spark):
     x = np.random.default_rng(5).normal(size=83)
     rows = [(1, t, float(v)) for t, v in enumerate(x)] + [(2, t, float(v)) for t, v in enumerate(x[:20])]
     df = spark.createDataFrame(rows, "k int, t int, x double")
-    got = {(r.k, r.freq): r.amplitude for r in cleaning.spectrum(df, ["k"], "t", "x", 16).collect()}
+    got = {(r.k, r.freq): r.amplitude for r in cleaning.spectrum(df, ["k"], "t", "x").collect()}
     for k, v in ((1, x), (2, x[:20])):  # both on the grid of the longest
-        want = np.abs(np.fft.rfft(v - v.mean(), 83)) / 83
+        want = np.abs(np.fft.fft(v - v.mean(), 83))[:42]
         assert np.allclose([got[k, f] for f in range(42)], want) and (k, 42) not in got
-    got = {r.freq: r.amplitude for r in cleaning.spectrum(df.where("k = 1"), ["k"], "t", "x", 64, segment=32).collect()}
-    power = lambda a: np.abs(np.fft.rfft((x[a : a + 32] - x[a : a + 32].mean()) * np.hanning(32))) ** 2
-    want = np.mean([power(a) for a in (0, 16, 32, 48, 51)], axis=0)
-    assert np.allclose([got[f] for f in range(17)], want / want[-10:].mean())
+
+
+@pytest.mark.parametrize("n", [83, 90])
+def test_welch_by_definition(n):
+    """Eight Hamming segments of floor(n / 4.5) points, half overlapping, transformed at the frequencies of the whole series."""
+    x = np.random.default_rng(6).normal(size=n)
+    size = int(n / 4.5)
+    w = [0.54 - 0.46 * math.cos(2 * math.pi * i / (size - 1)) for i in range(size)]
+    starts = [k * (size - size // 2) for k in range(8)]
+    want = []
+    for f in range(n // 2 + 1):
+        p = [abs(sum(w[i] * x[a + i] * np.exp(-2j * np.pi * f * i / n) for i in range(size))) ** 2 for a in starts]
+        want.append(np.mean(p) * (1 if f == 0 else 2))
+    assert starts[-1] + size <= n < starts[-1] + size + (size - size // 2)
+    assert np.allclose(cleaning.welch(x), want[:-1])
+
+
+def wdr(maps, data, weights):
+    """Weighted dual regression of maps (locations x components) on data (locations x time): (maps, courses)."""
+    demean = lambda a: a - a.mean(0)
+    root = np.sqrt(weights)[:, None]
+    courses = demean((np.linalg.pinv(demean(maps * root)) @ demean(data * root)).T)
+    scaled = courses / courses.std(0, ddof=1)
+    return (np.linalg.pinv(scaled) @ demean(data.T)).T, courses
+
+
+def test_weighted_dual_regression(spark):
+    rng = np.random.default_rng(8)
+    n_loc, n_t = 24, 15
+    data, area = rng.normal(size=(n_loc, n_t)), rng.uniform(0.5, 2, n_loc)
+    group, low = rng.normal(size=(n_loc, 2)), [rng.normal(size=(n_loc, 3)), rng.normal(size=(n_loc, 4))]
+    for m in low:
+        data[:, : m.shape[1]] += 3 * m
+    kernel = np.exp(-np.abs(np.subtract.outer(range(n_loc), range(n_loc))) / 2.0)
+    zs = []
+    for m in low:
+        twice = wdr(wdr(m, data, area)[0], data, area)[0]
+        zs.append([np.arctanh(np.clip(np.corrcoef(a, b)[0, 1], -1 + 1e-6, 1 - 1e-6)) for a, b in zip(twice, m)])
+    q = np.mean(zs, axis=0)
+    quality = np.maximum(q.mean() + q - (kernel * q).sum(1) / kernel.sum(1), 0) ** 3
+    once = wdr(group, data, area * quality)[0]
+    want, courses = wdr((once - once.mean(0)) / once.std(0, ddof=1), data, area)
+
+    frame = lambda m: spark.createDataFrame([(i, float(area[i]), *map(float, m[i])) for i in range(n_loc)], "loc int, area double, " + ", ".join(f"c{k} double" for k in range(m.shape[1])))
+    df = spark.createDataFrame([("s", i, j, float(data[i, j])) for i in range(n_loc) for j in range(n_t)], "sub string, loc int, t int, x double").cache()
+    near = spark.createDataFrame([(i, j, float(kernel[i, j])) for i in range(n_loc) for j in range(n_loc)], "loc int, other int, w double")
+    sets = [(frame(m), [f"c{k}" for k in range(m.shape[1])]) for m in low]
+    got_q = cleaning.alignment_quality(df, sets, near, ["sub"], "loc", "t", "x", "area", checkpoint=io.checkpointed)
+    assert np.allclose([r.quality for r in got_q.orderBy("loc").collect()], quality)
+    tc, maps = cleaning.weighted_dual_regression(df, frame(group), io.checkpointed(got_q), ["sub"], "loc", "t", "x", ["c0", "c1"], "area", checkpoint=io.checkpointed)
+    assert np.allclose([(r.c0, r.c1) for r in maps.orderBy("loc").collect()], want)
+    assert np.allclose([(r.c0, r.c1) for r in tc.orderBy("t").collect()], courses)
+
+
+def test_unmix(spark):
+    rng = np.random.default_rng(9)
+    a, x = rng.normal(size=(3, 2)), rng.normal(size=(3, 20)) * [[1], [5], [9]]
+    run = np.arange(20) // 12
+    sd = x.std(1, ddof=1, keepdims=True)
+    even = np.hstack([x[:, run == k] / x[:, run == k].std(1, ddof=1, keepdims=True) for k in (0, 1)]) * sd
+    want = np.linalg.pinv(a) @ even * (a / sd).std(0, ddof=1)[:, None]
+    df = spark.createDataFrame([("s", int(run[j]), j, *map(float, x[:, j])) for j in range(20)], "sub string, run int, t int, p double, q double, r double")
+    got = cleaning.unmix(df, a.tolist(), ["p", "q", "r"], ["sub"], "run").orderBy("t").collect()
+    assert np.allclose([(r.component1, r.component2) for r in got], want.T)
+
+
+def test_mad_filter_judges_all_volumes_again(spark):
+    x = np.random.default_rng(10).normal(size=(30, 8)) * 0.1
+    x[3] += 5
+    x[7] += 1.2  # far from the rest only once volume 3 is out of the average
+    kept = np.arange(30)
+    for _ in range(3):
+        sc = ((x - x[kept].mean(0)) ** 2).mean(1)
+        kept = np.flatnonzero(sc < np.median(np.abs(sc - np.median(sc)) * 2 + np.median(sc)))
+    df = spark.createDataFrame([("s", i, j, float(x[i, j])) for i in range(30) for j in range(8)], "s string, v int, loc int, x double")
+    got = cleaning.mad_filter(df, ["s"], "v", "loc", "x").orderBy("v").collect()
+    assert [r.v for r in got] == kept.tolist() and np.allclose([r.score for r in got], sc[kept])
+
+
+def test_peaks(spark):
+    v = [0, 1, 4, 1, 0, 0, 2, 2, 0, 0.5, 0, 3, 1, 2, 0]
+    p, w = cp.peak_table(np.array(v, float), 1.0, 1)
+    # prominences 4, 2, 3 and 1: half of each down, by linear crossings
+    assert p.tolist() == [4, 2, 3, 2] and np.allclose(w, [2 + 2 / 3 - (1 + 1 / 3), 7.5 - 5.5, 11.75 - 10.5, 13.25 - 12.5])
+    assert cp.peak_table(np.array(v, float), 1.0, 2)[0].tolist() == [4, 2, 3]  # 2 apart is too close to the higher one
+    df = spark.createDataFrame([("s", t, float(x)) for t, x in enumerate(v)], "k string, t int, x double")
+    rows = cp.peaks(df, ["k"], "t", "x", 10.0, 1).orderBy("height").collect()
+    assert [r.n_peaks for r in rows] == [5, 4, 3 + 1, 2]
+    assert rows[3].mean_height == 3.5 and rows[3].sum_area == pytest.approx(float((p * w)[[0, 2]].sum())) and rows[3].mean_area == pytest.approx(rows[3].sum_area / 2)
+    assert cp.peaks(df, ["k"], "t", "x", 100.0, 1).where("n_peaks > 0").count() == 0
 
 
 def test_registered_ensemble_is_that_of_the_reference(spark, monkeypatch):
@@ -262,6 +348,12 @@ def test_echo_fit(spark):
     rows = [(1, e, 10.0 * e, 100 * math.exp(-10 * e / 50)) for e in (1, 2, 3)] + [(2, 1, 10.0, 5.0), (2, 2, 20.0, 9.0)]
     out = {r.v: r for r in cleaning.combine_echoes(spark.createDataFrame(rows, "v int, e int, te double, y double"), "v", "e", "te", "y").collect()}
     assert out[1].t2star == pytest.approx(50) and out[2].t2star == 2240 and out[2].n_used == 1
+    noisy = [(1, e, 10.0 * e, y) for e, y in ((1, 90.0), (2, 60.0), (3, 20.0))]
+    got = one(cleaning.combine_echoes(spark.createDataFrame(noisy, "v int, e int, te double, y double"), "v", "e", "te", "y", weighted=True))
+    y = np.array([90.0, 60.0, 20.0])
+    root = np.sqrt(1 / y)
+    slope = (np.linalg.pinv(np.column_stack([[10.0, 20.0, 30.0] * root, root])) @ (np.log(y) * root))[0]
+    assert got.t2star == pytest.approx(-1 / slope)
 
 
 def test_group_pca_is_exact(spark):
