@@ -304,34 +304,86 @@ def reclassified(lists: DataFrame, comp: list[str]) -> DataFrame:
     return g.select(*comp, F.when(bad, F.raise_error(F.lit("inconsistent component lists"))).otherwise((F.col("s") & ~F.col("tn")) | F.col("ts")).alias("is_signal"))
 
 
+def boosted_trees(x: np.ndarray, y: np.ndarray, depth: int, iterations: int, step: float, subsample: float, seed: int, bins: int = 32, ridge: float = 1.0) -> tuple[np.ndarray, ...]:
+    """Gradient-boosted trees for the logistic loss: (feature, threshold) of each inner node and the value of each leaf, by tree.
+
+    Full trees by levels; the children of node i are 2 i + 1 (x up to the threshold) and 2 i + 2. Splits are sought among ``bins``
+    quantiles of each feature, by sums of first and second derivatives with an L2 penalty; a node without a gain sends all rows left.
+    """
+    rng, (n, p), inner = np.random.default_rng(seed), x.shape, (1 << depth) - 1
+    edges = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], axis=0)  # bins - 1 by features
+    code = np.array([np.searchsorted(edges[:, f], x[:, f]) for f in range(p)]).T  # x <= edge k if code <= k
+    cell = np.arange(p) * bins + code
+    feature, threshold, leaf = np.zeros((iterations, inner), np.int32), np.full((iterations, inner), np.inf), np.zeros((iterations, inner + 1))
+    raw = np.zeros(n)
+    for it in range(iterations):
+        prob = 1 / (1 + np.exp(-raw))
+        used = rng.random(n) < subsample
+        g, h = np.where(used, prob - y, 0.0), np.where(used, prob * (1 - prob), 0.0)
+        node = np.zeros(n, np.int64)
+        for level in range(depth):
+            first, width = (1 << level) - 1, 1 << level
+            at = ((node - first)[:, None] * (p * bins) + cell).ravel()
+            left = [np.bincount(at, np.repeat(v, p), width * p * bins).reshape(width, p, bins).cumsum(2) for v in (g, h)]
+            (gl, hl), (gt, ht) = left, (v[:, :1, -1:] for v in left)
+            gain = (gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge))[:, :, :-1].reshape(width, -1)
+            best = gain.argmax(1)
+            found = gain[np.arange(width), best] > 1e-9
+            f, k = best // (bins - 1), best % (bins - 1)
+            feature[it, first : first + width] = f
+            threshold[it, first : first + width] = np.where(found, edges[k, f], np.inf)
+            of = node - first
+            node = 2 * node + 1 + (found[of] & (code[np.arange(n), f[of]] > k[of]))
+        of = node - inner
+        leaf[it] = -step * np.bincount(of, g, inner + 1) / (np.bincount(of, h, inner + 1) + ridge)
+        raw += leaf[it, of]
+    return feature, threshold, leaf
+
+
+def boosted_probability(model: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    feature, threshold, leaf = model
+    rows, raw = np.arange(len(x)), np.zeros(len(x))
+    for f, t, v in zip(feature, threshold, leaf):
+        node = np.zeros(len(x), np.int64)
+        while len(node) and node[0] < len(f):  # all rows are on one level
+            node = 2 * node + 1 + (x[rows, f[node]] > t[node])
+        raw += v[node - len(f)]
+    return 1 / (1 + np.exp(-raw))
+
+
 def balanced_ensemble(
     df: DataFrame, key: str, features: str, label: str, seed: str, bags: int = 100, depth: int = 4, iterations: int = 200, step: float = 0.3, subsample: float = 0.5, ratio: float = 0.7,
-    parallel: int = 4,
+    most: int = 5_000,
 ) -> DataFrame:
     """Mean probability of gradient-boosted trees, each learnt on a sample, balanced by a hash of the id, that takes ``ratio`` of
-    the smaller class from either class. All models are fitted first (``parallel`` at a time) and score the rows in one pass."""
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    the smaller class from either class, about ``most`` rows of a class at most. A sample is one task; the models, of a size
+    fixed by the parameters, are broadcast and score all rows in one narrow pass. Labels are 0 and 1; a class without rows is an error."""
     from synapta.functions import seeded
 
-    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # two classes
-    least = min(n.values())
-    data = df.withColumn("features", array_to_vector(features))
-
-    def fit(b: int):
-        part = F.conv(F.substring(seeded(f"{seed}{b}", F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-        share = F.lit(1.0)
-        for c, m in n.items():
-            share = F.when(F.col(label) == c, F.lit(ratio * least / m)).otherwise(share)
-        return GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=iterations, stepSize=step, subsamplingRate=subsample, seed=b).fit(data.where(part < share))
-
-    with ThreadPool(parallel) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(bags), chunksize=1)
-    out = data.select(key, "features", F.lit(0.0).alias("_sum"))
-    for model in models:
-        out = model.transform(out).select(key, "features", (F.col("_sum") + vector_to_array("probability")[1]).alias("_sum"))
-    return out.select(key, (F.col("_sum") / bags).alias("probability"))
+    spark = df.sparkSession
+    n = {int(r[label]): r["count"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    if len(n) < 2:
+        raise ValueError("balanced samples need rows of both classes")
+    take = min(ratio * min(n.values()), most)
+    share = F.when(F.col(label) == 0, F.lit(take / n[0])).otherwise(F.lit(take / n[1]))
+    data = df.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(features).cast("array<double>").alias("_x"), F.col(label).cast("int").alias("_y"), share.alias("_share"))
+    part = lambda b: F.conv(F.substring(seeded(F.concat(F.lit(seed), b.cast("string")), F.col("_key")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    bagged = data.select("_key", "_x", "_y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: part(b) < F.col("_share"))).alias("bag"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_key")
+        x = np.nan_to_num(np.array(pdf["_x"].tolist(), float))
+        feature, threshold, leaf = boosted_trees(x, pdf["_y"].to_numpy(float), depth, iterations, step, subsample, int(pdf["bag"].iloc[0]))
+        return pd.DataFrame({"bag": [pdf["bag"].iloc[0]], "feature": [feature.tobytes()], "threshold": [threshold.tobytes()], "leaf": [leaf.tobytes()]})
+
+    fitted = bagged.repartition(bags, "bag").groupBy("bag").applyInPandas(fit, "bag int, feature binary, threshold binary, leaf binary").collect()  # bags rows
+    inner = (1 << depth) - 1
+    read = lambda v, kind, width: np.frombuffer(bytes(v), kind).reshape(-1, width)
+    models = spark.sparkContext.broadcast([(read(r["feature"], np.int32, inner), read(r["threshold"], float, inner), read(r["leaf"], float, inner + 1)) for r in sorted(fitted, key=lambda r: r["bag"])])
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        v = np.nan_to_num(np.array(x.tolist(), float))
+        return pd.Series(np.mean([boosted_probability(m, v) for m in models.value], axis=0) if len(v) else [])
+
+    return df.select(key, score(F.col(features).cast("array<double>")).alias("probability"))

@@ -150,8 +150,8 @@ def minmax(long: DataFrame, keys: list[str], x: str, train: str, out: str) -> Da
 
 def zscore_or_zero(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     """Population z-score, 0 where there is no variance (trap T13)."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.coalesce(F.try_divide(F.col(x) - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0))), F.lit(0.0)))
+    m = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    return df.join(m, keys).withColumn(out, F.coalesce(F.try_divide(F.col(x) - F.col("_m"), F.nullif("_s", F.lit(0.0))), F.lit(0.0))).drop("_m", "_s")
 
 
 # --- partial least squares -----------------------------------------------------------------------------------------
@@ -296,8 +296,8 @@ def outer_folds(subid: np.ndarray, time_id: int, folds: int, seed: str) -> np.nd
 
 
 def inner_split(n: int, folds: int, key: list[int]) -> np.ndarray:
-    """Inner folds of n training rows in their order by descending y: each block dealt in seeded order."""
-    return np.random.default_rng(key).random((-(-n // folds), folds)).argsort(axis=1).ravel()[:n]
+    """Inner folds of n training rows, dealt at random; the remainder goes to the first folds."""
+    return np.random.default_rng(key).permutation(np.arange(n) % folds)
 
 
 def nested_cv(
@@ -443,22 +443,23 @@ def nested_cv(
     return kept.groupBy("time_id", "fold").applyInPandas(choose, RESULT)
 
 
-def pls1_long(long: DataFrame, subject: str, f: str, x: str, y: str, k: int, checkpoint=None) -> tuple[DataFrame, list[DataFrame]]:
+def pls1_long(long: DataFrame, subject: str, f: str, x: str, y: str, k: int, checkpoint=lambda d: d) -> tuple[DataFrame, list[DataFrame]]:
     """J4, path A: one large model over (subject, f, x, y) by two aggregations a component; (scores, weights of each component).
 
     x and y are standardised first. Each round: w from sums over subjects, t from sums over features, loadings from sums over
     subjects again; deflation is a projection. ``checkpoint`` cuts the lineage of a round (see synapta.sources.io.checkpointed).
     """
-    wf = Window.partitionBy(f)
+    moments = long.groupBy(f).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     ys = long.select(subject, y).distinct()
     ys = ys.crossJoin(F.broadcast(ys.agg(F.avg(y).alias("_m"), F.stddev_samp(y).alias("_s")))).select(subject, ((F.col(y) - F.col("_m")) / F.col("_s")).alias("_y"))
-    e = long.select(subject, f, F.coalesce(F.try_divide(F.col(x) - F.avg(x).over(wf), F.nullif(F.stddev_samp(x).over(wf), F.lit(0.0))), F.lit(0.0)).alias("_x")).join(ys, subject)
+    e = long.join(moments, f).select(subject, f, F.coalesce(F.try_divide(F.col(x) - F.col("_m"), F.nullif("_s", F.lit(0.0))), F.lit(0.0)).alias("_x"))
+    e = checkpoint(e.join(ys, subject))
     scores, weights = ys, []
     for a in range(k):
         w = e.groupBy(f).agg(F.sum(F.col("_x") * F.col("_y")).alias("_w"))
         norm = w.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
         w = w.crossJoin(F.broadcast(norm)).select(f, F.coalesce(F.try_divide("_w", F.nullif("_n", F.lit(0.0))), F.lit(0.0)).alias("_w"))
-        t = e.join(w, f).groupBy(subject).agg(F.sum(F.col("_x") * F.col("_w")).alias("_t"), F.first("_y").alias("_y"))
+        t = checkpoint(e.join(w, f).groupBy(subject).agg(F.sum(F.col("_x") * F.col("_w")).alias("_t"), F.first("_y").alias("_y")))
         tt = t.agg(F.sum(F.col("_t") * F.col("_t")).alias("_tt"), F.sum(F.col("_t") * F.col("_y")).alias("_ty"))
         joined = e.drop("_y").join(t, subject).crossJoin(F.broadcast(tt))
         load = joined.groupBy(f).agg(F.try_divide(F.sum(F.col("_x") * F.col("_t")), F.nullif(F.first("_tt"), F.lit(0.0))).alias("_p"))
@@ -466,8 +467,7 @@ def pls1_long(long: DataFrame, subject: str, f: str, x: str, y: str, k: int, che
         scores = scores.join(t.crossJoin(F.broadcast(tt)).select(subject, F.col("_t").alias(f"t{a + 1}"), (q * F.col("_t")).alias(f"fit{a + 1}")), subject)
         weights.append(w)
         if a + 1 < k:
-            e = joined.join(load, f).select(subject, f, (F.col("_x") - F.col("_t") * F.coalesce("_p", F.lit(0.0))).alias("_x"), (F.col("_y") - q * F.col("_t")).alias("_y"))
-            e = checkpoint(e) if checkpoint else e
+            e = checkpoint(joined.join(load, f).select(subject, f, (F.col("_x") - F.col("_t") * F.coalesce("_p", F.lit(0.0))).alias("_x"), (F.col("_y") - q * F.col("_t")).alias("_y")))
     return scores, weights
 
 

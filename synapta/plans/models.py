@@ -103,7 +103,12 @@ def residualise(spark, d):
     return md.residuals(x, ["f"], names, "x", "resid").select("subid", "f", F.round("resid", 5).alias("resid"))
 
 
-@query("residualise_site")
+_SITE = f"(SELECT l.subid, l.f, l.x, lang, length(coalesce(text, '')) / 1000.0 AS c FROM {LONG} l JOIN documents ON doc_id = l.subid)"
+
+
+@query("residualise_site", f"""WITH v AS (SELECT * FROM {_SITE}), g AS (SELECT f, lang, avg(x) AS mx, avg(c) AS mc FROM v WHERE subid % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT f, sum((c - mc) * (x - mx)) / sum(power(c - mc, 2)) AS b FROM v JOIN g USING (f, lang) WHERE subid % 2 = 0 GROUP BY 1)
+SELECT subid, CAST(f AS INT) AS f, round(x - mx - b * (c - mc), 5) + 0.0 AS resid FROM v JOIN g USING (f, lang) JOIN b USING (f)""")
 def residualise_site(spark, d):
     """Site dummies and motion, fitted on even subjects, applied to all"""
     x, names = md.design(covariates(spark, d), ["lang"], ["motion"])
@@ -134,7 +139,7 @@ q2 AS (SELECT sum(t * y) / sum(t * t) AS q FROM t2)"""
 
 
 def _scores(spark, d, k):
-    return md.pls1_long(long_vectors(spark, d).withColumn("label", F.col("label").cast("double")), "subid", "f", "x", "label", k)[0]
+    return md.pls1_long(long_vectors(spark, d).withColumn("label", F.col("label").cast("double")), "subid", "f", "x", "label", k, io.checkpointed)[0]
 
 
 @query("pls1_k1", f"WITH {_STD} SELECT subid, round(t, 5) + 0.0 AS t1, round(q * t, 5) + 0.0 AS yhat FROM t1, q1")

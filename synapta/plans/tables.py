@@ -577,6 +577,14 @@ def scan_sniffed_motion(spark, d):
     return m.select(F.col("subid").cast("bigint").alias("subid"), "frame", fn.r6(F.col("fd")).alias("fd"))
 
 
+@query("discover_files", f"SELECT DISTINCT run_key FROM {FRAMES}")
+def discover_files(spark, d):
+    """A2: files found below a root, their keys recovered from the paths"""
+    path = io.scratch(spark, "found")
+    frames(spark, d).select("run_key", F.format_string("%.8f", F.col("fd")).alias("value")).write.partitionBy("run_key").text(path)
+    return io.discover(spark, path, "*.txt", {"run_key": "run_key=([^/]+)"}).where("length > 0").select("run_key").distinct()
+
+
 @query("scan_params_12col", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS p1, l_quantity + 11 AS p12 FROM lineitem")
 def scan_params_12col(spark, d):
     """A3"""
@@ -609,8 +617,10 @@ def scan_bom_csv(spark, d):
 @query("scan_auto_header", "SELECT c_custkey AS subid, c_acctbal AS age FROM customer")
 def scan_auto_header(spark, d):
     """A7"""
-    c = read(spark, d, "customer").withColumnsRenamed({"c_custkey": "src_subject_key", "c_acctbal": "interview_age"})
-    return c.select(F.col(io.resolve_column(c.columns, "participant", "subject")).alias("subid"), F.col(io.resolve_column(c.columns, "age")).alias("age"))
+    path = io.scratch(spark, "headers")
+    read(spark, d, "customer").select("c_name", F.col("c_custkey").alias("src_subject_key"), F.col("c_acctbal").alias("interview_age")).write.csv(path, header=True)
+    found = io.scan_auto_header(spark, path, {"subid": ("participant", "subject"), "age": ("age",)})
+    return found.select(F.col("subid").cast("bigint").alias("subid"), F.col("age").cast("double").alias("age"))
 
 
 _IDS = "(SELECT user_id, row_number() OVER (ORDER BY md5(concat('list|', user_id)), user_id) - 1 AS pos FROM (SELECT DISTINCT user_id FROM events))"
@@ -667,9 +677,10 @@ def scan_holdout(spark, d):
 
 @query("matrix_fallback", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'raw' ELSE 'z' END AS source FROM customer")
 def matrix_fallback(spark, d):
-    """A12"""
-    c = read(spark, d, "customer").select("c_custkey")
-    return io.with_fallback(c.where("c_custkey % 3 <> 0").withColumn("source", F.lit("z")), c.withColumn("source", F.lit("raw")), ["c_custkey"])
+    """Every key has the plain matrix, some the transformed one, which goes first"""
+    c = read(spark, d, "customer").select("c_custkey", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("GG_FC"))).otherwise(F.array(F.lit("GG_FC"), F.lit("GG_FC_Z")))).alias("name"))
+    found = io.lookup_named(c.withColumn("source", F.when(F.col("name") == "GG_FC", "raw").otherwise("z")), ["c_custkey"], "name", ["GG_FC_Z", "GG_FC"])
+    return found.select("c_custkey", "source")
 
 
 @query("matrix_complete", "SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3")
@@ -705,9 +716,10 @@ def first_differences(spark, d):
 def sink_feature_matrix(spark, d):
     """A16"""
     path = io.scratch(spark, "features")
-    io.write_features(vectors(spark, d).select("subid", F.col("label").cast("string").alias("feature_set"), "x"), path)
-    back = spark.read.schema("subid bigint, x array<double>, feature_set string").parquet(path)
-    return back.groupBy("feature_set").agg(F.count("*").alias("n_subjects"), F.max(F.size("x")).alias("n_features"))
+    info = io.write_features(vectors(spark, d).select("subid", F.col("label").cast("string").alias("feature_set"), "x"), path)
+    lines = spark.read.schema("value string, feature_set string").option("basePath", f"{path}/vectors").text(f"{path}/vectors")
+    back = lines.groupBy("feature_set").agg(F.count("*").alias("n_subjects"), F.max(F.size(F.split("value", " "))).alias("n_features"))
+    return info.join(back, ["feature_set", "n_subjects", "n_features"])  # what is read back agrees with the counts
 
 
 @query("sink_tsv_fixed", "SELECT event_id, printf('%.10f', value / 7) AS v FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +12,24 @@ from synapta.functions import na_parse, recode_strict
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster (spark.checkpoint.dir); a local one only where that is not set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the cluster (spark.checkpoint.dir), deleted when the driver's JVM ends. Without that
+    setting a local folder serves a local master; on a cluster it is an error, as executors would not see each other's files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints"
+    folder = f"{root}/tables/{spark.sparkContext.applicationId}"
+    _delete_at_end(spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.lru_cache(maxsize=64)
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # only what exists can be marked
+    fs.deleteOnExit(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -80,10 +96,20 @@ def resolve_column(columns: list[str], *parts: str) -> str:
     raise ValueError(f"no column like {parts} among {columns}")
 
 
+def scan_auto_header(spark: SparkSession, path: str, wanted: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Columns of a table of strings, each found in the file's header by the first part that fits; ``wanted``: name to parts."""
+    df = spark.read.csv(path, header=True)
+    return df.select(*(F.col(f"`{resolve_column(df.columns, *parts)}`").alias(name) for name, parts in wanted.items()))
+
+
 def scan_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, subid) of a list file, blank lines left out. A list is one small file; its order is that of its lines."""
-    ids = spark.read.text(path).select(F.trim("value").alias("subid"), F.monotonically_increasing_id().alias("line")).where("subid <> ''")
-    return ids.select((F.row_number().over(Window.orderBy("line")) - 1).alias("pos"), "subid")
+    """(pos, subid) of a list of one or more files in the order of their names and lines, blank lines left out. Lines are
+    numbered within their split; only the splits' counts are summed in one place."""
+    split = ["_metadata.file_path", "_metadata.file_block_start"]
+    ids = spark.read.text(path).select(F.trim("value").alias("subid"), *(F.col(c).alias(n) for c, n in zip(split, ("_f", "_b"))), F.monotonically_increasing_id().alias("_line")).where("subid <> ''")
+    starts = ids.groupBy("_f", "_b").count().withColumn("_before", F.sum("count").over(Window.orderBy("_f", "_b")) - F.col("count")).drop("count")
+    at = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_line")) - 1
+    return ids.withColumn("_at", at).join(F.broadcast(starts), ["_f", "_b"]).select((F.col("_before") + F.col("_at")).alias("pos"), "subid")
 
 
 def scan_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -91,6 +117,13 @@ def scan_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def lookup_named(matrices: DataFrame, keys: list[str], name: str, candidates: list[str]) -> DataFrame:
+    """Of the matrices that a key has, the one whose name comes first among ``candidates``; keys without any are left out."""
+    rank = F.array_position(F.array(*map(F.lit, candidates)), F.col(name))
+    best = matrices.where(rank > 0).groupBy(*keys).agg(F.min_by(F.struct(*(c for c in matrices.columns if c not in keys)), rank).alias("_m"))
+    return best.select(*keys, "_m.*")
+
+
 def with_fallback(preferred: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the preferred source, and those of the other for keys that it lacks."""
     return preferred.unionByName(other.join(preferred.select(*keys).distinct(), keys, "left_anti"))
@@ -104,19 +137,22 @@ def scan_sidecars(spark: SparkSession, path: str, codes: dict[str, str]) -> Data
 
 
 def write_sorted_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
-    """A small report with a fixed header, sorted, in one file."""
-    df.select(*columns).orderBy(*order).coalesce(1).write.csv(path, header=True)
+    """A report with a fixed header, sorted; a large one is several files, in order of their names."""
+    df.select(*columns).orderBy(*order).write.csv(path, header=True)
 
 
 def write_id_list(df: DataFrame, path: str, key: str = "subid", pos: str = "pos") -> None:
-    """One id a line in list order, in one file."""
-    df.orderBy(pos).select(F.col(key).cast("string")).coalesce(1).write.text(path)
+    """One id a line in list order; a long list is several files, in order of their names."""
+    df.orderBy(pos).select(F.col(key).cast("string")).write.text(path)
 
 
 def write_features(df: DataFrame, path: str, feature_set: str = "feature_set") -> DataFrame:
-    """Features partitioned by set; the counts of subjects and features of each set."""
-    df.write.partitionBy(feature_set).parquet(path)
-    return df.groupBy(feature_set).agg(F.count("*").alias("n_subjects"), F.max(F.size("x")).alias("n_features"))
+    """Features by set as a table (``matrix``), as text with one subject's vector a line (``vectors``), and the counts of
+    subjects and features of each set (``info``, JSON), which are returned."""
+    df.write.partitionBy(feature_set).parquet(f"{path}/matrix")
+    df.select(feature_set, F.concat_ws(" ", F.transform("x", lambda v: v.cast("string"))).alias("value")).write.partitionBy(feature_set).text(f"{path}/vectors")
+    df.groupBy(feature_set).agg(F.count("*").alias("n_subjects"), F.max(F.size("x")).alias("n_features")).write.json(f"{path}/info")
+    return df.sparkSession.read.schema(f"{feature_set} string, n_subjects bigint, n_features int").json(f"{path}/info")
 
 
 def write_fixed_tsv(df: DataFrame, path: str, numbers: list[str], places: int = 10) -> None:

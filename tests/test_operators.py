@@ -344,6 +344,17 @@ def test_registered_ensemble_is_that_of_the_reference(spark, monkeypatch):
     assert [seen[0][k] for k in ("bags", "depth", "iterations", "step", "subsample", "ratio")] == [100, 4, 200, 0.3, 0.5, 0.7]
 
 
+def test_boosted_trees_learn():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 6))
+    y = ((x[:, 1] > 0) ^ (x[:, 4] > 0.3)).astype(float)  # no single feature tells the classes apart
+    model = cp.boosted_trees(x[:400], y[:400], 4, 60, 0.3, 0.5, 1)
+    assert ((cp.boosted_probability(model, x[400:]) > 0.5) == y[400:]).mean() > 0.93
+    # one stump by hand: no step but the best one, its leaves by Newton's rule
+    f, t, v = cp.boosted_trees(np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([0.0, 0, 1, 1]), 1, 1, 1.0, 1.1, 0)
+    assert f[0, 0] == 0 and 1 <= t[0, 0] < 2 and np.allclose(v[0], [-1 / 1.5, 1 / 1.5])
+
+
 def test_echo_fit(spark):
     rows = [(1, e, 10.0 * e, 100 * math.exp(-10 * e / 50)) for e in (1, 2, 3)] + [(2, 1, 10.0, 5.0), (2, 2, 20.0, 9.0)]
     out = {r.v: r for r in cleaning.combine_echoes(spark.createDataFrame(rows, "v int, e int, te double, y double"), "v", "e", "te", "y").collect()}
