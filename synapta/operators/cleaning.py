@@ -211,7 +211,7 @@ def shell(df: DataFrame, b: str, wanted: list[float], delta: float) -> DataFrame
     return df.where(near)
 
 
-def mad_filter(df: DataFrame, series: list[str], volume: str, loc: str, x: str, passes: int = 3) -> DataFrame:
+def mad_filter(df: DataFrame, series: list[str], volume: str, loc: str, x: str, passes: int = 3, checkpoint=lambda d: d) -> DataFrame:
     """(series, volume, score) of the volumes that stay. A score is the mean squared difference of a volume from the average of
     those that stay; in every pass all volumes are judged again, against the new average: below median + 2 * MAD they stay. Medians
     run over one score a volume."""
@@ -219,7 +219,7 @@ def mad_filter(df: DataFrame, series: list[str], volume: str, loc: str, x: str,
     for _ in range(passes):
         average = df.join(kept.select(*series, volume), [*series, volume]).groupBy(*series, loc).agg(F.avg(x).alias("_a"))
         d = df.join(average, [*series, loc])
-        score = d.groupBy(*series, volume).agg(F.avg((F.col(x) - F.col("_a")) * (F.col(x) - F.col("_a"))).alias("score"))
+        score = checkpoint(d.groupBy(*series, volume).agg(F.avg((F.col(x) - F.col("_a")) * (F.col(x) - F.col("_a"))).alias("score")))
         m = score.groupBy(*series).agg(F.percentile("score", F.lit(0.5)).alias("_med"))
         score = score.join(m, series)
         a = score.groupBy(*series).agg(F.percentile(F.abs(F.col("score") - F.col("_med")), F.lit(0.5)).alias("_mad"))

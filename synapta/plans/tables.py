@@ -223,7 +223,7 @@ def _mad_sql(passes):
 @query("mad_filter", _mad_sql(3))
 def mad_filter(spark, d):
     """A series is a label, a volume a vector"""
-    return r(cl.mad_filter(long_vectors(spark, d), ["label"], "subid", "f", "x"), ["label", "subid"], ["score"], 6)
+    return r(cl.mad_filter(long_vectors(spark, d), ["label"], "subid", "f", "x", checkpoint=io.checkpointed), ["label", "subid"], ["score"], 6)
 
 
 _ECHO = "(SELECT l_orderkey AS voxel, l_linenumber AS echo, l_linenumber * 12.0 AS te, any_value(y) AS y FROM (SELECT l_orderkey, l_linenumber, avg(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS y FROM lineitem) GROUP BY 1, 2, 3)"
