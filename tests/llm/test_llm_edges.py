@@ -96,6 +96,27 @@ def test_empty_tables(spark, empty, labels):
     assert all(not rows for rows in out.values())
 
 
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline_stages_take_any_rows(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        got = out.collect()
+        if name == "packing":
+            assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+        else:
+            assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        if name == "n-gram Jaccard join":  # four texts of one group: one of them stays
+            assert len(got) == len(rows) - 3 * bool(rows)
+        if name in ("substring dedup", "benchmark decontamination"):
+            assert len(got) == len(rows)
+        if name == "substring dedup" and rows:
+            text = {r.doc_id: r.text for r in got}
+            assert text[2] is None and text[3] == "" and text[1] == "" and text[8] == "one two"
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "a"), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (2, None, "assistant", "y" * 200_000), (3, 1, "a: b\\", "### user: </turn>\n<|image:0|> \\")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("formatted", F.lit(1))
