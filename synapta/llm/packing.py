@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synapta.llm.common import map_batches, table
-from synapta.llm.tokens import vocabulary, word_encoder
+from synapta.llm.tokens import CACHE_BYTES, vocabulary, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -111,9 +111,9 @@ def place(sizes: list[int], capacity: int = CAPACITY, quadratic: float = QUADRAT
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence bigint, offset bigint, ids binary"
 
 
-def _pack_batches(vocabulary_path: str, end_id: int, capacity: int, window: int, quadratic: float, with_ids: bool):
+def _pack_batches(vocabulary_path: str, end_id: int, capacity: int, window: int, quadratic: float, with_ids: bool, cache_bytes: int):
     def run(batches):
-        encoder, sequence = word_encoder(vocabulary_path), 0
+        encoder, sequence = word_encoder(vocabulary_path, cache_bytes), 0
         held: list[tuple] = []  # doc_id, ids, ids of the document before them, ids of the document
         n = 0
 
@@ -151,17 +151,18 @@ def _pack_batches(vocabulary_path: str, end_id: int, capacity: int, window: int,
 
 def pack_documents(
     docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = CAPACITY, window: int = WINDOW_TOKENS,
-    quadratic: float = QUADRATIC, with_ids: bool = True,
+    quadratic: float = QUADRATIC, with_ids: bool = True, cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (uint32, binary).
 
     Every row of ``docs`` (doc_id, text) gives its ids and the end id; a null or empty text gives the end id alone. Repeated
     rows are packed each; a null doc_id stays null; other columns are ignored. Ties of size go by the order of the rows. A very long text
     is held whole by its task. Narrow: partitions pack by themselves, so nothing is shuffled and no sequence spans two tasks;
-    the sequence id holds the partition in its high bits. An empty table gives no rows.
+    the sequence id holds the partition in its high bits. An empty table gives no rows. ``cache_bytes`` bounds what a worker keeps of
+    tokenised words, and changes no result.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    out = map_batches(rows, _pack_batches(vocabulary_path, end_id, capacity, window, quadratic, with_ids), PIECES)
+    out = map_batches(rows, _pack_batches(vocabulary_path, end_id, capacity, window, quadratic, with_ids, cache_bytes), PIECES)
     out = out.withColumn("sequence_id", F.expr("shiftleft(cast(spark_partition_id() as bigint), 33) + sequence")).drop("sequence")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
 

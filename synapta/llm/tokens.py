@@ -54,12 +54,12 @@ class WordEncoder:
     other text (other alphabets, special strings) is encoded whole by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
-        self.plain, self.pretoken = re.compile(PLAIN), re.compile(PRETOKEN)
+        self.plain, self.pretoken, self.cache_bytes = re.compile(PLAIN), re.compile(PRETOKEN), cache_bytes
         self.reset()
 
     def reset(self) -> None:
@@ -78,7 +78,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids of each text."""
-        if self.chars + ENTRY_BYTES * len(self.known) > CACHE_BYTES:
+        if self.chars + ENTRY_BYTES * len(self.known) > self.cache_bytes:
             self.reset()
         known, find = self.known, self.pretoken.findall
         parts = []
@@ -175,9 +175,9 @@ class PieceCounter:
         return n + (1 if tail == 1 else self.whole(" " * (tail - 1)) if tail else 0)
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, cache_bytes: int = CACHE_BYTES) -> WordEncoder:
     """One encoder a Python worker, kept between batches and tasks."""
-    return worker_cache(("words", path), lambda: WordEncoder(path))
+    return worker_cache(("words", path, cache_bytes), lambda: WordEncoder(path, cache_bytes))
 
 
 def piece_counter(path: str) -> PieceCounter:
