@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import safe_ratio
-from synapta.operators.models import least_squares, residuals
+from synapta.operators.models import fitted, least_squares, residuals
 
 
 def full_cleanup(df: DataFrame, loc: list[str], confounds: list[str], x: str, out: str) -> DataFrame:
@@ -56,6 +56,54 @@ def temporal_moments(df: DataFrame, loc: list[str], x: str) -> DataFrame:
     return df.groupBy(*loc).agg(m.alias("mean"), s.alias("std"), F.var_samp(x).alias("var"), safe_ratio(s, m).alias("cov"), safe_ratio(m, s).alias("tsnr"))
 
 
+#: Series of ``variance_sources`` of which the mean over locations is fitted.
+SERIES = ("orig", "high_pass", "post_motion", "cleaned", "unstructured", "noise")
+#: Statistics of ``variance_sources`` for each location.
+SOURCE_STATISTICS = (
+    "mean", "std", "cov", "tsnr", "cnr", "orig_var", "high_pass_var", "motion_var", "structured_var", "bold_var", "unstructured_var", "shared_var",
+    *(f"{s}_{n}" for n in ("mean_signal_var", "mean_signal_beta", "mean_signal_r2") for s in SERIES),
+    *(f"{s}_share" for s in ("high_pass", "motion", "structured", "bold", "unstructured")), *(f"{s}_mean_signal_share" for s in SERIES), "cleaned_mean_signal_vs_bold",
+)
+
+
+def variance_sources(df: DataFrame, run: list[str], loc: str, t: str, orig: str, high_pass: str, confounds: list[str], signal: list[str], noise: list[str]) -> DataFrame:
+    """One row a location of a run with SOURCE_STATISTICS.
+
+    The variance of ``orig`` is split into what the high-pass filter takes (orig - high_pass), motion (the fit of ``confounds``),
+    structured noise (what the ``noise`` components take beside the ``signal`` ones), BOLD (the same of the signal components) and
+    unstructured noise (what no component explains); the rest is shared. Fits have no intercept. For each series its mean over
+    locations is fitted to each location. Two rounds of sums by location, one by time point; all combine before they are shuffled.
+    """
+    keys = [*run, loc]
+    d = df.withColumns({"_orig": F.col(orig).cast("double"), "_high_pass": F.col(high_pass).cast("double")})
+    d = residuals(d, keys, confounds, "_high_pass", "_post_motion")
+    b = least_squares(d, keys, [*signal, *noise], "_post_motion")
+    of_signal, of_noise = fitted("beta", [*signal, *noise], only=signal), fitted("beta", [*signal, *noise], only=noise)
+    d = d.join(b, keys).withColumns({"_cleaned": F.col("_post_motion") - of_noise, "_noise": F.col("_post_motion") - of_signal, "_unstructured": F.col("_post_motion") - of_signal - of_noise})
+    d = d.select(*keys, t, *(f"_{s}" for s in SERIES))
+    g = d.groupBy(*run, t).agg(*(F.avg(f"_{s}").alias(f"_g_{s}") for s in SERIES))
+    d = d.join(g, [*run, t])
+
+    col = lambda s: F.col(f"_{s}")
+    aggs = {"mean": F.avg("_orig"), "orig_var": F.var_samp("_orig"), "unstructured_var": F.var_samp("_unstructured")}
+    parts = {"high_pass_var": ("orig", "high_pass"), "motion_var": ("high_pass", "post_motion"), "structured_var": ("noise", "unstructured"), "bold_var": ("cleaned", "unstructured")}
+    aggs |= {n: F.var_samp(col(a) - col(b)) for n, (a, b) in parts.items()}
+    aggs |= {f"{s}_mean_signal_beta": F.regr_slope(col(s), F.col(f"_g_{s}")) for s in SERIES}
+    aggs |= {f"{s}_mean_signal_r2": F.coalesce(F.regr_r2(col(s), F.col(f"_g_{s}")), F.lit(0.0)) for s in SERIES}
+    aggs |= {f"_v_{s}": F.var_samp(f"_g_{s}") for s in SERIES}
+    v = d.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()))
+    v = v.withColumns({f"{s}_mean_signal_var": F.pow(f"{s}_mean_signal_beta", F.lit(2)) * F.col(f"_v_{s}") for s in SERIES})
+    left = F.col("orig_var")
+    for n in (*parts, "unstructured_var"):
+        left = left - F.col(n)
+    rest = F.sqrt("unstructured_var")
+    more = {"std": F.sqrt("orig_var"), "cov": safe_ratio(rest, F.col("mean")), "tsnr": safe_ratio(F.col("mean"), rest), "cnr": F.sqrt(safe_ratio(F.col("bold_var"), F.col("unstructured_var"))), "shared_var": left}
+    more |= {f"{n}_share": safe_ratio(F.col(f"{n}_var"), F.col("orig_var")) for n in ("high_pass", "motion", "structured", "bold", "unstructured")}
+    more |= {f"{s}_mean_signal_share": safe_ratio(F.col(f"{s}_mean_signal_var"), F.col("orig_var")) for s in SERIES}
+    more["cleaned_mean_signal_vs_bold"] = safe_ratio(F.col("cleaned_mean_signal_var"), F.col("bold_var"))
+    return v.withColumns(more).select(*keys, *SOURCE_STATISTICS)
+
+
 def map_report(df: DataFrame, run: list[str], statistics: list[str]) -> DataFrame:
     """One row a run with the mean of each map."""
     return df.groupBy(*run).agg(*(F.avg(c).alias(f"mean_{c}") for c in statistics))

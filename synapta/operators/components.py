@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,62 @@ def group_pca(df: DataFrame, x: str, size: int, rank: int) -> tuple[DataFrame, n
     return df.sparkSession.createDataFrame(rows, "comp int, i int, value double, eigenvalue double"), val
 
 
+def _leading(w: np.ndarray, rank: int) -> np.ndarray:
+    """The ``rank`` leading directions of the rows of w, each scaled by its singular value, the larger tail positive."""
+    val, vec = np.linalg.eigh(w @ w.T)
+    out = vec[:, ::-1][:, :rank].T @ w
+    return out * np.where(out.max(axis=1) >= -out.min(axis=1), 1.0, -1.0)[:, None]
+
+
+def _rows_of(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(lists) and set(pc.unique(pc.list_value_length(lists)).to_pylist()) != {size}:
+        raise ValueError(f"an array is not of length {size}")
+    return np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, size)
+
+
+def _block(number: int, w: np.ndarray) -> pa.RecordBatch:
+    n = len(w)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w.shape[1], pa.int32()), pa.array(w.ravel(), pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), lists], names=["block", "comp", "v"])
+
+
+def merged_pca(df: DataFrame, x: str, size: int, internal: int, rank: int, fan: int = 4, checkpoint=lambda d: d) -> DataFrame:
+    """M1: incremental PCA with a bounded internal rank. (comp, i, value, eigenvalue): the first ``rank`` components over ``size`` positions,
+    scaled by their singular values.
+
+    Each task adds its rows to a block and reduces it to ``internal`` directions whenever it holds twice as many; blocks are merged
+    ``fan`` at a time, in as many rounds as their number asks for, so a task holds at most fan * internal rows of any input. Exact up to
+    directions below the internal rank, whatever the partitions. ``checkpoint`` keeps each round, from which a lost job goes on. NULL
+    elements count as 0, NULL arrays are left out, arrays of another length are an error, and no rows give none.
+    """
+
+    def local(batches):
+        w = np.zeros((0, size))
+        for b in batches:
+            rows = _rows_of(b.column(0), size)
+            for lo in range(0, len(rows), internal):
+                w = np.concatenate([w, rows[lo : lo + internal]])
+                if len(w) >= 2 * internal:
+                    w = _leading(w, internal)
+        if len(w):
+            yield _block(TaskContext.get().partitionId(), _leading(w, internal))
+
+    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        w = _rows_of(t.sort_by([("block", "ascending"), ("comp", "ascending")]).column("v"), size)
+        return pa.Table.from_batches([_block(key[0].as_py(), _leading(w, internal))])
+
+    schema = "block int, comp int, v array<double>"
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("array<double>").alias("v"))
+    blocks = checkpoint(rows.mapInArrow(local, schema))
+    last = blocks.agg(F.max("block")).first()[0] or 0
+    while last:
+        blocks = checkpoint(blocks.groupBy((F.col("block") / fan).cast("int").alias("into")).applyInArrow(merge, schema))
+        last //= fan
+    square = F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)
+    return blocks.where(F.col("comp") < rank).select("comp", F.posexplode("v").alias("i", "value"), square.alias("eigenvalue"))
+
+
 def effective_rank(eigenvalues: np.ndarray, share: float = 0.1) -> int:
     """M8: singular values above a share of their deviation."""
     s = np.sqrt(np.maximum(eigenvalues, 0))

@@ -110,6 +110,39 @@ def map_report(spark, d):
     return r(cl.map_report(m, ["run"], ["mean", "std"]), ["run"], ["mean_mean", "mean_std"])
 
 
+_SRC = f"""WITH b AS (SELECT roi, t, x AS orig, (t % 12) - 5.5 AS c, (t % 7) - 3.0 AS s, (t % 5) - 2.0 AS n FROM {_BM}),
+f AS (SELECT roi, regr_slope(orig, t) AS k, regr_intercept(orig, t) AS k0 FROM b GROUP BY 1), h AS (SELECT b.*, orig - k0 - k * t AS high_pass FROM b JOIN f USING (roi)),
+m AS (SELECT roi, sum(c * high_pass) / sum(c * c) AS bc FROM h GROUP BY 1), w AS (SELECT h.*, high_pass - bc * c AS post_motion FROM h JOIN m USING (roi)),
+q AS (SELECT roi, sum(s * post_motion) AS sp, sum(n * post_motion) AS np, sum(s * s) AS ss, sum(n * n) AS nn, sum(s * n) AS sn FROM w GROUP BY 1),
+u AS (SELECT w.*, post_motion - bn * n AS cleaned, post_motion - bs * s AS noise, post_motion - bs * s - bn * n AS unstructured FROM w JOIN (SELECT roi, (sp * nn - np * sn) / (ss * nn - sn * sn) AS bs, (np * ss - sp * sn) / (ss * nn - sn * sn) AS bn FROM q) USING (roi)),
+g AS (SELECT t, {', '.join(f'avg({x}) AS g_{x}' for x in cl.SERIES)} FROM u GROUP BY 1),
+v AS (SELECT roi, avg(orig) AS mean, var_samp(orig) AS orig_var, var_samp(orig - high_pass) AS high_pass_var, var_samp(high_pass - post_motion) AS motion_var, var_samp(noise - unstructured) AS structured_var, var_samp(cleaned - unstructured) AS bold_var, var_samp(unstructured) AS unstructured_var,
+{', '.join(f'regr_slope({x}, g_{x}) AS {x}_mean_signal_beta, regr_r2({x}, g_{x}) AS {x}_mean_signal_r2, power(regr_slope({x}, g_{x}), 2) * var_samp(g_{x}) AS {x}_mean_signal_var' for x in cl.SERIES)} FROM u JOIN g USING (t) GROUP BY 1),
+o AS (SELECT *, sqrt(orig_var) AS std, sqrt(unstructured_var) / mean AS cov, mean / sqrt(unstructured_var) AS tsnr, sqrt(bold_var / unstructured_var) AS cnr, orig_var - high_pass_var - motion_var - structured_var - bold_var - unstructured_var AS shared_var,
+{', '.join(f'{x}_var / orig_var AS {x}_share' for x in ('high_pass', 'motion', 'structured', 'bold', 'unstructured'))}, {', '.join(f'{x}_mean_signal_var / orig_var AS {x}_mean_signal_share' for x in cl.SERIES)}, cleaned_mean_signal_var / bold_var AS cleaned_mean_signal_vs_bold FROM v)
+"""
+
+
+def _sources(spark, d):
+    """Brand series with their line taken out as high-pass filter, a yearly course as motion, and a signal and a noise component."""
+    b = brand_month(spark, d).withColumns({"one": F.lit(1.0), "month": F.col("t").cast("double"), "c": F.col("t") % 12 - 5.5, "s": F.col("t") % 7 - 3.0, "n": F.col("t") % 5 - 2.0})
+    b = md.residuals(b, ["roi"], ["one", "month"], "x", "high_pass").withColumn("run", F.lit(1))
+    return cl.variance_sources(b, ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"])
+
+
+@query("variance_sources", f"{_SRC} SELECT roi, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in cl.SOURCE_STATISTICS)} FROM o")
+def variance_sources(spark, d):
+    """Five sources and what they share"""
+    return r(_sources(spark, d), ["roi"], cl.SOURCE_STATISTICS).select("roi", *((F.col(c) + 0.0).alias(c) for c in cl.SOURCE_STATISTICS))
+
+
+@query("source_report", f"{_SRC} SELECT 1 AS run, {', '.join(f'round(avg({x}), 5) + 0.0 AS mean_{x}' for x in cl.SOURCE_STATISTICS)} FROM o")
+def source_report(spark, d):
+    """One row a run, the mean of every statistic"""
+    m = cl.map_report(_sources(spark, d), ["run"], cl.SOURCE_STATISTICS)
+    return m.select("run", *((F.round(f"mean_{c}", 5) + 0.0).alias(f"mean_{c}") for c in cl.SOURCE_STATISTICS))
+
+
 def _maps(spark, d):
     """Two fixed maps over array positions, as columns beside the locations of the vectors."""
     f = long_vectors(spark, d).select("f").distinct()
@@ -351,6 +384,19 @@ def noise_std_tail(spark, d):
     return r(cp.noise_deviation(vectors(spark, d), "x", v), ["i"], ["noise_std"], 6)
 
 
+@query("merged_pca")
+def merged_pca(spark, d):
+    """M1: bounded internal rank"""
+    return r(cp.merged_pca(vectors(spark, d), "x", 64, internal=20, rank=5, checkpoint=io.checkpointed), ["comp", "i"], ["value", "eigenvalue"])
+
+
+@query("merged_pca_energy", f"SELECT CAST(f AS INT) AS i, round(sum(x * x), 5) + 0.0 AS energy FROM {LONG} GROUP BY 1")
+def merged_pca_energy(spark, d):
+    """M1: with as many directions as positions nothing is lost, so components hold each position's sum of squares"""
+    v = cp.merged_pca(vectors(spark, d), "x", 64, internal=64, rank=64, checkpoint=io.checkpointed)
+    return r(v.groupBy("i").agg(F.sum(F.col("value") * F.col("value")).alias("energy")), ["i"], ["energy"])
+
+
 _TPL = f"(SELECT label AS template, f, avg(x) AS x FROM {LONG} GROUP BY 1, 2)"
 
 

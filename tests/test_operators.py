@@ -405,3 +405,46 @@ def test_merged_sets_lengths(spark):
     df = spark.createDataFrame([([1.0] * 3, [2.0] * 2, [3.0])], "a array<double>, b array<double>, c array<double>")
     r = one(connectivity.merged_sets(df, "a", "b", "c"))
     assert [len(r[n]) for n in ("GG_GW", "GG_WW", "GW_WW", "GG_GW_WW")] == [5, 4, 3, 6]
+
+
+def test_variance_sources_by_definition(spark):
+    rng = np.random.default_rng(5)
+    n, locs = 60, 4
+    c, ica = rng.normal(size=(n, 2)), rng.normal(size=(n, 3))
+    orig = 100 + rng.normal(size=(locs, n)) + rng.normal(size=(locs, 3)) @ ica.T + np.linspace(0, 3, n)
+    hp = orig - orig.mean(1, keepdims=True) - np.linspace(-1.5, 1.5, n)
+    rows = [(1, k, t, float(orig[k, t]), float(hp[k, t]), *map(float, c[t]), *map(float, ica[t])) for k in range(locs) for t in range(n)]
+    df = spark.createDataFrame(rows, "run int, loc int, t int, x double, hp double, c1 double, c2 double, s1 double, s2 double, n1 double")
+    got = {r.loc: r for r in cleaning.variance_sources(df, ["run"], "loc", "t", "x", "hp", ["c1", "c2"], ["s1", "s2"], ["n1"]).collect()}
+    post = hp - (c @ (np.linalg.pinv(c) @ hp.T)).T
+    beta = np.linalg.pinv(ica) @ post.T
+    cleaned, noise, rest = post - (ica[:, 2:] @ beta[2:]).T, post - (ica[:, :2] @ beta[:2]).T, post - (ica @ beta).T
+    var = lambda x: x.var(axis=1, ddof=1)
+    want = {"high_pass_var": var(orig - hp), "motion_var": var(hp - post), "structured_var": var(noise - rest), "bold_var": var(cleaned - rest), "unstructured_var": var(rest)}
+    want["shared_var"] = var(orig) - sum(want.values())
+    want |= {"cnr": np.sqrt(want["bold_var"] / want["unstructured_var"]), "tsnr": orig.mean(1) / np.sqrt(want["unstructured_var"])}
+    for name, series in (("cleaned", cleaned), ("noise", noise), ("unstructured", rest)):
+        g = series.mean(0) - series.mean(0).mean()
+        b = series @ g / (g @ g)
+        want[f"{name}_mean_signal_var"] = b**2 * g.var(ddof=1)
+        want[f"{name}_mean_signal_r2"] = 1 - var(series - np.outer(b, g)) / var(series)
+    for k in range(locs):
+        for name, v in want.items():
+            assert got[k][name] == pytest.approx(v[k], abs=1e-9), name
+
+
+def test_merged_pca(spark):
+    rng = np.random.default_rng(6)
+    low = rng.normal(size=(300, 3)) @ (rng.normal(size=(3, 12)) * [[9], [4], [2]])
+    df = spark.createDataFrame([(list(map(float, v)),) for v in low] + [(None,)], "x array<double>")
+    s = np.linalg.svd(low)[1] ** 2
+    for parts, internal in ((1, 12), (7, 3), (5, 40)):  # three directions hold everything, whatever the blocks
+        got = cp.merged_pca(df.repartition(parts), "x", 12, internal, 3, fan=2).collect()
+        assert sorted({(r.comp, round(r.eigenvalue, 6)) for r in got}) == [(i, round(float(s[i]), 6)) for i in range(3)]
+        w = np.zeros((3, 12))
+        for r in got:
+            w[r.comp, r.i] = r.value
+        assert np.allclose(w.T @ w, low.T @ low)
+    assert cp.merged_pca(df.where("x is null"), "x", 12, 4, 3).count() == 0
+    with pytest.raises(Exception, match="not of length"):
+        cp.merged_pca(df, "x", 11, 4, 3).collect()
