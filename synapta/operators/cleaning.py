@@ -66,21 +66,22 @@ SOURCE_STATISTICS = (
 )
 
 
-def variance_sources(df: DataFrame, run: list[str], loc: str, t: str, orig: str, high_pass: str, confounds: list[str], signal: list[str], noise: list[str]) -> DataFrame:
+def variance_sources(df: DataFrame, run: list[str], loc: str, t: str, orig: str, high_pass: str, confounds: list[str], signal: list[str], noise: list[str], checkpoint=lambda d: d) -> DataFrame:
     """One row a location of a run with SOURCE_STATISTICS.
 
     The variance of ``orig`` is split into what the high-pass filter takes (orig - high_pass), motion (the fit of ``confounds``),
     structured noise (what the ``noise`` components take beside the ``signal`` ones), BOLD (the same of the signal components) and
     unstructured noise (what no component explains); the rest is shared. Fits have no intercept. For each series its mean over
     locations is fitted to each location. Two rounds of sums by location, one by time point; all combine before they are shuffled.
+    ``checkpoint`` keeps the series of either round, which the next sums and the join back both read.
     """
     keys = [*run, loc]
     d = df.withColumns({"_orig": F.col(orig).cast("double"), "_high_pass": F.col(high_pass).cast("double")})
-    d = residuals(d, keys, confounds, "_high_pass", "_post_motion")
+    d = checkpoint(residuals(d, keys, confounds, "_high_pass", "_post_motion").select(*keys, t, *signal, *noise, "_orig", "_high_pass", "_post_motion"))
     b = least_squares(d, keys, [*signal, *noise], "_post_motion")
     of_signal, of_noise = fitted("beta", [*signal, *noise], only=signal), fitted("beta", [*signal, *noise], only=noise)
     d = d.join(b, keys).withColumns({"_cleaned": F.col("_post_motion") - of_noise, "_noise": F.col("_post_motion") - of_signal, "_unstructured": F.col("_post_motion") - of_signal - of_noise})
-    d = d.select(*keys, t, *(f"_{s}" for s in SERIES))
+    d = checkpoint(d.select(*keys, t, *(f"_{s}" for s in SERIES)))
     g = d.groupBy(*run, t).agg(*(F.avg(f"_{s}").alias(f"_g_{s}") for s in SERIES))
     d = d.join(g, [*run, t])
 

@@ -126,8 +126,8 @@ o AS (SELECT *, sqrt(orig_var) AS std, sqrt(unstructured_var) / mean AS cov, mea
 def _sources(spark, d):
     """Brand series with their line taken out as high-pass filter, a yearly course as motion, and a signal and a noise component."""
     b = brand_month(spark, d).withColumns({"one": F.lit(1.0), "month": F.col("t").cast("double"), "c": F.col("t") % 12 - 5.5, "s": F.col("t") % 7 - 3.0, "n": F.col("t") % 5 - 2.0})
-    b = md.residuals(b, ["roi"], ["one", "month"], "x", "high_pass").withColumn("run", F.lit(1))
-    return cl.variance_sources(b, ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"])
+    b = io.checkpointed(md.residuals(io.checkpointed(b), ["roi"], ["one", "month"], "x", "high_pass").withColumn("run", F.lit(1)))
+    return cl.variance_sources(b, ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"], io.checkpointed)
 
 
 @query("variance_sources", f"{_SRC} SELECT roi, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in cl.SOURCE_STATISTICS)} FROM o")
