@@ -144,3 +144,11 @@ def worker_cache(kind: tuple, make):
 def held_out(id_col: str = "doc_id"):
     """The evaluation rows: crc32 of the id's decimal text is 2 modulo 4 (a null id counts as the text '')."""
     return F.expr(f"crc32(cast(coalesce(cast({id_col} as string), '') as binary)) % 4 = 2")
+
+
+#: For DuckDB, which lacks crc32: the table of its 256 bytes as a common table expression, and the checksum of an ASCII text with it.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crcs)"
+
+
+def crc32_sql(text: str) -> str:
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"

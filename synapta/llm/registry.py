@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from synapta.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from synapta.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity, turn_repair
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op12_conversation_repair": turn_repair.op12_conversation_repair,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op8_chat_format": chat_format.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
+    "op12_conversation_repair": turn_repair.ORACLE,
 }
