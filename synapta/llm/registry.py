@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from synapta.llm import chat_format, decontaminate, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity, turn_repair
+from synapta.llm import chat_format, decontaminate, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity, turn_repair
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op12_conversation_repair": turn_repair.op12_conversation_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op9_decontamination": decontaminate.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
     "op12_conversation_repair": turn_repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

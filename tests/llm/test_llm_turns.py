@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from synapta.llm import turn_repair
+from synapta.llm import prefix_trie, turn_repair
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]")
 SHAPE = re.compile(r"(s?(ua)+)?\Z")
@@ -132,3 +132,68 @@ def test_damage(spark):
         if how:
             want += [(c, t, "user" if how == 4 else r, "" if how == 1 else re.sub("[.!?]", "", x) if how == 2 else x)] * (2 if how == 3 else 1)
     assert got == sorted(want, key=repr)
+
+
+def brute_trie(seqs):
+    """conv_id to [(id, words), ...] -> rows of nodes."""
+    members = {}
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            members.setdefault(tuple(s[:d]), []).append(c)
+    rows, kids = [], {}
+    for p in members:
+        if p:
+            kids.setdefault(p[:-1], []).append(p)
+    totals = {}
+    for p in sorted(members, key=len, reverse=True):
+        below = [totals[k] for k in kids.get(p, [])]
+        saved = (len(members[p]) - 1) * p[-1][1] if p else 0
+        totals[p] = (sum(x[0] for x in below) if below else 1, saved + sum(x[1] for x in below))
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if len(seqs[c]) == len(p))
+        parent = min(members[p[:-1]]) if p else None
+        rows.append((min(m), len(p), parent, len(m), len(kids.get(p, [])), *totals[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows)
+
+
+def brute_rebuilt(rows):
+    by = {}
+    for c, t, r, x, *_ in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            by.setdefault(c, []).append((t is not None, t or 0, hashlib.md5(f"{len(r)}:{r}:{x}".encode()).hexdigest(), len(SPACE_WORDS.findall(x))))
+    by = {c: [x[2:] for x in sorted(v)] for c, v in by.items()}
+    h = lambda c: zlib.crc32(str(c).encode()) % 4
+    return {c: by.get(c - c % 20, [])[: h(c)] + v[h(c) :] for c, v in by.items()}
+
+
+SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def trie_rows(seed, long=0):
+    rng = random.Random(seed)
+    rows = [r for r in rows_of(seed) if r[0] is None or r[0] >= 0]
+    for c in range(100, 420):  # a group of copies, and shared fronts
+        rows += [(c, t, "user", "same words here") for t in range(5)] if c % 3 else [(c, t, "user", f"{rng.randrange(2)} a") for t in range(rng.randrange(1, 6))]
+    for c in range(500, 500 + 8 * bool(long)):  # long ones that part late, one that ends where a block does
+        n = long if c % 2 else 8
+        rows += [(c, t, "user", f"t{t}" if t < long - 5 or c % 4 else f"u{c}") for t in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize(("block", "shard_rows", "long"), [(64, 5000, 0), (4, 7, 37), (4, 1000, 37), (64, 20, 150)])
+def test_trie_equals_brute_force(spark, block, shard_rows, long):
+    rows = trie_rows(4, long)
+    turns = spark.createDataFrame([r[:4] + ("x", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, seq string, depth int").repartition(3)
+    got = sorted(map(tuple, prefix_trie.prefix_trie(prefix_trie.rebuilt(turns), block, shard_rows).collect()), key=lambda r: r[:2])
+    assert got == brute_trie(brute_rebuilt(rows))
+
+
+def test_trie_of_nothing_and_of_bare_conversations(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    assert prefix_trie.prefix_trie(prefix_trie.rebuilt(spark.createDataFrame([], schema))).collect() == []
+    assert prefix_trie.prefix_trie(prefix_trie.rebuilt(spark.createDataFrame([(None, 1, "user", "x")], schema))).collect() == []
+    bare = [c for c in range(21, 400) if c % 20 and zlib.crc32(str(c).encode()) % 4 == 3][:3]
+    rows = [(c, 0, "user", "x") for c in bare]
+    got = [tuple(r) for r in prefix_trie.prefix_trie(prefix_trie.rebuilt(spark.createDataFrame(rows, schema))).collect()]
+    assert got == brute_trie(brute_rebuilt(rows)) == [(bare[0], 0, None, 3, 0, 1, 0, hashlib.sha256(",".join(map(str, bare)).encode()).hexdigest())]
