@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
-from synapta.llm import chat_format, decontaminate, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity, turn_repair
+from synapta.llm import chat_format, decontaminate, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, toxicity, turn_repair, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_url_filter": url_filter.op11_url_filter,
     "op12_conversation_repair": turn_repair.op12_conversation_repair,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
