@@ -256,10 +256,13 @@ def pls1_from_sums(gram: np.ndarray, k: int, columns: np.ndarray) -> np.ndarray:
 
 
 def freed(gram: np.ndarray, nc: int) -> np.ndarray:
-    """The map T from (1, c, x, y) to (1, c, x freed from c, y), by the sums of the training rows (c holds its intercept)."""
+    """The map T from (1, c, x, y) to (1, c, x freed from c, y), by the sums of the training rows (c holds its intercept). Features that c
+    explains but for rounding become 0."""
     t, c, x = np.eye(len(gram)), slice(1, 1 + nc), slice(1 + nc, len(gram) - 1)
     # the same cut of singular values as a pseudo-inverse of c itself at 1e-6
     t[c, x] = -np.linalg.pinv(gram[c, c], rcond=1e-12, hermitian=True) @ gram[c, x]
+    left = np.einsum("ij,ik,kj->j", t[:, x], gram, t[:, x])
+    t[:, x] *= left > 1e-12 * np.diagonal(gram)[x]
     return t
 
 
@@ -280,8 +283,8 @@ def numbered(df: DataFrame, y: str, key: str, checkpoint) -> DataFrame:
     return r.withColumn("pos", at - 1).join(F.broadcast(starts.drop("count")), "_p").withColumn("pos", F.col("pos") + F.col("_before")).drop("_p", "_before")
 
 
-#: Subjects of a chunk, the unit of work; whole blocks of outer and inner folds.
-CHUNK = 60_000
+#: Subjects of a chunk, the unit of work, at most, and its bytes; whole blocks of outer and inner folds.
+CHUNK, CHUNK_BYTES = 60_000, 64 << 20
 #: Tasks that share the repeats over one chunk.
 GROUPS = 34
 
@@ -310,11 +313,13 @@ def nested_cv(
     In each model covariates are regressed out by the training rows, the number of components is chosen inside, weights and
     activation patterns (on features scaled to the training rows' range) have unit length; ``coef`` on (1, c, x) predicts a row.
 
-    No task holds the cohort. Chunks of it give sums of products by (time_id, fold, inner repeat, inner fold); training sums are
+    For many subjects with few features; `crossval.nested_cv_scores` is the form for fewer subjects than some 500,000 with any number of
+    features. No task holds the cohort. Chunks of it give sums of products by (time_id, fold, inner repeat, inner fold); training sums are
     differences of these, and models are solved from them; errors and ranges come from a second pass of the models over the
-    chunks. Both passes are spread over chunks and groups of repeats.
+    chunks. Both passes are spread over chunks and groups of repeats. A row of the models is one part and feature set (8 * k * columns bytes).
     """
-    size = chunk // (folds * inner_folds) * folds * inner_folds
+    most = subjects.agg(F.max(F.size("c") + F.size("x") + 2)).first()[0] or 1
+    size = max(1, min(chunk, CHUNK_BYTES // (8 * most)) // (folds * inner_folds)) * folds * inner_folds
 
     def matrix(row) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["z"], float).reshape(int(row["n"]), -1)
@@ -376,30 +381,42 @@ def nested_cv(
         coef = np.array(coefs).transpose(1, 0, 2, 3)  # part, set, components, column
         corr = np.array(corrs).transpose(1, 0, 2)
         count = test[:, 0, 0]
-        return pd.DataFrame([{"time_id": row["time_id"], "fold": row["fold"], "rep": rep, "counts": count.tobytes(), "corr": corr.tobytes(), "coef": coef.tobytes(), "pattern": np.array(patterns).tobytes(), "free": t.tobytes() if rep < 0 else b""}])
+        known = {"time_id": row["time_id"], "fold": row["fold"], "rep": rep}
+        rows = [{**known, "part": j, "set": s, "coef": coef[j, s].tobytes()} for j in range(len(coef)) for s in range(len(coef[j]))]
+        outer = {"coef": coef.tobytes(), "pattern": np.array(patterns).tobytes(), "free": t.tobytes()} if rep < 0 else {}
+        return pd.DataFrame([{**known, "part": -1, "set": -1, "counts": count.tobytes(), "corr": corr.tobytes(), **outer}, *rows], columns=made)
 
+    made = ["time_id", "fold", "rep", "part", "set", "counts", "corr", "coef", "pattern", "free"]
     grams = spread.repartition("chunk", "grp").mapInPandas(sums, "time_id int, fold int, rep int, nc int, width int, sums binary")
-    models = checkpoint(grams.groupBy("time_id", "fold", "rep").applyInPandas(solve, "time_id int, fold int, rep int, counts binary, corr binary, coef binary, pattern binary, free binary"))
+    solved = checkpoint(grams.groupBy("time_id", "fold", "rep").applyInPandas(solve, "time_id int, fold int, rep int, part int, set int, counts binary, corr binary, coef binary, pattern binary, free binary"))
+    facts = solved.where("part < 0")
 
     def score(rows: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         row, out = rows.iloc[0], []
-        model = {(a, b, c): (x, y) for a, b, c, x, y in zip(m["time_id"], m["fold"], m["rep"], m["coef"], m["free"])}
+        m = m.sort_values(["part", "set"])
+        free, model = {}, {}
+        for a, b, c, j, x, y in zip(m["time_id"], m["fold"], m["rep"], m["part"], m["coef"], m["free"]):
+            if j < 0:
+                free[a, b] = y
+            else:
+                model.setdefault((a, b, c), []).append(np.frombuffer(x, float))
         for t in times_of(int(row["grp"])):
             for f, r, z, parts in splits(row, t):
-                coef, free = model[t, f, r]
                 held = parts[:1] if r < 0 else parts
-                co = np.frombuffer(coef, float).reshape(len(held), -1, z.shape[1] - 1)
+                co = np.concatenate(model[t, f, r]).reshape(len(held), -1, z.shape[1] - 1)
                 error = np.array([np.abs(z[i, :-1] @ c.T - z[i, -1:]).sum(0) for i, c in zip(held, co)])
                 lo = hi = b""
                 if r < 0:
-                    x = z[parts[1]] @ np.frombuffer(free, float).reshape(z.shape[1], -1)
+                    x = z[parts[1]] @ np.frombuffer(free[t, f], float).reshape(z.shape[1], -1)
                     if len(x):
                         lo, hi = x.min(0).tobytes(), x.max(0).tobytes()
                 out.append((t, f, r, error.tobytes(), lo, hi))
         return pd.DataFrame(out, columns=["time_id", "fold", "rep", "error", "lo", "hi"])
 
-    known = models.select("time_id", "fold", "rep", "coef", "free", (F.col("time_id") % min(groups, times)).alias("grp")).crossJoin(packed.select(F.col("chunk").alias("part")))
-    scored = spread.groupBy("chunk", "grp").cogroup(known.groupBy("part", "grp")).applyInPandas(score, "time_id int, fold int, rep int, error binary, lo binary, hi binary")
+    chunks = packed.count()
+    known = solved.where("part >= 0 or rep < 0").select("time_id", "fold", "rep", "part", "set", F.when(F.col("part") >= 0, F.col("coef")).alias("coef"), "free", (F.col("time_id") % min(groups, times)).alias("grp"))
+    known = known.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(chunks, 1) - 1))))
+    scored = spread.groupBy("chunk", "grp").cogroup(known.groupBy("at", "grp")).applyInPandas(score, "time_id int, fold int, rep int, error binary, lo binary, hi binary")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sums over chunks; a few numbers each."""
@@ -409,8 +426,7 @@ def nested_cv(
         return pd.DataFrame([{"time_id": first["time_id"], "fold": first["fold"], "rep": first["rep"], "error": sum(read("error")).tobytes(), "lo": np.min(lo, axis=0).tobytes() if lo else b"", "hi": np.max(hi, axis=0).tobytes() if hi else b""}])
 
     errors = scored.groupBy("time_id", "fold", "rep").applyInPandas(merge, "time_id int, fold int, rep int, error binary, lo binary, hi binary")
-    outer = F.when(F.col("rep") < 0, F.col("coef")).alias("coef")
-    kept = models.select("time_id", "fold", "rep", "counts", "corr", outer, "pattern").join(errors, ["time_id", "fold", "rep"])
+    kept = facts.select("time_id", "fold", "rep", "counts", "corr", "coef", "pattern").join(errors, ["time_id", "fold", "rep"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         n_sets, inverse, corr, held = len(sets), [], [], None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from synapta import functions as fn
+from synapta.operators import crossval as cv
+from synapta.operators import inference as inf
 from synapta.operators import models as md
 from synapta.plans.base import LONG, long_vectors, query, read, vectors
 from synapta.sources import io
@@ -24,11 +26,11 @@ def fold_assign(spark, d):
     return folds(spark, d)
 
 
-@query("repeated_folds", f"""WITH t AS (SELECT unnest(range(3)) AS time_id), o AS (SELECT time_id, vec_id AS subid, ({_ORD.replace('OVER (', 'OVER (PARTITION BY time_id ')} - 1) // {K} AS b FROM embeddings, t)
+@query("repeated_folds", f"""WITH t AS (SELECT unnest(range(101)) AS time_id), o AS (SELECT time_id, vec_id AS subid, ({_ORD.replace('OVER (', 'OVER (PARTITION BY time_id ')} - 1) // {K} AS b FROM embeddings, t)
 SELECT CAST(time_id AS INT) AS time_id, subid, CAST(row_number() OVER (PARTITION BY time_id, b ORDER BY md5(concat_ws('|', '{SEED}', time_id, subid)), subid) - 1 AS INT) AS fold FROM o""")
 def repeated_folds(spark, d):
     """J10 J17"""
-    t = md.repeats(vectors(spark, d).select("subid", "label"), 3)
+    t = md.repeats(vectors(spark, d).select("subid", "label"), 101)
     return md.block_folds(t, "label", "subid", K, SEED, by=["time_id"]).select("time_id", "subid", "fold")
 
 
@@ -77,13 +79,13 @@ def family_half_split(spark, d):
     return md.check_split(md.family_half_split(s, "family", "stratum", "c_custkey", "family"), "family").select("c_custkey", "family", "side")
 
 
-@query("label_permutation", f"""WITH t AS (SELECT f.subid, f.label, p AS perm_id, f.fold <> 0 AS is_train FROM {_FOLDS} f, (SELECT unnest(range(3)) AS p)),
+@query("label_permutation", f"""WITH t AS (SELECT f.subid, f.label, p AS perm_id, f.fold <> 0 AS is_train FROM {_FOLDS} f, (SELECT unnest(range(1000)) AS p)),
 a AS (SELECT *, row_number() OVER (PARTITION BY perm_id, is_train ORDER BY subid) AS k FROM t),
 b AS (SELECT perm_id, is_train, label AS y, row_number() OVER (PARTITION BY perm_id, is_train ORDER BY CASE WHEN perm_id = 0 THEN '' ELSE md5(concat_ws('|', 'perm', perm_id, subid)) END, subid) AS k FROM t)
 SELECT CAST(perm_id AS INT) AS perm_id, subid, CASE WHEN is_train THEN y ELSE label END AS y_perm FROM a JOIN b USING (perm_id, is_train, k)""")
 def label_permutation(spark, d):
     """J16 J17"""
-    t = md.repeats(folds(spark, d), 3, "perm_id").withColumn("is_train", F.col("fold") != 0)
+    t = md.repeats(folds(spark, d), 1000, "perm_id").withColumn("is_train", F.col("fold") != 0)
     return md.permute_labels(t, "label", "subid", "perm", ["perm_id"], "is_train").select("perm_id", "subid", "y_perm")
 
 
@@ -172,14 +174,34 @@ def subjects(spark, d):
 @query("nested_cv_score")
 def nested_cv_score(spark, d):
     """Mean over folds of each repeat and feature set"""
-    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, folds=K, fold_seed=SEED)
+    r = cv.nested_cv_scores(subjects(spark, d), SETS, io.checkpointed, cv.Plan(folds=K, fold_seed=SEED))
     return r.groupBy("time_id", "feature_set").agg(fn.r6(F.avg("corr")).alias("mean_corr"), fn.r6(F.avg("mae")).alias("mean_mae"), F.count("*").alias("n_folds"))
 
 
+@query("permutation_null")
+def permutation_null(spark, d):
+    """The median correlation of all repeats against 1,000 whole runs on permuted training labels, for each feature set"""
+    run = lambda plan: cv.nested_cv_scores(subjects(spark, d), SETS, io.checkpointed, plan).groupBy("time_id", "feature_set").agg(F.avg("corr").alias("mean_corr"))
+    seen = run(cv.Plan(folds=K, fold_seed=SEED)).withColumn("permuted", F.lit(False))
+    null = run(cv.Plan(times=1000, folds=K, fold_seed="permuted", permute="perm")).withColumn("permuted", F.lit(True))
+    both = io.checkpointed(seen.unionByName(null))
+    s = inf.null_summary(both, ["feature_set"], "mean_corr", ~F.col("permuted"))
+    return s.select("feature_set", "n_null", *(fn.r6(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_median", "null_std", "z", "p")), "label")
+
+
 @query("pls1_grid")
 def pls1_grid(spark, d):
     """The fits of one repeat with weights and activation patterns"""
-    r = md.nested_cv(subjects(spark, d), SETS, io.checkpointed, times=1, folds=K, fold_seed=SEED)
+    r = cv.nested_cv_scores(subjects(spark, d), SETS, io.checkpointed, cv.Plan(times=1, folds=K, fold_seed=SEED))
+    return r.select("time_id", "feature_set", "fold", "n_comp", fn.r6(F.col("corr")).alias("corr"), fn.r6(F.col("mae")).alias("mae"), F.col("n_test").cast("int").alias("n_test"), F.size("w").alias("n_weights"))
+
+
+@query("pls1_edges")
+def pls1_edges(spark, d):
+    """J4 J8 with more features than subjects: products of all pairs of positions (2,016 edges), one repeat"""
+    edges = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.transform(F.slice("x", 1, i), lambda v: v * F.get("x", i))))
+    wide = subjects(spark, d).withColumn("x", edges)
+    r = cv.nested_cv_scores(wide, {"edges": (0, 2016)}, io.checkpointed, cv.Plan(times=1, folds=K, fold_seed=SEED))
     return r.select("time_id", "feature_set", "fold", "n_comp", fn.r6(F.col("corr")).alias("corr"), fn.r6(F.col("mae")).alias("mae"), F.col("n_test").cast("int").alias("n_test"), F.size("w").alias("n_weights"))
 
 
