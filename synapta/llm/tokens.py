@@ -167,7 +167,7 @@ class PieceCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if not self.words_apart or not text.strip(" "):
+        if not self.words_apart or not text.strip(" ") or "▁" in text:  # the library's own mark for a space joins with spaces
             return self.whole(text)
         tail = len(text) - len(text.rstrip(" "))
         body = text[: len(text) - tail] if tail else text
