@@ -25,11 +25,23 @@ MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
 MIN_UNPUNCTUATED = 12
 
 _boilerplate = re.compile(f"(?i){BOILERPLATE}")
+#: The longest part of each phrase without a choice in it: a text that holds none of them, in lower case, has no such phrase.
+STEMS = [max(re.split(r"\([^)]*\)\??", x), key=len) for x in re.split(r"\|(?![^(]*\))", BOILERPLATE)]
+#: Letters that the pattern takes for i and s but that lower() leaves as they are.
+LIKE = (("\u0131", "i"), ("\u017f", "s"))
 _punctuation = re.compile(r"""[.!?;:,"'…。！？]""")
 
 
-def bad_line(line: str) -> tuple[int, bool]:
-    """(words, whether the line fails a rule). A line without words has none and stays.
+def may_hold_phrase(text: str) -> bool:
+    folded = text.lower()
+    for a, b in LIKE:
+        if a in folded:
+            folded = folded.replace(a, b)
+    return any(stem in folded for stem in STEMS)
+
+
+def bad_line(line: str, phrases: bool = True) -> tuple[int, bool]:
+    """(words, whether the line fails a rule). A line without words has none and stays. ``phrases``: whether its text may hold one.
 
     Punctuation: more than one symbol character for two words; at least three words and half of all ending in '!!';
     12 words or more without any punctuation mark. Navigation: at least two separator words that are a quarter of all.
@@ -51,7 +63,7 @@ def bad_line(line: str) -> tuple[int, bool]:
         return n, True
     if n >= 6 and 2 * sum(map(bytes.__eq__, words, words[1:])) > n:
         return n, True
-    return n, _boilerplate.search(line) is not None
+    return n, phrases and _boilerplate.search(line) is not None
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -92,7 +104,8 @@ def judge(text: str | None) -> tuple:
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
     lines = text.split("\n")
-    judged = [bad_line(x) for x in lines]
+    phrases = may_hold_phrase(text)
+    judged = [bad_line(x, phrases) for x in lines]
     with_words = [x for x, (k, _) in zip(lines, judged) if k]
     lost = sum(k for k, bad in judged if bad)
     repeat = repeated_words(words)

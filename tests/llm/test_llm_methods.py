@@ -341,3 +341,23 @@ def test_line_rules():
     assert quality_rules.bad_line("A!! B!! C!! D!!")[1] and quality_rules.bad_line(" ".join("abcdefghijkl"))[1]
     assert quality_rules.bad_line("Tous droits réservés.")[1] and quality_rules.bad_line("Bitte HIER KLICKEN.")[1]
     assert not quality_rules.bad_line("A plain sentence, with words.")[1] and quality_rules.bad_line(" \t")[0] == 0
+
+
+def test_space_marks_in_texts_count_as_the_library_does():
+    c = tokens.piece_counter(tokens.vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    parts = ["▁", "▁▁", " ", "  ", "a", "word", "the", "🙂", "\n", "é", "▁the", "日"]
+    for _ in range(10_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert c.count(t) == len(c.lib.encode(t)), repr(t)
+    for t in ["▁ ", " ▁", "▁" * 40, " ▁ ▁ " * 300]:
+        assert c.count(t) == token_counts.spliced_count(c, t, 50, 4) == len(c.lib.encode(t)), repr(t)
+
+
+def test_stems_stand_for_all_phrases():
+    rng = random.Random(6)
+    for phrase in ["All RIGHTS reserved", "terms of service", "TERMS OF USE", "accept all cookies", "accept cookies", "subscribe to our", "share on ", "aceptar las cookies", "Suscríbete", "SUSCRÍBETE", "l\u0131cen\u017fed under", "terms of u\u017fe", "Datenschutzerklärung"]:
+        assert quality_rules._boilerplate.search(phrase) and quality_rules.may_hold_phrase(phrase)
+    for _ in range(3000):
+        t = "".join(rng.choice(["all ", "rights ", "Reserved", "click ", "here", "K", "İ", "ı", "ſ", "share ", "this", "COOKIES", "accept "]) for _ in range(6))
+        assert quality_rules.may_hold_phrase(t) or not quality_rules._boilerplate.search(t)
