@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import safe_ratio
+from synapta.operators.tiles import column_products
 
 
 def order_and_sign(df: DataFrame, comp: str, x: str) -> DataFrame:
@@ -20,25 +21,8 @@ def order_and_sign(df: DataFrame, comp: str, x: str) -> DataFrame:
 
 
 def gram(df: DataFrame, x: str, size: int) -> DataFrame:
-    """M1: sums of products of all position pairs i >= j over all rows, by partial aggregation; size * (size + 1) / 2 rows."""
-    v = df.select(F.posexplode(x).alias("i", "a"), F.col(x).alias("_all"))
-    v = v.select("i", "a", F.explode(F.expr("transform(sequence(0, i), j -> struct(j as j, _all[j] as b))")).alias("p"))
-    return v.groupBy("i", "p.j").agg(F.sum(F.col("a") * F.col("p.b")).alias("g"))
-
-
-def group_pca(df: DataFrame, x: str, size: int, rank: int) -> tuple[DataFrame, np.ndarray]:
-    """M1, M8: exact eigenvalues and leading vectors of the Gram matrix (size * size numbers reach the driver, whatever the rows).
-    (comp, i, value, eigenvalue) with signs by the larger tail, and all eigenvalues."""
-    g = np.zeros((size, size))
-    for r in gram(df, x, size).collect():
-        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
-    val, vec = np.linalg.eigh(g)
-    val, vec = val[::-1], vec[:, ::-1]
-    rows = []
-    for c in range(rank):
-        v = vec[:, c] * (1 if vec[:, c].max() >= -vec[:, c].min() else -1)
-        rows += [(c, i, float(v[i]), float(val[c])) for i in range(size)]
-    return df.sparkSession.createDataFrame(rows, "comp int, i int, value double, eigenvalue double"), val
+    """M1: sums of products of all position pairs i >= j over all rows, as dense tiles."""
+    return column_products(df, [], x, size)
 
 
 def _leading(w: np.ndarray, rank: int) -> np.ndarray:
@@ -97,10 +81,17 @@ def merged_pca(df: DataFrame, x: str, size: int, internal: int, rank: int, fan:
     return blocks.where(F.col("comp") < rank).select("comp", F.posexplode("v").alias("i", "value"), square.alias("eigenvalue"))
 
 
-def effective_rank(eigenvalues: np.ndarray, share: float = 0.1) -> int:
-    """M8: singular values above a share of their deviation."""
-    s = np.sqrt(np.maximum(eigenvalues, 0))
-    return int((s > share * s.std(ddof=1)).sum())
+def directions(components: DataFrame) -> DataFrame:
+    """(comp, i, value, eigenvalue) of unit length from `merged_pca`."""
+    return components.withColumn("value", F.try_divide("value", F.nullif(F.sqrt("eigenvalue"), F.lit(0.0))))
+
+
+def effective_rank(components: DataFrame, share: float = 0.1) -> DataFrame:
+    """M8: one row, the number of singular values above a share of their deviation. ``components``: `merged_pca` with all directions
+    that it keeps; the values are one short row a component."""
+    s = components.where("i = 0").select(F.sqrt(F.greatest("eigenvalue", F.lit(0.0))).alias("s"))
+    cut = s.agg((share * F.stddev_samp("s")).alias("cut"))
+    return s.crossJoin(F.broadcast(cut)).agg(F.count_if(F.col("s") > F.col("cut")).cast("int").alias("effective_rank"))
 
 
 def noise_deviation(df: DataFrame, x: str, vectors: DataFrame) -> DataFrame:

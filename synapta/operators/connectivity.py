@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import fisher_z, nan_to_zero, pearson
+from synapta.operators.tiles import column_correlations
 
 
 def tissue_labels(df: DataFrame, ribbon: str, wmparc: str, gm: list[int], wm: list[int], wm_parc: list[int], csf_parc: list[int]) -> DataFrame:
@@ -33,15 +34,9 @@ def roi_means(voxels: DataFrame, labels: DataFrame, voxel: str, keys: list[str],
 
 
 def pair_correlations(arrays: DataFrame, key: str, x: str, size: int) -> DataFrame:
-    """(key, i, j, r) for i > j over the rows of a key, each an array of ``size`` regions.
-
-    One aggregation with map-side combining: each row gives its products, and a key keeps size * (size + 1) / 2 sums, so the
-    shuffle does not grow with the rows of a key. Constant regions give r NULL.
-    """
-    v = arrays.where(F.col(x).isNotNull()).select(key, F.posexplode(x).alias("i", "a"), F.col(x).alias("_all"))
-    v = v.select(key, "i", "a", F.explode(F.expr("transform(sequence(0, i), j -> struct(j as j, _all[j] as b))")).alias("p")).select(key, "i", "a", "p.j", "p.b")
-    s = v.where("j < i").groupBy(key, "i", "j").agg(pearson(F.col("a"), F.col("b")).alias("r"))
-    return s
+    """(key, i, j, r) for i > j over the rows of a key, each an array of ``size`` regions. Constant regions give r NULL. Sums of
+    dense tiles (see `tiles`), so the shuffle does not grow with the rows of a key."""
+    return column_correlations(arrays, [key], x, size)
 
 
 def with_z(edges: DataFrame) -> DataFrame:

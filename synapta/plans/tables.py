@@ -372,15 +372,15 @@ def gram_matrix(spark, d):
 
 @query("gram_pca")
 def gram_pca(spark, d):
-    """M1 M8"""
-    v, val = cp.group_pca(vectors(spark, d), "x", 64, 5)
-    return r(v, ["comp", "i"], ["value", "eigenvalue"]).withColumn("effective_rank", F.lit(cp.effective_rank(val)))
+    """M1 M8: as many directions are kept as there are positions, so the values are exact"""
+    m = io.checkpointed(cp.merged_pca(vectors(spark, d), "x", 64, internal=64, rank=64, checkpoint=io.checkpointed))
+    return r(cp.directions(m.where("comp < 5")), ["comp", "i"], ["value", "eigenvalue"]).crossJoin(F.broadcast(cp.effective_rank(m)))
 
 
 @query("noise_std_tail")
 def noise_std_tail(spark, d):
     """M9"""
-    v, _ = cp.group_pca(vectors(spark, d), "x", 64, 5)
+    v = cp.directions(cp.merged_pca(vectors(spark, d), "x", 64, internal=64, rank=5, checkpoint=io.checkpointed))
     return r(cp.noise_deviation(vectors(spark, d), "x", v), ["i"], ["noise_std"], 6)
 
 

@@ -196,24 +196,25 @@ def test_nested_cv_by_sums_equals_whole_tables(spark):
 
 
 def test_registered_grids_are_those_of_the_reference(spark, monkeypatch):
-    import inspect
+    import dataclasses
 
+    from synapta.operators import crossval
     from synapta.plans import QUERIES
     from synapta.plans import models as plans
 
-    signature, seen, whole = inspect.signature(models.nested_cv), [], models.nested_cv
+    seen, whole = [], crossval.nested_cv_scores
 
-    def record(*args, **named):
-        bound = signature.bind(*args, **named)
-        bound.apply_defaults()
-        seen.append(bound.arguments)
-        return whole(*args, **{**named, "times": 1, "inner_repeats": 1, "k": 2})
+    def record(subjects, sets, checkpoint, plan, **named):
+        seen.append((plan.times, plan.k, plan.inner_repeats, plan.inner_folds, plan.permute is not None))
+        return whole(subjects, sets, checkpoint, dataclasses.replace(plan, times=1, inner_repeats=1, k=2), **named)
 
-    monkeypatch.setattr(plans.md, "nested_cv", record)
+    monkeypatch.setattr(plans.cv, "nested_cv_scores", record)
     rows = QUERIES["pls1_grid"](spark, "/root/testdata/sf0.001").collect()
     QUERIES["nested_cv_score"](spark, "/root/testdata/sf0.001")
+    QUERIES["permutation_null"](spark, "/root/testdata/sf0.001")
     assert {r.fold for r in rows} == set(range(5))
-    assert [(a["times"], a["k"], a["inner_repeats"], a["inner_folds"]) for a in seen] == [(1, 10, 20, 5), (101, 10, 20, 5)]
+    grid = (101, 10, 20, 5, False)
+    assert seen == [(1, *grid[1:]), grid, grid, (1000, 10, 20, 5, True)]
 
 
 def test_principal_direction_and_spectrum(spark):
@@ -368,15 +369,20 @@ def test_echo_fit(spark):
 
 
 def test_group_pca_is_exact(spark):
-    x = np.random.default_rng(3).normal(size=(40, 6))
-    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
-    v, val = cp.group_pca(df, "x", 6, 2)
-    assert np.allclose(val, np.linalg.eigvalsh(x.T @ x)[::-1]) and cp.effective_rank(val) == 6
+    x = np.random.default_rng(3).normal(size=(60, 6))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    m = cp.merged_pca(df, "x", 6, internal=6, rank=6).cache()
+    val = np.linalg.eigvalsh(x.T @ x)[::-1]
+    assert np.allclose([r.eigenvalue for r in m.where("i = 0").orderBy("comp").collect()], val)
+    s = np.sqrt(val)
+    assert cp.effective_rank(m).first()[0] == (s > 0.1 * s.std(ddof=1)).sum() == 6
+    unit = cp.directions(m).groupBy("comp").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
+    assert np.allclose([r.n for r in unit], 1)
     top = np.zeros((2, 6))
-    for r in v.collect():
+    for r in cp.directions(m.where("comp < 2")).collect():
         top[r.comp, r.i] = r.value
     want = (x - x @ top.T @ top).std(0, ddof=1)
-    got = {r.i: r.noise_std for r in cp.noise_deviation(df, "x", v).collect()}
+    got = {r.i: r.noise_std for r in cp.noise_deviation(df, "x", cp.directions(m.where("comp < 2"))).collect()}
     assert np.allclose([got[i] for i in range(6)], want)
 
 
