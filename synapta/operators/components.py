@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,15 +47,21 @@ def _block(number: int, w: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(n), pa.int32()), lists], names=["block", "comp", "v"])
 
 
-def merged_pca(df: DataFrame, x: str, size: int, internal: int, rank: int, fan: int = 4, checkpoint=lambda d: d) -> DataFrame:
-    """M1: incremental PCA with a bounded internal rank. (comp, i, value, eigenvalue): the first ``rank`` components over ``size`` positions,
-    scaled by their singular values.
+BLOCK = "block int, comp int, v array<double>"
 
-    Each task adds its rows to a block and reduces it to ``internal`` directions whenever it holds twice as many; blocks are merged
-    ``fan`` at a time, in as many rounds as their number asks for, so a task holds at most fan * internal rows of any input. Exact up to
-    directions below the internal rank, whatever the partitions. ``checkpoint`` keeps each round, from which a lost job goes on. NULL
-    elements count as 0, NULL arrays are left out, arrays of another length are an error, and no rows give none.
-    """
+
+def _merge(size: int, internal: int):
+    """Blocks of directions that share a number, as one block of at most ``internal``."""
+
+    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        w = _rows_of(t.sort_by([("block", "ascending"), ("comp", "ascending")]).column("v"), size)
+        return pa.Table.from_batches([_block(int(key[0].as_py()), _leading(w, internal))])
+
+    return merge
+
+
+def _reduced(df: DataFrame, x: str, size: int, internal: int, fan: int, checkpoint) -> DataFrame:
+    """All rows of ``df`` as one block of directions."""
 
     def local(batches):
         w = np.zeros((0, size))
@@ -66,19 +74,67 @@ def merged_pca(df: DataFrame, x: str, size: int, internal: int, rank: int, fan:
         if len(w):
             yield _block(TaskContext.get().partitionId(), _leading(w, internal))
 
-    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        w = _rows_of(t.sort_by([("block", "ascending"), ("comp", "ascending")]).column("v"), size)
-        return pa.Table.from_batches([_block(key[0].as_py(), _leading(w, internal))])
-
-    schema = "block int, comp int, v array<double>"
     rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("array<double>").alias("v"))
-    blocks = checkpoint(rows.mapInArrow(local, schema))
+    blocks = checkpoint(rows.mapInArrow(local, BLOCK))
     last = blocks.agg(F.max("block")).first()[0] or 0
     while last:
-        blocks = checkpoint(blocks.groupBy((F.col("block") / fan).cast("int").alias("into")).applyInArrow(merge, schema))
+        blocks = checkpoint(blocks.groupBy((F.col("block") / fan).cast("int").alias("into")).applyInArrow(_merge(size, internal), BLOCK))
         last //= fan
+    return blocks
+
+
+def _components(block: DataFrame, rank: int) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)
-    return blocks.where(F.col("comp") < rank).select("comp", F.posexplode("v").alias("i", "value"), square.alias("eigenvalue"))
+    return block.where(F.col("comp") < rank).select("comp", F.posexplode("v").alias("i", "value"), square.alias("eigenvalue"))
+
+
+def merged_pca(df: DataFrame, x: str, size: int, internal: int, rank: int, fan: int = 4, checkpoint=lambda d: d) -> DataFrame:
+    """M1: incremental PCA with a bounded internal rank. (comp, i, value, eigenvalue): the first ``rank`` components over ``size`` positions,
+    scaled by their singular values.
+
+    Each task adds its rows to a block and reduces it to ``internal`` directions whenever it holds twice as many; blocks are merged
+    ``fan`` at a time, in as many rounds as their number asks for, so a task holds at most fan * internal rows of any input. Exact up to
+    directions below the internal rank, whatever the partitions. ``checkpoint`` keeps each round, from which a lost job goes on. NULL
+    elements count as 0, NULL arrays are left out, arrays of another length are an error, and no rows give none.
+    """
+    return _components(_reduced(df, x, size, internal, fan, checkpoint), rank)
+
+
+MANIFEST = "step int, batch string, n_batches int, batches string, size int, internal int"
+
+
+def resumable_pca(df: DataFrame, batch: str, x: str, size: int, internal: int, rank: int, path: str, checkpoint, fan: int = 4, most: int | None = None) -> DataFrame:
+    """M1, with a state that outlives the application: `merged_pca` batch by batch (subjects or groups of them, in order of ``batch``), the
+    block so far and a manifest row committed below ``path`` after each.
+
+    A run goes on after the last committed batch. The manifest holds what changes the result (a digest of all batches in order, size, internal rank); a
+    run with others is refused. A block is written before its manifest row, so a block without one was cut short and is written again;
+    only the newest block is read. ``most``: batches of this run at most. NULL batches are an error; otherwise as `merged_pca`.
+    """
+    spark = df.sparkSession
+    name = F.when(F.col(batch).isNull(), F.raise_error(F.lit("a row without a batch"))).otherwise(F.col(batch).cast("string"))
+    rows = df.select(name.alias("_batch"), F.col(x).alias("_x"))
+    names = sorted(r[0] for r in rows.select("_batch").distinct().collect())  # one short name a batch
+    asked = (len(names), hashlib.sha256("\n".join(names).encode()).hexdigest(), size, internal)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    done = -1
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        for r in spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path}/manifest").collect():  # one row a batch
+            if (r.n_batches, r.batches, r.size, r.internal) != asked:
+                raise ValueError("the state was made from other batches or parameters; take another path")
+            done = max(done, r.step)
+    stop = len(names) if most is None else min(len(names), done + 1 + most)
+    for step in range(done + 1, stop):
+        block = _reduced(rows.where(F.col("_batch") == names[step]), "_x", size, internal, fan, checkpoint)
+        if step:
+            block = spark.read.schema(BLOCK).parquet(f"{path}/blocks/{step - 1}").union(block.withColumn("block", F.lit(1)))
+            block = block.groupBy((F.col("block") * 0).alias("into")).applyInArrow(_merge(size, internal), BLOCK)
+        block.write.mode("overwrite").parquet(f"{path}/blocks/{step}")
+        fact = spark.createDataFrame([(step, names[step], *asked)], MANIFEST)
+        fact.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{step}")
+    if not stop:
+        return _components(spark.createDataFrame([], BLOCK), rank)
+    return _components(spark.read.schema(BLOCK).parquet(f"{path}/blocks/{stop - 1}"), rank)
 
 
 def directions(components: DataFrame) -> DataFrame:

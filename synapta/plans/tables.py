@@ -397,6 +397,15 @@ def merged_pca_energy(spark, d):
     return r(v.groupBy("i").agg(F.sum(F.col("value") * F.col("value")).alias("energy")), ["i"], ["energy"])
 
 
+@query("resumed_pca_energy", f"SELECT CAST(f AS INT) AS i, round(sum(x * x), 5) + 0.0 AS energy FROM {LONG} GROUP BY 1")
+def resumed_pca_energy(spark, d):
+    """M1: a run of two batches, and one that goes on from its committed state to the last; nothing is lost with as many directions as positions"""
+    v, path = vectors(spark, d), io.scratch(spark, "pca")
+    run = lambda most: cp.resumable_pca(v, "label", "x", 64, 64, 64, path, io.checkpointed, most=most)
+    run(2)
+    return r(run(None).groupBy("i").agg(F.sum(F.col("value") * F.col("value")).alias("energy")), ["i"], ["energy"])
+
+
 _TPL = f"(SELECT label AS template, f, avg(x) AS x FROM {LONG} GROUP BY 1, 2)"
 
 

@@ -454,3 +454,22 @@ def test_merged_pca(spark):
     assert cp.merged_pca(df.where("x is null"), "x", 12, 4, 3).count() == 0
     with pytest.raises(Exception, match="not of length"):
         cp.merged_pca(df, "x", 11, 4, 3).collect()
+
+
+def test_resumed_pca_equals_uninterrupted(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i % 5}", list(map(float, rng.normal(size=8)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, x array<double>").repartition(3, "s").sortWithinPartitions("s", "x")
+    run = lambda name, most=None, internal=4: sorted(tuple(r) for r in cp.resumable_pca(df, "s", "x", 8, internal, 3, f"file://{tmp_path}/{name}", lambda d: d, most=most).collect())
+    whole = run("whole")
+    assert run("cut", 0) == []
+    run("cut", 2)
+    before = sorted(p.name for p in (tmp_path / "cut" / "blocks").iterdir())
+    # a block whose manifest row was not committed is written again
+    (tmp_path / "cut" / "blocks" / "2").mkdir()
+    assert before == ["0", "1"] and run("cut") == whole and run("cut") == whole
+    assert len(whole) == 24
+    with pytest.raises(ValueError, match="other batches or parameters"):
+        run("cut", internal=5)
+    with pytest.raises(ValueError, match="other batches or parameters"):
+        cp.resumable_pca(df.where("s <> 's1'"), "s", "x", 8, 4, 3, f"file://{tmp_path}/cut", lambda d: d)
