@@ -11,8 +11,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from synapta.functions import safe_ratio
+from synapta.operators.quantiles import LIMIT, exact_percentiles, small
+from synapta.operators.scans import scan
 from synapta.operators.tiles import column_products
 
 
@@ -224,44 +227,48 @@ def band_power(df: DataFrame, comp: list[str], freq: str, power: str, low: tuple
     return df.groupBy(*comp).agg(safe_ratio(part(low), part(high)).alias("band_ratio"))
 
 
-def noisy_points_ratio(df: DataFrame, comp: list[str], t: str, x: str, noise: str, share: float = 0.125) -> DataFrame:
+def noisy_points_ratio(df: DataFrame, comp: list[str], t: str, x: str, noise: str, checkpoint, share: float = 0.125, limit: int = LIMIT) -> DataFrame:
     """Summed absolute value at the noisiest share of time points over that at all."""
-    cut = df.groupBy(*comp).agg(F.percentile(noise, F.lit(1 - share)).alias("_cut"))
-    d = df.join(cut, comp)
+    cut = checkpoint(exact_percentiles(df, comp, noise, [1 - share], checkpoint, limit).select(*comp, F.col("q")[0].alias("_cut")))
     noisy = F.col(noise) > F.col("_cut")
-    return d.groupBy(*comp).agg(safe_ratio(F.coalesce(F.sum(F.when(noisy, F.abs(x))), F.lit(0.0)), F.sum(F.abs(x))).alias("noisy_ratio"))
+    return df.join(small(cut), comp).groupBy(*comp).agg(safe_ratio(F.coalesce(F.sum(F.when(noisy, F.abs(x))), F.lit(0.0)), F.sum(F.abs(x))).alias("noisy_ratio"))
 
 
-def mark_outliers(df: DataFrame, keys: list[str], x: str, tie: str, out: str = "outlier") -> DataFrame:
-    """Beyond 3 * 1.4826 * MAD of the median and among the extreme floor((n + 9) / 20) at either end. Medians are aggregated."""
-    m = df.groupBy(*keys).agg(F.percentile(x, F.lit(0.5)).alias("_med"), F.count(x).alias("_n"))
-    d = df.join(m, keys)
-    a = d.groupBy(*keys).agg(F.percentile(F.abs(F.col(x) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    w = Window.partitionBy(*keys)
-    cut = F.floor((F.col("_n") + 9) / 20)
-    d = d.join(a, keys).withColumn("_lo", F.row_number().over(w.orderBy(x, tie))).withColumn("_hi", F.col("_n") - F.col("_lo") + 1)
-    far = F.abs(F.col(x) - F.col("_med")) > 3 * 1.4826 * F.col("_mad")
-    return d.withColumn(out, far & ((F.col("_lo") <= cut) | (F.col("_hi") <= cut))).drop("_med", "_mad", "_n", "_lo", "_hi")
+def mark_outliers(df: DataFrame, keys: list[str], x: str, tie: str, checkpoint, out: str = "outlier", limit: int = LIMIT) -> DataFrame:
+    """Beyond 3 * 1.4826 * MAD of the median and among the extreme floor((n + 9) / 20) at either end, ties by ``tie``. Medians are found by
+    counts and places by a scan over ranges, so a key may hold any share of the rows. Rows without a value are no outliers."""
+    med = checkpoint(exact_percentiles(df, keys, x, [0.5], checkpoint, limit).select(*keys, "n", F.col("q")[0].alias("_med")))
+    d = df.where(F.col(x).isNotNull()).join(small(med), keys).withColumn("_far", F.abs(F.col(x) - F.col("_med")))
+    mad = checkpoint(exact_percentiles(d, keys, "_far", [0.5], checkpoint, limit).select(*keys, F.col("q")[0].alias("_mad")))
+    placed = scan(d.withColumnRenamed("n", "_n_all"), keys, [F.asc(x), F.asc(tie)], checkpoint, number="_lo").join(small(mad), keys)
+    cut = F.floor((F.col("_n_all") + 9) / 20)
+    tail = (F.col("_lo") <= cut) | (F.col("_n_all") - F.col("_lo") + 1 <= cut)
+    marked = placed.withColumn(out, (F.col("_far") > 3 * 1.4826 * F.col("_mad")) & tail).drop("_med", "_mad", "_far", "_n_all", "_lo")
+    return marked.unionByName(df.where(F.col(x).isNull()).withColumn(out, F.lit(False)))
 
 
-def outlier_influence(df: DataFrame, keys: list[str], x: str, tie: str) -> DataFrame:
+def outlier_influence(df: DataFrame, keys: list[str], x: str, tie: str, checkpoint, limit: int = LIMIT) -> DataFrame:
     """Mean, deviation, share of outliers, share of absolute mass, and 1 - std(inliers) / std(all)."""
-    d = mark_outliers(df, keys, x, tie)
+    d = mark_outliers(df, keys, x, tie, checkpoint, limit=limit)
     s = d.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg(F.col("outlier").cast("int")).alias("outlier_share"), F.stddev_samp(F.when(~F.col("outlier"), F.col(x))).alias("_in"), F.sum(F.abs(x)).alias("_mass"))
     return s.select(*keys, "mean", "std", "outlier_share", (1 - F.try_divide("_in", F.nullif("std", F.lit(0.0)))).alias("influence"), F.try_divide("_mass", F.sum("_mass").over(Window.partitionBy(F.lit(1)))).alias("mass_share"))
 
 
-def series_statistics(df: DataFrame, keys: list[str], t: str, x: str, order: int = 8) -> DataFrame:
-    """Largest absolute value, mean, deviation, kurtosis (3 for a normal series), AR(1), AR(2) and the prediction error of
-    Yule-Walker models of order 1 to ``order``. Autocovariances are lagged sums; Levinson's recursion runs on the few of a row."""
+def series_statistics(df: DataFrame, keys: list[str], t: str, x: str, checkpoint, order: int = 8) -> DataFrame:
+    """Largest absolute value, mean, deviation, kurtosis (3 for a normal series), 1 - std(inliers) / std(all), the AR(1) and
+    both AR(2) coefficients as those of the prediction polynomial (1, a1, a2, ...), so with the sign turned against the regression on
+    the past, the prediction error of Yule-Walker models of order 1 to ``order``, and the line of these errors over the order. Autocovariances are lagged sums;
+    Levinson's recursion runs on the few of a row."""
     w = Window.partitionBy(*keys).orderBy(t)
-    d = df.withColumn("_c", F.col(x) - F.avg(x).over(Window.partitionBy(*keys)))
+    d = mark_outliers(df, keys, x, t, checkpoint).withColumn("_c", F.col(x) - F.avg(x).over(Window.partitionBy(*keys)))
     lags = {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, order + 1)}
     d = d.withColumns(lags)
-    s = d.groupBy(*keys).agg(F.max(F.abs(x)).alias("max_abs"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (F.kurtosis(x) + 3).alias("kurtosis"), F.array(F.avg(F.col("_c") * F.col("_c")), *(F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)) / F.count("*") for k in range(1, order + 1))).alias("_r"))
+    kept = (1 - F.try_divide(F.stddev_samp(F.when(~F.col("outlier"), F.col(x))), F.nullif(F.stddev_samp(x), F.lit(0.0)))).alias("influence")
+    s = d.groupBy(*keys).agg(F.max(F.abs(x)).alias("max_abs"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (F.kurtosis(x) + 3).alias("kurtosis"), kept, F.array(F.avg(F.col("_c") * F.col("_c")), *(F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)) / F.count("*") for k in range(1, order + 1))).alias("_r"))
     r = lambda k: F.col("_r")[k]
-    ar1 = F.try_divide(r(1), F.nullif(r(0), F.lit(0.0)))
-    ar2 = F.try_divide(r(2) * r(0) - r(1) * r(1), F.nullif(r(0) * r(0) - r(1) * r(1), F.lit(0.0)))
+    square = F.nullif(r(0) * r(0) - r(1) * r(1), F.lit(0.0))
+    ar1 = -F.try_divide(r(1), F.nullif(r(0), F.lit(0.0)))
+    ar2 = F.array(-F.try_divide(r(1) * (r(0) - r(2)), square), -F.try_divide(r(2) * r(0) - r(1) * r(1), square))
 
     @F.pandas_udf("array<double>")
     def errors(rs: pd.Series) -> pd.Series:
@@ -277,7 +284,12 @@ def series_statistics(df: DataFrame, keys: list[str], t: str, x: str, order: int
             out.append(errs)
         return pd.Series(out, dtype=object)
 
-    return s.select(*keys, "max_abs", "mean", "std", "kurtosis", ar1.alias("ar1"), ar2.alias("ar2"), errors("_r").alias("yw_error"))
+    s = s.select(*keys, "max_abs", "mean", "std", "kurtosis", "influence", ar1.alias("ar1"), ar2.alias("ar2"), errors("_r").alias("yw_error"))
+    total = F.aggregate("yw_error", F.lit(0.0), lambda a, e: a + e)
+    along = F.aggregate(F.zip_with("yw_error", F.sequence(F.lit(1), F.lit(order)), lambda e, k: e * k), F.lit(0.0), lambda a, e: a + e)
+    mid, spread = (order + 1) / 2, order * (order * order - 1) / 12
+    slope = (along - mid * total) / spread
+    return s.withColumn("yw_slope", slope).withColumn("yw_offset", total / order - F.col("yw_slope") * mid)
 
 
 def lag_correlations(df: DataFrame, keys: list[str], t: str, x: str, y: str, lags: int) -> DataFrame:
@@ -384,15 +396,61 @@ def scaled_spectrum(df: DataFrame, comp: str, freq: str, x: str) -> DataFrame:
     return df.withColumn("by_max", F.try_divide(F.col(x), F.nullif(F.max(x).over(wc), F.lit(0.0)))).withColumn("z", F.coalesce(F.try_divide(F.col(x) - F.avg(x).over(wf), F.nullif(F.stddev_samp(x).over(wf), F.lit(0.0))), F.lit(0.0)))
 
 
-def outlier_fill_distance(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
-    """Summed squares of a series minus itself with outliers filled from their neighbours (linear; a documented deviation)."""
-    d = mark_outliers(df, keys, x, t).withColumn("_v", F.when(~F.col("outlier"), F.col(x)))
-    w = Window.partitionBy(*keys).orderBy(t)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    tv = F.when(F.col("_v").isNotNull(), F.col(t))
-    d = d.withColumns({"_x0": F.last("_v", True).over(back), "_x1": F.first("_v", True).over(ahead), "_t0": F.last(tv, True).over(back), "_t1": F.first(tv, True).over(ahead)})
-    fill = F.coalesce(F.col("_x0") + F.coalesce(F.try_divide(F.col(t) - F.col("_t0"), F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0))), F.lit(0.0)) * (F.col("_x1") - F.col("_x0")), "_x0", "_x1")
-    return d.groupBy(*keys).agg(F.sum(F.pow(F.col(x) - F.coalesce("_v", fill), F.lit(2))).alias("distance"))
+def spline_fill(t: np.ndarray, v: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """v with the marked points taken from a cubic spline through the others: second derivatives from one banded solve, the third
+    derivative the same on both sides of the second and of the last but one knot (so of two or three knots a line or parabola), carried on
+    beyond the ends. Without another point nothing is filled."""
+    keep = ~gone
+    x, y, at = t[keep], v[keep], t[gone]
+    out, n = v.copy(), len(x)
+    if not len(at) or not n:
+        return out
+    if n < 4:
+        scale = max(float(np.ptp(x)), 1.0)
+        out[gone] = np.polyval(np.polyfit((x - x[0]) / scale, y, n - 1), (at - x[0]) / scale)
+        return out
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    # rows of a tridiagonal system for the second derivatives of the inner knots, the outer ones expressed by them
+    low, mid, up, rhs = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(d)
+    a, b = h[0] / h[1], h[-1] / h[-2]
+    mid[0], up[0] = mid[0] + low[0] * (1 + a), up[0] - low[0] * a
+    mid[-1], low[-1] = mid[-1] + up[-1] * (1 + b), low[-1] - up[-1] * b
+    m = np.zeros(n)
+    m[1:-1] = _tridiagonal(low, mid, up, rhs)
+    m[0], m[-1] = m[1] + a * (m[1] - m[2]), m[-2] + b * (m[-2] - m[-3])
+    i = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
+    s, w = at - x[i], x[i + 1] - x[i]
+    out[gone] = y[i] + s * (d[i] - w * (2 * m[i] + m[i + 1]) / 6 + s * (m[i] / 2 + s * (m[i + 1] - m[i]) / (6 * w)))
+    return out
+
+
+def _tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Forward elimination and substitution back."""
+    n = len(rhs)
+    c, r = [0.0] * n, [0.0] * n
+    last = prior = 0.0
+    for i, (lo, di, hi, b) in enumerate(zip(low.tolist(), mid.tolist(), up.tolist(), rhs.tolist())):
+        pivot = di - (lo * last if i else 0.0)
+        last, prior = hi / pivot, (b - (lo * prior if i else 0.0)) / pivot
+        c[i], r[i] = last, prior
+    for i in range(n - 2, -1, -1):
+        r[i] -= c[i] * r[i + 1]
+    return np.array(r)
+
+
+def outlier_fill_distance(df: DataFrame, keys: list[str], t: str, x: str, checkpoint) -> DataFrame:
+    """Root of the summed squares of a series minus itself with its outliers filled by a cubic spline of the other points (see
+    spline_fill). Outliers are marked by scans; the spline of a key takes its points in one task, 17 bytes each."""
+    d = mark_outliers(df, keys, x, t, checkpoint).where(F.col(x).isNotNull()).select(*keys, F.col(t).cast("double").alias("_t"), F.col(x).cast("double").alias("_x"), "outlier")
+
+    def distance(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_t")
+        at, v, gone = (rows[c].to_numpy() for c in ("_t", "_x", "outlier"))
+        e = v - spline_fill(at, v, gone.astype(bool))
+        return pa.table({**{k: pa.array([s.as_py()], s.type) for k, s in zip(keys, key)}, "distance": pa.array([float(np.sqrt(e @ e))])})
+
+    schema = StructType([*(d.schema[k] for k in keys), StructField("distance", DoubleType())])
+    return d.groupBy(*keys).applyInArrow(distance, schema)
 
 
 def votes(df: DataFrame, comp: list[str], model: str, prob: str, baseline: str, threshold: float, needed: int) -> DataFrame:

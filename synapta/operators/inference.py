@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import pearson, stars
+from synapta.operators.quantiles import LIMIT, exact_percentiles
+from synapta.operators.scans import scan
 
 
 def right_tail_p(observed: DataFrame, null: DataFrame, keys: list[str], x: str, plus_one: bool = True) -> DataFrame:
@@ -115,15 +117,23 @@ def anova(df: DataFrame, keys: list[str], group: str, x: str) -> DataFrame:
     return s.withColumn("p", F.nullif(p("f", "d1", "d2"), F.lit(float("nan"))))
 
 
-def bh_fdr(df: DataFrame, p: str, family: list[str] | None = None, tie: list[str] = (), strict: int | None = None) -> DataFrame:
+def bh_fdr(df: DataFrame, p: str, family: list[str] | None = None, tie: list[str] = (), strict: int | None = None, checkpoint=None) -> DataFrame:
     """Benjamini-Hochberg q by a running minimum from the largest p. NULL p stays NULL and is not counted, unless
-    ``strict`` asks for exactly so many p-values: then another number or a NULL is an error. The tests of one report are few."""
+    ``strict`` asks for exactly so many p-values: then another number or a NULL is an error. The few tests of one report are windows;
+    with ``checkpoint`` ranks and minima are scans over ranges, for families of any size (voxels, edges); ``tie`` must then order equal p fully."""
     keys = family or []
-    every = Window.partitionBy(*keys, F.col(p).isNull())
-    w = Window.partitionBy(*keys, F.col(p).isNull()).orderBy(F.col(p), *tie)
-    back = w.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("_rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(every))
-    out = out.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(back))))
+    if checkpoint:
+        of = [*keys, "_none"]
+        ranked = scan(df.withColumn("_none", F.col(p).isNull()), of, [F.asc(p), *map(F.asc, tie)], checkpoint, number="_rank", total="_n")
+        ranked = ranked.withColumn("_step", F.col(p) * F.col("_n") / F.col("_rank"))
+        out = scan(ranked, of, [F.desc("_rank")], checkpoint, least={"_least": "_step"}).drop("_none", "_step")
+        out = out.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_least"))).drop("_least")
+    else:
+        every = Window.partitionBy(*keys, F.col(p).isNull())
+        w = Window.partitionBy(*keys, F.col(p).isNull()).orderBy(F.col(p), *tie)
+        back = w.rowsBetween(0, Window.unboundedFollowing)
+        out = df.withColumn("_rank", F.row_number().over(w)).withColumn("_n", F.count("*").over(every))
+        out = out.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(back))))
     if strict is not None:
         bad = F.col(p).isNull() | (F.col("_n") != strict)
         out = out.withColumn("q", F.when(bad, F.raise_error(F.lit(f"expected {strict} p-values"))).otherwise(F.col("q")))
@@ -166,14 +176,15 @@ def index_mismatches(a: DataFrame, b: DataFrame, run: str, idx: str) -> DataFram
     return x.groupBy(run).agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("n_mismatch"), F.count("*").alias("n"))
 
 
-def distribution(df: DataFrame, keys: list[str], x: str, observed: Column | None = None) -> DataFrame:
-    """N, moments, quantiles, and the share at or above ``observed`` (an expression of the keys' columns)."""
-    q = F.percentile(x, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
+def distribution(df: DataFrame, keys: list[str], x: str, checkpoint, observed: Column | None = None, limit: int = LIMIT) -> DataFrame:
+    """N, moments, quantiles (found by counts, see `quantiles`), and the share at or above ``observed`` (an expression of
+    the keys' columns)."""
+    q = checkpoint(exact_percentiles(df, keys, x, [0.05, 0.25, 0.5, 0.75, 0.95], checkpoint, limit).drop("n"))
     aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    aggs += [q[i].alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))]
     if observed is not None:
         aggs.append(F.avg((F.col(x) >= observed).cast("int")).alias("exceedance"))
-    return df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs).join(q, keys, "left")
+    return out.select(*keys, "n", "mean", "std", "min", "max", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))), *(["exceedance"] if observed is not None else []))
 
 
 def shared_histogram(df: DataFrame, keys: list[str], x: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import seeded
+from synapta.operators.scans import scan
 
 # --- ordered positions, folds and permutation ---------------------------------------------------------------------
 
 
-def block_folds(df: DataFrame, y: str, key: str, k: int, seed: str, by: list[str] = ()) -> DataFrame:
+def block_folds(df: DataFrame, y: str, key: str, k: int, seed: str, checkpoint, by: list[str] = ()) -> DataFrame:
     """Subjects by descending y in blocks of k, each block dealt to the folds in seeded order (trap T12). ``by``: repeats.
-    The position in a cohort is a window over one narrow row a subject."""
-    pos = Window.partitionBy(*by).orderBy(F.desc(y), key)
+    Positions are a scan over ranges; a window holds a block."""
     inside = Window.partitionBy(*by, "_block").orderBy(seeded(seed, *(F.col(c) for c in by), F.col(key)), key)
-    out = df.withColumn("_block", F.floor((F.row_number().over(pos) - 1) / k))
-    return out.withColumn("fold", (F.row_number().over(inside) - 1).cast("int")).drop("_block")
+    out = scan(df, list(by), [F.desc(y), F.asc(key)], checkpoint, number="_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / k))
+    return out.withColumn("fold", (F.row_number().over(inside) - 1).cast("int")).drop("_block", "_pos")
 
 
 def repeats(df: DataFrame, n: int, name: str = "time_id") -> DataFrame:
@@ -82,12 +82,18 @@ def permute_labels(df: DataFrame, y: str, key: str, seed: str, by: list[str], tr
 # --- covariates and scaling ----------------------------------------------------------------------------------------
 
 
+#: Levels of a category, each a column of the design.
+LEVELS = 1_000
+
+
 def design(df: DataFrame, categorical: list[str], numeric: list[str]) -> tuple[DataFrame, list[str]]:
     """An intercept, dummies of the categories but the first in sorted order, and the numbers, as columns. Levels are those of
     the whole cohort (trap T11); there are few of them."""
     names, df = ["_1"], df.withColumn("_1", F.lit(1.0))
     for c in categorical:
-        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(LEVELS + 1).collect())
+        if len(levels) > LEVELS:
+            raise ValueError(f"{c} has more than {LEVELS} levels: not a category")
         for i, v in enumerate(levels[1:]):
             name = f"_{c}_{i}"
             df, names = df.withColumn(name, (F.col(c) == F.lit(v)).cast("double")), [*names, name]
@@ -275,14 +281,6 @@ def _sums_corr(gram: np.ndarray, coef: np.ndarray) -> np.ndarray:
     return np.where(ok, (coef @ cov[:-1, -1]) / np.sqrt(np.where(ok, vp * vy, 1.0)), 0.0)
 
 
-def numbered(df: DataFrame, y: str, key: str, checkpoint) -> DataFrame:
-    """``pos`` from 0 by descending y: sorted ranges, numbered each, plus the counts of those before. ``checkpoint`` fixes the ranges."""
-    r = checkpoint(df.repartitionByRange(F.desc(y), F.col(key)).withColumn("_p", F.spark_partition_id()))
-    starts = r.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count"))  # one row a range
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc(y), key))
-    return r.withColumn("pos", at - 1).join(F.broadcast(starts.drop("count")), "_p").withColumn("pos", F.col("pos") + F.col("_before")).drop("_p", "_before")
-
-
 #: Subjects of a chunk, the unit of work, at most, and its bytes; whole blocks of outer and inner folds.
 CHUNK, CHUNK_BYTES = 60_000, 64 << 20
 #: Tasks that share the repeats over one chunk.
@@ -329,7 +327,7 @@ def nested_cv(
         z = np.column_stack([np.ones(len(pdf)), np.array(pdf["c"].tolist(), float), np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy(float)])
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [len(pdf)], "nc": [len(pdf["c"].iloc[0])], "ids": [pdf["subid"].to_numpy(np.int64).tobytes()], "z": [z.tobytes()]})
 
-    placed = numbered(subjects.select("subid", "y", "c", "x"), "y", "subid", checkpoint).withColumn("chunk", F.floor(F.col("pos") / size).cast("int"))
+    placed = scan(subjects.select("subid", "y", "c", "x"), [], [F.desc("y"), F.asc("subid")], checkpoint, number="pos").withColumn("chunk", F.floor((F.col("pos") - 1) / size).cast("int"))
     packed = checkpoint(placed.groupBy("chunk").applyInPandas(pack, "chunk int, n int, nc int, ids binary, z binary"))
     spread = packed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(min(groups, times) - 1))))
     times_of = lambda g: range(g, times, min(groups, times))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synapta.functions import motion_valid
+from synapta.operators.scans import scan
 
 
 def run_summary(frames: DataFrame, keys: list[str], fd: str, low: float = 0.2) -> DataFrame:
@@ -53,8 +54,10 @@ def frame_index(df: DataFrame, keys: list[str], order: list[str], name: str = "t
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
-def backward_difference(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
-    """x minus the value before, 0 in the first row."""
+def backward_difference(df: DataFrame, keys: list[str], order: list[str], x: str, out: str, checkpoint=None) -> DataFrame:
+    """x minus the value before, 0 in the first row. A run is a window; with ``checkpoint`` a scan over ranges, for keys of any size."""
+    if checkpoint:
+        return scan(df, keys, [F.asc(c) for c in order], checkpoint, before={"_before": x}).withColumn(out, F.coalesce(F.col(x) - F.col("_before"), F.lit(0.0))).drop("_before")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.coalesce(F.col(x) - F.lag(x).over(w), F.lit(0.0)))
 

@@ -20,20 +20,20 @@ def scan(
     a range at most (only the key at its start goes on), which is broadcast. Without keys all rows are one series.
     """
     sums, least, before = sums or {}, least or {}, before or {}
-    dealt = checkpoint(df.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    dealt = checkpoint(df.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("_scan_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_scan_part", *keys).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = dealt.withColumn("_n", F.row_number().over(inside))
+    local = dealt.withColumn("_scan_n", F.row_number().over(inside))
 
-    ends = [F.max("_n").alias("_c")]
-    ends += [F.sum(c).alias(f"_s_{o}") for o, c in sums.items()] + [F.min(c).alias(f"_m_{o}") for o, c in least.items()]
-    ends += [F.max_by(F.struct(c), "_n").alias(f"_b_{o}") for o, c in before.items()]
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum("_c").over(earlier).alias("_c")]
-    carried += [F.sum(f"_s_{o}").over(earlier).alias(f"_s_{o}") for o in sums] + [F.min(f"_m_{o}").over(earlier).alias(f"_m_{o}") for o in least]
-    carried += [F.last(f"_b_{o}").over(earlier).alias(f"_b_{o}") for o in before]
-    each = local.groupBy("_part", *keys).agg(*ends)
-    carry = each.select(F.col("_part").alias("_at"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *carried).where("_c is not null")
+    ends = [F.max("_scan_n").alias("_scan_c")]
+    ends += [F.sum(c).alias(f"_scan_s_{o}") for o, c in sums.items()] + [F.min(c).alias(f"_scan_m_{o}") for o, c in least.items()]
+    ends += [F.max_by(F.struct(c), "_scan_n").alias(f"_scan_b_{o}") for o, c in before.items()]
+    earlier = Window.partitionBy(*keys).orderBy("_scan_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum("_scan_c").over(earlier).alias("_scan_c")]
+    carried += [F.sum(f"_scan_s_{o}").over(earlier).alias(f"_scan_s_{o}") for o in sums] + [F.min(f"_scan_m_{o}").over(earlier).alias(f"_scan_m_{o}") for o in least]
+    carried += [F.last(f"_scan_b_{o}").over(earlier).alias(f"_scan_b_{o}") for o in before]
+    each = local.groupBy("_scan_part", *keys).agg(*ends)
+    carry = each.select(F.col("_scan_part").alias("_scan_at"), *(F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)), *carried).where("_scan_c is not null")
 
     for o, c in sums.items():
         local = local.withColumn(o, F.sum(c).over(so_far))
@@ -41,25 +41,25 @@ def scan(
         local = local.withColumn(o, F.min(c).over(so_far))
     for o, c in before.items():
         local = local.withColumn(o, F.lag(c).over(inside))
-    same = F.col("_part") == F.col("_at")
+    same = F.col("_scan_part") == F.col("_scan_at")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
     out = local.join(F.broadcast(carry), same, "left")
     if number:
-        out = out.withColumn(number, F.col("_n") + F.coalesce("_c", F.lit(0)))
+        out = out.withColumn(number, F.col("_scan_n") + F.coalesce("_scan_c", F.lit(0)))
     for o in sums:
-        out = out.withColumn(o, F.when(F.col(o).isNull(), F.col(f"_s_{o}")).otherwise(F.col(o) + F.coalesce(F.col(f"_s_{o}"), F.lit(0))))
+        out = out.withColumn(o, F.when(F.col(o).isNull(), F.col(f"_scan_s_{o}")).otherwise(F.col(o) + F.coalesce(F.col(f"_scan_s_{o}"), F.lit(0))))
     for o in least:
-        out = out.withColumn(o, F.least(o, f"_m_{o}"))
+        out = out.withColumn(o, F.least(o, f"_scan_m_{o}"))
     for o, c in before.items():
-        out = out.withColumn(o, F.when(F.col("_n") == 1, F.col(f"_b_{o}")[c]).otherwise(F.col(o)))
+        out = out.withColumn(o, F.when(F.col("_scan_n") == 1, F.col(f"_scan_b_{o}")[c]).otherwise(F.col(o)))
     if total:
-        all_rows = each.groupBy(*keys).agg(F.sum("_c").alias(total)) if keys else each.agg(F.sum("_c").alias(total))
+        all_rows = each.groupBy(*keys).agg(F.sum("_scan_c").alias(total)) if keys else each.agg(F.sum("_scan_c").alias(total))
         if keys:
-            sizes = all_rows.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)), total)
+            sizes = all_rows.select(*(F.col(k).alias(f"_scan_t{i}") for i, k in enumerate(keys)), total)
             same = F.lit(True)
             for i, k in enumerate(keys):
-                same = same & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+                same = same & F.col(k).eqNullSafe(F.col(f"_scan_t{i}"))
             out = out.join(sizes, same)
         else:
             out = out.crossJoin(F.broadcast(all_rows))  # one row

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from synapta import functions as fn
 from synapta.operators import inference as inf
+from synapta.operators.scans import scan
 from synapta.plans.base import query, read
+from synapta.sources import io
 
 
 def records(spark, d):
@@ -142,6 +144,19 @@ def bh_fdr(spark, d):
     return q.select("dataset", *(fn.r6(F.col(c)).alias(c) for c in q.columns if c != "dataset"))
 
 
+_MANY = "(SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 50 <> 0 THEN CAST((o_orderkey * 7919 + CAST(round(o_totalprice * 100) AS BIGINT)) % 100003 AS DOUBLE) / 100003 * (CASE WHEN o_orderkey % 7 = 0 THEN 0.001 ELSE 1 END) END AS p FROM orders)"
+
+
+@query("bh_fdr_families", f"""WITH r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM {_MANY} WHERE p IS NOT NULL WINDOW w AS (PARTITION BY o_orderstatus ORDER BY p, o_orderkey))
+SELECT o_orderkey, o_orderstatus, round(least(1.0, min(p * n / k) OVER (PARTITION BY o_orderstatus ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r UNION ALL SELECT o_orderkey, o_orderstatus, NULL FROM {_MANY} WHERE p IS NULL""")
+def bh_fdr_families(spark, d):
+    """K8 F10 with families of any size: a test an order, three families"""
+    o = read(spark, d, "orders")
+    p = ((F.col("o_orderkey") * 7919 + F.round(F.col("o_totalprice") * 100).cast("bigint")) % 100003).cast("double") / 100003 * F.when(F.col("o_orderkey") % 7 == 0, 0.001).otherwise(1.0)
+    t = o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 50 != 0, p).alias("p"))
+    return inf.bh_fdr(t, "p", ["o_orderstatus"], ["o_orderkey"], checkpoint=io.checkpointed).select("o_orderkey", "o_orderstatus", fn.r6(F.col("q")).alias("q"))
+
+
 @query("label_stars", f"SELECT feature_set, perm_id, {_STARS.replace('p <', 'abs(corr) <')} AS label FROM {_NULL} WHERE corr IS NOT NULL")
 def label_stars(spark, d):
     """B23"""
@@ -185,10 +200,8 @@ def same_run_join(spark, d):
 @query("rank_desc_nulls_last", f"SELECT feature_set, time_id, rank FROM {_RANKED}")
 def rank_desc_nulls_last(spark, d):
     """F9"""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("feature_set").orderBy(F.desc_nulls_last("metric"), "time_id")
-    return records(spark, d).select("feature_set", "time_id", F.row_number().over(w).alias("rank"))
+    ranked = scan(records(spark, d).select("feature_set", "time_id", "metric"), ["feature_set"], [F.desc_nulls_last("metric"), F.asc("time_id")], io.checkpointed, number="rank")
+    return ranked.select("feature_set", "time_id", "rank")
 
 
 _Q = ", ".join(f"round(quantile_cont(x, {q}), 6) + 0.0 AS {n}" for n, q in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95)))
@@ -197,7 +210,7 @@ _Q = ", ".join(f"round(quantile_cont(x, {q}), 6) + 0.0 AS {n}" for n, q in (("q0
 @query("dist_summary", f"SELECT feature_set, count(x) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) + 0.0 AS min, round(max(x), 6) + 0.0 AS max, {_Q}, round(avg(CASE WHEN x >= 0.9 THEN 1.0 WHEN x < 0.9 THEN 0.0 END), 6) AS exceedance FROM (SELECT feature_set, corr AS x FROM {_NULL}) GROUP BY 1")
 def dist_summary(spark, d):
     """E17 E18"""
-    s = inf.distribution(nulls(spark, d), ["feature_set"], "corr", F.lit(0.9))
+    s = inf.distribution(nulls(spark, d), ["feature_set"], "corr", io.checkpointed, F.lit(0.9))
     return s.select("feature_set", "n", *(fn.r6(F.col(c)).alias(c) for c in s.columns if c not in ("feature_set", "n")))
 
 

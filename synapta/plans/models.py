@@ -17,7 +17,7 @@ _FOLDS = f"(SELECT subid, label, row_number() OVER (PARTITION BY b ORDER BY md5(
 
 
 def folds(spark, d):
-    return md.block_folds(vectors(spark, d).select("subid", "label"), "label", "subid", K, SEED)
+    return md.block_folds(vectors(spark, d).select("subid", "label"), "label", "subid", K, SEED, io.checkpointed)
 
 
 @query("fold_assign", f"SELECT subid, label, CAST(fold AS INT) AS fold FROM {_FOLDS}")
@@ -31,7 +31,7 @@ SELECT CAST(time_id AS INT) AS time_id, subid, CAST(row_number() OVER (PARTITION
 def repeated_folds(spark, d):
     """J10 J17"""
     t = md.repeats(vectors(spark, d).select("subid", "label"), 101)
-    return md.block_folds(t, "label", "subid", K, SEED, by=["time_id"]).select("time_id", "subid", "fold")
+    return md.block_folds(t, "label", "subid", K, SEED, io.checkpointed, by=["time_id"]).select("time_id", "subid", "fold")
 
 
 @query("split_reuse", f"SELECT f.fold, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS gg, round(avg(embedding[33]::DOUBLE), 6) + 0.0 AS gw FROM {_FOLDS} f JOIN embeddings ON vec_id = f.subid GROUP BY 1")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from synapta import functions as fn
 from synapta.operators import cohort, motion
+from synapta.operators.scans import scan
 from synapta.plans.base import FRAMES, RUNS, frames, query, read
+from synapta.sources import io
 
 RUN_KEYS = ["click", "error", "purchase", "signup", "view"]
 _VALID = "(coalesce(mean_fd <= 0.5 AND low_ratio > 0.4, false))"
@@ -170,7 +172,7 @@ _ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
 
 @query("backward_diff", f"SELECT event_id, round(coalesce(value - lag(value) OVER ({_ORDER}), 0), 6) + 0.0 AS d FROM events")
 def backward_diff(spark, d):
-    return motion.backward_difference(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", "d").select("event_id", fn.r6(F.col("d")).alias("d"))
+    return motion.backward_difference(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", "d", io.checkpointed).select("event_id", fn.r6(F.col("d")).alias("d"))
 
 
 @query("unbiased_diff", f"""SELECT event_id, round(CASE WHEN lag(1) OVER w IS NULL AND lead(1) OVER w IS NULL THEN 0 WHEN lag(1) OVER w IS NULL THEN lead(value) OVER w - value
@@ -335,7 +337,8 @@ _LIST = "(SELECT user_id AS c_custkey, row_number() OVER (ORDER BY md5(concat('l
 def subject_list(spark, d):
     """An ordered subject list: the users by a seeded hash. The list is one row a subject."""
     ids = read(spark, d, "events").select(F.col("user_id").alias("c_custkey")).distinct()
-    return ids.withColumn("pos", (F.row_number().over(Window.orderBy(fn.seeded("list", F.col("c_custkey")), "c_custkey")) - 1).cast("bigint"))
+    placed = scan(ids, [], [fn.seeded("list", F.col("c_custkey")).asc(), F.asc("c_custkey")], io.checkpointed, number="pos")
+    return placed.withColumn("pos", (F.col("pos") - 1).cast("bigint"))
 
 
 @query("list_order_align", f"SELECT pos, c_custkey, c_acctbal FROM {_LIST} JOIN customer USING (c_custkey)")

@@ -485,7 +485,7 @@ def band_power_ratio(spark, d):
 @query("noisy_points", "WITH c AS (SELECT user_id, quantile_cont(abs(value - 50), 0.875) AS cut FROM events GROUP BY 1) SELECT user_id, round(coalesce(sum(abs(value)) FILTER (WHERE abs(value - 50) > cut), 0) / sum(abs(value)), 6) AS noisy_ratio FROM events JOIN c USING (user_id) GROUP BY 1")
 def noisy_points(spark, d):
     """N3"""
-    return r(cp.noisy_points_ratio(read(spark, d, "events").withColumn("n", F.abs(F.col("value") - 50)), ["user_id"], "ts", "value", "n"), ["user_id"], ["noisy_ratio"], 6)
+    return r(cp.noisy_points_ratio(read(spark, d, "events").withColumn("n", F.abs(F.col("value") - 50)), ["user_id"], "ts", "value", "n", io.checkpointed), ["user_id"], ["noisy_ratio"], 6)
 
 
 _OUT = f"""(SELECT *, abs(x - med) > 3 * 1.4826 * quantile_cont(abs(x - med), 0.5) OVER (PARTITION BY g) AND (lo <= (n + 9) // 20 OR n - lo + 1 <= (n + 9) // 20) AS outlier FROM
@@ -496,20 +496,28 @@ _OUT = f"""(SELECT *, abs(x - med) > 3 * 1.4826 * quantile_cont(abs(x - med), 0.
 def outlier_influence(spark, d):
     """N4 N5 N6"""
     e = read(spark, d, "events").select(F.col("event_type").alias("g"), F.col("event_id").alias("id"), F.col("value").alias("x"))
-    return r(cp.outlier_influence(e, ["g"], "x", "id"), ["g"], ["mean", "std", "outlier_share", "influence", "mass_share"])
+    return r(cp.outlier_influence(e, ["g"], "x", "id", io.checkpointed), ["g"], ["mean", "std", "outlier_share", "influence", "mass_share"])
 
 
-_L = ", ".join(f"lag(c, {k}) OVER (PARTITION BY roi ORDER BY t) AS l{k}" for k in (1, 2))
+_L = ", ".join(f"lag(c, {k}) OVER (PARTITION BY roi ORDER BY t) AS l{k}" for k in range(1, 9))
+_R = ", ".join(f"coalesce(sum(c * l{k}), 0) / count(*)" for k in range(1, 9))
+_BM_OUT = _OUT.replace("SELECT event_type AS g, event_id AS id, value AS x FROM events", f"SELECT roi AS g, t AS id, x FROM {_BM}")
 
 
-@query("series_stats", f"""WITH c AS (SELECT roi, t, x, x - avg(x) OVER (PARTITION BY roi) AS c FROM {_BM}), l AS (SELECT *, {_L} FROM c),
-r AS (SELECT roi, max(abs(x)) AS max_abs, avg(x) AS mean, stddev_samp(x) AS std, kurtosis_pop(x) + 3 AS kurtosis, avg(c * c) AS r0, sum(c * l1) / count(*) AS r1, sum(c * l2) / count(*) AS r2 FROM l GROUP BY 1)
-SELECT roi, round(max_abs, 5) AS max_abs, round(mean, 5) AS mean, round(std, 5) AS std, round(kurtosis, 4) AS kurtosis, round(r1 / r0, 5) + 0.0 AS ar1, round((r2 * r0 - r1 * r1) / (r0 * r0 - r1 * r1), 5) + 0.0 AS ar2, round(r0 - r1 * r1 / r0, 4) AS yw1 FROM r""")
+@query("series_stats", f"""WITH RECURSIVE c AS (SELECT g AS roi, id AS t, x, outlier, x - avg(x) OVER (PARTITION BY g) AS c FROM {_BM_OUT}), l AS (SELECT *, {_L} FROM c),
+r AS (SELECT roi, max(abs(x)) AS max_abs, avg(x) AS mean, stddev_samp(x) AS std, kurtosis_pop(x) + 3 AS kurtosis, 1 - stddev_samp(x) FILTER (WHERE NOT outlier) / stddev_samp(x) AS influence, [avg(c * c), {_R}] AS r FROM l GROUP BY 1),
+v AS (SELECT roi, 0 AS k, r[1] AS e, CAST([] AS DOUBLE[]) AS a, r FROM r UNION ALL
+  SELECT roi, k + 1, e * (1 - g * g), list_concat(list_transform(list_zip(a, list_reverse(a)), lambda z: z[1] - g * z[2]), [g]), r
+  FROM (SELECT *, (r[k + 2] - CASE WHEN k = 0 THEN 0 ELSE list_dot_product(a, list_reverse(r[2:k + 1])) END) / e AS g FROM v WHERE k < 8)),
+y AS (SELECT roi, regr_slope(e, k) AS yw_slope, regr_intercept(e, k) AS yw_offset, max(e) FILTER (WHERE k = 1) AS yw1, max(e) FILTER (WHERE k = 2) AS yw2, any_value(a) FILTER (WHERE k = 1) AS a1, any_value(a) FILTER (WHERE k = 2) AS a2 FROM v WHERE k > 0 GROUP BY 1)
+SELECT roi, round(max_abs, 5) AS max_abs, round(mean, 5) AS mean, round(std, 5) AS std, round(kurtosis, 4) AS kurtosis, round(influence, 5) + 0.0 AS influence, round(-a1[1], 5) + 0.0 AS ar1, round(-a2[1], 5) + 0.0 AS ar2_1, round(-a2[2], 5) + 0.0 AS ar2_2,
+  round(yw1, 4) AS yw1, round(yw2, 4) AS yw2, round(yw_slope, 4) + 0.0 AS yw_slope, round(yw_offset, 4) AS yw_offset FROM r JOIN y USING (roi)""")
 def series_stats(spark, d):
     """N7"""
-    s = cp.series_statistics(brand_month(spark, d), ["roi"], "t", "x")
-    s = s.withColumn("yw1", F.round(F.col("yw_error")[0], 4)).withColumn("kurtosis", F.round("kurtosis", 4))
-    return s.select("roi", "kurtosis", "yw1", *(F.round(c, 5).alias(c) for c in ("max_abs", "mean", "std", "ar1", "ar2")))
+    s = cp.series_statistics(brand_month(spark, d), ["roi"], "t", "x", io.checkpointed)
+    e = {f"yw{k + 1}": F.col("yw_error")[k] for k in (0, 1)} | {f"ar2_{k + 1}": F.col("ar2")[k] for k in (0, 1)}
+    s = s.withColumns(e)
+    return s.select("roi", *(F.round(c, 4).alias(c) for c in ("kurtosis", "yw1", "yw2", "yw_slope", "yw_offset")), *(F.round(c, 5).alias(c) for c in ("max_abs", "mean", "std", "influence", "ar1", "ar2_1", "ar2_2")))
 
 
 _CENTRED = f"(SELECT roi, t, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, sqrt(var_pop(x) OVER w * var_pop(y) OVER w) * count(*) OVER w AS d FROM (SELECT roi, t, x, x * x / 50 AS y FROM {_BM}) WINDOW w AS (PARTITION BY roi))"
@@ -584,7 +592,7 @@ def spectrum_scale(spark, d):
 def outlier_fill_distance(spark, d):
     """N15"""
     e = motion.frame_index(read(spark, d, "events"), ["event_type"], ["ts", "event_id"])
-    return r(cp.outlier_fill_distance(e, ["event_type"], "t", "value"), ["event_type"], ["distance"], 3)
+    return r(cp.outlier_fill_distance(e, ["event_type"], "t", "value", io.checkpointed), ["event_type"], ["distance"], 3)
 
 
 _PROB = "(SELECT doc_id, m, CAST(('0x' || substr(md5(concat_ws('|', 'vote', m, doc_id)), 1, 4))::BIGINT AS DOUBLE) / 65536 AS prob, CAST(quality AS DOUBLE) AS baseline FROM labels, (SELECT unnest(range(5)) AS m))"

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from synapta.sources.io import checkpointed
 from synapta import functions as fn
 from synapta.operators import cleaning, cohort, connectivity, inference, models, motion
 from synapta.operators import components as cp
@@ -122,7 +123,7 @@ def test_path_a_equals_path_b(spark):
 @pytest.mark.parametrize("n", [10, 11, 13])
 def test_fold_sizes(spark, n):
     df = spark.createDataFrame([(i, float(i % 4)) for i in range(n)], "subid int, y double")
-    f = models.block_folds(df, "y", "subid", 5, "s").groupBy("fold").count().collect()
+    f = models.block_folds(df, "y", "subid", 5, "s", checkpointed).groupBy("fold").count().collect()
     assert {r["count"] for r in f} <= {n // 5, n // 5 + 1} and sum(r["count"] for r in f) == n
 
 
@@ -172,7 +173,7 @@ def test_nested_cv_by_sums_equals_whole_tables(spark):
     df = spark.createDataFrame([(i, float(y[i]), c[i].tolist(), x[i].tolist()) for i in range(n)], "subid long, y double, c array<double>, x array<double>")
     got = {(r.time_id, r.feature_set, r.fold): r for r in models.nested_cv(df, sets, io.checkpointed, times=2, k=4, inner_repeats=3, chunk=50, groups=2).collect()}
     assert len(got) == 20
-    folds = models.block_folds(models.repeats(df.select("subid", "y"), 2), "y", "subid", 5, "split", by=["time_id"]).collect()
+    folds = models.block_folds(models.repeats(df.select("subid", "y"), 2), "y", "subid", 5, "split", checkpointed, by=["time_id"]).collect()
     fold = {(r.time_id, r.subid): r.fold for r in folds}
     order = np.argsort(-y, kind="stable")
     for t in range(2):
@@ -402,7 +403,7 @@ def test_scans(spark, tmp_path):
 
 def test_outliers_and_votes(spark):
     df = spark.createDataFrame([("g", i, float(i % 5)) for i in range(40)] + [("g", 99, 1000.0)], "g string, i int, x double")
-    assert [r.i for r in cp.mark_outliers(df, ["g"], "x", "i").where("outlier").collect()] == [99]
+    assert [r.i for r in cp.mark_outliers(df, ["g"], "x", "i", checkpointed).where("outlier").collect()] == [99]
     v = spark.createDataFrame([(1, "a", 0.5, 0.9), (1, "b", 0.49, 0.9), (1, "c", 0.1, 0.9)], "comp int, m string, p double, b double")
     assert one(cp.votes(v, ["comp"], "m", "p", "b", 0.5, 2)).reclassify
 
