@@ -26,6 +26,8 @@ LONGS, LANES, WIDTH = 9, 3, 18
 RADIUS = 107
 #: Benchmark shingles, probes and candidate documents up to which a side is broadcast; beyond them it is shuffled.
 BROADCAST_ROWS = 500_000
+#: Parts of a shingle's documents where the benchmark's shingles are shuffled.
+SALTS = 16
 _ONES = sum(1 << WIDTH * lane for lane in range(LANES))
 
 
@@ -115,11 +117,12 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     hashes = ", ".join(f"transform({_shingle_hashes('words', k)}, (h, i) -> struct({k} as k, i as at, h as hash))" for k in ks)  # of all lengths in one pass
     wanted = items.selectExpr("item", "n_words", "k", "m", f"inline(concat({hashes})) as (of_k, at, hash)").where("k = of_k")
     wanted = materialise(wanted.select("item", "n_words", "k", "m", "hash").distinct(), "item-shingles")
+    worded = rows.selectExpr("key", f"{_words('text')} as words").selectExpr("key", f"inline(concat({hashes})) as (k, at, hash)")
     if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-
-    worded = rows.selectExpr("key", f"{_words('text')} as words")
-    met = worded.selectExpr("key", f"inline(concat({hashes})) as (k, at, hash)").join(wanted, ["k", "hash"])
+        met = worded.join(F.broadcast(wanted), ["k", "hash"])
+    else:  # a shingle of very many documents is dealt by their keys too
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = worded.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["k", "hash", "salt"])
     # windows: the first of their hits at p, enough hits before p + m, and at most m - enough other shingles before p
     enough = f"cast(ceil({percent} * m / 100) as int)"
     hits = met.groupBy("key", "item", "n_words", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
@@ -128,7 +131,8 @@ def contaminated(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     windows = starts.selectExpr("key", "n_words", "array_distinct(flatten(transform(firsts, p -> sequence(p - slack, p)))) as starts")
     windows = windows.groupBy("key").agg(F.collect_list(F.struct("n_words", "starts")).alias("windows"))
     windows = materialise(windows, "windows")
-    if windows.count() <= BROADCAST_ROWS // 10:
+    bounds = windows.agg(F.count("*"), F.sum(F.expr("aggregate(windows, 0L, (n, w) -> n + size(w.starts))"))).first()
+    if bounds[0] <= BROADCAST_ROWS // 10 and (bounds[1] or 0) <= BROADCAST_ROWS:  # documents, and the places of windows in all
         windows = F.broadcast(windows)
 
     # only documents with such windows are read again; windows that would leave the text are moved inside it

@@ -361,3 +361,10 @@ def test_stems_stand_for_all_phrases():
     for _ in range(3000):
         t = "".join(rng.choice(["all ", "rights ", "Reserved", "click ", "here", "K", "İ", "ı", "ſ", "share ", "this", "COOKIES", "accept "]) for _ in range(6))
         assert quality_rules.may_hold_phrase(t) or not quality_rules._boilerplate.search(t)
+
+def test_decontamination_with_shuffled_tables_is_the_same(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: sorted(map(tuple, decontaminate.contaminated(with_row_key(docs), items).collect()))
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert found() == whole and whole
