@@ -22,7 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v bigint); the root is the least node of its component.
 
     Each round is two aggregations with map-side combining and two joins on a node, written to the shared scratch folder;
@@ -31,13 +31,11 @@ def components(edges: DataFrame, name: str, rounds: int = 40) -> DataFrame:
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = materialise(e, f"{name}-edges"), None
-    for _ in range(rounds):
+    while True:
         sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == before or not sign[0]:
             break
         before = sign
         e = materialise(_stars(_stars(e, True), False), f"{name}-edges")
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
