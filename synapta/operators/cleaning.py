@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from synapta.functions import safe_ratio
 from synapta.operators.models import fitted, least_squares, residuals
+from synapta.operators.scans import scan
 
 
 def full_cleanup(df: DataFrame, loc: list[str], confounds: list[str], x: str, out: str) -> DataFrame:
@@ -319,42 +322,54 @@ def average_directions(df: DataFrame, keys: list[str], b: str, v: str) -> DataFr
     return t.withColumn("_e", eigen("d00", "d01", "d02", "d11", "d12", "d22")).select(*keys, "_e.bval", "_e.bvec")
 
 
-def welch(v: np.ndarray) -> np.ndarray:
-    """One-sided power of a series by eight half-overlapping Hamming segments, each padded to the whole series' length; without its last bin."""
-    n = len(v)
-    size = max(int(n / 4.5), 1)
-    step = size - size // 2
-    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / max(size - 1, 1))
-    power = np.mean([np.abs(np.fft.rfft(v[a : a + size] * window, n)) ** 2 for a in range(0, n - size + 1, step)], axis=0)
-    power[1:] *= 2
-    return power[:-1]
-
-
-def spectrum(df: DataFrame, keys: list[str], t: str, x: str, tail: int = 0) -> DataFrame:
-    """(keys, freq, amplitude) of the whole demeaned series, padded with zeros to the longest of all; the first round(n / 2)
-    bins. With ``tail`` the power of ``welch`` instead, divided by the mean of its last ``tail`` bins.
-
-    No series is cut. A series is one array; the transform is a vectorised function over arrays."""
+def spectrum(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
+    """(keys, freq, amplitude) of the whole demeaned series, padded with zeros to the longest of all; the first round(n / 2)
+    bins. No series is cut. A series is one array; the transform is a vectorised function over arrays."""
     s = df.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({t}, {x}))), s -> s.{x})").alias("_s"))
     longest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n"))  # one row
-    s = s.crossJoin(F.broadcast(longest)) if not tail else s.withColumn("_n", F.size("_s").cast("bigint"))
+    s = s.crossJoin(F.broadcast(longest))
 
     @F.pandas_udf("array<double>")
     def amplitude(series: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
         for v, n in zip(series, lengths):
             v = np.nan_to_num(np.asarray(v, float))
-            if tail:
-                p = welch(v)
-                base = p[-tail:].mean() if len(p) else 0.0
-                out.append(p / base if base > 0 else p)
-            else:
-                out.append(np.abs(np.fft.rfft(v - v.mean(), int(n)))[: (int(n) + 1) // 2])
+            out.append(np.abs(np.fft.rfft(v - v.mean(), int(n)))[: (int(n) + 1) // 2])
         return pd.Series(out, dtype=object)
 
     return s.select(*keys, F.posexplode(amplitude("_s", "_n")).alias("freq", "amplitude"))
 
 
+def welch_spectrum(df: DataFrame, keys: list[str], t: str, x: str, checkpoint, tail: int = 10) -> DataFrame:
+    """(keys, freq, amplitude): the power of a series by eight half-overlapping Hamming segments, each padded to the whole series' length,
+    one-sided and without its last bin, over the mean of its last ``tail`` bins.
+
+    Rows are numbered by a scan and dealt to their segments (a row is in two), each of which is transformed in a task of its own;
+    bins are averaged over segments. NULL values count as 0.
+    """
+    rows = scan(df.select(*keys, t, x), keys, [F.asc(t)], checkpoint, number="_i", total="_n")
+    size = F.greatest(F.floor(F.col("_n") / 4.5), F.lit(1))
+    step = size - F.floor(size / 2)
+    at = F.col("_i") - 1
+    first, last = F.greatest(F.ceil((at - size + 1) / step), F.lit(0)), F.least(F.floor(at / step), F.floor((F.col("_n") - size) / step))
+    dealt = rows.where(first <= last).select(*keys, at.alias("_i"), "_n", F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("_x"), F.explode(F.sequence(first, last)).alias("_seg"))
+
+    def power(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.sort_by("_i")
+        v, n = part["_x"].to_numpy(), part["_n"][0].as_py()
+        window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(len(v)) / max(len(v) - 1, 1))
+        p = np.abs(np.fft.rfft(v * window, n)) ** 2
+        p[1:] *= 2
+        fixed = {k: pa.array([s.as_py()] * (len(p) - 1), s.type) for k, s in zip(keys, key)}
+        return pa.table({**fixed, "freq": pa.array(range(len(p) - 1), pa.int32()), "p": p[:-1]})
+
+    schema = StructType([*(dealt.schema[k] for k in keys), *StructType.fromDDL("freq int, p double")])
+    bins = checkpoint(dealt.groupBy(*keys, "_seg").applyInArrow(power, schema).groupBy(*keys, "freq").agg(F.avg("p").alias("p")))
+    top = bins.groupBy(*keys).agg(F.max("freq").alias("_top"))
+    base = bins.join(top, keys).where(F.col("freq") > F.col("_top") - tail).groupBy(*keys).agg(F.avg("p").alias("_base"))
+    return bins.join(base, keys).select(*keys, "freq", F.when(F.col("_base") > 0, F.col("p") / F.col("_base")).otherwise(F.col("p")).alias("amplitude"))
+
+
 def bias_correct(df: DataFrame, run: list[str], x: str, factor: str, slope: Column, intercept: Column, template: str) -> DataFrame:
     """X / (factor * slope + intercept), scaled so that its median where the factor rounds to 1.0 is the template's there."""
     d = df.withColumn("_c", F.try_divide(F.col(x), F.nullif(F.col(factor) * slope + intercept, F.lit(0.0))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -292,14 +293,39 @@ def series_statistics(df: DataFrame, keys: list[str], t: str, x: str, checkpoint
     return s.withColumn("yw_slope", slope).withColumn("yw_offset", total / order - F.col("yw_slope") * mid)
 
 
-def lag_correlations(df: DataFrame, keys: list[str], t: str, x: str, y: str, lags: int) -> DataFrame:
-    """correlation of x(t + lag) and y(t) for each lag of -lags to lags, both demeaned, zero beyond the ends, over the root of
-    the product of both sums of squares. Lags are exploded on one side of an equi-join."""
-    m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.sqrt(F.var_pop(x) * F.var_pop(y)).alias("_d"), F.count("*").alias("_n"))
-    d = df.join(m, keys).select(*keys, t, (F.col(x) - F.col("_mx")).alias("_x"), (F.col(y) - F.col("_my")).alias("_y"), (F.col("_d") * F.col("_n")).alias("_d"))
-    a = d.select(*keys, "_x", F.explode(F.transform(F.sequence(F.lit(-lags), F.lit(lags)), lambda k: F.struct(k.alias("lag"), (F.col(t) - k).alias("_t")))).alias("_s"))
-    a = a.select(*keys, "_x", "_s.lag", F.col("_s._t").alias(t))
-    s = a.join(d.select(*keys, t, "_y", "_d"), [*keys, t]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"), F.first("_d").alias("_d"))
+#: Time points of a piece of a series, at least.
+PIECE = 4096
+
+
+def lag_correlations(df: DataFrame, keys: list[str], t: str, x: str, y: str, lags: int, piece: int = PIECE) -> DataFrame:
+    """correlation of x(t + lag) and y(t) for each lag of -lags to lags, both demeaned, zero where a series has no point, over the root of
+    the product of both sums of squares. Lags without a pair of points are left out; NULL values count as 0; t is an integer.
+
+    A series is cut into pieces of y with the x within ``lags`` of them, so that a row goes to one piece, or two near an end. A
+    task transforms a piece (all its lags at once) and gives one sum a lag; pieces are summed.
+    """
+    piece = max(piece, 4 * lags)
+    m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.sqrt(F.var_pop(x) * F.var_pop(y)) * F.count("*")).alias("_d"))
+    d = df.join(m, keys) if keys else df.crossJoin(F.broadcast(m))  # one row
+    near = F.explode(F.sequence(F.floor((F.col(t) - lags) / piece), F.floor((F.col(t) + lags) / piece)))
+    d = d.select(*keys, F.col(t).cast("bigint").alias("_t"), F.coalesce(F.col(x) - F.col("_mx"), F.lit(0.0)).alias("_x"), F.coalesce(F.col(y) - F.col("_my"), F.lit(0.0)).alias("_y"), near.alias("_p"))
+    size = 1 << (piece + 2 * lags - 1).bit_length()
+
+    def transformed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        at, vx, vy = (rows[c].to_numpy() for c in ("_t", "_x", "_y"))
+        at = at - key[-1].as_py() * piece
+        own = (at >= 0) & (at < piece)
+        a, b, c, e = (np.zeros(size) for _ in range(4))
+        np.add.at(a, at + lags, vx), np.add.at(b, at[own], vy[own])
+        np.add.at(c, at + lags, 1.0), np.add.at(e, at[own], 1.0)
+        product = lambda u, v: np.fft.irfft(np.fft.rfft(u) * np.conj(np.fft.rfft(v)), size)[: 2 * lags + 1]
+        n = 2 * lags + 1
+        fixed = {k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key)}
+        return pa.table({**fixed, "lag": pa.array(range(-lags, lags + 1), pa.int32()), "_s": product(a, b), "_n": np.rint(product(c, e)).astype(np.int64)})
+
+    schema = StructType([*(d.schema[k] for k in keys), *StructType.fromDDL("lag int, _s double, _n bigint")])
+    s = d.groupBy(*keys, "_p").applyInArrow(transformed, schema).groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).where("_n > 0")
+    s = s.join(m, keys) if keys else s.crossJoin(F.broadcast(m))
     return s.select(*keys, "lag", F.coalesce(F.try_divide("_s", F.nullif("_d", F.lit(0.0))), F.lit(0.0)).alias("xcorr"))
 
 
@@ -325,31 +351,67 @@ def complexity(df: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.sqrt(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0))).alias("complexity"))
 
 
+class _Least:
+    """Least values of a series over ranges of 1, 2, 4, ... points: the nearest point at or below a level in log(n) steps."""
+
+    def __init__(self, v: np.ndarray):
+        self.levels = [v]
+        while len(self.levels[-1]) > 1:
+            a = self.levels[-1]
+            self.levels.append(np.minimum(a[::2], np.append(a[1::2], np.inf if len(a) % 2 else [])))
+
+    def last(self, i: int, level: float) -> int:
+        """The last point before i that is at or below the level, or -1."""
+        k = 0
+        while i > 0:
+            if i & 1 and self.levels[k][i - 1] <= level:
+                i -= 1
+                break
+            i >>= 1
+            k += 1
+        else:
+            return -1
+        while k:
+            k -= 1
+            i = 2 * i + (2 * i + 1 < len(self.levels[k]) and self.levels[k][2 * i + 1] <= level)
+        return i
+
+    def between(self, lo: int, hi: int) -> float:
+        """The least value of points lo to hi (inclusive)."""
+        k, least, hi = 0, np.inf, hi + 1
+        while lo < hi:
+            if lo & 1:
+                least, lo = min(least, self.levels[k][lo]), lo + 1
+            if hi & 1:
+                hi -= 1
+                least = min(least, self.levels[k][hi])
+            lo, hi, k = lo >> 1, hi >> 1, k + 1
+        return least
+
+
 def peak_table(v: np.ndarray, height: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Heights and widths of the local maxima of at least ``height``, more than ``distance`` apart (the highest first). A width is taken
-    at half the prominence, between linear crossings."""
+    at half the prominence, between linear crossings. Kept peaks are an ordered list, searches go through `_Least`: n log n."""
     n = len(v)
     change = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if n else np.zeros(0, int)  # the first point of each plateau
     u = v[change]
     top = change[1:-1][(u[1:-1] > u[:-2]) & (u[1:-1] > u[2:])] if len(u) > 2 else np.zeros(0, int)
     top = top[v[top] >= height]
     kept: list[int] = []
-    for i in top[np.lexsort((top, -v[top]))]:
-        if all(abs(i - j) > distance for j in kept):
-            kept.append(int(i))
-    kept.sort()
+    for i in top[np.lexsort((top, -v[top]))].tolist():
+        at = bisect.bisect_left(kept, i)
+        if (not at or i - kept[at - 1] > distance) and (at == len(kept) or kept[at] - i > distance):
+            kept.insert(at, i)
+    if not kept:
+        return np.zeros(0), np.zeros(0)
+    least, back = _Least(v), _Least(v[::-1])
+    most, most_back = _Least(-v), _Least(-v[::-1])
     widths = []
     for i in kept:
-        left = np.flatnonzero(v[:i] > v[i])
-        right = np.flatnonzero(v[i + 1 :] > v[i])
-        lo, hi = (left[-1] if len(left) else 0), (i + 1 + right[0] if len(right) else n - 1)
-        level = v[i] - (v[i] - max(v[lo : i + 1].min(), v[i : hi + 1].min())) / 2
-        a = i - 1
-        while v[a] > level:
-            a -= 1
-        b = i + 1
-        while v[b] > level:
-            b += 1
+        above = np.nextafter(-v[i], -np.inf)  # strictly higher
+        lo, hi = most.last(i, above), n - 1 - most_back.last(n - 1 - i, above)
+        level = v[i] - (v[i] - max(least.between(max(lo, 0), i), least.between(i, min(hi, n - 1)))) / 2
+        a, b = least.last(i, level), n - 1 - back.last(n - 1 - i, level)
         widths.append(b - (level - v[b]) / (v[b - 1] - v[b]) - (a + (level - v[a]) / (v[a + 1] - v[a])))
     return v[kept], np.array(widths)
 

@@ -315,10 +315,17 @@ def amplitude_spectrum(spark, d):
     return s.groupBy("event_type", "freq").agg(F.round(F.avg("amplitude"), 5).alias("amplitude"))
 
 
-@query("welch_spectrum")
+@query("welch_spectrum", f"""WITH n AS (SELECT roi, x, row_number() OVER (PARTITION BY roi ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY roi) AS n FROM {_BM}),
+z AS (SELECT *, CAST(greatest(floor(n / 4.5), 1) AS BIGINT) AS size FROM n), s AS (SELECT *, size - size // 2 AS step FROM z),
+g AS (SELECT *, i - k * step AS j FROM (SELECT *, unnest(range(0, (n - size) // step + 1)) AS k FROM s) WHERE i >= k * step AND i < k * step + size),
+w AS (SELECT roi, k, n, j, x * (0.54 - 0.46 * cos(2 * pi() * j / greatest(size - 1, 1))) AS v FROM g),
+f AS (SELECT *, unnest(range(0, n // 2)) AS freq FROM w),
+p AS (SELECT roi, freq, k, (power(sum(v * cos(2 * pi() * freq * j / n)), 2) + power(sum(v * sin(2 * pi() * freq * j / n)), 2)) * (CASE WHEN freq > 0 THEN 2 ELSE 1 END) AS p FROM f GROUP BY roi, freq, k),
+m AS (SELECT roi, freq, avg(p) AS p, max(freq) OVER (PARTITION BY roi) AS top FROM p GROUP BY roi, freq)
+SELECT roi, CAST(freq AS INT) AS freq, round(p / avg(p) FILTER (WHERE freq > top - 10) OVER (PARTITION BY roi), 6) AS amplitude FROM m""")
 def welch_spectrum(spark, d):
     """L15"""
-    return r(cl.spectrum(brand_month(spark, d), ["roi"], "t", "x", tail=10), ["roi", "freq"], ["amplitude"], 6)
+    return r(cl.welch_spectrum(brand_month(spark, d), ["roi"], "t", "x", io.checkpointed), ["roi", "freq"], ["amplitude"], 6)
 
 
 _BIAS = "(SELECT run, l_orderkey, l_partkey, template, c * mt / mc AS corrected FROM c JOIN m USING (run))"

@@ -238,7 +238,7 @@ def test_spectrum_uses_whole_series(spark):
 
 
 @pytest.mark.parametrize("n", [83, 90])
-def test_welch_by_definition(n):
+def test_welch_by_definition(spark, n):
     """Eight Hamming segments of floor(n / 4.5) points, half overlapping, transformed at the frequencies of the whole series."""
     x = np.random.default_rng(6).normal(size=n)
     size = int(n / 4.5)
@@ -249,7 +249,10 @@ def test_welch_by_definition(n):
         p = [abs(sum(w[i] * x[a + i] * np.exp(-2j * np.pi * f * i / n) for i in range(size))) ** 2 for a in starts]
         want.append(np.mean(p) * (1 if f == 0 else 2))
     assert starts[-1] + size <= n < starts[-1] + size + (size - size // 2)
-    assert np.allclose(cleaning.welch(x), want[:-1])
+    want = np.array(want[:-1])
+    df = spark.createDataFrame([(k, 3 * i, float(v)) for k in "ab" for i, v in enumerate(x)], "k string, t int, x double").repartition(3)
+    got = {(r.k, r.freq): r.amplitude for r in cleaning.welch_spectrum(df, ["k"], "t", "x", checkpointed).collect()}
+    assert len(got) == 2 * len(want) and np.allclose([got["b", i] for i in range(len(want))], want / want[-10:].mean())
 
 
 def wdr(maps, data, weights):
@@ -474,3 +477,64 @@ def test_resumed_pca_equals_uninterrupted(spark, tmp_path):
         run("cut", internal=5)
     with pytest.raises(ValueError, match="other batches or parameters"):
         cp.resumable_pca(df.where("s <> 's1'"), "s", "x", 8, 4, 3, f"file://{tmp_path}/cut", lambda d: d)
+
+
+def slow_peaks(v, height, distance):
+    """Peaks by plain scans: every kept peak against all others, bases and crossings by walking."""
+    top, i = [], 1
+    while i < len(v) - 1:
+        j = i
+        while j + 1 < len(v) and v[j + 1] == v[i]:
+            j += 1
+        if v[i - 1] < v[i] and j + 1 < len(v) and v[j + 1] < v[i] and v[i] >= height:
+            top.append(i)
+        i = j + 1
+    kept = []
+    for i in sorted(top, key=lambda i: (-v[i], i)):
+        if all(abs(i - j) > distance for j in kept):
+            kept.append(i)
+    rows = []
+    for i in sorted(kept):
+        lo = next((j for j in range(i - 1, -1, -1) if v[j] > v[i]), 0)
+        hi = next((j for j in range(i + 1, len(v)) if v[j] > v[i]), len(v) - 1)
+        level = v[i] - (v[i] - max(min(v[lo : i + 1]), min(v[i : hi + 1]))) / 2
+        a = next(j for j in range(i - 1, -1, -1) if v[j] <= level)
+        b = next(j for j in range(i + 1, len(v)) if v[j] <= level)
+        rows.append((v[i], b - (level - v[b]) / (v[b - 1] - v[b]) - (a + (level - v[a]) / (v[a + 1] - v[a]))))
+    return rows
+
+
+def test_peaks_equal_plain_scans():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 3, 10, 64, 200):
+        for _ in range(20):
+            v = rng.integers(0, 6, n).astype(float) if rng.random() < 0.5 else np.cumsum(rng.normal(size=n))
+            for height, distance in ((-100.0, 0), (0.5, 3), (2.0, 1)):
+                p, w = cp.peak_table(v, height, distance)
+                want = slow_peaks(v.tolist(), height, distance)
+                assert np.allclose(np.column_stack([p, w]) if len(p) else np.zeros((0, 2)), np.array(want).reshape(-1, 2))
+
+
+def test_peaks_of_a_long_series():
+    import time
+
+    v = np.concatenate([np.arange(300_000) % 2 + np.linspace(9, 1, 300_000), np.random.default_rng(1).normal(size=700_000)])  # a falling comb: every base reaches far
+    t = time.time()
+    assert len(cp.peak_table(v, 0.5, 1)[0]) > 100_000 and time.time() - t < 30
+
+
+@pytest.mark.parametrize("piece", [1, 4096])
+def test_lag_correlations_by_loops(spark, piece):
+    rng = np.random.default_rng(13)
+    at = {k: np.sort(rng.choice(150, 60 + 30 * i, replace=False)) - 40 for i, k in enumerate("ab")}
+    rows = [(k, int(t), float(rng.normal()), float(rng.normal())) for k, ts in at.items() for t in ts]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double").repartition(3)
+    got = {(r.k, r.lag): r.xcorr for r in cp.lag_correlations(df, ["k"], "t", "x", "y", 7, piece).collect()}
+    for k, ts in at.items():
+        x, y = (np.array([r[c] for r in rows if r[0] == k]) for c in (2, 3))
+        x, y, where = x - x.mean(), y - y.mean(), {int(t): i for i, t in enumerate(ts)}
+        for lag in range(-7, 8):
+            pairs = [x[where[t + lag]] * y[i] for t, i in where.items() if t + lag in where]
+            assert got[k, lag] == pytest.approx(sum(pairs) / np.sqrt((x @ x) * (y @ y)), abs=1e-12)
+    far = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 5, 3.0, 1.0)], "k string, t int, x double, y double")
+    assert sorted(r.lag for r in cp.lag_correlations(far, ["k"], "t", "x", "y", 7, piece).collect()) == [-5, 0, 5]
