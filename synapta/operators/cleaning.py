@@ -69,6 +69,52 @@ SOURCE_STATISTICS = (
 )
 
 
+def source_series(df: DataFrame, run: list[str], loc: str, t: str, orig: str, high_pass: str, confounds: list[str], signal: list[str], noise: list[str], checkpoint=lambda d: d) -> DataFrame:
+    """(run, loc, t) with the series of each stage of cleaning, as `variance_sources` has them: a column _name for each of SERIES."""
+    keys = [*run, loc]
+    d = df.withColumns({"_orig": F.col(orig).cast("double"), "_high_pass": F.col(high_pass).cast("double")})
+    d = checkpoint(residuals(d, keys, confounds, "_high_pass", "_post_motion").select(*keys, t, *signal, *noise, "_orig", "_high_pass", "_post_motion"))
+    b = least_squares(d, keys, [*signal, *noise], "_post_motion")
+    of_signal, of_noise = fitted("beta", [*signal, *noise], only=signal), fitted("beta", [*signal, *noise], only=noise)
+    d = d.join(b, keys).withColumns({"_cleaned": F.col("_post_motion") - of_noise, "_noise": F.col("_post_motion") - of_signal, "_unstructured": F.col("_post_motion") - of_signal - of_noise})
+    return checkpoint(d.select(*keys, t, *(f"_{s}" for s in SERIES)))
+
+
+#: Courses that `tissue_variances` takes out, alone and together, and its statistics of each.
+TISSUES = {"wm": ("wm",), "csf": ("csf",), "wm_csf": ("wm", "csf")}
+TISSUE_STATISTICS = tuple(f"{s}_{n}" for s in TISSUES for n in ("var", "bold_var", "mean_signal_var", "mean_signal_beta", "mean_signal_r2"))
+
+
+def tissue_courses(courses: DataFrame, run: list[str], t: str, confounds: list[str], signal: list[str], noise: list[str], wm: str, csf: str) -> DataFrame:
+    """(run, t, wm, csf): white-matter and CSF courses cleaned as the data are (confounds out, then what the noise components take
+    beside the signal ones), demeaned. ``courses``: one row a (run, t), high-passed."""
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("tissue"), F.col(c).cast("double").alias("v")) for n, c in (("wm", wm), ("csf", csf)))))
+    c = courses.select(*run, t, *confounds, *signal, *noise, both.alias("x")).select("*", "x.tissue", "x.v").drop("x")
+    keys = [*run, "tissue"]
+    c = residuals(c, keys, confounds, "v", "_pm").select(*keys, t, *signal, *noise, "_pm")
+    c = c.join(least_squares(c, keys, [*signal, *noise], "_pm"), keys).withColumn("_clean", F.col("_pm") - fitted("beta", [*signal, *noise], only=noise))
+    c = c.join(c.groupBy(*keys).agg(F.avg("_clean").alias("_m")), keys).withColumn("_clean", F.col("_clean") - F.col("_m"))
+    return c.groupBy(*run, t).agg(*(F.max(F.when(F.col("tissue") == n, F.col("_clean"))).alias(n) for n in ("wm", "csf")))
+
+
+def tissue_variances(series: DataFrame, cleaned: DataFrame, run: list[str], loc: str, t: str, checkpoint=lambda d: d) -> DataFrame:
+    """One row a location of a run with TISSUE_STATISTICS: for white matter, CSF and both, the variance that their courses take
+    out of the cleaned series, the BOLD variance left, and the fit of the mean of what is left. ``series``: `source_series`;
+    ``cleaned``: `tissue_courses`. Fits have no intercept. One round of sums by location for each set of courses, one by time point."""
+    keys = [*run, loc]
+    d = checkpoint(series.join(cleaned, [*run, t]).select(*keys, t, "_cleaned", "_unstructured", "wm", "csf"))
+    for name, courses in TISSUES.items():
+        d = residuals(d, keys, list(courses), "_cleaned", f"_{name}")
+    d = checkpoint(d.drop("wm", "csf"))
+    d = d.join(d.groupBy(*run, t).agg(*(F.avg(f"_{s}").alias(f"_g_{s}") for s in TISSUES)), [*run, t])
+    aggs = []
+    for s in TISSUES:
+        x, g = F.col(f"_{s}"), F.col(f"_g_{s}")
+        aggs += [F.var_samp(F.col("_cleaned") - x).alias(f"{s}_var"), F.var_samp(x - F.col("_unstructured")).alias(f"{s}_bold_var"), F.regr_slope(x, g).alias(f"{s}_mean_signal_beta")]
+        aggs += [F.coalesce(F.regr_r2(x, g), F.lit(0.0)).alias(f"{s}_mean_signal_r2"), (F.pow(F.regr_slope(x, g), F.lit(2)) * F.var_samp(g)).alias(f"{s}_mean_signal_var")]
+    return d.groupBy(*keys).agg(*aggs).select(*keys, *TISSUE_STATISTICS)
+
+
 def variance_sources(df: DataFrame, run: list[str], loc: str, t: str, orig: str, high_pass: str, confounds: list[str], signal: list[str], noise: list[str], checkpoint=lambda d: d) -> DataFrame:
     """One row a location of a run with SOURCE_STATISTICS.
 
@@ -79,12 +125,7 @@ def variance_sources(df: DataFrame, run: list[str], loc: str, t: str, orig: str,
     ``checkpoint`` keeps the series of either round, which the next sums and the join back both read.
     """
     keys = [*run, loc]
-    d = df.withColumns({"_orig": F.col(orig).cast("double"), "_high_pass": F.col(high_pass).cast("double")})
-    d = checkpoint(residuals(d, keys, confounds, "_high_pass", "_post_motion").select(*keys, t, *signal, *noise, "_orig", "_high_pass", "_post_motion"))
-    b = least_squares(d, keys, [*signal, *noise], "_post_motion")
-    of_signal, of_noise = fitted("beta", [*signal, *noise], only=signal), fitted("beta", [*signal, *noise], only=noise)
-    d = d.join(b, keys).withColumns({"_cleaned": F.col("_post_motion") - of_noise, "_noise": F.col("_post_motion") - of_signal, "_unstructured": F.col("_post_motion") - of_signal - of_noise})
-    d = checkpoint(d.select(*keys, t, *(f"_{s}" for s in SERIES)))
+    d = source_series(df, run, loc, t, orig, high_pass, confounds, signal, noise, checkpoint)
     g = d.groupBy(*run, t).agg(*(F.avg(f"_{s}").alias(f"_g_{s}") for s in SERIES))
     d = d.join(g, [*run, t])
 

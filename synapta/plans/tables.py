@@ -123,11 +123,14 @@ o AS (SELECT *, sqrt(orig_var) AS std, sqrt(unstructured_var) / mean AS cov, mea
 """
 
 
-def _sources(spark, d):
+def _runs(spark, d):
     """Brand series with their line taken out as high-pass filter, a yearly course as motion, and a signal and a noise component."""
     b = brand_month(spark, d).withColumns({"one": F.lit(1.0), "month": F.col("t").cast("double"), "c": F.col("t") % 12 - 5.5, "s": F.col("t") % 7 - 3.0, "n": F.col("t") % 5 - 2.0})
-    b = io.checkpointed(md.residuals(io.checkpointed(b), ["roi"], ["one", "month"], "x", "high_pass").withColumn("run", F.lit(1)))
-    return cl.variance_sources(b, ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"], io.checkpointed)
+    return io.checkpointed(md.residuals(io.checkpointed(b), ["roi"], ["one", "month"], "x", "high_pass").withColumn("run", F.lit(1)))
+
+
+def _sources(spark, d):
+    return cl.variance_sources(_runs(spark, d), ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"], io.checkpointed)
 
 
 @query("variance_sources", f"{_SRC} SELECT roi, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in cl.SOURCE_STATISTICS)} FROM o")
@@ -136,6 +139,34 @@ def variance_sources(spark, d):
     return r(_sources(spark, d), ["roi"], cl.SOURCE_STATISTICS).select("roi", *((F.col(c) + 0.0).alias(c) for c in cl.SOURCE_STATISTICS))
 
 
+def _two(y, a, b, of):
+    """SQL of both coefficients of y on a and b without an intercept, by sums over ``of``."""
+    s = lambda p, q: f"sum({p} * {q})"
+    det = f"({s(a, a)} * {s(b, b)} - {s(a, b)} * {s(a, b)})"
+    return [f"({s(a, y)} * {s(b, b)} - {s(b, y)} * {s(a, b)}) / {det} AS b_{of}1", f"({s(b, y)} * {s(a, a)} - {s(a, y)} * {s(a, b)}) / {det} AS b_{of}2"]
+
+
+@query("tissue_variances", f"""{_SRC},
+tt AS (SELECT DISTINCT t, c, s, n, unnest(['wm', 'csf']) AS tissue FROM h), tv AS (SELECT *, CASE WHEN tissue = 'wm' THEN t % 3 - 1.0 ELSE t * t % 11 - 5.0 END AS v FROM tt),
+tm AS (SELECT tissue, sum(c * v) / sum(c * c) AS bc FROM tv GROUP BY 1), tp AS (SELECT tv.*, v - bc * c AS pm FROM tv JOIN tm USING (tissue)),
+tb AS (SELECT tissue, {', '.join(_two('pm', 's', 'n', 'x'))} FROM tp GROUP BY 1), tc AS (SELECT tissue, t, pm - b_x2 * n AS clean FROM tp JOIN tb USING (tissue)),
+td AS (SELECT t, max(x) FILTER (WHERE tissue = 'wm') AS wm, max(x) FILTER (WHERE tissue = 'csf') AS csf FROM (SELECT *, clean - avg(clean) OVER (PARTITION BY tissue) AS x FROM tc) GROUP BY 1),
+a AS (SELECT roi, t, cleaned, unstructured, wm, csf FROM u JOIN td USING (t)),
+ab AS (SELECT roi, sum(wm * cleaned) / sum(wm * wm) AS bw, sum(csf * cleaned) / sum(csf * csf) AS bf, {', '.join(_two('cleaned', 'wm', 'csf', 'y'))} FROM a GROUP BY 1),
+ar AS (SELECT a.*, cleaned - bw * wm AS x_wm, cleaned - bf * csf AS x_csf, cleaned - b_y1 * wm - b_y2 * csf AS x_wm_csf FROM a JOIN ab USING (roi)),
+ag AS (SELECT t, {', '.join(f'avg(x_{k}) AS g_{k}' for k in cl.TISSUES)} FROM ar GROUP BY 1),
+z AS (SELECT roi, {', '.join(f'var_samp(cleaned - x_{k}) AS {k}_var, var_samp(x_{k} - unstructured) AS {k}_bold_var, regr_slope(x_{k}, g_{k}) AS {k}_mean_signal_beta, regr_r2(x_{k}, g_{k}) AS {k}_mean_signal_r2, power(regr_slope(x_{k}, g_{k}), 2) * var_samp(g_{k}) AS {k}_mean_signal_var' for k in cl.TISSUES)} FROM ar JOIN ag USING (t) GROUP BY 1)
+SELECT roi, {', '.join(f'round({x}, 5) + 0.0 AS {x}' for x in cl.TISSUE_STATISTICS)} FROM z""")
+def tissue_variances(spark, d):
+    """White-matter and CSF variants of the variance report"""
+    b = _runs(spark, d)
+    series = cl.source_series(b, ["run"], "roi", "t", "x", "high_pass", ["c"], ["s"], ["n"], io.checkpointed)
+    courses = b.select("run", "t", "c", "s", "n", (F.col("t") % 3 - 1.0).alias("w"), (F.col("t") * F.col("t") % 11 - 5.0).alias("f")).distinct()
+    cleaned = io.checkpointed(cl.tissue_courses(courses, ["run"], "t", ["c"], ["s"], ["n"], "w", "f"))
+    v = cl.tissue_variances(series, cleaned, ["run"], "roi", "t", io.checkpointed)
+    return v.select("roi", *((F.round(c, 5) + 0.0).alias(c) for c in cl.TISSUE_STATISTICS))
+
+
 @query("source_report", f"{_SRC} SELECT 1 AS run, {', '.join(f'round(avg({x}), 5) + 0.0 AS mean_{x}' for x in cl.SOURCE_STATISTICS)} FROM o")
 def source_report(spark, d):
     """One row a run, the mean of every statistic"""
