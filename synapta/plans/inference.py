@@ -108,11 +108,19 @@ def corrected_resampled_t(spark, d):
     return t.select("n", fn.r6(F.col("t")).alias("t"), "dof")
 
 
-@query("t_tail")
+#: The tail for whole degrees of freedom is a finite series in the angle a = atan(t / sqrt(dof)).
+_ODD = "2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, (dof - 1) // 2), lambda j: power(cos(a), 2 * j + 1) * coalesce(list_aggregate(list_transform(range(1, j + 1), lambda i: 2.0 * i / (2 * i + 1)), 'product'), 1))), 0))"
+_EVEN = "sin(a) * list_sum(list_transform(range(0, dof // 2), lambda j: power(cos(a), 2 * j) * coalesce(list_aggregate(list_transform(range(1, j + 1), lambda i: (2.0 * i - 1) / (2 * i)), 'product'), 1)))"
+
+
+@query("t_tail", f"""WITH s AS (SELECT time_id % 5 AS g, count(delta) AS n, avg(delta) AS mean_delta, avg(delta) / (stddev_samp(delta) / sqrt(count(delta))) AS t, count(delta) - 1 AS dof FROM {_DELTA} GROUP BY 1),
+w AS (SELECT *, atan(abs(t) / sqrt(dof)) AS a FROM s)
+SELECT g, n, round(mean_delta, 6) + 0.0 AS mean_delta, round(t, 6) + 0.0 AS t, dof, round(1 - CASE WHEN dof % 2 = 1 THEN {_ODD} ELSE {_EVEN} END, 6) + 0.0 AS p FROM w""")
 def t_tail(spark, d):
     """K9: p of the paired t of each part of the suppliers"""
     li = records(spark, d).withColumn("g", F.col("time_id") % 5)
-    return inf.with_t_p(inf.paired_t(inf.deltas(li, ["g", "time_id"], "feature_set", "metric", "N", "R"), ["g"], "delta"))
+    t = inf.with_t_p(inf.paired_t(inf.deltas(li, ["g", "time_id"], "feature_set", "metric", "N", "R"), ["g"], "delta"))
+    return t.select("g", "n", "dof", *(fn.r6(F.col(c)).alias(c) for c in ("mean_delta", "t", "p")))
 
 
 @query("oneway_anova", f"""WITH r AS (SELECT * FROM {_REC} WHERE metric IS NOT NULL), g AS (SELECT feature_set, count(*) AS n, avg(metric) AS m, var_pop(metric) AS v FROM r GROUP BY 1),
