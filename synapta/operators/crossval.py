@@ -242,11 +242,17 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
     cells = placed.select("pos", F.explode(slices).alias("s")).select("pos", "s.lo", "s.x").groupBy("lo").applyInPandas(cut, "lo int, x binary")
     cells = checkpoint(cells.crossJoin(F.broadcast(people)))
     if len(ranges) == 1:
-        return _in_tasks(cells, sets, plan, used, groups)
+        return _in_tasks(cells, sets, plan, used, groups, _batches(plan, n, cell_bytes))
     return _in_rounds(cells, dict(sets), ranges, plan, n, one["nc"], used, checkpoint, cell_bytes)
 
 
-def _in_tasks(cells: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, width: int, groups: int) -> DataFrame:
+def _batches(plan: Plan, n: int, cell_bytes: int) -> list[range]:
+    """Inner repeats that go together: a state is some k + 3 matrices of a column a fit, which fit a cell."""
+    step = max(1, min(plan.inner_repeats, (cell_bytes // (8 * n * (plan.k + 3)) - 1) // plan.inner_folds))
+    return [range(lo, min(lo + step, plan.inner_repeats)) for lo in range(0, plan.inner_repeats, step)]
+
+
+def _in_tasks(cells: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, width: int, groups: int, batches_of: list[range]) -> DataFrame:
     share = min(groups, plan.times * plan.folds)
 
     def run(batches):
@@ -256,18 +262,28 @@ def _in_tasks(cells: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, wi
                 x = np.frombuffer(row["x"], float).reshape(len(ids), -1)
                 for job in range(int(row["grp"]), plan.times * plan.folds, share):
                     t, f = divmod(job, plan.folds)
-                    fold = Fold(plan, ids, y, c, t, f, range(plan.inner_repeats))
-                    free, b = fold.freed(x)
-                    mean, inverse = fold.scales(free)
+                    outer: dict[str, tuple] = {}
+                    inner: dict[str, list[tuple]] = {name: [] for name in sets}
+                    free = b = None
+                    for repeats in batches_of:
+                        fold = Fold(plan, ids, y, c, t, f, repeats)
+                        free, b = fold.freed(x) if free is None else (free, b)
+                        mean, inverse = fold.scales(free)
+                        for name, (lo, count) in sets.items():
+                            at = slice(lo, lo + count)
+                            s = fold.start()
+                            for _ in range(plan.k):
+                                fold.step(s, fold.share(free[:, at], mean[at], inverse[at], s["f"][0]))
+                            corr, error = np.array(s["corr"]), np.array(s["error"])
+                            inner[name].append((corr[:, 1:], error[:, 1:]))
+                            if name not in outer:  # column 0 is the same in each batch
+                                outer[name] = fold, mean[at, :1], inverse[at, :1], s["a"], s["yhat"], corr[:, 0], error[:, 0]
                     out = []
                     for name, (lo, count) in sets.items():
-                        at = slice(lo, lo + count)
-                        s = fold.start()
-                        for _ in range(plan.k):
-                            fold.step(s, fold.share(free[:, at], mean[at], inverse[at], s["f"][0]))
-                        a = chosen(np.array(s["corr"])[:, 1:], np.array(s["error"])[:, 1:], plan)
-                        coef, on_c, shift, spread, pattern = fold.weights(free[:, at], b[:, at], mean[at], inverse[at], s["a"][a], s["yhat"][a])
-                        out.append(_result(t, name, f, a, s["corr"][a][0], s["error"][a][0], fold.n_test[0], fold.mean[0] - shift, on_c, [(lo, coef, spread, pattern)], width))
+                        fold, mean, inverse, alphas, fits, corr, error = outer[name]
+                        at, a = slice(lo, lo + count), chosen(*(np.hstack(v) for v in zip(*inner[name])), plan)
+                        coef, on_c, shift, spread, pattern = fold.weights(free[:, at], b[:, at], mean, inverse, alphas[a], fits[a])
+                        out.append(_result(t, name, f, a, corr[a], error[a], fold.n_test[0], fold.mean[0] - shift, on_c, [(lo, coef, spread, pattern)], width))
                     yield pd.DataFrame(out)
 
     spread = cells.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(share - 1))))
@@ -276,10 +292,8 @@ def _in_tasks(cells: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, wi
 
 def _in_rounds(cells: DataFrame, sets: dict[str, tuple[int, int]], ranges: list[tuple[int, int]], plan: Plan, n: int, nc: int, width: int, checkpoint, cell_bytes: int) -> DataFrame:
     spark = cells.sparkSession
-    # a state is some (k + 3) matrices of a column a fit; so many inner repeats go together
-    step = max(1, min(plan.inner_repeats, (cell_bytes // (8 * n * (plan.k + 3)) - 1) // plan.inner_folds))
-    batches = [range(lo, min(lo + step, plan.inner_repeats)) for lo in range(0, plan.inner_repeats, step)]
-    size = 8 * n * (1 + step * plan.inner_folds)
+    batches = _batches(plan, n, cell_bytes)
+    size = 8 * n * (1 + len(batches[0]) * plan.inner_folds)
     together = max(1, cell_bytes // (size * len(sets)))  # jobs whose f, for all sets, fit a cell
     jobs = plan.times * plan.folds * len(batches)
     n_groups = -(-jobs // together)
