@@ -665,17 +665,18 @@ def ensemble_score(spark, d):
 
 
 # --- scans and sinks: a slice written as text, read back and compared with its source -------------------------------
-@query("scan_sniffed_motion", f"SELECT subid, CAST(row_number() OVER (PARTITION BY subid ORDER BY ts, event_id) - 1 AS INT) AS frame, round(fd, 6) AS fd FROM {FRAMES} WHERE run_key = 'view'")
+@query("scan_sniffed_motion", f"SELECT subid, run_key, CAST(row_number() OVER (PARTITION BY subid, run_key ORDER BY ts, event_id) - 1 AS INT) AS t, round(fd, 6) AS fd FROM {FRAMES}")
 def scan_sniffed_motion(spark, d):
-    """A1 A2: one file for each subject, in one of three delimiters"""
-    f = motion.frame_index(frames(spark, d).where("run_key = 'view'"), ["subid"], ["ts", "event_id"])
-    sep = F.when(F.col("subid") % 3 == 0, "\t").when(F.col("subid") % 3 == 1, ",").otherwise(" ")
-    line = F.concat(F.col("t").cast("string"), sep, F.format_string("%.8f", F.col("fd")))
-    head = f.select("subid", F.lit(-1).alias("t"), F.concat(F.lit("frame"), sep, F.lit("framewise_displacement")).alias("value")).distinct()
+    """A1 A2: all runs, dealt to two dozen files of one of three delimiters, each with its header"""
+    f = motion.frame_index(frames(spark, d), ["subid", "run_key"], ["ts", "event_id"])
+    shard = F.pmod(F.col("subid"), F.lit(24)).cast("int")
+    rows = f.select(shard.alias("shard"), F.lit(1).alias("o"), F.concat_ws("\x01", F.col("subid").cast("string"), "run_key", F.col("t").cast("string"), F.format_string("%.8f", F.col("fd"))).alias("v"))
+    heads = rows.select("shard").distinct().select("shard", F.lit(0).alias("o"), F.lit("subject\x01run\x01t\x01framewise_displacement").alias("v"))
     path = io.scratch(spark, "motion")
-    f.select("subid", "t", line.alias("value")).unionByName(head).repartition("subid").sortWithinPartitions("subid", "t").select("value", "subid").write.partitionBy("subid").text(path)
-    m = io.scan_motion(spark, path, keys={"subid": "subid=([0-9]+)"}, glob="*.txt")
-    return m.select(F.col("subid").cast("bigint").alias("subid"), "frame", fn.r6(F.col("fd")).alias("fd"))
+    lines = rows.unionByName(heads).withColumn("value", F.expr("replace(v, '\x01', case shard % 3 when 0 then '\t' when 1 then ',' else ' ' end)"))
+    lines.repartition("shard").sortWithinPartitions("shard", "o").select("value", "shard").write.partitionBy("shard").text(path)
+    m = io.scan_motion(spark, path, keys={"shard": "shard=([0-9]+)"}, glob="*.txt", also=("subject", "run", "t"))
+    return m.select(F.col("subject").cast("bigint").alias("subid"), F.col("run").alias("run_key"), F.col("t").cast("int").alias("t"), fn.r6(F.col("fd")).alias("fd"))
 
 
 @query("discover_files", f"SELECT DISTINCT run_key FROM {FRAMES}")

@@ -54,16 +54,17 @@ def split_cells(value) -> F.Column:
     return F.when(value.rlike("[\t,]"), F.split(value, "[\t,]", -1)).otherwise(F.split(F.trim(value), r"\s+"))
 
 
-def scan_motion(spark: SparkSession, path: str, column: str = "framewise_displacement", keys: dict[str, str] | None = None, glob: str = "*") -> DataFrame:
+def scan_motion(spark: SparkSession, path: str, column: str = "framewise_displacement", keys: dict[str, str] | None = None, glob: str = "*", also: tuple[str, ...] = ()) -> DataFrame:
     """A1: (path, keys, frame, fd) of motion files of any of three delimiters; the column is found by each file's header; cells that
-    are not numbers give NULL. A file without the column gives NULLs."""
+    are not numbers give NULL. A file without the column gives NULLs. ``also``: further columns, as text."""
     lines = read_lines(spark, path, glob).withColumn("cells", split_cells(F.col("value")))
     head = lines.groupBy("path").agg(F.min_by("cells", "line").alias("header"), F.min("line").alias("first"))
     rows = lines.join(head, "path").where("line > first and trim(value) <> ''")
-    at = F.array_position(F.transform("header", lambda c: F.lower(F.trim(c))), F.lit(column))
-    fd = F.when(at > 0, na_parse(F.try_element_at("cells", at.cast("int"))))
+    place = lambda name: F.array_position(F.transform("header", lambda c: F.lower(F.trim(c))), F.lit(name))
+    cell = lambda name: F.when(place(name) > 0, F.try_element_at("cells", place(name).cast("int")))
+    fd = na_parse(cell(column))
     frame = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
-    return rows.select("path", *(F.regexp_extract("path", p, 1).alias(k) for k, p in (keys or {}).items()), frame.alias("frame"), fd.alias("fd"))
+    return rows.select("path", *(F.regexp_extract("path", p, 1).alias(k) for k, p in (keys or {}).items()), frame.alias("frame"), fd.alias("fd"), *(F.trim(cell(c)).alias(c) for c in also))
 
 
 def scan_matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
