@@ -212,7 +212,8 @@ def test_registered_grids_are_those_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(plans.cv, "nested_cv_scores", record)
     rows = QUERIES["pls1_grid"](spark, "/root/testdata/sf0.001").collect()
     QUERIES["nested_cv_score"](spark, "/root/testdata/sf0.001")
-    QUERIES["permutation_null"](spark, "/root/testdata/sf0.001")
+    null = QUERIES["permutation_null"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.feature_set for r in null) == sorted(plans.SETS) and all(r.n_null == 1 and r.p in (0.5, 1.0) for r in null)
     assert {r.fold for r in rows} == set(range(5))
     grid = (101, 10, 20, 5, False)
     assert seen == [(1, *grid[1:]), grid, grid, (1000, 10, 20, 5, True)]
