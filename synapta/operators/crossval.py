@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from synapta.operators.models import RESULT, inner_split, outer_folds
 from synapta.operators.scans import scan
 
-#: Bytes of a cell: a block of features over all subjects, or one matrix of a state.
-CELL_BYTES = 32 << 20
+#: Bytes of a cell: a block of features over all subjects, or a state. Readers take several rows of a table at once.
+CELL_BYTES = 8 << 20
+#: Bytes of all features up to which they stay in one piece.
+WHOLE_BYTES = 64 << 20
 #: Tasks that share the repeats where all features fit one cell.
 GROUPS = 64
 
@@ -203,13 +205,13 @@ def _pieces(sets: dict[str, tuple[int, int]], width: int, most: int) -> list[tup
     return [(lo, min(lo + most, hi)) for a, hi in zip(cuts, cuts[1:]) for lo in range(a, hi, most)]
 
 
-def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], checkpoint, plan: Plan = Plan(), cell_bytes: int = CELL_BYTES, groups: int = GROUPS) -> DataFrame:
+def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], checkpoint, plan: Plan = Plan(), cell_bytes: int = CELL_BYTES, groups: int = GROUPS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """One result record for each (time_id, feature_set, fold), as `models.nested_cv` gives them.
 
     ``subjects``: subid, y, covariates c (array with intercept), x (array); ``sets``: name to first feature and their number.
     With ``plan.permute`` each repeat learns on permuted training labels and is judged on true ones.
 
-    Features that fit one cell of ``cell_bytes`` travel to tasks that share the repeats. More features are cut into blocks: each component
+    Features of up to ``whole_bytes`` travel to tasks that share the repeats. More features are cut into blocks: each component
     is a round in which tasks of (group of folds, block) give their shares and tasks of (fold, set) sum them; the state of a round is
     written by ``checkpoint``. A task holds a block of features and the states of one group of folds, both bounded by cell_bytes, whatever
     the number of features or repeats; subjects are bounded by what a column of a fit takes (8 bytes each), else an error. For
@@ -223,7 +225,7 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
         raise ValueError("too many subjects for fits as columns; use models.nested_cv")
     most = max(1, cell_bytes // (8 * n))
     used = max(first + count for first, count in sets.values())
-    placed = scan(subjects.select("subid", "y", "c", "x"), [], [F.desc("y"), F.asc("subid")], checkpoint, number="pos")
+    placed = checkpoint(scan(subjects.select("subid", "y", "c"), [], [F.desc("y"), F.asc("subid")], checkpoint, number="pos"))  # without the wide rows
 
     def cohort(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -234,12 +236,13 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
         return pd.DataFrame({"lo": [int(pdf["lo"].iloc[0])], "x": [x.tobytes()]})
 
     people = placed.groupBy(F.col("pos") < 0).applyInPandas(cohort, "ids binary, y binary, c binary")  # a few numbers a subject, bounded above
-    if used <= most:
+    if 8 * n * used <= whole_bytes:
         ranges = [(0, used)]
     else:
         ranges = _pieces(sets, used, most)
     slices = F.array(*(F.struct(F.lit(lo).alias("lo"), F.slice("x", lo + 1, hi - lo).alias("x")) for lo, hi in ranges))
-    cells = placed.select("pos", F.explode(slices).alias("s")).select("pos", "s.lo", "s.x").groupBy("lo").applyInPandas(cut, "lo int, x binary")
+    cells = subjects.select("subid", F.explode(slices).alias("s")).select("subid", "s.lo", "s.x").join(placed.select("subid", "pos"), "subid")
+    cells = cells.groupBy("lo").applyInPandas(cut, "lo int, x binary")
     cells = checkpoint(cells.crossJoin(F.broadcast(people)))
     if len(ranges) == 1:
         return _in_tasks(cells, sets, plan, used, groups, _batches(plan, n, cell_bytes))

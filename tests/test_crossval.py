@@ -52,8 +52,8 @@ def test_blocks_equal_one_cell(spark, permute):
     plan = cv.Plan(times=2, k=3, folds=4, inner_repeats=3, inner_folds=3, permute=permute)
     df, x, c, _ = cohort(spark)
     # 8 * 83 * 13 bytes hold all features but the columns of one inner repeat only
-    batches = records(cv.nested_cv_scores(df, SETS, checkpointed, plan, cell_bytes=8 * 83 * 13))
-    blocks, cell = (records(cv.nested_cv_scores(df, SETS, checkpointed, plan, cell_bytes=b)) for b in (8 * 83 * 5, 1 << 20))
+    batches = records(cv.nested_cv_scores(df, SETS, checkpointed, plan, cell_bytes=8 * 83 * 13, whole_bytes=1 << 20))
+    blocks, cell = (records(cv.nested_cv_scores(df, SETS, checkpointed, plan, cell_bytes=b, whole_bytes=b)) for b in (8 * 83 * 5, 1 << 20))
     same(batches, cell, np.column_stack([np.ones(len(x)), c, x]))
     same(blocks, cell, np.column_stack([np.ones(len(x)), c, x]))
 
