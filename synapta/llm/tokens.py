@@ -25,6 +25,8 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-žƀ"
 PLAIN = rf"[\x20-\x7e\t\n\x0b\x0c\r¡-¬®-¿×÷‐-‧€{LETTERS}]*"
 #: The pre-tokeniser pattern of the word vocabulary (fixed value of the vocabulary file), for lower-case plain texts.
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾{LETTERS}]+"
+#: New pre-tokens that the library gets as one text.
+JOINED = 1000
 
 
 def vocabulary(name: str, root: str | None = None) -> str:
@@ -50,8 +52,9 @@ class Numbered(dict):
 class WordEncoder:
     """ids of texts under a ``tokenizers`` vocabulary that cuts texts into pre-tokens before it merges.
 
-    A plain text is cut with the vocabulary's own pattern and each distinct pre-token is encoded once by the library. Any
-    other text (other alphabets, special strings) is encoded whole by the library.
+    A plain text is cut with the vocabulary's own pattern and each distinct pre-token is encoded once by the library, many of
+    them as one text with spaces between (no pre-token reaches over a space). The vocabulary marks the last token of a
+    pre-token, which tells them apart again. Any other text (other alphabets, special strings) is encoded whole by the library.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
@@ -60,19 +63,34 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(path)
         self.plain, self.pretoken, self.cache_bytes = re.compile(PLAIN), re.compile(PRETOKEN), cache_bytes
+        vocab, suffix = self.lib.get_vocab(with_added_tokens=False), getattr(self.lib.model, "end_of_word_suffix", None)
+        #: By id, whether a token ends its pre-token.
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
         self.known = Numbered()
         self.flat, self.start, self.size, self.chars = array("I"), array("q"), array("q"), 0
 
-    def _learn(self, parts: list[str]) -> None:
-        flat = self.flat
-        for e in self.lib.encode_batch_fast(parts, add_special_tokens=False):
-            ids = e.ids
-            self.start.append(len(flat))
-            self.size.append(len(ids))
-            flat.extend(ids)
+    def _library(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str], whole: set[str]) -> None:
+        """Adds the ids of ``parts``: pre-tokens of plain texts, and the texts in ``whole``."""
+        for alone, run in itertools.groupby(parts, whole.__contains__):
+            while some := list(itertools.islice(run, JOINED)):
+                ids = np.array(self._library([" ".join(some)])[0] if not alone else [], np.int64)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(some):  # whole texts, or a vocabulary without the mark
+                    each = self._library(some)
+                    ends = np.cumsum(list(map(len, each)))
+                    ids = np.fromiter(itertools.chain.from_iterable(each), np.int64, int(ends[-1]))
+                size = np.diff(ends, prepend=0)
+                self.start.frombytes((ends - size + len(self.flat)).tobytes())
+                self.size.frombytes(size.tobytes())
+                self.flat.frombytes(ids.astype(np.uint32).tobytes())
         self.chars += sum(map(len, parts))
         parts.clear()
 
@@ -81,7 +99,7 @@ class WordEncoder:
         if self.chars + ENTRY_BYTES * len(self.known) > self.cache_bytes:
             self.reset()
         known, find = self.known, self.pretoken.findall
-        parts = []
+        parts, whole = [], set()
         for text in texts:
             if not text:
                 parts.append([])
@@ -89,9 +107,10 @@ class WordEncoder:
                 parts.append(find(text.lower()))
             else:
                 parts.append([text])
+                whole.add(text)
         n_parts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(n_parts.sum()))
-        self._learn(known.new)
+        self._learn(known.new, whole)
         size, start = (np.frombuffer(x, np.int64)[at] if len(at) else at for x in (self.size, self.start))
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)

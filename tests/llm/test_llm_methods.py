@@ -85,6 +85,44 @@ def test_simple8b_words_end_with_documents():
     assert all((token_files.simple8b_decode(words[x:y], k) == v[e - k : e]).all() for x, y, k, e in zip(at, at[1:], sizes, ends))
 
 
+class Calls:
+    """The library, noting how many texts it is given."""
+
+    def __init__(self, lib):
+        self.lib, self.given = lib, 0
+
+    def encode_batch_fast(self, parts, **options):
+        self.given += len(parts)
+        return self.lib.encode_batch_fast(parts, **options)
+
+
+def test_new_words_are_encoded_together():
+    coder = tokens.WordEncoder(tokens.vocabulary("word_bpe_49k.json"))
+    lib = coder.lib
+    coder.lib = calls = Calls(lib)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeéß", k=8)) for _ in range(50)) + "it's 12½ ''re!" for _ in range(200)]
+    ids, n = coder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls.given < 20  # of some 10,000 different words
+    coder.encode(texts)
+    assert calls.given < 20
+
+
+def test_new_words_beside_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    path, rng = tokens.vocabulary("word_bpe_49k.json"), random.Random(4)
+    coder, unmarked = tokens.WordEncoder(path), tokens.WordEncoder(path)
+    unmarked.last[:] = False  # as a vocabulary that does not mark the ends of words
+    signs = [*"abcÄéß''’.,!?-<>|/w½¡—  \t\n\x0b1", "'s", "</w>", " the", " of"]
+    for _ in range(40):
+        more = ["<|endoftext|>", "日本", "🙂", "e\u0301", "İ", "ſ", "\x1c", "\xa0"] * rng.randrange(2)
+        texts = [None, *("".join(rng.choices(signs + more, k=rng.choice([0, 1, 2, 5, 30, 300]))) for _ in range(20))]
+        for c in (coder, unmarked):
+            ids, n = c.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [c.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_layout(spark, texts, tmp_path):
     docs = spark.createDataFrame([(d % 50, t) for d, t in texts.items()], "doc_id bigint, text string")  # repeated ids
     token_files.write_token_files(docs, str(tmp_path), tokens.vocabulary("word_bpe_49k.json"), block_ids=3000)
