@@ -75,10 +75,28 @@ def permute_labels(df: DataFrame, y: str, key: str, seed: str, by: list[str], tr
     rows = df.withColumn("_pos", F.row_number().over(w.orderBy(key)))
     order = F.when(F.col(by[0]) == 0, F.lit("")).otherwise(seeded(seed, *(F.col(c) for c in by), F.col(key)))
     drawn = df.select(*by, train, key, F.col(y).alias("y_perm")).withColumn("_pos", F.row_number().over(w.orderBy(order, key))).drop(key)
-    out = rows.join(drawn, [*by, train, "_pos"]).drop("_pos")
+    out = rows.join(drawn.hint("merge"), [*by, train, "_pos"]).drop("_pos")  # Spark takes the copies for as few rows as they were made of
     return out.withColumn("y_perm", F.when(F.col(train), F.col("y_perm")).otherwise(F.col(y)))
 
 
+#: Rows of the table of places that may be broadcast, two numbers each.
+PLACES = 1_000_000
+
+
+def permuted_copies(df: DataFrame, y: str, key: str, seed: str, n: int, train: str, checkpoint, name: str = "perm_id", most: int = PLACES) -> DataFrame:
+    """`repeats` and `permute_labels` at once, for a ``train`` that is the same in all permutations: (name, key, y_perm). A key's place among
+    the training rows is found once, the labels are drawn by one window a permutation, and only the places are joined to them."""
+    learn = df.where(F.col(train)).select(key, y)
+    places = checkpoint(scan(learn.select(key), [], [F.asc(key)], checkpoint, number="_pos"))
+    places = F.broadcast(places) if places.count() <= most else places.hint("merge")
+    order = F.when(F.col(name) == 0, F.lit("")).otherwise(seeded(seed, F.col(name), F.col(key)))
+    # dealt before the window, so that the digests are made after the shuffle
+    drawn = repeats(learn, n, name).repartition(name).withColumn("_pos", F.row_number().over(Window.partitionBy(name).orderBy(order, key)))
+    out = drawn.select(name, F.col("_pos").cast("bigint").alias("_pos"), F.col(y).alias("y_perm")).join(places, "_pos").select(name, key, "y_perm")
+    kept = df.where(~F.coalesce(F.col(train), F.lit(False))).select(key, F.col(y).alias("y_perm"))
+    return out.unionByName(repeats(kept, n, name).select(name, key, "y_perm"))
+
+
 # --- covariates and scaling ----------------------------------------------------------------------------------------
 
 

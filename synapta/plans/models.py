@@ -85,8 +85,8 @@ b AS (SELECT perm_id, is_train, label AS y, row_number() OVER (PARTITION BY perm
 SELECT CAST(perm_id AS INT) AS perm_id, subid, CASE WHEN is_train THEN y ELSE label END AS y_perm FROM a JOIN b USING (perm_id, is_train, k)""")
 def label_permutation(spark, d):
     """J16 J17"""
-    t = md.repeats(folds(spark, d), 1000, "perm_id").withColumn("is_train", F.col("fold") != 0)
-    return md.permute_labels(t, "label", "subid", "perm", ["perm_id"], "is_train").select("perm_id", "subid", "y_perm")
+    t = io.checkpointed(folds(spark, d).select("subid", "label", (F.col("fold") != 0).alias("is_train")))
+    return md.permuted_copies(t, "label", "subid", "perm", 1000, "is_train", io.checkpointed)
 
 
 _COV = f"(SELECT l.subid, l.f, l.x, CAST(length(coalesce(d.text, '')) AS DOUBLE) / 1000 AS c FROM {LONG} l JOIN documents d ON d.doc_id = l.subid)"

@@ -144,6 +144,20 @@ def test_permutation_keeps_test_labels(spark):
         assert sorted(r.y for r in part) == sorted(r.y_perm for r in part) and any(r.y != r.y_perm for r in part)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_permuted_copies_equal_permute_labels_without_a_broadcast(spark, most):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(rng.integers(0, 9)), bool(rng.integers(0, 5))) for i in rng.permutation(200)]
+    df = spark.createDataFrame(rows, "subid bigint, y int, is_train boolean").repartition(3)
+    copies = models.repeats(df, 7, "perm")
+    drawn = models.permute_labels(copies, "y", "subid", "s", ["perm"], "is_train")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # the driver would hold all copies
+    want = {(r.perm, r.subid): r.y_perm for r in drawn.collect()}
+    got = models.permuted_copies(df, "y", "subid", "s", 7, "is_train", checkpointed, "perm", most).collect()
+    assert len(got) == len(want) == 1400 and {(r.perm, r.subid): r.y_perm for r in got} == want
+
+
 def test_tails():
     # published critical values: t(0.975; 10) = 2.228139, t(0.975; 1) = 12.7062, F(0.95; 3, 20) = 3.098391
     assert np.allclose(inference.t_two_sided([2.228139, 12.7062, 0.0, float("inf")], [10, 1, 5, 5]), [0.05, 0.05, 1.0, 0.0], atol=1e-5)
