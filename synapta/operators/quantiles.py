@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values of a key, or of a range in the end, that one task may sort.
@@ -19,8 +19,8 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float], checkpoint, limit: int = LIMIT, bins: int = BINS) -> DataFrame:
-    """(keys, n, q): the quantiles of ``shares`` (0 to 1) of each key's values, interpolated between neighbours as `percentile` does, as
-    an array. NULL and NaN are left out; keys without a value do not occur; values must be finite. Keys must not be NULL.
+    """(keys, n, q): the quantiles of ``shares`` (0 to 1) of each key's values, interpolated between neighbours by `_between`, as an
+    array. NULL and NaN are left out; keys without a value do not occur; values must be finite. Keys must not be NULL.
 
     Keys of up to ``limit`` values are one aggregation. For others the two ranks beside each quantile are found by counting: a pass
     counts the values of each range in ``bins`` parts (with map-side combining, all keys and ranks at once), and the part that holds a rank is
@@ -29,16 +29,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float
     """
     rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*keys, F.col(x).cast("double").alias("_x"))
     sizes = checkpoint(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
-    cut = F.percentile("_x", F.array(*map(F.lit, shares))).alias("q")
+    last = F.col("n") - 1
+
+    def held(d: DataFrame) -> DataFrame:
+        every = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("_x")).alias("_all"))  # ``limit`` at most
+        return every.select(*keys, "n", _between(last, shares, lambda at: F.get("_all", at.cast("int"))))
+
     most = sizes.agg(F.max("n")).first()[0] or 0
     if most <= limit:
-        return rows.groupBy(*keys).agg(F.count("*").alias("n"), cut)
+        return held(rows)
     large = checkpoint(sizes.where(F.col("n") > limit))
     tagged = small(large.select(*keys)) if keys else None
-    few = rows.join(tagged, keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n"), cut) if keys else None
+    few = held(rows.join(tagged, keys, "left_anti")) if keys else None
     rows = rows.join(tagged, keys, "left_semi") if keys else rows
 
-    last = F.col("n") - 1
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(last * s), F.ceil(last * s)) for s in shares))))
     # rank: place among the values of the range; c: how many these are
     state = checkpoint(large.select(*keys, F.explode(ranks).alias("at"), "_lo", "_hi", F.col("n").alias("c")).withColumn("rank", F.col("at")))
@@ -62,13 +66,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, shares: list[float
         values = values.unionByName(f)
     values = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("_v"))  # two ranks a share
     out = large.join(values, keys) if keys else large.crossJoin(values)
-    whole = []
+    out = out.select(*keys, "n", _between(last, shares, lambda at: F.col("_v")[at]))
+    return out.unionByName(few) if few is not None else out
+
+
+def _between(last: Column, shares: list[float], value) -> Column:
+    """The quantiles from the values of two ranks each. lo * (1 - part) + hi * part with a fused product, as DuckDB has it: a cut that is off by a
+    bit stands on the other side of a value close to it."""
+    out = []
     for s in shares:
         p = last * s
-        lo, hi = F.col("_v")[F.floor(p)], F.col("_v")[F.ceil(p)]
-        whole.append(F.when(F.floor(p) == F.ceil(p), lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi))
-    out = out.select(*keys, "n", F.array(*whole).alias("q"))
-    return out.unionByName(few) if few is not None else out
+        lo, hi, part = value(F.floor(p)), value(F.ceil(p)), p - F.floor(p)
+        mixed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), lo, 1 - part, hi * part).cast("double")
+        out.append(F.when((part == 0) | lo.isNull(), lo).otherwise(mixed))
+    return F.array(*out).alias("q")
 
 
 def _within(rows: DataFrame, state: DataFrame, keys: list[str], ranged: list[str]) -> DataFrame:

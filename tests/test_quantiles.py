@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from synapta.operators import components as cp
 from synapta.operators.quantiles import exact_percentiles
@@ -29,6 +30,29 @@ def test_quantiles_are_exact(spark, limit, bins):
         assert got[k].n == len(v) and np.allclose(got[k].q, np.quantile(v, SHARES), rtol=1e-12), k
 
 
+@pytest.mark.parametrize("limit", [100, 40])
+def test_noisy_points_at_cuts_between_neighbouring_doubles(spark, limit):
+    """The cut lies between two values a bit apart: (value - 50) from above and from below."""
+    import duckdb
+
+    from synapta.plans import ORACLES
+
+    rng = np.random.default_rng(6)
+    low, high, rows = (np.array([2.38, 2.1, 0.74, 2.23, 1.46, 2.54, 0.65]), np.array([97.62, 97.9, 99.26, 97.77, 98.54, 97.46, 99.35]), [])
+    for user, n in enumerate([62, 78, 60, 67, 59, 67, 66] * 3):
+        i = int((n - 1) * 0.875)
+        a, b = low[user % 7], high[user % 7]
+        v = np.concatenate([np.round(rng.uniform(40, 60, i), 2), [a, b], np.round(rng.uniform(120, 200, n - i - 2), 2)])
+        rows += [(user, float(x)) for x in v]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?)", rows)
+    want = {u: r for u, r in con.execute(ORACLES["noisy_points"]).fetchall()}
+    df = spark.createDataFrame(rows, "user_id bigint, value double").withColumn("n", F.abs(F.col("value") - 50))
+    got = {r.user_id: r.noisy_ratio for r in cp.noisy_points_ratio(df, ["user_id"], "ts", "value", "n", checkpointed, limit=limit).collect()}
+    assert {u: round(x, 6) for u, x in got.items()} == pytest.approx(want, abs=1.5e-6)
+
+
 def test_quantiles_without_keys_or_rows(spark):
     df = frame(spark)
     every = np.concatenate(list(values().values()))
