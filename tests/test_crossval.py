@@ -100,3 +100,26 @@ def test_no_subjects_and_too_many(spark):
     assert cv.nested_cv_scores(df.where("subid < 0"), SETS, checkpointed, PLAN).collect() == []
     with pytest.raises(ValueError, match="too many subjects"):
         cv.nested_cv_scores(df, SETS, checkpointed, PLAN, cell_bytes=1000)
+
+
+@pytest.mark.parametrize("permute", [None, "perm"])
+def test_sums_by_pieces_equal_scores(monkeypatch, permute):
+    """The fits of a fold by sums over pieces of rows against those by scores of whole columns."""
+    monkeypatch.setattr(cv, "PIECE", 16)
+    rng = np.random.default_rng(2)
+    n, sets = 97, {"A": (0, 5), "AB": (0, 9)}
+    x, c, y = rng.normal(size=(n, 9)), np.column_stack([np.ones(n), rng.normal(size=n)]), np.sort(rng.integers(0, 9, n))[::-1].astype(float)
+    x[:, 2], x[:, 4] = 7.0, c[:, 1] * 3  # explained by the covariates
+    ids, plan = np.arange(n), cv.Plan(k=4, folds=4, inner_repeats=3, inner_folds=3, permute=permute)
+    outer = md.outer_folds(ids, 1, 4, "split")
+    got = cv.Sums(plan, sets, ids, y, c, x, outer, 1, 2, range(3)).run()
+    fold = cv.Fold(plan, ids, y, c, 1, 2, range(3))
+    free, _ = fold.freed(x)
+    mean, inverse = fold.scales(free)
+    for i, (lo, count) in enumerate(sets.values()):
+        at, s = slice(lo, lo + count), fold.start()
+        for _ in range(4):
+            fold.step(s, fold.share(free[:, at], mean[at], inverse[at], s["f"][0]))
+        corr, error = np.array(s["corr"]), np.array(s["error"])
+        assert np.allclose(got["corr"][i], corr[:, 1:], atol=1e-9) and np.allclose(got["error"][i], error[:, 1:], atol=1e-9)
+        assert np.allclose(got["outer"][:, i], [corr[:, 0], error[:, 0]], atol=1e-9)
