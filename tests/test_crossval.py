@@ -123,3 +123,13 @@ def test_sums_by_pieces_equal_scores(monkeypatch, permute):
         corr, error = np.array(s["corr"]), np.array(s["error"])
         assert np.allclose(got["corr"][i], corr[:, 1:], atol=1e-9) and np.allclose(got["error"][i], error[:, 1:], atol=1e-9)
         assert np.allclose(got["outer"][:, i], [corr[:, 0], error[:, 0]], atol=1e-9)
+
+
+def test_more_subjects_than_columns_of_fits_hold(spark):
+    """150,000 subjects with the usual sizes of cells; a constant feature."""
+    n = 150_000
+    h = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 500 - 1
+    df = spark.range(n).select(F.col("id").alias("subid"), (h(1) + h(2)).alias("y"), F.array(F.lit(1.0)).alias("c"), F.array(h(1), h(3), F.lit(2.0)).alias("x"))
+    got = records(cv.nested_cv_scores(df, {"A": (0, 3)}, checkpointed, cv.Plan(times=1, k=2, folds=2, inner_repeats=2)))
+    assert len(got) == 2 and sum(r.n_test for r in got.values()) == n
+    assert all(r.corr == pytest.approx(np.sqrt(0.5), abs=0.01) for r in got.values())
