@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from synapta.operators.models import RESULT, inner_split, outer_folds
 from synapta.operators.scans import scan
 
-#: Bytes of a cell: a block of features over all subjects, or a state. Readers take several rows of a table at once.
+#: Bytes of the ids and labels that a task holds, at most.
 CELL_BYTES = 32 << 20
+#: Bytes of a block of features or a state where fits go in rounds, at most.
+BLOCK_BYTES = 8 << 20
 #: Bytes of the sums of a fold's inner parts up to which fits go by sums; bytes of the features that a task keeps in memory.
 WHOLE_BYTES = 64 << 20
 #: Tasks that share the repeats where fits go by sums, and bytes that they all read at most (a dozen tasks at least).
@@ -233,6 +235,7 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
         return subjects.sparkSession.createDataFrame([], RESULT)
     if n * 16 > cell_bytes:
         raise ValueError("too many subjects for a task's ids and labels; use models.nested_cv")
+    cell_bytes = min(cell_bytes, BLOCK_BYTES)
     most = max(1, cell_bytes // (8 * n))
     placed = checkpoint(scan(subjects.select("subid", "y", "c"), [], [F.desc("y"), F.asc("subid")], checkpoint, number="pos"))  # without the wide rows
     if 8 * (used + 2) ** 2 * plan.inner_repeats * plan.inner_folds <= whole_bytes:

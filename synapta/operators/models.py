@@ -329,7 +329,7 @@ def nested_cv(
     In each model covariates are regressed out by the training rows, the number of components is chosen inside, weights and
     activation patterns (on features scaled to the training rows' range) have unit length; ``coef`` on (1, c, x) predicts a row.
 
-    For many subjects with few features; `crossval.nested_cv_scores` is the form for up to some 150,000 subjects with any number of
+    For many subjects with few features; `crossval.nested_cv_scores` is the form for up to 2 million subjects with any number of
     features. No task holds the cohort. Chunks of it give sums of products by (time_id, fold, inner repeat, inner fold); training sums are
     differences of these, and models are solved from them; errors and ranges come from a second pass of the models over the
     chunks. Both passes are spread over chunks and groups of repeats. A row of the models is one part and feature set (8 * k * columns bytes).
