@@ -4,11 +4,12 @@ With few features a fit needs only sums of products over its training rows, and
 So a task that holds an outer fold goes twice over the rows: for the sums of all inner parts, and for the absolute errors of all fits (`Sums`).
 Subjects may be any number that a task can hold the ids and labels of.
 
-With many features all fits of a fold advance together, as columns of one matrix (`Fold`). A component of PLS1 is t = X D X' f, made orthogonal to the
-components before it, where f is what of y is not explained yet and D the inverse variances of the features over the training rows. So no
-coefficients, no matrix of features by features and none of rows by rows are needed: the fits of an outer fold (its own and those of its inner folds,
-on true or on permuted labels) are columns, two products with X advance them all, and predictions for every row come out with them. X lies in blocks of
-features, whose shares of X D X' f are summed: features may outnumber subjects by any factor.
+With many features the whole of which a task can hold, all fits of a fold advance together, as columns of one matrix (`Fold`). A component of PLS1 is
+t = X D X' f, made orthogonal to the components before it, where f is what of y is not explained yet and D the inverse variances of the features over
+the training rows. So no coefficients and no matrix of features by features are needed.
+
+With more features than that, t = X r with r by the loadings so far, as in `_fits`: each component is a pass of tasks over blocks of rows, which give X' t
+over each fit's training rows (and the errors of the components before); states have a row a feature and none a subject.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import hashlib
+import pickle
 import tempfile
 
 import numpy as np
@@ -28,8 +30,8 @@ from synapta.operators.scans import scan
 
 #: Bytes of the ids and labels that a task holds, at most.
 CELL_BYTES = 32 << 20
-#: Bytes of a block of features or a state where fits go in rounds, at most.
-BLOCK_BYTES = 8 << 20
+#: Bytes of the states of a fold where a task advances all its fits.
+STATE_BYTES = 8 << 20
 #: Bytes of the sums of a fold's inner parts up to which fits go by sums; bytes of the features that a task keeps in memory.
 WHOLE_BYTES = 64 << 20
 #: Tasks that share the repeats where fits go by sums, and bytes that they all read at most (a dozen tasks at least).
@@ -212,12 +214,6 @@ def _cohort(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["y"], float), np.frombuffer(row["c"], float).reshape(len(ids), -1)
 
 
-def _pieces(sets: dict[str, tuple[int, int]], width: int, most: int) -> list[tuple[int, int]]:
-    """Ranges of features, of at most ``most`` each, such that every set is some of them."""
-    cuts = sorted({0, width, *(x for first, count in sets.values() for x in (first, first + count))})
-    return [(lo, min(lo + most, hi)) for a, hi in zip(cuts, cuts[1:]) for lo in range(a, hi, most)]
-
-
 def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], checkpoint, plan: Plan = Plan(), cell_bytes: int = CELL_BYTES, groups: int = GROUPS, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """One result record for each (time_id, feature_set, fold), as `models.nested_cv` gives them.
 
@@ -225,9 +221,9 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
     With ``plan.permute`` each repeat learns on permuted training labels and is judged on true ones.
 
     Where the sums of products of a fold's inner parts take up to ``whole_bytes``, fits go by sums in tasks that share the repeats; a task reads all
-    features once (float32 if nothing is lost by that), in a file of its own beyond ``whole_bytes``. More features are cut into blocks: each component
-    is a round in which tasks of (group of folds, block) give their shares and tasks of (fold, set) sum them; the state of a round is
-    written by ``checkpoint``. Subjects are bounded by their ids and labels in a cell (2 million at 32 MB), else an error.
+    features once (float32 if nothing is lost by that), in a file of its own beyond ``whole_bytes``. More features travel whole to the tasks up to
+    ``whole_bytes``; beyond that each component is a pass over blocks of rows, whose state is written by ``checkpoint`` (`_in_rounds`). Subjects are
+    bounded by their ids and labels in a cell (2 million at 32 MB), else an error.
     """
     one = subjects.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("p"), F.max(F.size("c")).alias("nc")).first()
     n, used = one["n"], max(first + count for first, count in sets.values())
@@ -235,27 +231,20 @@ def nested_cv_scores(subjects: DataFrame, sets: dict[str, tuple[int, int]], chec
         return subjects.sparkSession.createDataFrame([], RESULT)
     if n * 16 > cell_bytes:
         raise ValueError("too many subjects for a task's ids and labels; use models.nested_cv")
-    cell_bytes = min(cell_bytes, BLOCK_BYTES)
-    most = max(1, cell_bytes // (8 * n))
     placed = checkpoint(scan(subjects.select("subid", "y", "c"), [], [F.desc("y"), F.asc("subid")], checkpoint, number="pos"))  # without the wide rows
     if 8 * (used + 2) ** 2 * plan.inner_repeats * plan.inner_folds <= whole_bytes:
         return _in_tasks(subjects, placed, sets, plan, n, one["nc"], used, groups, checkpoint, cell_bytes, whole_bytes)
+    if 8 * n * used > whole_bytes:
+        return _in_rounds(subjects, placed, sets, plan, n, one["nc"], used, checkpoint, cell_bytes)
 
-    def cohort(pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"ids": [pdf["subid"].to_numpy(np.int64).tobytes()], "y": [pdf["y"].to_numpy(float).tobytes()], "c": [np.array(pdf["c"].tolist(), float).tobytes()]})
+        v = {"ids": pdf["subid"].to_numpy(np.int64), "y": pdf["y"].to_numpy(float), **{k: np.array(pdf[k].tolist(), float) for k in "cx"}}
+        return pd.DataFrame([{k: x.tobytes() for k, x in v.items()}])
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("pos")["x"].tolist(), float)
-        return pd.DataFrame({"lo": [int(pdf["lo"].iloc[0])], "x": [x.tobytes()]})
-
-    people = placed.groupBy(F.col("pos") < 0).applyInPandas(cohort, "ids binary, y binary, c binary")  # a few numbers a subject, bounded above
-    ranges = _pieces(sets, used, most)
-    slices = F.array(*(F.struct(F.lit(lo).alias("lo"), F.slice("x", lo + 1, hi - lo).alias("x")) for lo, hi in ranges))
-    cells = subjects.select("subid", F.explode(slices).alias("s")).select("subid", "s.lo", "s.x").join(placed.select("subid", "pos"), "subid")
-    cells = cells.groupBy("lo").applyInPandas(cut, "lo int, x binary")
-    cells = checkpoint(cells.crossJoin(F.broadcast(people)))
-    return _in_rounds(cells, dict(sets), ranges, plan, n, one["nc"], used, checkpoint, cell_bytes)
+    rows = subjects.select("subid", F.slice("x", 1, used).alias("x")).join(placed, "subid")
+    cell = checkpoint(rows.groupBy(F.col("pos") < 0).applyInPandas(whole, "ids binary, y binary, c binary, x binary"))  # up to ``whole_bytes``
+    return _scores_in_tasks(cell, sets, plan, used, groups, _batches(plan, n, min(cell_bytes, STATE_BYTES)))
 
 
 def _fits(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -500,97 +489,270 @@ def _batches(plan: Plan, n: int, cell_bytes: int) -> list[range]:
     return [range(lo, min(lo + step, plan.inner_repeats)) for lo in range(0, plan.inner_repeats, step)]
 
 
-def _in_rounds(cells: DataFrame, sets: dict[str, tuple[int, int]], ranges: list[tuple[int, int]], plan: Plan, n: int, nc: int, width: int, checkpoint, cell_bytes: int) -> DataFrame:
-    spark = cells.sparkSession
-    batches = _batches(plan, n, cell_bytes)
-    size = 8 * n * (1 + len(batches[0]) * plan.inner_folds)
-    together = max(1, cell_bytes // (size * len(sets)))  # jobs whose f, for all sets, fit a cell
-    jobs = plan.times * plan.folds * len(batches)
-    n_groups = -(-jobs // together)
-    blocks_of = {name: [lo for lo, hi in ranges if first <= lo and hi <= first + count] for name, (first, count) in sets.items()}
-    key = ["job", "feature_set"]
+def _scores_in_tasks(cells: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, width: int, groups: int, batches_of: list[range]) -> DataFrame:
+    share = min(groups, plan.times * plan.folds)
+
+    def run(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                ids, y, c = _cohort(row)
+                x = np.frombuffer(row["x"], float).reshape(len(ids), -1)
+                for job in range(int(row["grp"]), plan.times * plan.folds, share):
+                    t, f = divmod(job, plan.folds)
+                    outer: dict[str, tuple] = {}
+                    inner: dict[str, list[tuple]] = {name: [] for name in sets}
+                    free = b = None
+                    for repeats in batches_of:
+                        fold = Fold(plan, ids, y, c, t, f, repeats)
+                        free, b = fold.freed(x) if free is None else (free, b)
+                        mean, inverse = fold.scales(free)
+                        for name, (lo, count) in sets.items():
+                            at = slice(lo, lo + count)
+                            s = fold.start()
+                            for _ in range(plan.k):
+                                fold.step(s, fold.share(free[:, at], mean[at], inverse[at], s["f"][0]))
+                            corr, error = np.array(s["corr"]), np.array(s["error"])
+                            inner[name].append((corr[:, 1:], error[:, 1:]))
+                            if name not in outer:  # column 0 is the same in each batch
+                                outer[name] = fold, mean[at, :1], inverse[at, :1], s["a"], s["yhat"], corr[:, 0], error[:, 0]
+                    out = []
+                    for name, (lo, count) in sets.items():
+                        fold, mean, inverse, alphas, fits, corr, error = outer[name]
+                        at, a = slice(lo, lo + count), chosen(*(np.hstack(v) for v in zip(*inner[name])), plan)
+                        coef, on_c, shift, spread, pattern = fold.weights(free[:, at], b[:, at], mean, inverse, alphas[a], fits[a])
+                        out.append(_result(t, name, f, a, corr[a], error[a], fold.n_test[0], fold.mean[0] - shift, on_c, [(lo, coef, spread, pattern)], width))
+                    yield pd.DataFrame(out)
 
-    def fold_of(row, job: int) -> tuple[Fold, int, int]:
-        tf, b = divmod(job, len(batches))
-        t, f = divmod(tf, plan.folds)
-        return Fold(plan, *_cohort(row), t, f, batches[b]), t, f
+    spread = cells.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(share - 1))))
+    return spread.repartitionByRange(share, "grp").mapInPandas(run, RESULT)
 
-    def packed(job: int, name: str, s: dict) -> dict:
-        return {"job": job, "feature_set": name, **{k: np.array(v).tobytes() for k, v in s.items()}}
 
-    def read(row, m: int) -> dict:
-        each = dict.fromkeys("fpt", (n, m)) | dict.fromkeys(("tt", "first", "corr", "error"), (m,)) | dict.fromkeys(("r", "a", "yhat"), (n,))
-        return {k: list(np.frombuffer(row[k], float).reshape(-1, *each[k]).copy()) for k in STATE}
+def _in_rounds(subjects: DataFrame, placed: DataFrame, sets: dict[str, tuple[int, int]], plan: Plan, n: int, nc: int, width: int, checkpoint, cell_bytes: int) -> DataFrame:
+    spark, size = subjects.sparkSession, max(count for _, count in sets.values())
+    # fits (columns) of a job, whose state of some 2 k + 4 matrices of a row a feature fits a cell
+    some = max(1, min(plan.inner_repeats, (cell_bytes // (8 * size * (2 * plan.k + 4)) - 1) // plan.inner_folds))
+    batches = [range(lo, min(lo + some, plan.inner_repeats)) for lo in range(0, plan.inner_repeats, some)]
+    jobs = plan.times * plan.folds * len(batches)
+    fits = lambda job: 1 + len(batches[job % len(batches)]) * plan.inner_folds
+    together = max(1, cell_bytes // (8 * (width + nc) * (1 + some * plan.inner_folds) * len(sets)))  # jobs that go through the rows at once
+    per = max(1, min(PIECE, cell_bytes // (4 * 8 * (width + nc + 2))))
+    kind = np.min_scalar_type(plan.inner_folds + 1)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(8 << 20))
 
-    def begin(batches_):
-        for pdf in batches_:
+    def cohort(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return pd.DataFrame({"ids": [pdf["subid"].to_numpy(np.int64).tobytes()], "y": [pdf["y"].to_numpy(float).tobytes()]})
+
+    def deal(pieces):
+        """Of each job and chunk: labels (permuted ones on training rows), and the inner part of each row in each repeat (inner_folds: held out)."""
+        for pdf in pieces:
             for _, row in pdf.iterrows():
-                fold, *_ = fold_of(row, int(row["job"]))
-                yield pd.DataFrame([packed(int(row["job"]), name, fold.start()) for name in sets])
-
-    def shares(_, block: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        out, row = [], block.iloc[0]
-        x = np.frombuffer(row["x"], float).reshape(n, -1)
-        for job, group in states.groupby("job"):
-            fold, *_ = fold_of(row, int(job))
-            free, _b = fold.freed(x)
-            mean, inverse = fold.scales(free)
-            for _, s in group.iterrows():
-                z = fold.share(free, mean, inverse, np.frombuffer(s["f"], float).reshape(fold.mask.shape))
-                out.append((int(job), s["feature_set"], z.tobytes()))
-        return pd.DataFrame(out, columns=[*key, "z"])
-
-    def advance(k, states: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row = states.iloc[0]
-        fold, *_ = fold_of(row, int(k[0]))
-        z = sum(np.frombuffer(x, float).reshape(fold.mask.shape) for x in got["z"])
-        s = read(row, fold.mask.shape[1])
-        fold.step(s, z)
-        return pd.DataFrame([packed(int(k[0]), k[1], s)])
-
-    people = cells.select("ids", "y", "c").limit(1)  # the same in each row
-    schema = "job int, feature_set string, " + ", ".join(f"{c} binary" for c in STATE)
-    starts = spark.range(0, jobs, 1, min(jobs, 64)).select(F.col("id").cast("int").alias("job")).crossJoin(F.broadcast(people))
-    states = checkpoint(starts.mapInPandas(begin, schema))
-    owns = F.create_map(*(x for name, los in blocks_of.items() for x in (F.lit(name), F.array(*map(F.lit, los)))))
-    spread = cells.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    dealt = lambda d: d.withColumn("grp", F.floor(F.col("job") / together).cast("int")).withColumn("lo", F.explode(owns[F.col("feature_set")]))
-    for _ in range(plan.k):
-        z = spread.groupBy("grp", "lo").cogroup(dealt(states.select(*key, "f")).groupBy("grp", "lo")).applyInPandas(shares, "job int, feature_set string, z binary")
-        states = checkpoint(states.crossJoin(F.broadcast(people.select("ids", F.col("y").alias("y"), "c"))).groupBy(*key).cogroup(z.groupBy(*key)).applyInPandas(advance, schema))
-
-    def choose(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        """All inner fits of a fold and set: the number of components, and the outer fit (column 0 of the first batch) with it."""
-        tf, name = int(k[0]), k[1]
+                ids, y, job = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["y"], float), int(row["job"])
+                tf, batch = divmod(job, len(batches))
+                t, f = divmod(tf, plan.folds)
+                train = outer_folds(ids, t, plan.folds, plan.fold_seed) != f
+                part = np.full((len(batches[batch]), n), plan.inner_folds, kind)
+                for i, r in enumerate(batches[batch]):
+                    part[i, train] = inner_split(int(train.sum()), plan.inner_folds, [plan.seed, t, f, r, 0])
+                drawn = permuted(y, ids, train, plan.permute, t, f) if plan.permute else y
+                for at in range(0, n, per):
+                    here = slice(at, at + per)
+                    yield pd.DataFrame([{"chunk": at // per, "job": job, "train": train[here].tobytes(), "part": part[:, here].tobytes(), "y": drawn[here].tobytes()}])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        c = np.column_stack([np.array(pdf["c"].tolist(), float), np.ones(len(pdf))])
+        return pd.DataFrame([{"chunk": int(pdf["chunk"].iloc[0]), "c": c.tobytes(), "x": np.array(pdf["x"].tolist(), float).tobytes()}])
+
+    people = placed.groupBy(F.col("pos") < 0).applyInPandas(cohort, "ids binary, y binary")  # a few numbers a subject, bounded above
+    dealt = spark.range(0, jobs, 1, min(jobs, 64)).select(F.col("id").cast("int").alias("job")).crossJoin(F.broadcast(people)).mapInPandas(deal, "chunk int, job int, train binary, part binary, y binary")
+    dealt = checkpoint(dealt)
+    chunk = F.floor((F.col("pos") - 1) / per).cast("int").alias("chunk")
+    rows = subjects.select("subid", F.slice("x", 1, width).alias("x")).join(placed.select("subid", "c", "pos", chunk), "subid")
+    cells = checkpoint(rows.repartition(F.col("chunk")).groupBy("chunk").applyInPandas(cut, "chunk int, c binary, x binary"))
+
+    def masks(d, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that each fit learns on and is judged on."""
+        train = np.frombuffer(d["train"], bool)
+        part = np.frombuffer(d["part"], kind).reshape(-1, len(train))
+        learn, judge = np.empty((len(train), m)), np.empty((len(train), m))
+        learn[:, 0], judge[:, 0] = train, ~train
+        for i, v in enumerate(part):
+            for j in range(plan.inner_folds):
+                at = 1 + i * plan.inner_folds + j
+                judge[:, at] = v == j
+                learn[:, at] = train & (v != j)
+        return learn, judge
+
+    def passed(group: range, work, models: DataFrame | None) -> DataFrame:
+        """Sums over all rows of what ``work`` gives for each job: a dict of arrays, summed by name (low, high: least and greatest)."""
+        merge = lambda a, b: {k: (np.minimum if k == "low" else np.maximum if k == "high" else np.add)(a[k], v) for k, v in b.items()} if a else b
+
+        fitted = models is not None
+
+        def over(pieces):
+            held: dict[int, dict] = {}
+            for pdf in pieces:
+                for _, row in pdf.iterrows():
+                    c = np.frombuffer(row["c"], float).reshape(-1, nc + 1)
+                    x = np.frombuffer(row["x"], float).reshape(len(c), -1)
+                    known = pickle.loads(row["models"]) if fitted else {}
+                    for d in row["deals"]:
+                        job = d["job"]
+                        held[job] = merge(held.get(job), work(x, c, np.frombuffer(d["y"], float), *masks(d, fits(job)), known.get(job)))
+            for job, v in held.items():
+                yield pd.DataFrame([{"job": job, "sums": pickle.dumps(v)}])
+
+        def add(pieces):
+            held: dict[int, dict] = {}
+            for pdf in pieces:
+                for job, v in zip(pdf["job"], pdf["sums"]):
+                    held[job] = merge(held.get(job), pickle.loads(v))
+            for job, v in held.items():
+                yield pd.DataFrame([{"job": job, "sums": pickle.dumps(v)}])
+
+        mine = dealt.where((F.col("job") >= group.start) & (F.col("job") < group.stop)).groupBy("chunk").agg(F.collect_list(F.struct("job", "train", "part", "y")).alias("deals"))
+        both = cells.join(F.broadcast(mine) if n * len(group) * (some + 9) <= cell_bytes else mine, "chunk")
+        both = both if models is None else both.crossJoin(F.broadcast(models))
+        return checkpoint(both.mapInPandas(over, "job int, sums binary").repartition(len(group), "job").mapInPandas(add, "job int, sums binary"))
+
+    def gathered(states: DataFrame, name: str) -> DataFrame:
+        """One row with what the next pass needs of all jobs."""
+        one = lambda pdf: pd.DataFrame({"models": [pickle.dumps({int(j): pickle.loads(v) for j, v in zip(pdf["job"], pdf[name])})]})
+        return states.groupBy(F.col("job") < 0).applyInPandas(one, "models binary")
+
+    def moments(x, c, y, learn, judge, _):
+        train = learn[:, :1]
+        return {"cc": c.T @ (c * train), "cx": c.T @ (x * train), "xx": (train[:, 0] @ (x * x)), "n": learn.sum(0), "y": y @ learn, "n_test": judge.sum(0), "y_test": y @ judge, "yy_test": (y * y) @ judge}
+
+    def spreads(x, c, y, learn, judge, m):
+        free = x - c @ m["b"]
+        at = free[learn[:, 0] > 0]
+        ends = {"low": at.min(0), "high": at.max(0)} if len(at) else {"low": np.full(width, np.inf), "high": np.full(width, -np.inf)}
+        f = (y[:, None] - m["y_mean"]) * learn
+        return {"sum": free.T @ learn, "square": (free * free).T @ learn, "xf": free.T @ f, "ff": (f * f).sum(0), "vy": (((y[:, None] - m["y_test"]) ** 2) * judge).sum(0), **ends}
+
+    def advance(x, c, y, learn, judge, m):
+        """Products of the scores of the next component with all columns; sums of what the components so far predict."""
+        out = {}
+        for name, (lo, count) in sets.items():
+            at = x[:, lo : lo + count]
+            if "turn" in m:
+                v = m["turn"][name]
+                t = (at @ v[:count] + c @ v[count:]) * learn
+                out[f"x {name}"], out[f"c {name}"] = at.T @ t, c.T @ t
+            if "fit" in m:
+                v = m["fit"][name]
+                e = (at @ v[:count] + c @ v[count:]) * judge  # predictions without the mean of y
+                out[f"p {name}"], out[f"pp {name}"], out[f"py {name}"] = e.sum(0), (e * e).sum(0), np.einsum("ij,ij->j", e, (y[:, None] - m["y_test"]) * judge)
+                out[f"error {name}"] = (np.abs(e + m["y_mean"] - y[:, None]) * judge).sum(0)
+        return out
+
+    def free_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pickle.loads(pdf["sums"].iloc[0])
+        b = np.zeros((nc + 1, width))
+        b[:nc] = np.linalg.pinv(s["cc"][:nc, :nc], rcond=1e-12, hermitian=True) @ s["cx"][:nc]
+        m = {"b": b, "y_mean": s["y"] / np.maximum(s["n"], 1), "y_test": s["y_test"] / np.maximum(s["n_test"], 1)}
+        facts = {**m, "n": s["n"], "n_test": s["n_test"], "yy_test": s["yy_test"], "xx": s["xx"]}
+        return pd.DataFrame([{"job": pdf["job"].iloc[0], "facts": pickle.dumps(facts), "models": pickle.dumps(m)}])
+
+    def turned(facts: dict, name: str, v: np.ndarray) -> np.ndarray:
+        """Weights of standardised features as those of (features, covariates, 1)."""
+        lo, count = sets[name]
+        v = v * facts["scale"][lo : lo + count]
+        on_c = -facts["b"][:, lo : lo + count] @ v
+        on_c[-1] -= (facts["mean"][lo : lo + count] * v).sum(0)
+        return np.concatenate([v, on_c])
+
+    def next_turn(s: dict) -> np.ndarray:
+        norm = np.linalg.norm(s["v"], axis=0)
+        s["first"] = s.get("first", norm)
+        s["go"] = norm > np.maximum(1e-10 * s["first"], 1e-12)
+        s["w"] = s["v"] / np.where(s["go"], norm, 1)
+        r = s["w"].copy()
+        for load, turn in zip(s["loads"], s["turns"]):
+            r -= (load * s["w"]).sum(0) * turn
+        return r
+
+    def packed(job: int, facts: dict, states: dict, last: bool) -> pd.DataFrame:
+        m = {k: facts[k] for k in ("y_mean", "y_test")}
+        if not last:
+            for name, s in states.items():
+                s["r"] = next_turn(s)
+            m["turn"] = {name: turned(facts, name, s["r"]) for name, s in states.items()}
+        if any(len(s["turns"]) for s in states.values()):
+            m["fit"] = {name: turned(facts, name, s["coef"] * facts["sd"]) for name, s in states.items()}
+        return pd.DataFrame([{"job": job, "facts": pickle.dumps(facts), "state": pickle.dumps(states), "models": pickle.dumps(m)}])
+
+    def begin(before: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        facts, s = pickle.loads(before["facts"].iloc[0]), pickle.loads(got["sums"].iloc[0])
+        n_, mean = facts["n"], s["sum"] / np.maximum(facts["n"], 1)
+        var = s["square"] - n_ * mean * mean
+        flat = (var <= 1e-12 * np.maximum(s["square"], 1e-300)) | (n_ < 2)
+        flat |= (s["square"][:, 0] <= 1e-20 * facts["xx"])[:, None]  # explained by the covariates but for rounding
+        sd = np.sqrt(s["ff"] / np.maximum(n_ - 1, 1))
+        facts |= {"mean": mean, "scale": np.where(flat, 0.0, np.sqrt((n_ - 1) / np.where(flat, 1.0, var))), "sd": np.where(sd == 0, 1.0, sd), "spread": np.where(flat[:, 0] | (s["high"] <= s["low"]), 0.0, s["high"] - s["low"]), "vy": s["vy"]}
+        states = {name: {"v": s["xf"][lo : lo + c] * facts["scale"][lo : lo + c] / facts["sd"], "loads": [], "turns": [], "coef": np.zeros((c, len(n_))), "pattern": np.zeros(c), "corr": [], "error": [], "outer": []} for name, (lo, c) in sets.items()}
+        return packed(int(before["job"].iloc[0]), facts, states, False)
+
+    def step(before: pd.DataFrame, got: pd.DataFrame, last: bool) -> pd.DataFrame:
+        facts, states, sums = (pickle.loads(v) for v in (before["facts"].iloc[0], before["state"].iloc[0], got["sums"].iloc[0]))
+        for name, s in states.items():
+            lo, count = sets[name]
+            if f"p {name}" in sums:
+                judged(facts, s, *(sums[f"{k} {name}"] for k in ("p", "pp", "py", "error")))
+            if f"x {name}" not in sums:
+                continue
+            on_c = sums[f"c {name}"]
+            gr = facts["scale"][lo : lo + count] * (sums[f"x {name}"] - facts["b"][:, lo : lo + count].T @ on_c - facts["mean"][lo : lo + count] * on_c[-1])
+            tt = (s["r"] * gr).sum(0)
+            go = s["go"] & (tt > 0)
+            load, r = np.where(go, gr / np.where(go, tt, 1.0), 0.0), s["r"] * go
+            q = (s["v"] * s["w"]).sum(0) * go / np.where(go, tt, 1.0)
+            s["v"] = s["v"] - (q * tt) * load
+            s["coef"], s["pattern"] = s["coef"] + q * r, s["pattern"] + q[0] * gr[:, 0] * go[0]
+            s["loads"].append(load), s["turns"].append(r)
+            at = slice(lo, lo + count)
+            scale = facts["scale"][at, 0]
+            coef = s["coef"][:, 0] * scale * facts["sd"][0]
+            s["outer"].append((coef, np.where(scale > 0, s["pattern"] / np.where(scale > 0, scale, 1), 0) * facts["sd"][0] / max(facts["n"][0] - 1, 1)))
+        return packed(int(before["job"].iloc[0]), facts, states, last)
+
+    def judged(facts: dict, s: dict, p: np.ndarray, pp: np.ndarray, py: np.ndarray, error: np.ndarray) -> None:
+        n_ = np.maximum(facts["n_test"], 1)
+        vp, vy = pp / n_ - (p / n_) ** 2, facts["vy"] / n_
+        ok = (vy > 1e-12 * np.maximum(facts["yy_test"] / n_, 1e-300)) & (vp > 1e-12)
+        s["corr"].append(np.where(ok, py / n_ / np.sqrt(np.where(ok, vp * vy, 1.0)), 0.0)), s["error"].append(error / n_)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All inner fits of a fold: the number of components for each set, and the outer fit (column 0 of the first batch) with it."""
         pdf = pdf.sort_values("job")
-        corr, error = ([np.frombuffer(x, float).reshape(plan.k, -1) for x in pdf[c]] for c in ("corr", "error"))
-        a = chosen(np.hstack([v[:, 1:] for v in corr]), np.hstack([v[:, 1:] for v in error]), plan)
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"job": int(first["job"]), "feature_set": name, "n_comp": a, "corr": corr[0][a, 0], "error": error[0][a, 0], "a": np.frombuffer(first["a"], float).reshape(plan.k, n)[a].tobytes(), "yhat": np.frombuffer(first["yhat"], float).reshape(plan.k, n)[a].tobytes()}])
-
-    fold_id = F.floor(F.col("job") / len(batches)).cast("int").alias("tf")
-    picked = checkpoint(states.select("job", "feature_set", fold_id, "a", "yhat", "corr", "error").groupBy("tf", "feature_set").applyInPandas(choose, "job int, feature_set string, n_comp int, corr double, error double, a binary, yhat binary"))
-
-    def weigh(_, block: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
-        out, row = [], block.iloc[0]
-        x = np.frombuffer(row["x"], float).reshape(n, -1)
-        for job, group in picks.groupby("job"):
-            fold, *_ = fold_of(row, int(job))
-            free, b = fold.freed(x)
-            mean, inverse = fold.scales(free)
-            for _, s in group.iterrows():
-                coef, on_c, shift, width_, pattern = fold.weights(free, b, mean, inverse, np.frombuffer(s["a"], float), np.frombuffer(s["yhat"], float))
-                out.append((int(job), s["feature_set"], int(row["lo"]), s["n_comp"], s["corr"], s["error"], float(fold.n_test[0]), float(fold.mean[0]), float(shift), on_c.tobytes(), coef.tobytes(), width_.tobytes(), pattern.tobytes()))
-        return pd.DataFrame(out, columns=[*key, "lo", "n_comp", "corr", "error", "n_test", "mean", "shift", "on_c", "coef", "spread", "pattern"])
-
-    parts = spread.groupBy("grp", "lo").cogroup(dealt(picked).groupBy("grp", "lo")).applyInPandas(weigh, "job int, feature_set string, lo int, n_comp int, corr double, error double, n_test double, mean double, shift double, on_c binary, coef binary, spread binary, pattern binary")
-
-    def finish(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        t, f = divmod(int(k[0]) // len(batches), plan.folds)
-        one = pdf.iloc[0]
-        read_ = lambda c: [np.frombuffer(x, float) for x in pdf[c]]
-        rows = list(zip(pdf["lo"], read_("coef"), read_("spread"), read_("pattern")))
-        return pd.DataFrame([_result(t, k[1], f, int(one["n_comp"]), one["corr"], one["error"], one["n_test"], one["mean"] - pdf["shift"].sum(), sum(read_("on_c")), rows, width)])
-
-    return parts.groupBy(*key).applyInPandas(finish, RESULT)
+        t, f = divmod(int(pdf["job"].iloc[0]) // len(batches), plan.folds)
+        facts, states, out = pickle.loads(pdf["facts"].iloc[0]), [pickle.loads(v) for v in pdf["state"]], []
+        for name, (lo, count) in sets.items():
+            corr, error = (np.hstack([np.array(s[name][k])[:, 1:] for s in states]) for k in ("corr", "error"))
+            a, s, at = chosen(corr, error, plan), states[0][name], slice(lo, lo + count)
+            coef, pattern = s["outer"][a]
+            b = facts["b"][:nc, at]
+            parts = [(lo, coef, facts["spread"][at], pattern)]
+            out.append(_result(t, name, f, a, s["corr"][a][0], s["error"][a][0], facts["n_test"][0], facts["y_mean"][0] - facts["mean"][at, 0] @ coef, -b @ coef, parts, width))
+        return pd.DataFrame(out)
+
+    def go_on(before: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return step(before, got, False)
+
+    def final(before: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return step(before, got, True)
+
+    done, schema = None, "job int, facts binary, state binary, models binary"
+    for lo in range(0, jobs, together):
+        group = range(lo, min(lo + together, jobs))
+        pair = lambda a, b, f: checkpoint(a.groupBy("job").cogroup(b.groupBy("job")).applyInPandas(f, schema))
+        known = checkpoint(passed(group, moments, None).groupBy("job").applyInPandas(free_of, "job int, facts binary, models binary"))
+        states = pair(known, passed(group, spreads, gathered(known, "models")), begin)
+        for k in range(plan.k + 1):
+            states = pair(states, passed(group, advance, gathered(states, "models")), final if k >= plan.k - 1 else go_on)
+        part = states.drop("models")
+        done = part if done is None else done.unionByName(part)
+    return done.groupBy(F.floor(F.col("job") / len(batches))).applyInPandas(finish, RESULT)

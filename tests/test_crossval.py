@@ -133,3 +133,13 @@ def test_more_subjects_than_columns_of_fits_hold(spark):
     got = records(cv.nested_cv_scores(df, {"A": (0, 3)}, checkpointed, cv.Plan(times=1, k=2, folds=2, inner_repeats=2)))
     assert len(got) == 2 and sum(r.n_test for r in got.values()) == n
     assert all(r.corr == pytest.approx(np.sqrt(0.5), abs=0.01) for r in got.values())
+
+
+def test_rounds_hold_no_column_of_subjects(spark):
+    """Blocks of rows where a cell has only room for ids and labels, and whole features in tasks, equal sums."""
+    plan = cv.Plan(times=1, k=2, folds=2, inner_repeats=2, inner_folds=3)
+    df, x, c, _ = cohort(spark)
+    cell = records(cv.nested_cv_scores(df, SETS, checkpointed, plan))
+    rows, tasks = (records(cv.nested_cv_scores(df, SETS, checkpointed, plan, cell_bytes=b, whole_bytes=w)) for b, w in ((16 * 83, 1000), (1 << 20, 8000)))
+    same(rows, cell, np.column_stack([np.ones(len(x)), c, x]))
+    same(tasks, cell, np.column_stack([np.ones(len(x)), c, x]))
